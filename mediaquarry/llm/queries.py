@@ -9,13 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, secrets, tokenbin
+from . import langid, licenses, pii, secrets, tokenbin
 from .common import shared_dir, table
 
 #: The id that ends each document in op3's files.
 END_ID = 2
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("same", "all_spans")
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
     tokenbin.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
@@ -36,6 +40,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_planes, op4_licenses, op7_language_id, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_token_planes, op4_licenses, op7_language_id, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
