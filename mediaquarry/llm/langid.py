@@ -185,7 +185,7 @@ def train(docs: DataFrame) -> Model | None:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in found], pa.int64()), "lang": pa.array([x[1] for x in found], pa.string()), "features": pa.array([x[2][0].astype("<i4").tobytes() for x in found], pa.binary()), "counts": pa.array([x[2][1].astype("<i4").tobytes() for x in found], pa.binary())})
 
     sample = known.where(draw < share[F.col("lang")]).mapInArrow(extract, "doc_id long, lang string, features binary, counts binary")
-    learnt = sample.coalesce(1).sortWithinPartitions("doc_id", "features").mapInArrow(fit_sample, "weights binary, temperature double").first()
+    learnt = sample.repartition(1).sortWithinPartitions("doc_id", "features").mapInArrow(fit_sample, "weights binary, temperature double").first()
     if learnt is None:
         return None
     weights = np.frombuffer(learnt.weights, "<f4").reshape(len(languages), BUCKETS + 1)
