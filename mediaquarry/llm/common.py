@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch that are Python objects at the same time.
@@ -71,3 +73,44 @@ def rewritten(docs: DataFrame, change: Callable[[str], str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work(rows, cuts) on whole groups of equal keys (not null), many at a time: group i is rows cuts[i] to cuts[i + 1].
+
+    A task reads its groups in order and holds those of one Arrow batch and the one that goes on into the next, so groups must
+    be of bounded size, which callers see to by cutting them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            cuts = changes(table)
+            whole = int(cuts[-1])
+            held = table.slice(whole).to_batches()
+            if whole:
+                yield from work(table.slice(0, whole).combine_chunks(), cuts)
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from work(table, np.append(changes(table), table.num_rows))
+
+    def changes(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = table.column(k)
+            new[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)))
+        return np.flatnonzero(new)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column and where each row's begin and end."""
+    chunks = table.column(name).combine_chunks()
+    column = pa.concat_arrays(chunks.chunks) if isinstance(chunks, pa.ChunkedArray) else chunks
+    offsets = np.asarray(column.offsets)
+    return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
