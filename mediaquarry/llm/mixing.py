@@ -23,9 +23,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .common import stored
+from .common import numbered
 
 BLOCK = 16
 PERIOD = 1000
@@ -69,19 +68,6 @@ def schedule(weights: Mapping[str | None, int]) -> list[tuple[str | None, int, i
     return out
 
 
-def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """df with number: the place of a row, from 0, among the rows of its group by order; by ranges, so that no group meets in one task."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
-    kept, _ = stored(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
-    # At most a row for each part and one more for each group.
-    counts = kept.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_offset"))
-    placed = kept.join(F.broadcast(offsets), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-    return placed.withColumn("number", F.col("_offset") + F.col("_at")).drop("_part", "_at", "_p", "_g", "_offset")
-
-
 def mix(docs: DataFrame, targets: Mapping[str | None, float] | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """docs (doc_id, source, ...) with block, release, deadline, slot, place in the block and in_horizon; the order of the mix is by slot and place."""
     spark = docs.sparkSession
