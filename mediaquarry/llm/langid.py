@@ -203,7 +203,8 @@ def predict(text: str | None, model: Model | None) -> tuple[str, float]:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score for each row; the other columns stay."""
+    """docs with lang_pred and score for each row (columns of these names are replaced); the other columns stay."""
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x BUCKETS numbers
     names = docs.columns
 

@@ -143,7 +143,8 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
 
 
 def encode_column(docs: DataFrame, model: str) -> DataFrame:
-    """docs with ids (array<int>) for each text; the other columns stay."""
+    """docs with ids (array<int>) for each text (a column of that name is replaced); the other columns stay."""
+    docs = docs.drop("ids")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,8 @@ def encode_column(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode_column(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded with decoded (string) for each array of ids; null stays null."""
+    """encoded with decoded (string) for each array of ids (a column of that name is replaced); null stays null."""
+    encoded = encoded.drop("decoded")
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
