@@ -38,9 +38,9 @@ BLOCK = 1 << 16
 LEVEL = 3
 MAGIC = b"MQTB"
 #: Entries in each half of the cache of pieces.
-CACHED = 150_000
+CACHED = 250_000
 
-UNSAFE = re.compile(r"\s | \s|\A | \Z")
+MARKS = ".,;:!?%*$#&|)"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of one text of pieces that are encoded together.
 TOGETHER = 16_000
@@ -64,19 +64,28 @@ class PieceEncoder:
             self.n_bytes[i] = len(piece)  # a character of a byte-level piece stands for a byte
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
         """Put pieces (without the space before them) into the cache."""
-        found = [x for x in pieces if x in self.old]
-        self.new.update((x, self.old[x]) for x in found)
+        old = self.old
+        found = [x for x in pieces if x in old]
+        self.new.update((x, old[x]) for x in found)
         rest = pieces.difference(found)
         alone = [x for x in rest if x[0].isspace() or x[-1].isspace()]
+        rest.difference_update(alone)
         self.new.update(zip(alone, self.ids([f" {x}" for x in alone])))
+        # Marks after a word of letters are a token's start for sure: the word is learnt once for all marks that may follow.
+        marked = [(x, y) for x in rest if (y := x.rstrip(MARKS)) is not x and y.isalpha()]
+        rest.difference_update(x for x, _ in marked)
+        bare = rest.union(y for _, y in marked).difference(self.new)
+        again = [x for x in bare if x in old]
+        self.new.update((x, old[x]) for x in again)
         together, size = [], 0
-        for x in rest.difference(alone):
+        for x in bare.difference(again):
             together.append(x)
             size += len(x) + 1
             if size >= TOGETHER:
@@ -84,24 +93,41 @@ class PieceEncoder:
                 together, size = [], 0
         if together:
             self.learn_together(together)
+        tails = {x[len(y) :] for x, y in marked}.difference(self.tails)
+        self.tails.update(zip(tails, self.ids(list(tails))))
+        get, tail = self.new.__getitem__, self.tails.__getitem__
+        self.new.update([(x, get(y) + tail(x[len(y) :])) for x, y in marked])
 
     def learn_together(self, pieces: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.n_bytes[ids])
-        cuts = np.searchsorted(ends, np.cumsum([1 + len(x.encode()) for x in pieces])) + 1
-        at = 0
-        for x, cut in zip(pieces, cuts.tolist()):
-            self.new[x] = ids[at:cut].tobytes()
-            at = cut
+        cuts = (4 * np.searchsorted(ends, np.cumsum([1 + len(x.encode()) for x in pieces])) + 4).tolist()
+        data = ids.tobytes()
+        self.new.update(zip(pieces, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [SAFE_SPACE.split(x) if UNSAFE.search(x) else x.split(" ") for x in texts]
-        heads = self.ids([x[0] for x in split])
         if len(self.new) > CACHED:
             self.new, self.old = {}, self.new
-        self.learn(set().union(*(x[1:] for x in split)).difference(self.new))
+        if len(self.tails) > CACHED:
+            self.tails = {}
+        split = [x.split(" ") for x in texts]
+        unknown = set().union(*(x[1:] for x in split)).difference(self.new)
+        # Pieces with white space at an edge are never in the cache as such, so they are seen here each time.
+        edgy = {x for x in unknown if not x or x[0].isspace() or x[-1].isspace()}
+        unsafe = [i for i, x in enumerate(split) if x[0][-1:].isspace() or not x[0] and len(x) > 1 or edgy and not edgy.isdisjoint(x)]
+        for i in unsafe:
+            split[i] = SAFE_SPACE.split(texts[i])
+        if edgy or unsafe:
+            unknown = set().union(*(x[1:] for x in split)).difference(self.new)
+        heads = self.ids([x[0] for x in split])
+        self.learn(unknown)
         get = self.new.__getitem__
-        return [head + b"".join(map(get, x[1:])) for head, x in zip(heads, split)]
+        out = [head + b"".join(map(get, x[1:])) for head, x in zip(heads, split)]
+        for i in unsafe:
+            for x in split[i][1:]:
+                if x[0].isspace() or x[-1].isspace():
+                    self.new.pop(x, None)
+        return out
 
 
 @lru_cache(maxsize=1)

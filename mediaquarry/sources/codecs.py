@@ -8,13 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clock_ms, without_tags
 
+FOLDER = T.StructType([T.StructField("path", T.StringType()), T.StructField("timeMs", T.FloatType()), T.StructField("fileCount", T.LongType()), T.StructField("videoCount", T.LongType())])
 REPORT_MAGIC, REPORT_VERSION = 0x5343414E, 1
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def report_bytes(folders: pd.Series) -> pd.Series:
     """Folders (path, timeMs, fileCount, videoCount) as one bundle: magic, version, count, then length, text, float and two counts of each, little-endian."""
 
@@ -28,7 +30,7 @@ def report_bytes(folders: pd.Series) -> pd.Series:
     return folders.map(one)
 
 
-@F.pandas_udf("array<struct<path:string,timeMs:float,fileCount:long,videoCount:long>>")
+@F.pandas_udf(T.ArrayType(FOLDER))
 def report_rows(bundles: pd.Series) -> pd.Series:
     """The folders of a bundle; null for what isn't one."""
 
@@ -51,7 +53,7 @@ def report_rows(bundles: pd.Series) -> pd.Series:
     return bundles.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def vector_text(vectors: pd.Series) -> pd.Series:
     """A vector as base64url text of its 32-bit floats, without padding."""
     import base64
@@ -62,7 +64,7 @@ def vector_text(vectors: pd.Series) -> pd.Series:
 def text_vector(text: Column, dim: int) -> Column:
     """The vector of base64url text; null unless it has exactly dim numbers."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def floats(data: pd.Series) -> pd.Series:
         return data.map(lambda b: None if b is None or len(b) != 4 * dim else np.frombuffer(b, "<f4"))
 
