@@ -42,9 +42,15 @@ SLACK = 0.25
 SEED = 11
 
 U64 = np.uint64
-SALTS = np.random.default_rng(SEED).integers(1, 1 << 62, size=(SKETCH, 2), dtype=np.uint64) * U64(2) + U64(1)
+SALTS = np.random.default_rng(SEED).integers(1, 1 << 63, size=SKETCH, dtype=np.uint64) * U64(2) + U64(1)
+#: Numbers that a step over tokens holds at once, so that they stay in a processor's cache.
+AT_ONCE = 1 << 15
+#: Words whose hashes are kept.
+CACHED = 200_000
 
-SCANNED = "doc_id long, k1 long, k2 long, size int, sketch binary, nodes1 array<long>, nodes2 array<long>, parents2 array<long>, nodes3 array<long>, parents3 array<long>"
+SCANNED = "doc_id long, k1 long, k2 long, size int, sketch binary, nodes1 array<long>, nodes2 array<long>, parents2 array<smallint>, nodes3 array<long>, parents3 array<smallint>"
+
+KNOWN: dict[str, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,17 +60,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    try:
+        return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        if len(KNOWN) > CACHED:
+            KNOWN.clear()
+        KNOWN.update((w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in set(words).difference(KNOWN))
+        return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The set of a text, as sorted 64-bit hashes."""
     words = (text or "").split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    h = word_hashes(words)
     n = max(1, len(words) - SHINGLE + 1)
     total = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(words))):
-        total = mixed(total + h[i : i + n]) + U64(i)
-    return np.unique(total)
+        total = total * U64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return np.unique(mixed(total))
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -75,32 +91,38 @@ def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survives))
 
 
-def chosen(tokens: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
-    """For each node the children that a set goes on to: nodes hashed with the tokens it follows."""
+def chosen(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children that a set goes on to from nodes, hashed from node and token, and the place of each one's parent in nodes.
+
+    A token's draw at a node is its hash times the node's odd number; high bits of such products are spread evenly.
+    """
     limit = U64(min(float(1 << 64) / (THRESHOLD * len(tokens)), float((1 << 64) - 2048)))
-    out = []
-    for node in nodes:
-        draw = mixed(tokens ^ node)
-        out.append(mixed(draw[draw < limit] + (node | U64(1))))
-    return out
+    odd, step = nodes | U64(1), max(1, AT_ONCE // len(tokens))
+    children, parents = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for at in range(0, len(nodes), step):
+        draw = (tokens * odd[at : at + step, None]).ravel()
+        taken = np.flatnonzero(draw < limit)
+        place = at + taken // len(tokens)
+        children.append(mixed(draw[taken] + nodes[place]))
+        parents.append(place)
+    return np.concatenate(children), np.concatenate(parents)
 
 
 def paths(tokens: np.ndarray, runs: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By level: (nodes, their parents)."""
-    parents = mixed(np.arange(1, runs + 1, dtype=np.uint64) * U64(SEED))
+    """By level: (nodes, places of their parents in the level above)."""
+    above = mixed(np.arange(1, runs + 1, dtype=np.uint64) * U64(SEED))
     out = []
     for _ in range(DEPTH):
-        children = chosen(tokens, parents)
-        nodes = np.concatenate([np.empty(0, np.uint64), *children])
-        out.append((nodes, np.repeat(parents, [len(c) for c in children])))
-        parents = nodes
+        above, parents = chosen(tokens, above)
+        out.append((above, parents))
     return out
 
 
 def sketch(tokens: np.ndarray) -> bytes:
     low = np.full(SKETCH, np.iinfo(np.uint64).max)
-    for at in range(0, len(tokens), 4096):
-        low = np.minimum(low, (mixed(tokens[at : at + 4096])[None, :] * SALTS[:, :1] + SALTS[:, 1:]).min(axis=1))
+    spread, step = mixed(tokens), AT_ONCE // SKETCH
+    for at in range(0, len(tokens), step):
+        low = np.minimum(low, (spread[at : at + step] * SALTS[:, None]).min(axis=1))
     return mixed(low).astype(np.uint8).tobytes()
 
 
@@ -115,7 +137,8 @@ def scanned(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordB
 
             def lists(level: int, part: int) -> pa.Array:
                 found = [r[2][level][part] for r in rows]
-                return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                values = np.concatenate(found).astype(np.int16) if part else np.concatenate(found).view(np.int64)
+                return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(values))
 
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
@@ -223,7 +246,8 @@ def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         if level == 1:
             places = classes.select("rep", F.explode("nodes1").alias("node"))
         else:
-            both = classes.select("rep", F.explode(F.arrays_zip(F.col(f"nodes{level}").alias("node"), F.col(f"parents{level}").alias("parent"))).alias("x")).select("rep", "x.node", "x.parent")
+            above = F.transform(f"parents{level}", lambda i: F.get(f"nodes{level - 1}", i))
+            both = classes.select("rep", F.explode(F.arrays_zip(F.col(f"nodes{level}").alias("node"), above.alias("parent"))).alias("x")).select("rep", "x.node", "x.parent")
             places = both.join(heavy, both.parent == heavy.heavy_node, "left_semi").select("rep", "node")
         places = places.distinct() if level > 1 else places
         sizes = places.groupBy("node").agg(F.count("*").alias("group_size")).where(F.col("group_size") > 1)
