@@ -12,8 +12,8 @@ checked exactly: all sets of a connected piece meet, by chunks of GROUP, and Jac
 products of incidence matrices. Exact copies are one class from the start; links are counted, not written as pairs.
 
 Defined cases: a text under SHINGLE words is one token, all its words; one without words (null, empty, blank) links with
-nothing; rows alike in doc_id and text are copies of one another; null doc_ids link but name no class that has another
-doc_id; an empty table gives an empty result; other columns play no part.
+nothing; rows alike in doc_id and text are copies of one another; a row without doc_id counts as one more copy of an equal
+text that has one (n_links are that text's) and else links with nothing; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -158,8 +158,9 @@ def lowest_reached(linked: np.ndarray) -> np.ndarray:
 
 
 def alike(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of each leaf, or pair of chunks: stars of what sketches and sizes don't part."""
-    rep, size = np.asarray(table.column("rep")), np.asarray(table.column("size")).astype(float)
+    """Of each leaf, or pair of chunks: stars of what sketches and sizes don't part; a pair of chunks gives only what joins their own stars."""
+    rep, chunk, c1, c2 = (np.asarray(table.column(x)) for x in ("rep", "chunk", "c1", "c2"))
+    size = np.asarray(table.column("size")).astype(float)
     sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     least = (THRESHOLD - SLACK) * SKETCH
@@ -173,9 +174,13 @@ def alike(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         np.fill_diagonal(linked, False)
         low = lowest_reached(linked)
         some = low != np.arange(b - a)
+        if c1[a] != c2[a]:  # each chunk's own group gives the rest
+            mine = chunk[order]
+            some &= lowest_reached(linked & (mine[:, None] == mine)) == np.arange(b - a)
         pairs.append((rep[order][some], rep[order][low[some]]))
-    columns = [np.concatenate([p[i] for p in pairs]) for i in range(2)]
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["u", "v"])
+    # Runs find the same pairs again.
+    found = np.unique(np.stack([np.concatenate([p[i] for p in pairs]) for i in range(2)], axis=1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, i], pa.int64()) for i in range(2)], names=["u", "v"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
