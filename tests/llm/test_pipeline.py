@@ -1,0 +1,64 @@
+"""The pipeline's stages against plain versions of them, each on its own input."""
+
+from collections import Counter
+
+import corpus_pipeline
+import public_tokenizers
+from test_pairs import text_rows
+
+from mediaquarry.llm import secrets
+from mediaquarry.llm.queries import QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_in_turn(spark, documents):
+    seen, docs = [], documents
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.cache()
+        docs = stage(spark, before, DATA).cache()
+        seen.append((name, before, docs))
+    steps = {name: (before, after) for name, before, after in seen}
+    assert list(steps) == ["language_id", "ngram_jaccard", "secret_scan", "source_mixing", "sentencepiece"]
+    assert all(after.columns == documents.columns for _, _, after in seen[:-1])
+
+    before, after = steps["language_id"]
+    gone = before.join(after, "doc_id", "left_anti").collect()
+    assert after.count() >= 0.9 * before.count() and all(not r.text or len(r.text) < 200 or not any(c.isalpha() for c in r.text) or r.lang not in ("de", "en", "es", "fr") for r in gone)
+
+    before, after = steps["ngram_jaccard"]
+    want = [d for d, _, c in text_rows([(r.doc_id, r.text) for r in before.collect()]) if d == c]
+    assert sorted(r.doc_id for r in after.collect()) == want
+
+    before, after = steps["secret_scan"]
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = {r.doc_id: r.text for r in after.collect()}
+    for r in before.collect():
+        assert (texts[r.doc_id] == r.text) == (not secrets.scan_text(r.text, vocabulary)[1])
+
+    before, after = steps["source_mixing"]
+    assert Counter(before.collect()) == Counter(after.collect())
+
+    before, after = steps["sentencepiece"]
+    out = after.collect()
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in before.collect())
+    assert all(r.n_tokens == len(r.ids) > 0 for r in out) and all(r.round_trip for r in out)
+
+
+def test_run_is_the_stages_after_one_another(spark):
+    out = corpus_pipeline.run(spark, DATA)
+    assert 0 < out.count() <= spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_odd_documents_pass_all_stages(spark, odd_documents, no_documents):
+    for docs in (odd_documents, no_documents):
+        rows = docs.select("doc_id", "text", "lang", "source", "n_chars", "spans", "block")
+        for _, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, DATA)
+            rows.count()
+
+
+def test_every_query_gives_a_row_for_each_document(spark, documents, embeddings):
+    for name in ("op1_pii", "op3_token_planes", "op4_licenses", "op5_sentencepiece", "op6_chosen_path", "op7_language_id", "op8_mixing", "op10_secrets"):
+        assert QUERIES[name](spark, DATA).count() == documents.count(), name
+    assert QUERIES["op2_cap_filters"](spark, DATA).count() == embeddings.count()

@@ -1,0 +1,121 @@
+"""Secrets and licences against plain searches."""
+
+import hashlib
+import random
+import re
+
+from mediaquarry.llm import licenses, secrets
+
+SECRET = {
+    "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"(AKIA([A-Z0-9]+))", "hex": r"(([0-9a-f]+))",
+}
+LEAST = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+
+
+def base_secrets(text):
+    kinds = list(SECRET)
+    found = [(m.start(), kinds.index(k), m.end()) for k, p in SECRET.items() for m in re.finditer(p, text) if LEAST[k](m)]
+    return [f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def check_secrets(docs):
+    out = secrets.scan_secrets(docs).collect()
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    assert len(out) == len(texts)
+    for r, text in zip(out, texts):
+        mine = base_secrets(text)
+        assert r.base_sha256 == hashlib.sha256(",".join(mine).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k) for x in mine) for k in SECRET]
+        assert [x for x in r.spans.split(",") if x and not x.startswith("opaque")] == mine
+
+
+def test_secrets_of_all_documents(documents):
+    check_secrets(documents.coalesce(1))
+
+
+def test_secrets_in_odd_rows(spark, odd_documents, no_documents):
+    check_secrets(odd_documents.coalesce(1))
+    assert secrets.scan_secrets(no_documents).count() == 0
+    rng = random.Random(3)
+    pieces = ["token", "Api_Key", "apikey", "=", ": ", '"', " ", "AKIA", "ABCDEFGH01234567", "deadbeef", "0123456789abcdef", "ſecret", "x.y-z_", "\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(400)]
+    check_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+
+
+def test_random_strings_are_opaque_and_known_forms_are_not(spark):
+    digest = hashlib.md5(b"x").hexdigest().upper()
+    texts = {
+        "key is q7Zp9XvK2mRt8WnB4cYd here": 1, "id 123e4567-e89b-12d3-a456-426614174000 here": 0, f"sum {digest} here": 0,
+        "internationalisation-of-international-standards-2024": 0, "plain words alone": 0,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r.n_opaque for r in secrets.scan_secrets(docs).collect()] == list(texts.values())
+    assert secrets.redact_secrets(docs).collect()[0].text == "key is [OPAQUE] here"
+
+
+def test_redaction_leaves_no_secret_and_all_else(documents, odd_documents):
+    for docs in (documents, odd_documents):
+        before, after = docs.coalesce(1).collect(), secrets.redact_secrets(docs.coalesce(1)).collect()
+        assert len(before) == len(after)
+        for b, a in zip(before, after):
+            assert b.doc_id == a.doc_id and (b.text is None) == (a.text is None)
+            if b.text is not None:
+                assert a.n_chars == len(a.text) and (a.text == b.text) == (not secrets.scan_text(b.text, secrets.public_tokenizers.path("byte_bpe_50k.tiktoken"))[1])
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def check_licences(docs):
+    out = licenses.scan_licences(docs).collect()
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    assert len(out) == len(texts)
+    for r, text in zip(out, texts):
+        lowered = re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text)
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
+        places = [(i, label) for i in range(len(words)) for p, label in PHRASES.items() if words[i : i + len(p.split())] == p.split()]
+        labels = ",".join(sorted({x for _, x in places}))
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), labels)
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert set(labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_licences_of_all_documents(documents):
+    check_licences(documents.coalesce(1))
+
+
+def test_licences_in_odd_rows(spark, odd_documents, no_documents):
+    check_licences(odd_documents.coalesce(1))
+    assert licenses.scan_licences(no_documents).count() == 0
+    rng = random.Random(9)
+    pieces = ["GNU", "General", "public", "license", "Apache", "CC", "BY", "mit", "İ", "é1", "-", ".", " "]
+    texts = [" ".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(300)]
+    check_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+
+
+def test_automaton_gives_matching_statistics():
+    rng = random.Random(1)
+    templates = tuple((str(i), " ".join(rng.choices("abc", k=rng.randint(1, 12)))) for i in range(6))
+    automaton = licenses.LicenceAutomaton(templates)
+    sequences = [x.split() for _, x in templates]
+    for _ in range(200):
+        words = rng.choices("abcd", k=30)
+        longest = []  # the longest run of template words that ends at each word
+        for i in range(30):
+            runs = [n for n in range(1, 13) if n <= i + 1 and any(words[i + 1 - n : i + 1] == s[j : j + n] for s in sequences for j in range(len(s) - n + 1))]
+            longest.append(max(runs, default=0))
+        ends = [(i + 1 - n, i + 1) for i, n in enumerate(longest) if n >= licenses.MIN_RUN and (i == 29 or longest[i + 1] != n + 1)]
+        assert [x[:2] for x in automaton.runs(words)] == ends
+        for start, end, state in automaton.runs(words):
+            for t, at in automaton.ends[state].items():
+                assert all(words[start:end] == sequences[t][x - (end - start) : x] for x in at if x >= end - start)
+
+
+def test_a_whole_notice_is_covered_and_a_changed_word_does_not_hide_it():
+    text = dict(licenses.TEMPLATES)["mit-text"]
+    chains = licenses.automaton().chains(licenses.words_of("Some words before. " + text + " And after."))
+    best = max(chains, key=lambda x: x[3])
+    assert (licenses.automaton().labels[best[0]], best[1], best[3]) == ("mit-text", 3, 1.0)
+    changed = licenses.words_of(text.replace("publish", "print"))
+    assert max(x[3] for x in licenses.automaton().chains(changed)) > 0.95
