@@ -9,7 +9,8 @@ of runs follows from the wanted recall.
 
 Brute force compares sketches (min-hashes and sizes), far below the threshold, and gives stars. What they connect is
 checked exactly: all sets of a connected piece meet, by chunks of GROUP, and Jaccard similarities are counted from
-products of incidence matrices. Exact copies are one class from the start; links are counted, not written as pairs.
+products of incidence matrices. Since sets of one piece all meet there, runs after the first FIRST_RUNS leave out nodes whose
+sets are in one piece already: a large group of near copies goes down the trees of the first runs only. Exact copies are one class from the start; links are counted, not written as pairs.
 
 Defined cases: a text under SHINGLE words is one token, all its words; one without words (null, empty, blank) links with
 nothing; rows alike in doc_id and text are copies of one another; a row without doc_id counts as one more copy of an equal
@@ -34,6 +35,7 @@ THRESHOLD = 0.8
 SHINGLE = 5
 RECALL = 0.9995
 DEPTH = 3
+FIRST_RUNS = 5
 LEAF = 48
 GROUP = 256
 SKETCH = 64
@@ -48,7 +50,8 @@ AT_ONCE = 1 << 15
 #: Words whose hashes are kept.
 CACHED = 200_000
 
-SCANNED = "doc_id long, k1 long, k2 long, size int, sketch binary, nodes1 array<long>, nodes2 array<long>, parents2 array<smallint>, nodes3 array<long>, parents3 array<smallint>"
+SCANNED = "doc_id long, k1 long, k2 long, size int, sketch binary, firsts array<smallint>, nodes1 array<long>, nodes2 array<long>, parents2 array<smallint>, nodes3 array<long>, parents3 array<smallint>"
+ARRAYS = ("size", "sketch", "firsts", "nodes1", "nodes2", "parents2", "nodes3", "parents3")
 
 KNOWN: dict[str, int] = {}
 
@@ -118,6 +121,15 @@ def paths(tokens: np.ndarray, runs: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def of_first_runs(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """By level, how many of the nodes, which are in the order of the runs, the first runs have."""
+    out, n = [], FIRST_RUNS
+    for _, parents in levels:
+        n = int(np.searchsorted(parents, n))
+        out.append(n)
+    return out
+
+
 def sketch(tokens: np.ndarray) -> bytes:
     low = np.full(SKETCH, np.iinfo(np.uint64).max)
     spread, step = mixed(tokens), AT_ONCE // SKETCH
@@ -142,8 +154,8 @@ def scanned(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordB
 
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
-                lists(0, 0), lists(1, 0), lists(1, 1), lists(2, 0), lists(2, 1),
-            ], names=["doc_id", "k1", "k2", "size", "sketch", "nodes1", "nodes2", "parents2", "nodes3", "parents3"])
+                pa.array([of_first_runs(r[2]) for r in rows], pa.list_(pa.int16())), lists(0, 0), lists(1, 0), lists(1, 1), lists(2, 0), lists(2, 1),
+            ], names=["doc_id", "k1", "k2", "size", *ARRAYS[1:]])
 
 
 def lowest_reached(linked: np.ndarray) -> np.ndarray:
@@ -237,31 +249,47 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(SEED), "text")})
 
 
+def leaves(classes: DataFrame, piece: DataFrame | None = None) -> DataFrame:
+    """(node, rep, group_size) of the nodes to be brute-forced: of the first runs, or given piece (rep, piece) of the others, where a node's sets are in several pieces."""
+    found = None
+    heavy = None
+    for level in range(1, DEPTH + 1):
+        node = F.col(f"nodes{level}").alias("node")
+        paths = F.transform(node, lambda n: F.struct(n.alias("node"))) if level == 1 else F.arrays_zip(node, F.transform(f"parents{level}", lambda i: F.get(f"nodes{level - 1}", i)).alias("parent"))
+        n = F.col("firsts")[level - 1].cast("int")
+        here = classes.select("rep", (F.slice(paths, n + 1, F.size(paths)) if piece else F.slice(paths, F.lit(1), n)).alias("paths"))
+        if level == 1:
+            sets = here.join(piece, "rep", "left").withColumn("piece", F.coalesce("piece", "rep")) if piece else here.withColumn("piece", F.col("rep"))
+        else:
+            sets = here.join(heavy, "rep").withColumn("paths", F.filter("paths", lambda x: F.array_contains("heavy", x["parent"])))
+        places = sets.select("rep", "piece", F.explode(F.array_distinct(F.transform("paths", lambda x: x["node"]))).alias("node"))
+        sizes = places.groupBy("node").agg(F.count("*").alias("group_size"), F.min("piece").alias("low"), F.max("piece").alias("high")).where("low <> high").select("node", "group_size")
+        met, _ = stored(places.join(sizes, "node"), "nodes")
+        leaf = met if level == DEPTH else met.where(F.col("group_size") <= LEAF)
+        found = leaf if found is None else found.unionByName(leaf)
+        heavy = met.where(F.col("group_size") > LEAF).groupBy("rep").agg(F.collect_set("node").alias("heavy"), F.first("piece").alias("piece"))  # a set follows a few nodes
+    return found.select("node", "rep", "group_size")
+
+
+def linked_roughly(classes: DataFrame, leaf: DataFrame) -> DataFrame:
+    groups = in_chunks(leaf, ["node"], GROUP).join(classes.select("rep", "size", "sketch"), "rep")
+    return by_groups(groups, ["node", "c1", "c2"], alike, "u long, v long")
+
+
 def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_links (rows it links to), class_id (smallest doc_id that links reach), and the hashes k1, k2 of its text."""
     spark = docs.sparkSession
     runs = runs_needed(recall)
     rows = keyed(docs)
-    scan, _ = stored(rows.mapInArrow(lambda batches: scanned(batches, runs), SCANNED), "chosen-paths")
-    arrays = ("size", "sketch", "nodes1", "nodes2", "parents2", "nodes3", "parents3")
-    classes, at = stored(scan.where((F.col("size") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in arrays)), "text-classes")
-
-    heavy, leaves = None, []
-    for level in range(1, DEPTH + 1):
-        if level == 1:
-            places = classes.select("rep", F.explode("nodes1").alias("node"))
-        else:
-            above = F.transform(f"parents{level}", lambda i: F.get(f"nodes{level - 1}", i))
-            both = classes.select("rep", F.explode(F.arrays_zip(F.col(f"nodes{level}").alias("node"), above.alias("parent"))).alias("x")).select("rep", "x.node", "x.parent")
-            places = both.join(heavy, both.parent == heavy.heavy_node, "left_semi").select("rep", "node")
-        places = places.distinct() if level > 1 else places
-        sizes = places.groupBy("node").agg(F.count("*").alias("group_size")).where(F.col("group_size") > 1)
-        here = sizes if level == DEPTH else sizes.where(F.col("group_size") <= LEAF)
-        leaves.append(places.join(here, "node").select("node", "rep", "group_size"))
-        heavy = sizes.where(F.col("group_size") > LEAF).select(F.col("node").alias("heavy_node"))
-    leaf = leaves[0].unionByName(leaves[1]).unionByName(leaves[2])
-    groups = in_chunks(leaf, ["node"], GROUP).join(classes.select("rep", "size", "sketch"), "rep")
-    pieces = stars(by_groups(groups, ["node", "c1", "c2"], alike, "u long, v long"))
+    full, at_full = stored(rows.mapInArrow(lambda batches: scanned(batches, runs), SCANNED), "chosen-paths")
+    classes, at = stored(full.where((F.col("size") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in ARRAYS)), "text-classes")
+    scan, _ = stored(full.select("doc_id", "size", "k1", "k2"), "text-keys")
+    discard(spark, at_full)
+
+    first = stars(linked_roughly(classes, leaves(classes)))
+    pieces = first.select(F.col("node").alias("rep"), F.col("component").alias("piece"))
+    later = linked_roughly(classes, leaves(classes, pieces))
+    pieces = stars(later.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     member = pieces.select(F.col("node").alias("rep"), F.col("component").alias("piece"))
     member = member.unionByName(member.select(F.col("piece").alias("rep"), "piece").distinct())

@@ -15,7 +15,7 @@ LEAST = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20
 
 def base_secrets(text):
     kinds = list(SECRET)
-    found = [(m.start(), kinds.index(k), m.end()) for k, p in SECRET.items() for m in re.finditer(p, text) if LEAST[k](m)]
+    found = [(m.start(), kinds.index(k), m.end()) for k, p in SECRET.items() for m in re.finditer(p, text, re.ASCII) if LEAST[k](m)]
     return [f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found)]
 
 
