@@ -9,8 +9,9 @@ of runs follows from the wanted recall.
 
 Brute force compares sketches (min-hashes and sizes), far below the threshold, and gives stars. What they connect is
 checked exactly: all sets of a connected piece meet, by chunks of GROUP, and Jaccard similarities are counted from
-products of incidence matrices. Since sets of one piece all meet there, runs after the first FIRST_RUNS leave out nodes whose
-sets are in one piece already: a large group of near copies goes down the trees of the first runs only. Exact copies are one class from the start; links are counted, not written as pairs.
+products of incidence matrices. Since sets of one piece all meet there, the first FIRST_RUNS runs compare only within chunks, dealt anew at each
+node, and then all runs leave out nodes whose sets are in one piece already: a large group of near copies goes down the trees
+of the first runs only, and isn't compared by pairs of chunks. Exact copies are one class from the start; links are counted, not written as pairs.
 
 Defined cases: a text under SHINGLE words is one token, all its words; one without words (null, empty, blank) links with
 nothing; rows alike in doc_id and text are copies of one another; a row without doc_id counts as one more copy of an equal
@@ -38,6 +39,8 @@ DEPTH = 3
 FIRST_RUNS = 5
 LEAF = 48
 GROUP = 256
+#: Sketches that a chunk of a leaf holds.
+SKETCHES = 1024
 SKETCH = 64
 #: Sketches whose share of equal places is less than the threshold by this can't be of a pair, but for 1 in a million.
 SLACK = 0.25
@@ -237,9 +240,11 @@ def exactly(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["rep", "links", "parent"])
 
 
-def in_chunks(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """rows (keys, rep, size of the group) with chunk, c1, c2: groups over the limit become pairs of chunks, a row in each pair of its own."""
-    cut = rows.withColumn("chunks", F.ceil(F.col("group_size") / limit).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+def in_chunks(rows: DataFrame, keys: list[str], limit: int, pairs: bool) -> DataFrame:
+    """rows (keys, rep, size of the group) with chunk, c1, c2: groups over the limit become chunks or pairs of chunks, a row in each pair of its own."""
+    cut = rows.withColumn("chunks", F.ceil(F.col("group_size") / limit).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep", *keys), F.col("chunks")).cast("int"))
+    if not pairs:
+        return cut.select(*keys, "rep", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), "chunk")
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return spread.select(*keys, "rep", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk")
 
@@ -250,14 +255,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def leaves(classes: DataFrame, piece: DataFrame | None = None) -> DataFrame:
-    """(node, rep, group_size) of the nodes to be brute-forced: of the first runs, or given piece (rep, piece) of the others, where a node's sets are in several pieces."""
+    """(node, rep, group_size) of the nodes to be brute-forced: of the first runs, or given piece (rep, piece) of all runs, where a node's sets are in several pieces."""
     found = None
     heavy = None
     for level in range(1, DEPTH + 1):
         node = F.col(f"nodes{level}").alias("node")
         paths = F.transform(node, lambda n: F.struct(n.alias("node"))) if level == 1 else F.arrays_zip(node, F.transform(f"parents{level}", lambda i: F.get(f"nodes{level - 1}", i)).alias("parent"))
         n = F.col("firsts")[level - 1].cast("int")
-        here = classes.select("rep", (F.slice(paths, n + 1, F.size(paths)) if piece else F.slice(paths, F.lit(1), n)).alias("paths"))
+        here = classes.select("rep", (paths if piece else F.slice(paths, F.lit(1), n)).alias("paths"))
         if level == 1:
             sets = here.join(piece, "rep", "left").withColumn("piece", F.coalesce("piece", "rep")) if piece else here.withColumn("piece", F.col("rep"))
         else:
@@ -271,8 +276,8 @@ def leaves(classes: DataFrame, piece: DataFrame | None = None) -> DataFrame:
     return found.select("node", "rep", "group_size")
 
 
-def linked_roughly(classes: DataFrame, leaf: DataFrame) -> DataFrame:
-    groups = in_chunks(leaf, ["node"], GROUP).join(classes.select("rep", "size", "sketch"), "rep")
+def linked_roughly(classes: DataFrame, leaf: DataFrame, pairs: bool) -> DataFrame:
+    groups = in_chunks(leaf, ["node"], SKETCHES, pairs).join(classes.select("rep", "size", "sketch"), "rep")
     return by_groups(groups, ["node", "c1", "c2"], alike, "u long, v long")
 
 
@@ -286,9 +291,9 @@ def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     scan, _ = stored(full.select("doc_id", "size", "k1", "k2"), "text-keys")
     discard(spark, at_full)
 
-    first = stars(linked_roughly(classes, leaves(classes)))
+    first = stars(linked_roughly(classes, leaves(classes), pairs=False))
     pieces = first.select(F.col("node").alias("rep"), F.col("component").alias("piece"))
-    later = linked_roughly(classes, leaves(classes, pieces))
+    later = linked_roughly(classes, leaves(classes, pieces), pairs=True)
     pieces = stars(later.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     member = pieces.select(F.col("node").alias("rep"), F.col("component").alias("piece"))
