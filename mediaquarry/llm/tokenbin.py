@@ -38,7 +38,7 @@ BLOCK = 1 << 16
 LEVEL = 3
 MAGIC = b"MQTB"
 #: Entries in each half of the cache of pieces.
-CACHED = 250_000
+CACHED = 700_000
 
 MARKS = ".,;:!?%*$#&|)"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -69,14 +69,12 @@ class PieceEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put pieces (without the space before them) into the cache."""
+    def learn(self, pieces: set[str], alone: list[str]) -> None:
+        """Put pieces (without the space before them) into the cache; those in alone have white space at an edge."""
         old = self.old
         found = [x for x in pieces if x in old]
         self.new.update((x, old[x]) for x in found)
         rest = pieces.difference(found)
-        alone = [x for x in rest if x[0].isspace() or x[-1].isspace()]
-        rest.difference_update(alone)
         self.new.update(zip(alone, self.ids([f" {x}" for x in alone])))
         # Marks after a word of letters are a token's start for sure: the word is learnt once for all marks that may follow.
         marked = [(x, y) for x in rest if (y := x.rstrip(MARKS)) is not x and y.isalpha()]
@@ -113,14 +111,17 @@ class PieceEncoder:
         split = [x.split(" ") for x in texts]
         unknown = set().union(*(x[1:] for x in split)).difference(self.new)
         # Pieces with white space at an edge are never in the cache as such, so they are seen here each time.
-        edgy = {x for x in unknown if not x or x[0].isspace() or x[-1].isspace()}
+        edgy = {x for x in unknown if x.strip() is not x or not x}
         unsafe = [i for i, x in enumerate(split) if x[0][-1:].isspace() or not x[0] and len(x) > 1 or edgy and not edgy.isdisjoint(x)]
-        for i in unsafe:
-            split[i] = SAFE_SPACE.split(texts[i])
-        if edgy or unsafe:
-            unknown = set().union(*(x[1:] for x in split)).difference(self.new)
+        alone: list[str] = []
+        if unsafe:
+            for i in unsafe:
+                split[i] = SAFE_SPACE.split(texts[i])
+            again = set().union(*(split[i][1:] for i in unsafe)).difference(self.new)
+            alone = [x for x in again if x.strip() is not x]
+            unknown = (unknown - edgy | again).difference(alone)
         heads = self.ids([x[0] for x in split])
-        self.learn(unknown)
+        self.learn(unknown, alone)
         get = self.new.__getitem__
         out = [head + b"".join(map(get, x[1:])) for head, x in zip(heads, split)]
         for i in unsafe:
