@@ -163,9 +163,12 @@ def scanned(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordB
 
 def lowest_reached(linked: np.ndarray) -> np.ndarray:
     """For each row of a square of links the first row that they reach."""
-    low = np.arange(len(linked))
+    low = np.arange(len(linked), dtype=np.int32)
     while True:
-        lower = np.minimum(low, np.where(linked, low[None, :], len(low)).min(axis=1))
+        lower = low.copy()
+        for at in range(0, len(low), ROWS_AT_ONCE):
+            part = slice(at, at + ROWS_AT_ONCE)
+            lower[part] = np.minimum(low[part], np.where(linked[part], low, np.int32(len(low))).min(axis=1))
         lower = np.minimum(lower, lower[lower])
         if (lower == low).all():
             return low
@@ -182,10 +185,13 @@ def alike(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         order = a + np.argsort(rep[a:b], kind="stable")
         s, n = sketches[order], size[order]
-        equal = np.zeros((b - a, b - a), np.int16)
-        for k in range(SKETCH):
-            equal += s[:, k, None] == s[None, :, k]
-        linked = (equal >= least) & (np.minimum(n[:, None], n) >= THRESHOLD * np.maximum(n[:, None], n))
+        linked = np.empty((b - a, b - a), bool)
+        for at in range(0, b - a, ROWS_AT_ONCE):
+            part = slice(at, at + ROWS_AT_ONCE)
+            equal = np.zeros((len(s[part]), b - a), np.uint8)
+            for k in range(SKETCH):
+                equal += s[part, k, None] == s[None, :, k]
+            linked[part] = (equal >= least) & (np.minimum(n[part, None], n) >= THRESHOLD * np.maximum(n[part, None], n))
         np.fill_diagonal(linked, False)
         low = lowest_reached(linked)
         some = low != np.arange(b - a)
