@@ -18,6 +18,7 @@ follow one another by text and each keep a row of their own; an empty table give
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -104,6 +105,14 @@ class PieceEncoder:
         self.new.update(zip(pieces, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Without looks for cycles, which none of this makes: they would go over the cache again and again."""
+        gc.disable()
+        try:
+            return self.encoded(texts)
+        finally:
+            gc.enable()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > CACHED:
             self.new, self.old = {}, self.new
         if len(self.tails) > CACHED:
