@@ -6,9 +6,10 @@ range-partitions each ordering and numbers its rows; CELL consecutive rows form
 within reach of its own. Each meeting keeps a query's best, the windows of all curves are merged, and the ranking is by
 the inner product of the original vectors in double precision, summed from the first number to the last.
 
-A window holds 2 REACH n^(3/4) of n rows: among vectors without structure, in 64 dimensions, the nearest 20 stand out
-so little that recall of 0.9 asks for windows that grow with the table (measured: README). Reach less for vectors that
-cluster. Equal vectors are one class, of which the TOP + 1 smallest ids are kept, since no query can use more.
+A window holds 2 REACH n^(3/4) of n rows at least: among vectors without structure, in 64 dimensions, the nearest 20
+stand out so little that recall of 0.9 asks for windows that grow with the table. How far is measured on each table:
+a blocked scan of all rows finds the true nearest of about PROBES queries, and the windows reach as far as HOLD of those
+asks for (figures by size: README). Equal vectors are one class, of which the TOP + 1 smallest ids are kept, since no query can use more.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers and rows without vec_id take no part,
 neither as queries nor as candidates; vectors of different lengths don't meet; equal scores go by vec_id; repeated rows
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .cap_filters import usable
-from .common import by_groups, flat, numbered, stored
+from .common import by_groups, checkpointed, flat, numbered, stored
 
 TOP = 20
 CURVES = 16
@@ -36,6 +37,10 @@ BITS = 6
 #: Bound of the rows that the grids are fitted on.
 SAMPLE = 8192
 REACH = 0.5
+#: Queries that a scan answers to set the reach, and the share of their nearest that the windows must hold (0.9 and a margin for the draw).
+PROBES, HOLD = 256, 0.92
+#: Queries of a cell that are scored at the same time.
+QUERIES_AT_ONCE = 1024
 #: A window is never smaller: 2 * LEAST rows, or all there are.
 LEAST = 512
 CELL = 1024
@@ -96,21 +101,71 @@ def met(table: pa.Table, cuts: np.ndarray, top: int) -> Iterator[pa.RecordBatch]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         x, asks = numbers[ends[a] : ends[b]].reshape(b - a, -1).astype(np.float64), is_query[a:b]
-        queries, candidates = x[asks], x[~asks]
-        if not len(queries) or not len(candidates):
+        candidates = x[~asks]
+        if not len(candidates):
             continue
-        scores = queries @ candidates.T
-        k = min(top, scores.shape[1])
-        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        q, c = np.nonzero(scores >= least - 1e-9 * np.maximum(1, np.abs(least)))
-        exact = np.zeros(len(q))
-        for d in range(x.shape[1]):
-            exact += queries[q, d] * candidates[c, d]
-        out.append((rep[a:b][asks][q], rep[a:b][~asks][c], exact))
+        for at in range(0, int(asks.sum()), QUERIES_AT_ONCE):
+            queries = x[asks][at : at + QUERIES_AT_ONCE]
+            scores = queries @ candidates.T
+            k = min(top, scores.shape[1])
+            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            q, c = np.nonzero(scores >= least - 1e-9 * np.maximum(1, np.abs(least)))
+            exact = np.zeros(len(q))
+            for d in range(x.shape[1]):
+                exact += queries[q, d] * candidates[c, d]
+            out.append((rep[a:b][asks][at + q], rep[a:b][~asks][c], exact))
     columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query", "rep", "score"])
 
 
+def scanned(classes: DataFrame, probes: dict[int, tuple[np.ndarray, np.ndarray]], top: int) -> DataFrame:
+    """The true nearest classes of the probes (by length: rep, embedding), themselves left out: query, rep; each task keeps its best."""
+    sent = classes.sparkSession.sparkContext.broadcast(probes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: (np.zeros((len(reps), 0), np.int64), np.zeros((len(reps), 0))) for dim, (reps, _) in sent.value.items()}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                dims = np.asarray(batch.column("dim"))
+                for dim, (reps, asked) in sent.value.items():
+                    rows = batch.filter(pa.array(dims == dim))
+                    if not len(rows):
+                        continue
+                    ids = np.asarray(rows.column("rep"))
+                    scores = asked @ np.asarray(rows.column("embedding").flatten(), np.float64).reshape(len(rows), -1).T
+                    scores[reps[:, None] == ids] = -np.inf
+                    held, numbers = best[dim]
+                    held, numbers = np.hstack([held, np.broadcast_to(ids, scores.shape)]), np.hstack([numbers, scores])
+                    keep = np.argpartition(-numbers, min(top, numbers.shape[1]) - 1, axis=1)[:, :top]
+                    best[dim] = np.take_along_axis(held, keep, 1), np.take_along_axis(numbers, keep, 1)
+        for dim, (held, numbers) in best.items():
+            q, k = np.nonzero(numbers > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[dim][0][q]), pa.array(held[q, k]), pa.array(numbers[q, k])], names=["query", "rep", "score"])
+
+    found = classes.select("rep", "dim", "embedding").mapInArrow(run, "query long, rep long, score double")
+    return found.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("_n") <= top).select("query", "rep")
+
+
+def needed(cells: DataFrame, truth: DataFrame) -> list[tuple[int, int]]:
+    """For each reach in cells, ascending, how many pairs (query, rep) of truth first meet on some curve at it."""
+    truth = F.broadcast(checkpointed(truth))
+    asked = cells.join(F.broadcast(truth.select("query").distinct()), F.col("rep") == F.col("query")).select("query", "curve", F.col("cell").alias("_from"))
+    pairs = cells.select("curve", "rep", "cell").join(truth, "rep").join(asked, ["query", "curve"])
+    apart = pairs.groupBy("query", "rep").agg(F.min(F.abs(F.col("cell") - F.col("_from"))).alias("apart"))
+    return sorted((r.apart, r.n) for r in apart.groupBy("apart").agg(F.count("*").alias("n")).collect())
+
+
+def least_reach(apart: list[tuple[int, int]], share: float) -> int:
+    """The least reach at which a share of the pairs that needed() counts has met."""
+    left = share * sum(n for _, n in apart)
+    for reach, n in apart:
+        left -= n
+        if left <= 1e-9:
+            return reach
+    return 0
+
+
 def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     """For each row of vectors (vec_id, embedding) where is_query holds: query_id, rank from 1, vec_id, score of its nearest found."""
     spark = vectors.sparkSession
@@ -146,6 +201,14 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
 
     placed = classes.select("rep", "dim", "asks", "embedding").mapInArrow(orders, "curve string, place long, rep long, asks boolean")
     cells = numbered(placed, "curve", "place", "rep").select("curve", "rep", "asks", F.expr(f"number div {cell}").alias("cell"))
+    asked_for = classes.where("asks")
+    chance = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.lit(1 << 30)) < int(min(1.0, PROBES / max(1, asked_for.count())) * (1 << 30))
+    drawn: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r in asked_for.where(chance).select("rep", "embedding").limit(2 * PROBES).toLocalIterator():
+        drawn.setdefault(len(r.embedding), []).append((r.rep, np.array(r.embedding, np.float64)))
+    if drawn:
+        probes = {dim: (np.array([v for v, _ in x]), np.stack([y for _, y in x])) for dim, x in drawn.items()}
+        reach = max(reach, least_reach(needed(cells, scanned(classes, probes, top)), HOLD))
     asking = cells.where("asks").select("curve", "rep", F.explode(F.sequence(F.col("cell") - reach, F.col("cell") + reach)).alias("cell"), F.lit(True).alias("is_query"))
     meetings = cells.select("curve", "rep", "cell", F.lit(False).alias("is_query")).unionByName(asking).join(classes.select("rep", "embedding"), "rep")
     found = by_groups(meetings, ["curve", "cell"], lambda table, cuts: met(table, cuts, top + 1), "query long, rep long, score double")

@@ -140,6 +140,22 @@ def test_recall_of_neighbours(spark, sf, least):
     assert hits >= least * 20 * len(asked)
 
 
+def test_recall_on_a_table_larger_than_its_windows(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "LEAST", 16)
+    monkeypatch.setattr(hilbert, "REACH", 0.05)  # windows of 68 of 6000 rows, before they grow
+    x = np.random.default_rng(12).normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in hilbert.nearest(df, F.col("vec_id") % 10 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 10):
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        hits += len(got[q] & set(order[order != q][:20].tolist()))
+    assert hits >= 0.9 * 20 * 600
+
+
 def test_neighbours_of_odd_rows(odd_vectors):
     usable = [r for r in ODD_VECTORS if r[0] not in (14, 15)]
     df = odd_vectors.where("vec_id IS NULL OR vec_id < 14").dropDuplicates(["vec_id", "label"])
