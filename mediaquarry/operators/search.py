@@ -111,6 +111,13 @@ def segments(ordered: DataFrame) -> DataFrame:
     return rows.withColumn("island", island).groupBy("grp", "island").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end")).drop("island")
 
 
+def whole_segments(found: DataFrame) -> DataFrame:
+    """segments() of all tiles in order, however many: lists come first in it, so a list starts after all tiles of those before it."""
+    counts = found.where(F.col("grp") < UNGROUPED).groupBy("grp").agg(F.count("*").alias("n"))
+    end = F.sum("n").over(W.orderBy("grp"))  # a row for each list
+    return counts.select("grp", (end - F.col("n")).cast("int").alias("start"), end.cast("int").alias("end"))
+
+
 def recent(files: DataFrame, limit: int = 20) -> DataFrame:
     """The videos added or played last, valid ones only."""
     rows = files.where(F.col("addedAt").isNotNull() & F.col("name").isNotNull() & F.col("relativePath").isNotNull())

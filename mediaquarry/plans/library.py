@@ -78,7 +78,7 @@ def list_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     members = files.select(F.when(n % 13 == 0, "first").when(n % 7 == 0, "second").alias("listKey"), F.col("key").alias("itemKey")).where(F.col("listKey").isNotNull())
     s = search.Search(query="widget", mode="flat", order="name", lists=("first", "second"))
-    return search.segments(search.page(search.tiles(files, s, members), s, 0, 100_000))
+    return search.whole_segments(search.tiles(files, s, members))
 
 
 @query(f'WITH {FILES} SELECT key, "addedAt", greatest("addedAt", coalesce("positionUpdatedAt", 0)) AS "at" FROM files WHERE "addedAt" IS NOT NULL ORDER BY "at" DESC, key LIMIT 20')
