@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import SAME_PERSON, doubles, l2_unit, unit
+from . import tables
 
 
 def below(distance: Column, threshold: float, closed: bool) -> Column:
@@ -44,14 +45,26 @@ def best_frames(frames: DataFrame, matched: DataFrame, query: Column, dim: int,
 def theta_nearest(left: DataFrame, right: DataFrame, threshold: float = SAME_PERSON, closed: bool = False, most: int = 10_000) -> DataFrame:
     """For each row of left (key, embedding) the nearest row of right (key, embedding) under the threshold: key, other, distance; ties by key.
 
-    right is a list that people keep by hand; it is counted, and refused over `most` rows, before it is broadcast.
+    right is counted before it is broadcast; over `most` rows it goes by blocks of that size, one broadcast at a time, whose
+    nearest are stored.
     """
-    n = right.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"the right side has over {most} rows; use a similarity join")
+    rows = left.select("key", "embedding")
     other = right.select(F.col("key").alias("other"), F.col("embedding").alias("_e"))
-    pairs = left.select("key", "embedding").join(F.broadcast(other), below(l2_unit(F.col("embedding"), F.col("_e")), threshold, closed)).withColumn("distance", l2_unit(F.col("embedding"), F.col("_e")))
-    return pairs.groupBy("key").agg(F.min_by(F.struct("other", "distance"), F.struct("distance", "other")).alias("b")).select("key", "b.*")
+    if other.limit(most + 1).count() <= most:
+        return nearest_other(rows, other, threshold, closed).select("key", "b.*")
+    spark = left.sparkSession
+    rows, path = tables.stored(rows, "theta-left"), tables.new_path(spark, "theta-nearest")
+    for block in tables.in_blocks(other, most, "theta-right"):
+        best = nearest_other(rows, block, threshold, closed)
+        best.write.mode("append").parquet(path)
+    found = spark.read.schema(best.schema).parquet(path).select("key", "b.*")
+    return found.groupBy("key").agg(F.min_by(F.struct("other", "distance"), F.struct("distance", "other")).alias("b")).select("key", "b.*")
+
+
+def nearest_other(rows: DataFrame, other: DataFrame, threshold: float, closed: bool) -> DataFrame:
+    """For each key the nearest of a few vectors (other, _e) under the threshold: key, b (other, distance)."""
+    pairs = rows.join(F.broadcast(other), below(l2_unit(F.col("embedding"), F.col("_e")), threshold, closed)).withColumn("distance", l2_unit(F.col("embedding"), F.col("_e")))
+    return pairs.groupBy("key").agg(F.min_by(F.struct("other", "distance"), F.struct("distance", "other")).alias("b"))
 
 
 def without_blacklisted(characters: DataFrame, blacklist: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
