@@ -51,6 +51,16 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def by_size(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in a column have at most so many bytes together, or one row."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(at, upto - at)
+        at, before = upto, int(sizes[upto - 1])
+
+
 def by_rows(make: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow from one on columns of at most ROWS_AT_ONCE rows."""
 

@@ -10,7 +10,8 @@ then the planes.
 
 Encoding: byte-level BPE never joins what stands before a single space to what stands after it (unless white space meets
 white space there), so a text is encoded piece by piece between such spaces; pieces seen before come from a bounded cache,
-the others are encoded together, in one text, by the tokenizers library. The ids are those of the whole text.
+the others are encoded together, in one text, by the tokenizers library. A text where white space meets white space, or
+with the name of an added token in it, goes to the library as it is. The ids are those that the library gives for the whole text.
 
 Defined cases: a null text counts as empty and gives the end id alone; null doc_ids come first; rows that share a doc_id
 follow one another by text and each keep a row of their own; an empty table gives empty tables; other columns play no part.
@@ -20,124 +21,177 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ROWS_AT_ONCE
+from .common import by_size
 
 BLOCK = 1 << 16
 LEVEL = 3
 MAGIC = b"MQTB"
-#: Entries in each half of the cache of pieces.
-CACHED = 700_000
+#: Entries of the cache of pieces; a full one is emptied.
+CACHED = 1_000_000
 
 MARKS = ".,;:!?%*$#&|)"
-SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of one text of pieces that are encoded together.
-TOGETHER = 16_000
+#: Characters of one text of pieces that are encoded together, and bytes of texts that are split at the same time.
+TOGETHER, BYTES_AT_ONCE = 64_000, 4 << 20
 
 BLOCKS = "shard int, block long, first_id long, n_ids int, frame binary, rows array<long>, doc_ids array<long>, lengths array<int>"
 BLOCKS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int32()), ("frame", pa.binary()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of the texts of Arrow columns. A known piece is an entry: where its ids, those of the piece with the space before it, lie in one array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, i in vocabulary.items():
             self.n_bytes[i] = len(piece)  # a character of a byte-level piece stands for a byte
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str], alone: list[str]) -> None:
-        """Put pieces (without the space before them) into the cache; those in alone have white space at an edge."""
-        old = self.old
-        found = [x for x in pieces if x in old]
-        self.new.update((x, old[x]) for x in found)
-        rest = pieces.difference(found)
-        self.new.update(zip(alone, self.ids([f" {x}" for x in alone])))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
+        self.lines: dict[str, int] = {}
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.lengths, self.entries = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Entries of the given lengths whose ids follow one another; the number of the first."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)])
+        if self.entries + len(lengths) > len(self.starts):
+            room = np.empty(self.entries + 2 * len(lengths), np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts[: self.entries], room]), np.concatenate([self.lengths[: self.entries], room])
+        first, upto = self.entries, self.entries + len(lengths)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[first:upto] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first:upto] = lengths
+        self.used, self.entries = self.used + len(ids), upto
+        return first
+
+    def gathered(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries one after another, and how many each has."""
+        lengths = self.lengths[entries]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[entries] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+    def learn(self, pieces: list[str]) -> None:
+        """Make entries of pieces that have no white space at their edges; those of several lines are learnt line by line."""
+        fine = lambda parts: all(y and not y[0].isspace() and not y[-1].isspace() for y in parts)
+        lines = {x: parts for x in pieces if "\n" in x and fine(parts := x.split("\n"))}
+        first = {parts[0] for parts in lines.values()}.difference(self.known)
+        self.learn_words(list(first.union(x for x in pieces if x not in lines)))
+        if lines:
+            self.learn_together(list({y for parts in lines.values() for y in parts[1:]}.difference(self.lines)), "\n", self.lines)
+            self.compose(list(lines), [[self.known[parts[0]], *map(self.lines.__getitem__, parts[1:])] for parts in lines.values()])
+
+    def learn_words(self, pieces: list[str]) -> None:
         # Marks after a word of letters are a token's start for sure: the word is learnt once for all marks that may follow.
-        marked = [(x, y) for x in rest if (y := x.rstrip(MARKS)) is not x and y.isalpha()]
-        rest.difference_update(x for x, _ in marked)
-        bare = rest.union(y for _, y in marked).difference(self.new)
-        again = [x for x in bare if x in old]
-        self.new.update((x, old[x]) for x in again)
-        together, size = [], 0
-        for x in bare.difference(again):
-            together.append(x)
-            size += len(x) + 1
-            if size >= TOGETHER:
-                self.learn_together(together)
-                together, size = [], 0
-        if together:
-            self.learn_together(together)
-        tails = {x[len(y) :] for x, y in marked}.difference(self.tails)
-        self.tails.update(zip(tails, self.ids(list(tails))))
-        get, tail = self.new.__getitem__, self.tails.__getitem__
-        self.new.update([(x, get(y) + tail(x[len(y) :])) for x, y in marked])
-
-    def learn_together(self, pieces: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(self.n_bytes[ids])
-        cuts = (4 * np.searchsorted(ends, np.cumsum([1 + len(x.encode()) for x in pieces])) + 4).tolist()
-        data = ids.tobytes()
-        self.new.update(zip(pieces, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Without looks for cycles, which none of this makes: they would go over the cache again and again."""
+        marked = [(x, y) for x in pieces if (y := x.rstrip(MARKS)) is not x and y.isalpha()]
+        bare = set(pieces).difference(x for x, _ in marked)
+        bare.update({y for _, y in marked}.difference(self.known))
+        self.learn_together(list(bare), " ", self.known)
+        if marked:
+            tails = list({x[len(y) :] for x, y in marked}.difference(self.tails))
+            for tail, ids in zip(tails, self.library(tails)):
+                self.tails[tail] = self.add(ids, np.array([len(ids)]))
+            self.compose([x for x, _ in marked], [[self.known[y], self.tails[x[len(y) :]]] for x, y in marked])
+
+    def compose(self, pieces: list[str], parts: list[list[int]]) -> None:
+        """Entries of pieces from those of their parts."""
+        ids, lengths = self.gathered(np.array([e for x in parts for e in x]))
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        first = self.add(ids, np.add.reduceat(lengths, starts))
+        self.known.update(zip(pieces, range(first, self.entries)))
+
+    def learn_together(self, pieces: list[str], before: str, into: dict[str, int]) -> None:
+        at = 0
+        while at < len(pieces):
+            upto, size = at, 0
+            while upto < len(pieces) and size < TOGETHER:
+                size += len(pieces[upto]) + 1
+                upto += 1
+            some = pieces[at:upto]
+            ids = self.library([before + before.join(some)])[0]
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([1 + len(x.encode()) for x in some])) + 1
+            first = self.add(ids, np.diff(cuts, prepend=0))
+            into.update(zip(some, range(first, self.entries)))
+            at = upto
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after those of each, and how many each has. Looks for cycles, which none of this makes, would go over the cache again and again."""
         gc.disable()
         try:
-            return self.encoded(texts)
+            return self.encoded(texts.cast(pa.large_string()).fill_null(""), end_id)
         finally:
             gc.enable()
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > CACHED:
-            self.new, self.old = {}, self.new
-        if len(self.tails) > CACHED:
-            self.tails = {}
-        split = [x.split(" ") for x in texts]
-        unknown = set().union(*(x[1:] for x in split)).difference(self.new)
-        # Pieces with white space at an edge are never in the cache as such, so they are seen here each time.
-        edgy = {x for x in unknown if x.strip() is not x or not x}
-        unsafe = [i for i, x in enumerate(split) if x[0][-1:].isspace() or not x[0] and len(x) > 1 or edgy and not edgy.isdisjoint(x)]
-        alone: list[str] = []
-        if unsafe:
-            for i in unsafe:
-                split[i] = SAFE_SPACE.split(texts[i])
-            again = set().union(*(split[i][1:] for i in unsafe)).difference(self.new)
-            alone = [x for x in again if x.strip() is not x]
-            unknown = (unknown - edgy | again).difference(alone)
-        heads = self.ids([x[0] for x in split])
-        self.learn(unknown, alone)
-        get = self.new.__getitem__
-        out = [head + b"".join(map(get, x[1:])) for head, x in zip(heads, split)]
-        for i in unsafe:
-            for x in split[i][1:]:
-                if x[0].isspace() or x[-1].isspace():
-                    self.new.pop(x, None)
-        return out
+    def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.entries > CACHED or self.used > 16 * CACHED:
+            self.clear()
+        n = len(texts)
+        lists = pc.split_pattern(texts, " ")
+        cuts = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        pieces, doc = lists.flatten(), np.repeat(np.arange(n), np.diff(cuts))
+        heads = pieces.take(pa.array(cuts[:-1])).to_pylist()
+        whole = np.zeros(n, bool)  # texts that go to the library as they are: white space meets white space, or an added token's name
+        for name in self.added:
+            whole |= np.asarray(pc.match_substring(texts, name))
+        whole[[i for i, x in enumerate(heads) if x[-1:].isspace()]] = True
+        inside = np.ones(len(doc), bool)
+        inside[cuts[:-1]] = False
+        body, doc = pieces.filter(pa.array(inside)).dictionary_encode(), doc[inside]
+        seen, codes = body.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(body.indices)
+        entry = np.fromiter(map(self.known.get, seen, repeat(-1)), np.int64, len(seen))
+        new = np.flatnonzero(entry < 0).tolist()
+        edgy = [i for i in new if not (x := seen[i]) or x[0].isspace() or x[-1].isspace()]
+        if edgy:  # never in the cache, so they are seen here each time
+            whole[doc[np.isin(codes, edgy)]] = True
+        if whole.any():
+            inside = ~whole[doc]
+            codes, doc = codes[inside], doc[inside]
+            there = np.zeros(len(seen), bool)
+            there[codes] = True
+            new = [i for i in new if there[i]]
+            for i in np.flatnonzero(whole).tolist():
+                heads[i] = texts[i].as_py()
+        if new:
+            self.learn([seen[i] for i in new])
+            entry[new] = [self.known[seen[i]] for i in new]
+        used, entries = self.used, self.entries
+        first = self.library(heads)
+        head = self.add(np.concatenate([*first, np.array([end_id], np.uint32)]), np.array([*map(len, first), 1]))
+        upto = np.cumsum(np.bincount(doc, minlength=n) + 2)
+        order = np.empty(int(upto[-1]) if n else 0, np.int64)
+        between = np.ones(len(order), bool)
+        starts = np.concatenate(([0], upto[:-1]))[:n]
+        between[starts] = between[upto - 1] = False
+        order[starts], order[upto - 1] = head + np.arange(n), head + n
+        order[between] = entry[codes]
+        ids, lengths = self.gathered(order)
+        self.used, self.entries = used, entries  # heads aren't kept
+        return ids, np.add.reduceat(lengths, starts) if n else lengths
 
 
 @lru_cache(maxsize=1)
@@ -199,13 +253,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, plane_bi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
-        waiting, n_waiting, pieces = [], 0, []  # bytes of ids not yet in a block; (row, doc_id, ids) of them
+        shard = TaskContext.get().partitionId()
+        waiting, n_waiting, pieces = [], 0, []  # ids not yet in a block; (row, doc_id, ids) of them
         row = number = first = 0
 
         def cut(n: int) -> pa.RecordBatch:
             nonlocal waiting, n_waiting, pieces, number, first
-            ids = np.frombuffer(b"".join(waiting), "<u4")
+            ids = np.concatenate(waiting)
             mine, left = [], n
             while left:
                 r, doc_id, length = pieces[len(mine)]
@@ -213,21 +267,18 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, plane_bi
                 left -= mine[-1][2]
             rest = pieces[len(mine) - 1][2] - mine[-1][2]
             pieces = [(mine[-1][0], mine[-1][1], rest)] * (rest > 0) + pieces[len(mine) :]
-            waiting, n_waiting = [ids[n:].tobytes()], n_waiting - n
+            waiting, n_waiting = [ids[n:]], n_waiting - n
             out = pa.RecordBatch.from_pylist([{"shard": shard, "block": number, "first_id": first, "n_ids": n, "frame": frame_of(ids[:n], plane_bits), "rows": [x[0] for x in mine], "doc_ids": [x[1] for x in mine], "lengths": [x[2] for x in mine]}], BLOCKS_ARROW)
             number, first = number + 1, first + n
             return out
 
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE).to_pydict()
-                for doc_id, ids in zip(batch["doc_id"], encoder(vocabulary).encode([x or "" for x in batch["text"]])):
-                    waiting += [ids, end]
-                    n = len(ids) // 4 + 1
-                    pieces.append((row, doc_id, n))
-                    n_waiting, row = n_waiting + n, row + 1
-                    while n_waiting >= block:
-                        yield cut(block)
+            for batch in by_size(whole, "text", BYTES_AT_ONCE):
+                ids, lengths = encoder(vocabulary).encode(batch.column("text"), end_id)
+                pieces += zip(range(row, row + len(lengths)), batch.column("doc_id").to_pylist(), lengths.tolist())
+                waiting, n_waiting, row = [*waiting, ids], n_waiting + len(ids), row + len(lengths)
+                while n_waiting >= block:
+                    yield cut(block)
         if n_waiting:
             yield cut(n_waiting)
 
@@ -240,6 +291,28 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, plane_bi
     blocks.select("shard", "block", "first_id", "n_ids", F.octet_length("frame").alias("n_bytes")).coalesce(max(1, parts // 8)).write.parquet(f"{path}/index")
 
 
+def shard_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, base), base the ids before it: as many rows as shards, that is as tasks that wrote."""
+    index = spark.read.parquet(f"{path}/index")
+    return index.groupBy("shard").agg(F.sum("n_ids").alias("ids")).select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("base"))
+
+
+def read_ids(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """Ids [start, start + n) of the whole stream, by the index: only the blocks that hold some are read. A row for each block: start, ids."""
+    first = F.col("base") + F.col("first_id")
+    index = spark.read.parquet(f"{path}/index").join(F.broadcast(shard_starts(spark, path)), "shard").select("shard", "block", first.alias("first"), "n_ids")
+    wanted = index.where((F.col("first") < start + n) & (F.col("first") + F.col("n_ids") > start))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, frame in zip(batch.column("first").to_pylist(), batch.column("frame")):
+                ids = ids_of(frame.as_py())[max(0, start - first) : start + n - first]
+                yield pa.RecordBatch.from_arrays([pa.array([max(first, start)]), pa.array([ids.astype("<i8")], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("shard", "block", "frame")
+    return blocks.join(wanted, ["shard", "block"]).select("first", "frame").mapInArrow(cut, "start long, ids array<long>")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of its ids."""
 
@@ -265,9 +338,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    index = spark.read.parquet(f"{path}/index")
-    # As many rows as shards, that is as tasks that wrote.
-    bases = index.groupBy("shard").agg(F.sum("n_ids").alias("ids")).select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("base"))
+    bases = shard_starts(spark, path)
     found = blocks.mapInArrow(pieces, "shard int, row long, doc_id long, at long, n long, crc long")
     by_row = found.groupBy("shard", "row", "doc_id").agg(F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("parts"))
     placed = by_row.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "parts")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -14,14 +15,13 @@ from tokenizers import Tokenizer
 from mediaquarry.llm import pieces, tokenbin
 
 VOCABULARY, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TEXT = st.text(st.sampled_from("ab Z,.'!1\n\t é🙂 　"), max_size=60) | st.text(max_size=40)
+WHOLE = Tokenizer.from_file(VOCABULARY)
+TEXT = st.text(st.sampled_from("ab Z,.'!1\n\t é🙂 　"), max_size=60) | st.text(max_size=40) | st.lists(st.sampled_from(["ab", " ", "\n", "<|endoftext|>", "on.", "'s", "  ", "\t"]), max_size=20).map("".join)
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def files_match(spark, tokenizer, docs, folder, **how):
@@ -50,9 +50,27 @@ def test_all_documents(spark, tokenizer, documents, tmp_path):
         assert len(tokenbin.ids_of(b.frame)) == r.n_ids == sum(b.lengths) and len(b.frame) == r.n_bytes and b.first_id == r.first_id
 
 
-@pytest.mark.parametrize("how", [{"block": 7}, {"block": 100, "plane_bits": 1}])
+@pytest.mark.parametrize("how", [{"block": 7}, {"block": 1000, "plane_bits": 1}])
 def test_odd_rows(spark, tokenizer, odd_documents, tmp_path, how):
-    files_match(spark, tokenizer, odd_documents.where("length(text) < 1000 OR text IS NULL"), tmp_path, **how)
+    rows = odd_documents if how["block"] > 7 else odd_documents.where("length(text) < 1000 OR text IS NULL")
+    files_match(spark, tokenizer, rows, tmp_path, **how)
+
+
+def test_names_of_added_tokens_are_tokens(spark, tokenizer, tmp_path):
+    assert tokenizer.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c", "<|endof text|>", "on.\nHa. Ha\n\nthe end.\n", " a\n b"]
+    files_match(spark, tokenizer, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path)
+
+
+def test_a_range_is_read_by_the_index(spark, tokenizer, documents, tmp_path):
+    path = files_match(spark, tokenizer, documents, tmp_path, block=500)
+    whole = []
+    for r in sorted(documents.select("doc_id", "text").collect(), key=lambda r: r.doc_id):
+        whole += [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+    for start, n in ((0, 1), (499, 2), (1234, 5000), (len(whole) - 3, 10), (len(whole), 5), (7, 0)):
+        got = sorted(map(tuple, tokenbin.read_ids(spark, path, start, n).collect()))
+        assert [x for _, ids in got for x in ids] == whole[start : start + n]
+        assert all(whole[s : s + len(ids)] == ids for s, ids in got)
 
 
 def test_long_text_and_no_rows(spark, tokenizer, odd_documents, no_documents, tmp_path):
@@ -64,7 +82,9 @@ def test_long_text_and_no_rows(spark, tokenizer, odd_documents, no_documents, tm
 @given(st.lists(TEXT, max_size=6))
 def test_cached_pieces_give_the_ids_of_the_whole(texts):
     t = tokenbin.encoder(VOCABULARY)
-    assert t.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, lengths = t.encode(pa.array(texts, pa.string()), 2)
+    want = [[*x.ids, 2] for x in WHOLE.encode_batch(texts, add_special_tokens=False)] if texts else []
+    assert ids.tolist() == [i for x in want for i in x] and lengths.tolist() == list(map(len, want))
 
 
 @settings(max_examples=50, deadline=None)
