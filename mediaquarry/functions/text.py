@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 NAMES = "UNICODE"
 
 
+# White space, characters that can't be shown, and a clock's form.
+SPACES = r"\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+UNSHOWN = r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}\u2028\u2029\uFFFD&&[^\n\t]]"
+CLOCK = r"(?:(\d{1,2}):)?(\d{1,2}):(\d{2})[.,](\d{1,3})"
+
+
 def match_filter(expression: str, value: Column) -> Column:
     """Whether value satisfies a boolean text expression: | is or, & is and, a leading ! negates.
 
@@ -108,14 +114,39 @@ def error_signature(message: Column, path: Column) -> Column:
 
 
 def without_tags(text: Column) -> Column:
-    return F.regexp_replace(text, "<[^>]*>", "")
+    """A subtitle's text without <tags> and {override blocks}."""
+    return F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"\{[^}]*\}", "")
+
+
+def trimmed(text: Column) -> Column:
+    """text without any white space, line breaks and non-breaking spaces included, at its ends."""
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
+def with_escapes(text: Column) -> Column:
+    """Characters that can't be shown (controls but for line feed and tab, formats, private use, the replacement character) as [U+XXXX]."""
+    code = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-32")), "^0{1,4}", "")
+    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(UNSHOWN), F.concat(F.lit("[U+"), code(c), F.lit("]"))).otherwise(c))
+    return F.when(text.rlike(UNSHOWN), F.array_join(each, "")).otherwise(text)
+
+
+def cue_text(text: Column) -> Column:
+    """A cue's text as it is shown: no markup, line feeds only, trimmed, what can't be shown escaped."""
+    return with_escapes(trimmed(F.regexp_replace(without_tags(text), "\r\n?", "\n")))
+
+
+def ass_text(event: Column) -> Column:
+    """The text of an ASS event: what follows its eighth comma (all of it if there are fewer), with \\N, \\n and \\h as breaks and space."""
+    tail = F.regexp_replace(event, "^(?:[^,]*,){8}", "")
+    return cue_text(F.regexp_replace(F.regexp_replace(tail, r"\\[Nn]", "\n"), r"\\h", " "))
 
 
 def clock_ms(text: Column) -> Column:
-    """Milliseconds of [h:]m:s[,.]ms; null for anything else."""
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d{1,3}))?\s*$", i), F.lit("")), F.lit("0"))
-    fits = text.rlike(r"^\s*(?:\d+:)?\d{1,2}:\d{1,2}(?:[.,]\d{1,3})?\s*$")
-    return F.when(fits, (part(1).cast("long") * 3600 + part(2).cast("long") * 60 + part(3).cast("long")) * 1000 + F.rpad(part(4), 3, "0").cast("long"))
+    """Milliseconds of [h:]m:ss[,.]ms; null for anything else."""
+    whole = rf"^[{SPACES}]*{CLOCK}[{SPACES}]*$"
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, whole, i), F.lit("")), F.lit("0")).cast("long")
+    ms = F.rpad(F.regexp_extract(text, whole, 4), 3, "0").cast("long")
+    return F.when(text.rlike(whole), (part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + ms)
 
 
 def duration_bucket(seconds: Column) -> Column:

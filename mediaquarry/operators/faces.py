@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,26 +49,44 @@ def best_frames(frames: DataFrame, matched: DataFrame, query: Column, dim: int,
 def theta_nearest(left: DataFrame, right: DataFrame, threshold: float = SAME_PERSON, closed: bool = False, most: int = 10_000) -> DataFrame:
     """For each row of left (key, embedding) the nearest row of right (key, embedding) under the threshold: key, other, distance; ties by key.
 
-    right is counted before it is broadcast; over `most` rows it goes by blocks of that size, one broadcast at a time, whose
-    nearest are stored.
+    right is counted before its vectors, at most `most`, are sent to all tasks; more go by blocks of that size, one after another,
+    whose nearest are stored. Rows without a vector match nothing; all vectors are of one length.
     """
-    rows = left.select("key", "embedding")
-    other = right.select(F.col("key").alias("other"), F.col("embedding").alias("_e"))
+    rows = left.where(F.col("embedding").isNotNull()).select(F.col("key").cast("string").alias("key"), doubles(F.col("embedding")).alias("embedding"))
+    other = right.where(F.col("embedding").isNotNull()).select(F.col("key").cast("string").alias("other"), doubles(F.col("embedding")).alias("_e"))
     if other.limit(most + 1).count() <= most:
-        return nearest_other(rows, other, threshold, closed).select("key", "b.*")
+        return nearest_other(rows, other, threshold, closed)
     spark = left.sparkSession
     rows, path = tables.stored(rows, "theta-left"), tables.new_path(spark, "theta-nearest")
     for block in tables.in_blocks(other, most, "theta-right"):
         best = nearest_other(rows, block, threshold, closed)
         best.write.mode("append").parquet(path)
-    found = spark.read.schema(best.schema).parquet(path).select("key", "b.*")
+    found = spark.read.schema(best.schema).parquet(path)
     return found.groupBy("key").agg(F.min_by(F.struct("other", "distance"), F.struct("distance", "other")).alias("b")).select("key", "b.*")
 
 
+#: Rows of the left side that meet all vectors of a block at the same time.
+ROWS_AT_ONCE = 512
+
+
 def nearest_other(rows: DataFrame, other: DataFrame, threshold: float, closed: bool) -> DataFrame:
-    """For each key the nearest of a few vectors (other, _e) under the threshold: key, b (other, distance)."""
-    pairs = rows.join(F.broadcast(other), below(l2_unit(F.col("embedding"), F.col("_e")), threshold, closed)).withColumn("distance", l2_unit(F.col("embedding"), F.col("_e")))
-    return pairs.groupBy("key").agg(F.min_by(F.struct("other", "distance"), F.struct("distance", "other")).alias("b"))
+    """For each row (key, embedding) the nearest of a few vectors (other, _e), which the caller has counted, under the threshold: key, other, distance. One product of matrices for some rows at a time."""
+    few = other.orderBy("other").collect()
+    sent = rows.sparkSession.sparkContext.broadcast(([r.other for r in few], np.array([r._e for r in few], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows if names else 0, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                x = np.asarray(batch.column("embedding").flatten()).reshape(batch.num_rows, -1)
+                distance = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ vectors.T)))
+                nearest = distance.argmin(axis=1)
+                least = distance[np.arange(len(x)), nearest]
+                near = np.flatnonzero(least <= threshold if closed else least < threshold)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(near)), pa.array([names[i] for i in nearest[near]], pa.string()), pa.array(least[near])], names=["key", "other", "distance"])
+
+    return rows.mapInArrow(run, "key string, other string, distance double")
 
 
 def without_blacklisted(characters: DataFrame, blacklist: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:

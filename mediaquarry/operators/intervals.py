@@ -84,17 +84,18 @@ def neighbours(points: DataFrame, spans: DataFrame, by: str) -> DataFrame:
 
 
 def filled_ends(cues: DataFrame, by: str, default_ms: int = 5000, longest_ms: int = 15000, least_ms: int = 2000) -> DataFrame:
-    """cues (start, duration or null) with end: the duration's, else the next start or default_ms on; at most longest_ms on; least_ms on if that isn't after the start."""
+    """cues (start, duration or null) with end: a duration over 0 as it is, else the next start or default_ms on, but at most longest_ms on; least_ms on if that isn't after the start."""
     following = F.coalesce(F.lead("start").over(W.partitionBy(by).orderBy("start", "idx")), F.col("start") + default_ms)
-    end = F.least(F.coalesce(F.col("start") + F.nullif("duration", F.lit(0)), following), F.col("start") + longest_ms)
+    end = F.when(F.col("duration") > 0, F.col("start") + F.col("duration")).otherwise(F.least(following, F.col("start") + longest_ms))
     return cues.withColumn("end", F.when(end <= F.col("start"), F.col("start") + least_ms).otherwise(end))
 
 
 def running_time(deltas: DataFrame, by: str) -> DataFrame:
-    """Samples of run-length coded deltas (idx, count, delta) with their time: the sum of all deltas before."""
-    samples = deltas.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("count")))).where(F.col("count") > 0)
-    w = W.partitionBy(by).orderBy("idx", "_n")
-    return samples.select(by, (F.row_number().over(w) - 1).alias("sample"), (F.sum("delta").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("delta")).alias("time"))
+    """Samples of run-length coded deltas (idx, count, delta) with their number and time, the sum of all deltas before; the sums go over the coded rows."""
+    before = W.partitionBy(by).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    sums = {"_samples": F.coalesce(F.sum("count").over(before), F.lit(0)), "_time": F.coalesce(F.sum(F.col("count") * F.col("delta")).over(before), F.lit(0))}
+    rows = deltas.where(F.col("count") > 0).withColumns(sums).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    return rows.select(by, (F.col("_samples") + F.col("_i")).cast("int").alias("sample"), (F.col("_time") + F.col("_i") * F.col("delta")).alias("time"))
 
 
 def rolling_rate(reads: DataFrame, by: str, window_ms: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import base_of, collated, duration_bucket, fnv1a, letter_bucket, match_filter, month_bucket
 from ..sources.adapters import VERSION
-from . import series
+from . import series, tables
 
 UNGROUPED = (1 << 31) - 1
 
@@ -95,13 +95,19 @@ def page(found: DataFrame, search: Search, offset: int = 0, limit: int = 100) ->
     return top.withColumn("position", F.row_number().over(W.orderBy(*keys)) - 1).where(F.col("position") >= offset)
 
 
-def labels(ordered: DataFrame, order: str) -> DataFrame:
-    """Where along positions a new bucket starts: position, label. Rows of lists have no bucket and end one."""
+def in_order(found: DataFrame, search: Search) -> DataFrame:
+    """All tiles with their position in the order, however many."""
+    return tables.numbered(found, ordering(search))
+
+
+def labels(ordered: DataFrame, order: str, block: int = 100_000) -> DataFrame:
+    """Where along positions a new bucket starts: position, label. Rows of lists have no bucket and end one. Blocks of positions are looked at apart, each with the last label of the one before."""
     bucket = {"name": letter_bucket(F.col("name")), "duration": duration_bucket(F.col("duration")), "date": month_bucket(F.col("modified")), "watched": month_bucket(F.col("watched"))}[order]
-    listed = F.col("grp") < UNGROUPED
-    rows = ordered.withColumn("label", F.when(~listed, bucket))
-    before = F.lag("label").over(W.orderBy("position"))
-    return rows.withColumn("before", before).where(F.col("label").isNotNull() & ~F.col("label").eqNullSafe(F.col("before"))).select("position", "label")
+    rows = ordered.select("position", F.when(F.col("grp") == UNGROUPED, bucket).alias("label"), F.expr(f"position div {block}").alias("block"))
+    last = rows.where(F.col("position") % block == block - 1).select((F.col("block") + 1).alias("block"), F.col("label").alias("_last"))
+    inside = F.lag("label").over(W.partitionBy("block").orderBy("position"))
+    seen = rows.withColumn("before", inside).join(last, "block", "left").withColumn("before", F.when(F.col("position") % block == 0, F.col("_last")).otherwise(F.col("before")))
+    return seen.where(F.col("label").isNotNull() & ~F.col("label").eqNullSafe(F.col("before"))).select("position", "label")
 
 
 def segments(ordered: DataFrame) -> DataFrame:
@@ -125,11 +131,20 @@ def recent(files: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def hits_and_series(files: DataFrame, search: Search, cap: int = 20) -> DataFrame:
-    """Flat hits by order and the series that hold them, series first in order of first sight; kind, key, idx; at most cap of all."""
+    """Flat hits by order and the series that hold them, series first in order of first sight: kind, key, idx, totalMatches (of all, shown or not); at most cap of them are shown.
+
+    A series is seen first at its first hit, one row of at most `most`; the order is taken of those and of the hits, cap of each.
+    """
     foldered = series.with_folder(files)
-    flat = Search(**{**search.__dict__, "mode": "flat"})
-    rows = page(tiles(files, flat), flat, 0, 1000)
-    held = rows.join(foldered.select("key", "folder"), "key").join(series.series_of(foldered, search.least, search.most).select("folder"), "folder")
-    first = held.groupBy("folder").agg(F.min("position").alias("position")).select(F.lit("series").alias("kind"), F.col("folder").alias("key"), F.lit(0).alias("tier"), "position")
-    both = first.unionByName(rows.select(F.lit("video").alias("kind"), "key", F.lit(1).alias("tier"), "position")).orderBy("tier", "position").limit(cap)
-    return both.select("kind", "key", (F.row_number().over(W.orderBy("tier", "position")) - 1).alias("idx"))
+    found = tiles(files, Search(**{**search.__dict__, "mode": "flat"}))
+    keys = ordering(search)
+    inside = found.join(foldered.select("key", "folder"), "key").join(series.series_of(foldered, search.least, search.most).select("folder"), "folder")
+    first = inside.withColumn("_n", F.row_number().over(W.partitionBy("folder").orderBy(*keys))).where(F.col("_n") == 1).drop("_n")
+    counted = found.agg(F.count("*").alias("_a")).crossJoin(first.agg(F.count("*").alias("_b"))).select((F.col("_a") + F.col("_b")).alias("totalMatches"))
+
+    def shown(rows: DataFrame, kind: str, tier: int, key: str) -> DataFrame:
+        top = rows.orderBy(*keys).limit(cap)
+        return top.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(tier).alias("tier"), F.row_number().over(W.orderBy(*keys)).alias("place"))
+
+    both = shown(first, "series", 0, "folder").unionByName(shown(found, "video", 1, "key")).orderBy("tier", "place").limit(cap)
+    return both.crossJoin(counted).select("kind", "key", (F.row_number().over(W.orderBy("tier", "place")) - 1).alias("idx"), "totalMatches")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import base_of, collated, depth_of, parent_of
+from . import tables
 
 SERIES_MIN, SERIES_MAX = 5, 100
 
@@ -14,14 +15,18 @@ SERIES_MIN, SERIES_MAX = 5, 100
 def with_folder(files: DataFrame, path: str = "relativePath") -> DataFrame:
     """files with folder: where each counts for series. From the deepest level up, a video alone in its folder moves to the folder above, but never to the root; videos at the root have null.
 
-    Each level is a count of folders and a join with those of one video, so a folder's videos never meet in one task.
+    The levels work on a table of folders and their counts, stored after each, so that plans don't grow with the depth; files
+    are joined to it once, and a folder's videos never meet in one task.
     """
-    out = files.withColumn("folder", parent_of(F.col(path)))
-    deepest = out.agg(F.max(depth_of(F.col("folder")))).first()[0] or 0
+    direct = files.groupBy(parent_of(F.col(path)).alias("_from")).agg(F.count("*").alias("_n")).where(F.col("_from").isNotNull())
+    state = tables.stored(direct.withColumn("folder", F.col("_from")), "folders")
+    deepest = state.agg(F.max(depth_of(F.col("folder")))).first()[0] or 0
     for depth in range(deepest, 1, -1):
-        lone = out.where(depth_of(F.col("folder")) == depth).groupBy("folder").agg(F.count("*").alias("_n")).where(F.col("_n") == 1).select("folder", F.lit(True).alias("_lone"))
-        out = out.join(lone, "folder", "left").withColumn("folder", F.when(F.col("_lone"), parent_of(F.col("folder"))).otherwise(F.col("folder"))).drop("_lone")
-    return out
+        here = state.where(depth_of(F.col("folder")) == depth)
+        lone = here.groupBy("folder").agg(F.sum("_n").alias("_all")).where(F.col("_all") == 1).select("folder", F.lit(True).alias("_lone"))
+        moved = state.join(lone, "folder", "left").withColumn("folder", F.when(F.col("_lone"), parent_of(F.col("folder"))).otherwise(F.col("folder"))).drop("_lone")
+        state = tables.stored(moved, "folders") if depth > 2 else moved
+    return files.withColumn("_from", parent_of(F.col(path))).join(state.select("_from", "folder"), "_from", "left").drop("_from")
 
 
 def series_of(foldered: DataFrame, least: int = SERIES_MIN, most: int = SERIES_MAX) -> DataFrame:

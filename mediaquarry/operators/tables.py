@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,3 +39,13 @@ def in_blocks(df: DataFrame, most: int, name: str) -> list[DataFrame]:
     numbered = kept.join(F.broadcast(starts), "_part").withColumn("_block", F.expr(f"(_first + _at) div {most}")).drop("_part", "_at", "_first")
     numbered.write.partitionBy("_block").parquet(path)
     return [spark.read.schema(df.schema).parquet(f"{path}/_block={b}") for b in range(-(-first // most))]
+
+
+def numbered(df: DataFrame, keys: list[Column], name: str = "position") -> DataFrame:
+    """df with its rows' places from 0 by keys (which tell all rows apart): range partitions are sorted, stored and counted, so that no task holds all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    kept = stored(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    n = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    first = n.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_first"))  # a row for each part
+    return kept.join(F.broadcast(first), "_part").withColumn(name, (F.col("_first") + F.col("_at")).cast("int")).drop("_part", "_at", "_first")

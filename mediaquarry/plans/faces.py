@@ -36,12 +36,12 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("key", F.flatten(F.transform("x", lambda r: r["embedding"])).alias("embeddings"), F.transform("x", lambda r: r["vec_id"] * 1000).alias("frameTimes"))
 
 
-@query(f"""WITH {QUERY_SQL}, f AS (SELECT 'show#'||label||'#'||(vec_id % 5) AS key, vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(row_number() OVER (PARTITION BY label, vec_id % 5 ORDER BY vec_id) - 1 AS INT) AS frame FROM embeddings WHERE label % 2 = 0)
+@query(f"""WITH {QUERY_SQL}, a AS (SELECT 'show#'||label||'#'||(vec_id % 5) AS key, vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(row_number() OVER (PARTITION BY label, vec_id % 5 ORDER BY vec_id) - 1 AS INT) AS frame FROM embeddings), f AS (SELECT * FROM a WHERE key IN (SELECT key FROM a, q WHERE {L2.format(a='e', b='v')} <= 1.15))
  SELECT key, frame, vec_id * 1000 AS time, {L2.format(a='e', b='v')} AS distance, CAST(row_number() OVER w AS INT) AS rank FROM f, q WINDOW w AS (PARTITION BY key ORDER BY {L2.format(a='e', b='v')}, frame) QUALIFY row_number() OVER w <= 3""")
 def face_frames_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = _packed(spark, sf_dir)
-    matched = packed.select("key").where(F.split("key", "#")[1].cast("int") % 2 == 0)
-    return faces.best_frames(packed, matched, _query(), DIM)
+    near = faces.person_search(adapters.characters(spark, sf_dir), _query(), 1.15)
+    matched = near.select(F.concat_ws("#", "fileKey", (F.col("vec_id") % 5).cast("string")).alias("key")).distinct()
+    return faces.best_frames(_packed(spark, sf_dir), matched, _query(), DIM)
 
 
 BLACK = """black AS (SELECT 'b'||vec_id AS other, CAST(embedding AS DOUBLE[]) AS o FROM embeddings WHERE vec_id % 50 = 0)"""
@@ -140,9 +140,9 @@ def span_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.neighbours(adapters.detections(spark, sf_dir), _spans(spark, sf_dir).drop("points"), "file")
 
 
-@query(f"""WITH {DETECTIONS}, c AS (SELECT file, event_id AS idx, t AS start, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 9 * 1000 AS BIGINT) END AS duration FROM det), e AS (SELECT *, least(coalesce(start + nullif(duration, 0), lead(start) OVER (PARTITION BY file ORDER BY start, idx), start + 5000), start + 15000) AS x FROM c) SELECT file, idx, start, CASE WHEN x <= start THEN start + 2000 ELSE x END AS "end" FROM e""")
+@query(f"""WITH {DETECTIONS}, c AS (SELECT file, event_id AS idx, t AS start, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 9 * 4000 AS BIGINT) END AS duration FROM det), e AS (SELECT *, CASE WHEN duration > 0 THEN start + duration ELSE least(coalesce(lead(start) OVER (PARTITION BY file ORDER BY start, idx), start + 5000), start + 15000) END AS x FROM c) SELECT file, idx, start, CASE WHEN x <= start THEN start + 2000 ELSE x END AS "end" FROM e""")
 def cue_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = adapters.detections(spark, sf_dir).select("file", F.col("event_id").alias("idx"), F.col("t").alias("start"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 9 * 1000).alias("duration"))
+    cues = adapters.detections(spark, sf_dir).select("file", F.col("event_id").alias("idx"), F.col("t").alias("start"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 9 * 4000).alias("duration"))
     return intervals.filled_ends(cues, "file").select("file", "idx", "start", "end")
 
 
@@ -151,9 +151,9 @@ def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.rolling_rate(adapters.detections(spark, sf_dir).withColumnRenamed("value", "amount"), "file", 24 * HOUR).select("event_id", "rate", "slowest")
 
 
-@query("""WITH d AS (SELECT user_id AS track, event_id AS idx, CAST(1 + event_id % 4 AS INT) AS n, CAST(event_id % 50 AS BIGINT) AS delta FROM events WHERE user_id < 20), s AS (SELECT d.*, i FROM d, unnest(range(1, n + 1)) AS t(i)) SELECT track, CAST(row_number() OVER w - 1 AS INT) AS sample, CAST(sum(delta) OVER w - delta AS BIGINT) AS time FROM s WINDOW w AS (PARTITION BY track ORDER BY idx, i ROWS UNBOUNDED PRECEDING)""")
+@query("""WITH d AS (SELECT user_id AS track, event_id AS idx, CAST(1 + event_id % 4 AS INT) AS n, CAST(event_id % 50 AS BIGINT) AS delta FROM events), s AS (SELECT d.*, i FROM d, unnest(range(1, n + 1)) AS t(i)) SELECT track, CAST(row_number() OVER w - 1 AS INT) AS sample, CAST(sum(delta) OVER w - delta AS BIGINT) AS time FROM s WINDOW w AS (PARTITION BY track ORDER BY idx, i ROWS UNBOUNDED PRECEDING)""")
 def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.detections(spark, sf_dir).where(F.col("file") < 20).select(F.col("file").alias("track"), F.col("event_id").alias("idx"), (1 + F.col("event_id") % 4).cast("int").alias("count"), (F.col("event_id") % 50).alias("delta"))
+    rows = adapters.detections(spark, sf_dir).select(F.col("file").alias("track"), F.col("event_id").alias("idx"), (1 + F.col("event_id") % 4).cast("int").alias("count"), (F.col("event_id") % 50).alias("delta"))
     return intervals.running_time(rows, "track")
 
 

@@ -57,7 +57,7 @@ query(page_sql(FLAT.format(where="true"), "name, key", 25, 50), "search_second_p
 def _labels(order: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = search.Search(mode="flat", order=order)
-        return search.labels(search.page(search.tiles(adapters.files(spark, sf_dir), s), s, 0, 500), order)
+        return search.labels(search.in_order(search.tiles(adapters.files(spark, sf_dir), s), s), order)
 
     return run
 
@@ -67,7 +67,7 @@ for order, by, bucket in (
     ("date", "modified DESC, name, key", "CASE WHEN modified = 0 THEN '—' ELSE strftime(make_timestamp(modified*1000), '%b %Y') END"),
     ("name", "name, key", "CASE WHEN regexp_matches(upper(left(trim(name),1)), '^[A-Z]$') THEN upper(left(trim(name),1)) ELSE '#' END"),
 ):
-    query(f"WITH {FILES}, {FLAT.format(where='true')}, o AS (SELECT CAST(row_number() OVER (ORDER BY {by}) - 1 AS INT) AS position, {bucket} AS label FROM tile QUALIFY row_number() OVER (ORDER BY {by}) <= 500) SELECT position, label FROM (SELECT *, lag(label) OVER (ORDER BY position) AS b FROM o) WHERE b IS DISTINCT FROM label", f"scroll_labels_{order}")(_labels(order))
+    query(f"WITH {FILES}, {FLAT.format(where='true')}, o AS (SELECT CAST(row_number() OVER (ORDER BY {by}) - 1 AS INT) AS position, {bucket} AS label FROM tile) SELECT position, label FROM (SELECT *, lag(label) OVER (ORDER BY position) AS b FROM o) WHERE b IS DISTINCT FROM label", f"scroll_labels_{order}")(_labels(order))
 
 
 @query(f"""WITH {FILES}, tag AS (SELECT key, min(g) AS grp FROM (SELECT key, CASE WHEN n % 13 = 0 THEN 0 WHEN n % 7 = 0 THEN 1 END AS g FROM files) WHERE g IS NOT NULL GROUP BY 1),
@@ -86,8 +86,8 @@ def recent_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.recent(adapters.files(spark, sf_dir))
 
 
-@query(f"""WITH {FILES}, ser AS (SELECT folder FROM foldered GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100), o AS (SELECT key, folder, row_number() OVER (ORDER BY name, key) - 1 AS p FROM foldered WHERE {BARE} LIKE '%blue%' QUALIFY row_number() OVER (ORDER BY name, key) <= 1000),
- u AS (SELECT 'series' AS kind, folder AS key, 0 AS tier, min(p) AS p FROM o JOIN ser USING (folder) GROUP BY 2 UNION ALL SELECT 'video', key, 1, p FROM o) SELECT kind, key, CAST(row_number() OVER (ORDER BY tier, p) - 1 AS INT) AS idx FROM u QUALIFY row_number() OVER (ORDER BY tier, p) <= 20""")
+@query(f"""WITH {FILES}, ser AS (SELECT folder FROM foldered GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100), o AS (SELECT key, folder, row_number() OVER (ORDER BY name, key) - 1 AS p FROM foldered WHERE {BARE} LIKE '%blue%'),
+ u AS (SELECT 'series' AS kind, folder AS key, 0 AS tier, min(p) AS p FROM o JOIN ser USING (folder) GROUP BY 2 UNION ALL SELECT 'video', key, 1, p FROM o) SELECT kind, key, CAST(row_number() OVER (ORDER BY tier, p) - 1 AS INT) AS idx, count(*) OVER () AS "totalMatches" FROM u QUALIFY row_number() OVER (ORDER BY tier, p) <= 20""")
 def resolve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hits_and_series(adapters.files(spark, sf_dir), search.Search(query="blue", order="name", least=2))
 

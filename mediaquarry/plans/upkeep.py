@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text
-from ..operators import catalog, triage
+from ..operators import catalog, tables, triage
 from ..sources import adapters, codecs
 from ..streaming import sessions
 from .registry import DETECTIONS, FILES, query
@@ -73,17 +72,16 @@ def bulk_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORK = 'SELECT key, CAST(row_number() OVER (ORDER BY "scanPriority" DESC NULLS LAST, len(string_split(key, \'/\')), key) AS INT) AS place FROM bare WHERE NOT "scanBlacklisted" AND '
 
 
-def _queue(rows: DataFrame, limit: int = 500) -> DataFrame:
-    order = catalog.in_work_order()
-    return rows.orderBy(*order).limit(limit).select("key", F.row_number().over(W.orderBy(*order)).alias("place"))
+def _queue(rows: DataFrame) -> DataFrame:
+    return tables.numbered(rows, catalog.in_work_order()).select("key", (F.col("position") + 1).alias("place"))
 
 
-@query(f'WITH {FILES}, w AS ({WORK} "metadataVersion" <> 7) SELECT * FROM w WHERE place <= 500')
+@query(f'WITH {FILES}, w AS ({WORK} "metadataVersion" <> 7) SELECT * FROM w')
 def work_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queue(catalog.metadata_work(adapters.bare_files(spark, sf_dir)))
 
 
-@query(f"WITH {FILES}, w AS ({WORK} \"metadataVersion\" = 7 AND \"keyframesVersion\" IS DISTINCT FROM 7 AND coalesce(\"extractionError\", '') = '') SELECT * FROM w WHERE place <= 500")
+@query(f"WITH {FILES}, w AS ({WORK} \"metadataVersion\" = 7 AND \"keyframesVersion\" IS DISTINCT FROM 7 AND coalesce(\"extractionError\", '') = '') SELECT * FROM w")
 def work_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queue(catalog.keyframe_work(adapters.bare_files(spark, sf_dir)))
 
@@ -189,20 +187,23 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("n"), text.slug(name).alias("slug"), text.title_case(F.col("p_name")).alias("title"), text.padded(F.col("p_size")).alias("padded"), text.owner_of(F.concat_ws("#", "p_brand", F.col("p_size").cast("string"))).alias("owner"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(html, '<[^>]*>', '', 'g')) AS plain FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\{[^}]*\}', '', 'g'), '^\s+|\s+$', '', 'g') AS plain FROM pages""")
 def tags_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.table(spark, sf_dir, "pages").select("page_id", F.trim(text.without_tags(F.col("html"))).alias("plain"))
+    return adapters.table(spark, sf_dir, "pages").select("page_id", text.trimmed(text.without_tags(F.col("html"))).alias("plain"))
 
 
 def _srt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitle files as they are found: last cue first, markup, a character that can't be shown, ends that are starts, times within a block."""
     c = F.col("turn")
     stamp = lambda s: F.format_string("00:%02d:%02d,%03d", F.floor(s / 60) % 60, s % 60, F.col("conv_id") % 1000)
-    block = F.concat_ws("\n", (c + 1).cast("string"), F.concat(stamp(c * 7), F.lit(" --> "), stamp(c * 7 + 3)), F.concat(F.lit("<i>"), F.col("role"), F.lit("</i> turn "), c.cast("string")))
-    rows = adapters.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))).alias("x"))
-    return rows.select(F.col("conv_id").alias("key"), F.array_join(F.transform("x", lambda r: r["b"]), "\n\n").alias("text"))
+    times = lambda s, e: F.concat(stamp(s), F.lit(" --> "), stamp(e))
+    more = F.when(c % 4 == 3, F.concat_ws("\r\n", times(c * 7 + 3, c * 7 + 5), F.lit("again")))
+    block = F.concat_ws("\r\n", (c + 1).cast("string"), F.concat(times(c * 7, F.when(c % 5 == 4, c * 7).otherwise(c * 7 + 3)), F.lit(" position:50%")), F.concat(F.lit("{\\an8}<i>"), F.col("role"), F.lit("</i> turn "), c.cast("string"), F.lit("\u200b")), more)
+    rows = adapters.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", block.alias("b"))), asc=False).alias("x"))
+    return rows.select(F.col("conv_id").alias("key"), F.concat(F.lit("\ufeff"), F.array_join(F.transform("x", lambda r: r["b"]), "\r\n \r\n")).alias("text"))
 
 
-@query("""SELECT conv_id AS key, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS idx, CAST(turn * 7000 + conv_id % 1000 AS BIGINT) AS "startMs", CAST(turn * 7000 + 3000 + conv_id % 1000 AS BIGINT) AS "endMs", role||' turn '||turn AS cue FROM conversations""")
+@query("""WITH c AS (SELECT *, CAST(turn * 7000 + conv_id % 1000 AS BIGINT) AS s FROM conversations), q AS (SELECT conv_id AS key, s AS "startMs", s + 3000 AS "endMs", role||' turn '||turn||'[U+200B]' AS cue FROM c WHERE turn % 5 <> 4 UNION ALL SELECT conv_id, s + 3000, s + 5000, 'again' FROM c WHERE turn % 4 = 3) SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY "startMs") - 1 AS INT) AS idx, "startMs", "endMs", cue FROM q""")
 def subtitle_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.subtitle_cues(_srt(spark, sf_dir))
 
@@ -220,12 +221,14 @@ def report_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundles.select("host", F.explode(codecs.report_rows("bundle")).alias("r")).select("host", "r.*")
 
 
-@query("""SELECT event_id AS n, e % 5 <> 0 AS ok, e % 5 <> 0 AND e % 3 <> 0 AS "hasVideo", CASE WHEN e % 5 <> 0 THEN 'mp4' END AS container, CASE WHEN e % 5 <> 0 AND e % 3 <> 0 THEN 'hevc' END AS codec FROM (SELECT event_id, event_id AS e FROM events)""")
+@query("""WITH e AS (SELECT event_id AS n, event_id % 5 <> 0 AS fine, event_id % 3 = 0 AS cover, event_id % 7 = 0 AS failed FROM events) SELECT n, fine AND NOT failed AS ok, fine AND NOT cover AS "hasVideo", CASE WHEN fine THEN 'mp4' END AS container, CASE WHEN fine AND NOT cover THEN 'hevc' END AS codec,
+ CASE WHEN NOT fine THEN '' WHEN cover THEN 'webp' ELSE 'png,hevc' END AS video, CASE WHEN fine AND cover THEN '?' ELSE '' END AS audio, CASE WHEN failed THEN 'line 2 line 3' WHEN NOT fine THEN 'no streams' END AS "ffError" FROM e""")
 def probe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    raw = F.when(n % 5 == 0, "{broken").when(n % 3 == 0, '{"streams":[{"codec_type":"video","codec_name":"mjpeg"},{"codec_type":"audio","codec_name":"aac"}],"format":{"format_name":"mp4"}}').otherwise('{"streams":[{"codec_type":"video","codec_name":"png"},{"codec_type":"video","codec_name":"hevc"}],"format":{"format_name":"mp4"}}')
-    p = codecs.probe_summary(raw)
-    return adapters.table(spark, sf_dir, "events").select(n.alias("n"), p["ok"].alias("ok"), p["hasVideo"].alias("hasVideo"), p["container"].alias("container"), p["primaryVideo"].alias("codec"))
+    raw = F.when(n % 5 == 0, "{broken").when(n % 3 == 0, '{"streams":[{"codec_type":"video","codec_name":"webp"},{"codec_type":"audio"}],"format":{"format_name":"mp4"}}').otherwise('{"streams":[{"codec_type":"video","codec_name":"png"},{"codec_type":"video","codec_name":"hevc"}],"format":{"format_name":"mp4"}}')
+    p = codecs.probe_summary(raw, n % 7 != 0, F.when(n % 7 == 0, "line 1\nline 2\nline 3"))
+    rows = adapters.table(spark, sf_dir, "events").select(n.alias("n"), p.alias("p"))
+    return rows.select("n", "p.ok", "p.hasVideo", "p.container", F.col("p.primaryVideo").alias("codec"), F.array_join("p.video", ",").alias("video"), F.array_join("p.audio", ",").alias("audio"), "p.ffError")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

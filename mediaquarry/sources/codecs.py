@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from ..functions.text import clock_ms, without_tags
+from ..functions.text import CLOCK, SPACES, clock_ms, cue_text
 
 FOLDER = T.StructType([T.StructField("path", T.StringType()), T.StructField("timeMs", T.FloatType()), T.StructField("fileCount", T.LongType()), T.StructField("videoCount", T.LongType())])
 REPORT_MAGIC, REPORT_VERSION = 0x5343414E, 1
@@ -73,23 +74,45 @@ def text_vector(text: Column, dim: int) -> Column:
     return floats(F.when(alphabet, F.unbase64(padded)))
 
 
+#: A line with a cue's times, and what follows it up to an empty line or the end. (?d): only a line feed ends a line.
+ARROW = "[{0}]*-->[{0}]*".format(SPACES.replace(r"\n", ""))
+TIME_LINE = f"(?dm)^.*?{CLOCK}{ARROW}{CLOCK}.*$"
+BODY = rf"^\n((?:[^\n]*[^{SPACES}][^\n]*(?:\n|$))*)"
+
+
 def subtitle_cues(files: DataFrame) -> DataFrame:
-    """Cues of subtitle files (key, text; SubRip or WebVTT): key, idx, startMs, endMs, cue, in order of the file. Blocks without times or text are none."""
-    clean = F.regexp_replace(F.regexp_replace(F.col("text"), "^﻿", ""), "\r\n?", "\n")
-    blocks = files.select("key", F.posexplode(F.split(clean, r"\n[ \t]*\n")).alias("idx", "block"))
-    lines = F.split("block", "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("-->"))), True)
-    timed = blocks.withColumns({"lines": lines, "at": at}).where(F.col("at") > 0)
-    time = F.element_at("lines", F.col("at").cast("int"))
-    ends = F.split(time, r"\s*-->\s*")
-    body = F.array_join(F.slice("lines", F.col("at").cast("int") + 1, F.size("lines")), "\n")
-    cues = timed.select("key", "idx", clock_ms(F.get(ends, 0)).alias("startMs"), clock_ms(F.regexp_extract(F.get(ends, 1), r"^\s*(\S+)", 1)).alias("endMs"), F.trim(without_tags(body)).alias("cue"))
-    return cues.where(F.col("startMs").isNotNull() & F.col("endMs").isNotNull() & (F.col("cue") != ""))
-
-
-def probe_summary(raw: Column) -> Column:
-    """ok, hasVideo, container and primaryVideo from a prober's JSON; cover art is no video."""
+    """Cues of subtitle files (key, text; SubRip or WebVTT): key, idx, startMs, endMs, cue, by start (equal ones in order of the file).
+
+    A cue is a line with two times and the lines after it up to an empty one or the next such line; without text, or with an
+    end that isn't after its start, it is none. Null texts have none.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.col("text"), "^﻿", ""), "\r\n?", "\n")
+    both = F.zip_with(F.regexp_extract_all(text, F.lit(TIME_LINE), F.lit(0)), F.slice(F.split(text, TIME_LINE, -1), 2, 1 << 30), lambda line, rest: F.struct(line.alias("line"), rest.alias("rest")))
+    found = files.select("key", F.posexplode(both).alias("at", "x"))
+    clock = lambda i: clock_ms(F.regexp_extract("x.line", f"({CLOCK}){ARROW}({CLOCK})", i))
+    cues = found.select("key", "at", clock(1).alias("startMs"), clock(6).alias("endMs"), cue_text(F.regexp_extract("x.rest", BODY, 1)).alias("cue"))
+    kept = cues.where((F.col("cue") != "") & (F.col("endMs") > F.col("startMs")))
+    return kept.withColumn("idx", F.row_number().over(W.partitionBy("key").orderBy("startMs", "at")) - 1).select("key", "idx", "startMs", "endMs", "cue")
+
+
+# Codecs that are only ever cover art.
+COVER_ART = ("mjpeg", "png", "bmp", "gif", "webp")
+
+
+def probe_summary(raw: Column, ok: Column | None = None, error: Column | None = None) -> Column:
+    """What a prober's JSON says: ok, hasVideo, container, primaryVideo, video, audio (codecs, ? if unnamed), ffError; cover art is no video.
+
+    ok: whether the prober ended well (by default whether raw can be read); error: its message, whose last two lines ffError shows.
+    """
     doc = F.from_json(raw, "streams array<struct<codec_type:string,codec_name:string>>, format struct<format_name:string>")
-    video = F.filter(doc["streams"], lambda s: (s["codec_type"] == "video") & ~F.coalesce(s["codec_name"].isin("mjpeg", "png", "bmp", "gif"), F.lit(False)))
-    ok = F.coalesce(F.size(doc["streams"]) > 0, F.lit(False))
-    return F.struct(ok.alias("ok"), F.coalesce(ok & (F.size(video) > 0), F.lit(False)).alias("hasVideo"), doc["format"]["format_name"].alias("container"), F.get(video, 0)["codec_name"].alias("primaryVideo"))
+    streams = F.coalesce(doc["streams"], F.array().cast("array<struct<codec_type:string,codec_name:string>>"))
+    codecs_of = lambda kind: F.transform(F.filter(streams, lambda s: s["codec_type"] == kind), lambda s: F.coalesce(s["codec_name"], F.lit("?")))
+    video = codecs_of("video")
+    real = F.filter(video, lambda c: ~c.isin(*COVER_ART))
+    fine = (F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))) & (F.size(streams) > 0)
+    lines = F.split(F.coalesce(error if error is not None else F.lit(None).cast("string"), F.lit("no streams")), "\n")
+    tail = F.left(F.array_join(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - 1), F.lit(2)), " "), F.lit(200))
+    return F.struct(
+        fine.alias("ok"), (F.size(real) > 0).alias("hasVideo"), doc["format"]["format_name"].alias("container"), F.get(real, 0).alias("primaryVideo"),
+        video.alias("video"), codecs_of("audio").alias("audio"), F.when(~fine, tail).alias("ffError"),
+    )

@@ -59,8 +59,8 @@ def cues(words: DataFrame) -> DataFrame:
     return words.groupBy("key").applyInPandas(work, CUES)
 
 
-def streaming_cues(words: DataFrame) -> DataFrame:
-    """Cues of a stream of words as they close; the open one of a key waits in state and comes out when no more words come for 30 s."""
+def streaming_cues(words: DataFrame, late: str = "10 seconds", rest_s: int = 30) -> DataFrame:
+    """Cues of a stream of words (…, ts) as they close; the open one of a key waits in state and comes out when the watermark is rest_s past its last word."""
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get)) if state.exists else []
@@ -71,7 +71,9 @@ def streaming_cues(words: DataFrame) -> DataFrame:
         new = pd.concat(list(batches)).sort_values(["start", "end", "word"], kind="stable")
         closed, rest = split_words(list(zip(new.start, new.end, new.word)), held)
         state.update(tuple(list(x) for x in zip(*rest)))
-        state.setTimeoutDuration(30_000)
+        last = int(new.ts.max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * rest_s)
         yield pd.DataFrame([cue_row(key[0], c) for c in closed], columns=["key", "start", "end", "cue"])
 
-    return words.groupBy("key").applyInPandasWithState(work, CUES, "start array<double>, end array<double>, word array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = words.withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(work, CUES, "start array<double>, end array<double>, word array<string>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,5 +1,3 @@
-import time
-
 from pyspark.sql import functions as F
 
 from mediaquarry.streaming import sessions
@@ -34,11 +32,17 @@ def test_cues_split_and_stream(spark, tmp_path):
     df = spark.createDataFrame(words, schema)
     got = sorted((r.key, r.cue) for r in sessions.cues(df).collect())
     assert (1, "late") in got and (2, "x" * 50) in got and all(len(c) <= 84 for _, c in got)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = sessions.streaming_cues(stream).writeStream.outputMode("append").format("memory").queryName("cues").start()
-    q.processAllAvailable()
-    time.sleep(0.2)
-    q.stop()
-    closed = {(r.key, r.cue) for r in spark.sql("SELECT * FROM cues").collect()}
+    timed = df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("end")))
+    timed.coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def read() -> set[tuple[int, str]]:
+        stream = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in"))
+        q = sessions.streaming_cues(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return {(r.key, r.cue) for r in spark.read.schema(sessions.CUES).parquet(str(tmp_path / "out")).collect()}
+
+    closed = read()
     assert closed and closed < set(got) and (1, "late") not in closed  # the open cue of a key is held back
+    more = spark.createDataFrame([(3, 500.0, 500.2, "on")], schema).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("end")))
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert read() == set(got)  # the watermark went past the rest of the others; what comes last is still open

@@ -62,10 +62,10 @@ def test_paths_and_labels(spark):
     assert one(text.slug(F.lit("!!"))) == ""
     assert one(text.clock_ms(F.lit("01:02:03,5"))) == 3723500
     assert one(text.clock_ms(F.lit("02:03.045"))) == 123045
-    assert one(text.clock_ms(F.lit("nonsense"))) is None
+    assert all(one(text.clock_ms(F.lit(x))) is None for x in ("nonsense", "01:02:03", "123:00:00.1", "1:2.3"))
     assert [one(text.duration_bucket(F.lit(x))) for x in (0.0, 599.0, 1250.0, 7300.0)] == ["—", "<10m", "20m", "2h"]
     assert one(text.month_bucket(F.lit(1_704_067_200_000).cast("long"))) == "Jan 2024"
-    assert one(text.error_signature(F.lit("bad 0xAF at a/b.mkv  line 12 of b.mkv"), F.lit("a/b.mkv"))) == "bad 0x# at <file> line # of <file>"
+    assert one(text.error_signature(F.lit("bad 0xAF at a/b.mkv  line 12 of b.mkv"), F.lit("a/b.mkv"))) == "bad #x# at <file> line # of <file>"
     assert one(text.watched_percent(F.lit(30.0), F.lit(20.0))) == 100.0
     assert one(text.watched_percent(F.lit(None).cast("double"), F.lit(20.0))) == 0.0
 
@@ -77,3 +77,11 @@ def test_month_is_utc_in_any_session_zone(spark):
         assert tuple(df.first()) == ("Jan 2024", 1_704_067_200_123)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_cue_texts(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(text.cue_text(F.lit(" <i>a</i> <> {\\an8}b\r\nc�​\ttab \U000f0000\n"))) == "a <> b\nc[U+FFFD][U+200B]\ttab [U+F0000]"
+    assert one(text.ass_text(F.lit("0,0,Default,,0,0,0,,One, two\\Nthree\\hfour"))) == "One, two\nthree four"
+    assert one(text.ass_text(F.lit("only, three, fields"))) == "only, three, fields"
+    assert one(text.without_tags(F.lit("a <> b <b>c</b>{x}"))) == "a <> b c"
