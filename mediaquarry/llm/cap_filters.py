@@ -1,11 +1,14 @@
 """Embedding near-dedup: spherical-cap filters from random product codes, a join on filters, and a check of each pair.
 
-A code rotates vectors at random, cuts them into BLOCKS parts and has a book of random directions for each part; a filter is
-a tuple with one direction from each book, and its score for a vector is the sum of the parts' inner products. A vector's
-own cap is set so that exactly LIST filters exceed it; list decoding merges the best prefixes book by book. CODES codes
-work side by side. Rows with the same label meet where they share a filter; every pair there is checked by its cosine in
-double precision, so nothing below the threshold is linked. Pairs at 0.93 in 64 dimensions are missed at a rate under
-0.001 (measured, see tests).
+A code rotates vectors at random, cuts them into blocks and has a book of random directions for each block; a filter is
+a tuple with one direction from each book, and its score for a vector is the sum of the blocks' inner products. A vector
+exceeds a filter if that is at least the cap's height; list decoding finds all filters that it exceeds, book by book,
+dropping what can't reach the height any more. Books grow with the table, so that a filter holds few rows, and the height
+follows so that a random vector exceeds LIST filters on average. The number of codes is set by what pairs at the
+threshold need: for random ones of the same dimension, against these very books, the share that one code misses is
+measured, and as many codes are used as leave under 1 - RECALL of them (a pair's chance depends on its angle alone, since
+rotations and directions are drawn without one that is favoured). Rows with the same label meet where they share a
+filter; every pair there is checked by its cosine in double precision, so nothing below the threshold is linked.
 
 Equal vectors of a label are one class from the start. A pair of classes counts in the first filter that both have, so
 links are counted without writing pairs; for reaching, each group of a filter gives only a star for each of its
@@ -13,7 +16,7 @@ components. Groups over GROUP rows are cut into pairs of chunks, each a task's w
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers, and rows with a null label or
 vec_id, link with nothing (n_links 0, component_id = vec_id, kept true); vectors of different lengths don't link; repeated
-rows are copies of one another; an empty table gives an empty result; other columns play no part.
+rows are copies of one another; rows that share a vec_id with different vectors are classes of their own; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,55 +35,132 @@ from .common import by_groups, flat, stored
 from .components import stars
 
 THRESHOLD = 0.93
-BLOCKS = 2
+#: Filters that a random vector exceeds in one code, on average.
 LIST = 8
-CODES = 3
+RECALL = 0.999
+#: Filters in a code for each class of vectors, and bounds of a book's directions.
+PER_CLASS, LEAST_BOOK, MOST_BOOK = 8, 64, 4096
+MOST_CODES = 20
+#: Random vectors that the height, and pairs that the number of codes is measured on.
+DRAWN, PAIRS = 256, 4000
 GROUP = 512
 SEED = 20
 
 COUNTED = "rep long, links long, parent long"
 
 
+class Shape(NamedTuple):
+    """What makes a code: the dimension, its blocks and the directions in each book."""
+
+    dimension: int
+    blocks: int
+    directions: int
+
+
+def shape_for(dimension: int, classes: int) -> Shape:
+    """Blocks have eight numbers at least; there are two, or more where books of MOST_BOOK directions would be too few."""
+    most, wanted = max(1, dimension // 8), PER_CLASS * max(1, classes)
+    blocks = min(most, max(2, math.ceil(math.log(wanted) / math.log(MOST_BOOK))))
+    return Shape(dimension, blocks, max(LEAST_BOOK, min(MOST_BOOK, math.ceil(wanted ** (1 / blocks)))))
+
+
 def usable(embedding: Column) -> Column:
     """Neither null nor empty nor zero, with finite numbers only."""
     fine = F.forall(embedding, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     return F.coalesce(fine & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-@lru_cache(maxsize=8)
-def code(dimension: int, directions: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A rotation of the padded space and the books of unit directions."""
-    part = -(-dimension // BLOCKS)
-    rng = np.random.default_rng([SEED, seed, dimension])
-    rotation = np.linalg.qr(rng.normal(size=(part * BLOCKS, part * BLOCKS)))[0]
-    books = [rng.normal(size=(directions, part)) for _ in range(BLOCKS)]
+@lru_cache(maxsize=32)
+def code(shape: Shape, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A rotation of the padded space and the books of unit directions (in one dimension there are but two)."""
+    part = -(-shape.dimension // shape.blocks)
+    rng = np.random.default_rng([SEED, seed, shape.dimension])
+    rotation = np.linalg.qr(rng.normal(size=(part * shape.blocks, part * shape.blocks)))[0]
+    books = [rng.normal(size=(shape.directions, part)) if part > 1 else np.array([[1.0], [-1.0]]) for _ in range(shape.blocks)]
     return rotation, [b / np.linalg.norm(b, axis=1, keepdims=True) for b in books]
 
 
-def best(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the highest scores of each row."""
-    keep = min(keep, scores.shape[1])
-    return np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-
-
-def filters_of(vectors: np.ndarray, directions: int, codes: int = CODES, keep: int = LIST) -> np.ndarray:
-    """For each vector its filters, LIST from each code: rows x (codes * LIST) ids."""
-    out = []
-    for c in range(codes):
-        rotation, books = code(vectors.shape[1], directions, c)
-        turned = np.pad(vectors, ((0, 0), (0, len(rotation) - vectors.shape[1]))) @ rotation
-        parts = np.split(turned, BLOCKS, axis=1)
-        ids = np.full((len(vectors), 1), c, np.int64)
-        total = np.zeros((len(vectors), 1))
-        for part, book in zip(parts, books):
-            scores = part @ book.T
-            top = best(scores, keep)
-            total = (total[:, :, None] + np.take_along_axis(scores, top, 1)[:, None, :]).reshape(len(vectors), -1)
-            ids = (ids[:, :, None] * directions + top[:, None, :]).reshape(len(vectors), -1)
-            chosen = best(total, keep)
-            total, ids = np.take_along_axis(total, chosen, 1), np.take_along_axis(ids, chosen, 1)
-        out.append(ids)
-    return np.concatenate(out, axis=1)
+def scores_of(vectors: np.ndarray, shape: Shape, seed: int) -> list[np.ndarray]:
+    """By block, the inner products of vectors (rows) and directions."""
+    rotation, books = code(shape, seed)
+    turned = np.pad(vectors, ((0, 0), (0, len(rotation) - shape.dimension))) @ rotation
+    return [part @ book.T for part, book in zip(np.split(turned, shape.blocks, axis=1), books)]
+
+
+def random_units(n: int, dimension: int, seed: int) -> np.ndarray:
+    x = np.random.default_rng([SEED, 99, seed]).normal(size=(n, dimension))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=32)
+def height(shape: Shape) -> float:
+    """The caps' height at which DRAWN random vectors exceed LIST filters on average."""
+    best = np.zeros((DRAWN, 1))
+    for scores in scores_of(random_units(DRAWN, shape.dimension, 0), shape, 0):
+        few = min(scores.shape[1], 32 * LIST)
+        top = -np.partition(-scores, few - 1, axis=1)[:, :few]
+        best = (best[:, :, None] + top[:, None, :]).reshape(DRAWN, -1)
+        few = min(best.shape[1], 32 * LIST)
+        best = -np.partition(-best, few - 1, axis=1)[:, :few]
+    wanted = min(best.size, LIST * DRAWN)
+    return float(-np.partition(-best.ravel(), wanted - 1)[wanted - 1])
+
+
+def exceeded(vectors: np.ndarray, shape: Shape, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all filters of a code that unit vectors exceed, by row."""
+    books, least = scores_of(vectors, shape, seed), height(shape)
+    tops = [scores.max(axis=1) for scores in books]
+    ahead = np.sum(tops, axis=0)  # the most that the books still to come can add
+    row, ids, total = np.arange(len(vectors)), np.full(len(vectors), seed, np.int64), np.zeros(len(vectors))
+    for scores, top in zip(books, tops):
+        others = np.sum(tops, axis=0) - top
+        ahead = ahead - top
+        r, d = np.nonzero(scores >= (least - others)[:, None])
+        n = np.bincount(r, minlength=len(vectors))
+        each = n[row]
+        prefix = np.repeat(np.arange(len(row)), each)
+        entry = (np.cumsum(n) - n)[row][prefix] + np.arange(len(prefix)) - np.repeat(np.cumsum(each) - each, each)
+        more = total[prefix] + scores[r[entry], d[entry]]
+        keep = more + ahead[row[prefix]] >= least
+        row, ids, total = row[prefix][keep], (ids[prefix] * scores.shape[1] + d[entry])[keep], more[keep]
+    return row, ids
+
+
+def filters_of(vectors: np.ndarray, shape: Shape, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filters that unit vectors exceed in all codes, ascending, and where each vector's begin and end."""
+    found = [exceeded(vectors, shape, c) for c in range(codes)]
+    row, ids = (np.concatenate([f[i] for f in found]) for i in range(2))
+    order = np.lexsort((ids, row))
+    return ids[order], np.searchsorted(row[order], np.arange(len(vectors) + 1))
+
+
+@lru_cache(maxsize=32)
+def codes_needed(shape: Shape, threshold: float = THRESHOLD) -> int:
+    """Codes for pairs at the threshold, by the share of PAIRS random ones that one code misses."""
+    missed = 0
+    for at in range(0, PAIRS, 500):
+        x, y = random_units(500, shape.dimension, at + 1), random_units(500, shape.dimension, at + 2)
+        if shape.dimension > 1:
+            y -= (x * y).sum(axis=1, keepdims=True) * x
+            y = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        else:
+            y = x
+        a, b = exceeded(x, shape, 0), exceeded(y, shape, 0)
+        met = np.intersect1d(*(np.char.add(np.char.add(row.astype(str), "/"), ids.astype(str)) for row, ids in (a, b)))
+        missed += 500 - len({int(m.split("/")[0]) for m in met.tolist()})
+    share = min(max(missed, 1), PAIRS - 1) / PAIRS
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(share)))
+
+
+def fitted(dimension: int, classes: int, threshold: float = THRESHOLD) -> tuple[Shape, int]:
+    """The shape for so many classes and its number of codes; books are smaller where pairs at the threshold would need over MOST_CODES, as in few dimensions."""
+    shape = shape_for(dimension, classes)
+    while shape.directions > LEAST_BOOK and (codes := codes_needed(shape, threshold)) > MOST_CODES:
+        smaller = shape._replace(directions=max(LEAST_BOOK, shape.directions // 2))
+        if codes_needed(smaller, threshold) >= codes < PAIRS:  # no gain; with more codes than that next to no pair met
+            break
+        shape = smaller
+    return shape, codes_needed(shape, threshold)
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -89,7 +170,7 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def listed(batches: Iterator[pa.RecordBatch], directions: int) -> Iterator[pa.RecordBatch]:
+def listed(batches: Iterator[pa.RecordBatch], shapes: dict[int, tuple[Shape, int]]) -> Iterator[pa.RecordBatch]:
     """(rep, label, dim, filters) of classes."""
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
@@ -97,8 +178,8 @@ def listed(batches: Iterator[pa.RecordBatch], directions: int) -> Iterator[pa.Re
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 rows = batch.filter(pa.array(dims == dim))
-                found = np.sort(filters_of(unit_rows(rows.column("embedding")), directions), axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+                ids, ends = filters_of(unit_rows(rows.column("embedding")), *shapes[int(dim)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("label"), rows.column("dim"), lists], names=["rep", "label", "dim", "filters"])
 
 
@@ -148,10 +229,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
     good = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(SEED), "embedding"), "dim": F.size("embedding")})
-    classes, _ = stored(good.groupBy("label", "k1", "k2", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "vector-classes")
-    directions = max(64, min(4096, math.isqrt(8 * classes.count()) + 1))
+    grouped = good.groupBy("label", "k1", "k2", "dim").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    # rep numbers the classes in the order of their smallest ids: an id may stand for several vectors.
+    ordered = grouped.repartitionByRange("low", "k1", "label").sortWithinPartitions("low", "k1", "label")
+    classes, _ = stored(ordered.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    # A row for each length of vectors.
+    codes = {r.dim: fitted(r.dim, r.n, threshold) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
 
-    made = classes.select("rep", "label", "dim", "embedding").mapInArrow(lambda batches: listed(batches, directions), "rep long, label string, dim int, filters array<long>")
+    made = classes.select("rep", "label", "dim", "embedding").mapInArrow(lambda batches: listed(batches, codes), "rep long, label string, dim int, filters array<long>")
     lists, _ = stored(made, "filter-lists")
     places = lists.select("rep", "label", "dim", F.explode("filters").alias("filter"))
     sizes = places.groupBy("label", "dim", "filter").agg(F.count("*").alias("size")).where(F.col("size") > 1).withColumn("chunks", F.ceil(F.col("size") / GROUP).cast("int"))
@@ -164,8 +249,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counted, _ = stored(by_groups(groups, ["label", "dim", "filter", "c1", "c2"], lambda table, cuts: checked(table, cuts, threshold), COUNTED), "filter-links")
     components = stars(counted.select(F.col("rep").alias("u"), F.col("parent").alias("v")))
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = classes.select("label", "k1", "k2", "dim", "rep", "n").join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = found.select("label", "k1", "k2", "dim", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    lows = components.join(classes.select(F.col("rep").alias("component"), F.col("low").alias("component_low")), "component").select(F.col("node").alias("rep"), "component_low")
+    found = classes.select("label", "k1", "k2", "dim", "rep", "n", "low").join(links, "rep", "left").join(lows, "rep", "left")
+    by_class = found.select("label", "k1", "k2", "dim", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component_id"))
     member = good.select("vec_id", "label", "k1", "k2", "dim").join(by_class, ["label", "k1", "k2", "dim"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
