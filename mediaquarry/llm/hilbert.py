@@ -2,24 +2,30 @@
 
 CURVES times, the vectors are projected at random to DIMS dimensions, put on a grid of equal shares (quantiles of at most
 about SAMPLE rows; every row is indexed), shifted at random and ordered by their place on a Hilbert curve. Spark
-range-partitions each ordering and numbers its rows; CELL consecutive rows form a cell, and a query meets the cells
-within reach of its own. Each meeting keeps a query's best, the windows of all curves are merged, and the ranking is by
+range-partitions each ordering and numbers its rows; consecutive rows form cells, and a query meets the cells within
+reach of its own. Each meeting keeps a query's best, the windows of all curves are merged, and the ranking is by
 the inner product of the original vectors in double precision, summed from the first number to the last.
 
-A window holds 2 REACH n^(3/4) of n rows at least: among vectors without structure, in 64 dimensions, the nearest 20
-stand out so little that recall of 0.9 asks for windows that grow with the table. How far is measured on each table:
-a blocked scan of all rows finds the true nearest of about PROBES queries, and the windows reach as far as HOLD of those
-asks for (figures by size: README). Equal vectors are one class, of which the TOP + 1 smallest ids are kept, since no query can use more.
+How many curves are used and how wide their windows are is measured on each table, whatever its size: a blocked scan of
+all rows finds the true nearest of about PROBES queries, and of the choices that hold HOLD of those the one that sends
+and compares the fewest rows is taken. Where vectors have structure, windows of some dozen rows do. Among vectors without any, in 64
+dimensions, the nearest 20 stand out so little that a recall of 0.9 asks for windows of a large part of the table; they
+are then that wide (figures: README). Equal vectors are one class, of which the TOP + 1 smallest ids are kept, since no
+query can use more.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers and rows without vec_id take no part,
-neither as queries nor as candidates; vectors of different lengths don't meet; equal scores go by vec_id; repeated rows
-are candidates of one another; with fewer than TOP candidates a query gets all; other columns play no part.
+neither as queries nor as candidates; vectors of different lengths don't meet; equal scores go by vec_id, and a score
+that isn't a number (sums of infinities) counts as the lowest; a query's own row is no candidate, other rows with its
+vec_id are, equal or not; with fewer than TOP candidates a query gets all; an empty table gives an empty result; other
+columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +38,18 @@ from .common import by_groups, checkpointed, flat, numbered, stored
 
 TOP = 20
 CURVES = 16
-DIMS = 6
+DIMS = 10
 BITS = 6
 #: Bound of the rows that the grids are fitted on.
 SAMPLE = 8192
-REACH = 0.5
-#: Queries that a scan answers to set the reach, and the share of their nearest that the windows must hold (0.9 and a margin for the draw).
-PROBES, HOLD = 256, 0.92
+#: Queries that a scan answers to set the windows, and the share of their nearest that these must hold (0.9 and a margin for the draw).
+PROBES, HOLD = 256, 0.93
+#: Numbers of curves that are tried.
+TRIED = (4, 8, 16)
 #: Queries of a cell that are scored at the same time.
 QUERIES_AT_ONCE = 1024
-#: A window is never smaller: 2 * LEAST rows, or all there are.
-LEAST = 512
-CELL = 1024
+#: Rows of a cell.
+LEAST_CELL, MOST_CELL = 16, 1024
 SEED = 31
 
 Grids = dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
@@ -96,9 +102,9 @@ def places(vectors: np.ndarray, grids: list[np.ndarray], curve: int) -> np.ndarr
 
 def met(table: pa.Table, cuts: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
     """Of each cell: for each query that reaches it, its best candidates there, equals included, and their scores."""
-    rep, is_query = np.asarray(table.column("rep")), np.asarray(table.column("is_query"))
+    rep, low, is_query = (np.asarray(table.column(x)) for x in ("rep", "low", "is_query"))
     numbers, ends = flat(table, "embedding")
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         x, asks = numbers[ends[a] : ends[b]].reshape(b - a, -1).astype(np.float64), is_query[a:b]
         candidates = x[~asks]
@@ -106,16 +112,19 @@ def met(table: pa.Table, cuts: np.ndarray, top: int) -> Iterator[pa.RecordBatch]
             continue
         for at in range(0, int(asks.sum()), QUERIES_AT_ONCE):
             queries = x[asks][at : at + QUERIES_AT_ONCE]
-            scores = queries @ candidates.T
-            k = min(top, scores.shape[1])
-            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            q, c = np.nonzero(scores >= least - 1e-9 * np.maximum(1, np.abs(least)))
-            exact = np.zeros(len(q))
-            for d in range(x.shape[1]):
-                exact += queries[q, d] * candidates[c, d]
-            out.append((rep[a:b][asks][at + q], rep[a:b][~asks][c], exact))
-    columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query", "rep", "score"])
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = queries @ candidates.T
+                scores[np.isnan(scores)] = -np.inf
+                k = min(top, scores.shape[1])
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+                q, c = np.nonzero(scores >= np.where(np.isfinite(least), least - 1e-9 * np.maximum(1, np.abs(least)), least))
+                exact = np.zeros(len(q))
+                for d in range(x.shape[1]):
+                    exact += queries[q, d] * candidates[c, d]
+                exact[np.isnan(exact)] = -np.inf
+            out.append((rep[a:b][asks][at + q], rep[a:b][~asks][c], low[a:b][~asks][c], exact))
+    columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.int64, np.float64))]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query", "rep", "low", "score"])
 
 
 def scanned(classes: DataFrame, probes: dict[int, tuple[np.ndarray, np.ndarray]], top: int) -> DataFrame:
@@ -133,7 +142,9 @@ def scanned(classes: DataFrame, probes: dict[int, tuple[np.ndarray, np.ndarray]]
                     if not len(rows):
                         continue
                     ids = np.asarray(rows.column("rep"))
-                    scores = asked @ np.asarray(rows.column("embedding").flatten(), np.float64).reshape(len(rows), -1).T
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        scores = asked @ np.asarray(rows.column("embedding").flatten(), np.float64).reshape(len(rows), -1).T
+                    scores[np.isnan(scores)] = -np.inf
                     scores[reps[:, None] == ids] = -np.inf
                     held, numbers = best[dim]
                     held, numbers = np.hstack([held, np.broadcast_to(ids, scores.shape)]), np.hstack([numbers, scores])
@@ -147,23 +158,36 @@ def scanned(classes: DataFrame, probes: dict[int, tuple[np.ndarray, np.ndarray]]
     return found.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("_n") <= top).select("query", "rep")
 
 
-def needed(cells: DataFrame, truth: DataFrame) -> list[tuple[int, int]]:
-    """For each reach in cells, ascending, how many pairs (query, rep) of truth first meet on some curve at it."""
+def distances(placed: DataFrame, truth: DataFrame) -> np.ndarray:
+    """For each pair (query, rep) of truth, a bounded number, how many rows they are apart on each curve: pairs x CURVES."""
     truth = F.broadcast(checkpointed(truth))
-    asked = cells.join(F.broadcast(truth.select("query").distinct()), F.col("rep") == F.col("query")).select("query", "curve", F.col("cell").alias("_from"))
-    pairs = cells.select("curve", "rep", "cell").join(truth, "rep").join(asked, ["query", "curve"])
-    apart = pairs.groupBy("query", "rep").agg(F.min(F.abs(F.col("cell") - F.col("_from"))).alias("apart"))
-    return sorted((r.apart, r.n) for r in apart.groupBy("apart").agg(F.count("*").alias("n")).collect())
+    asked = placed.join(F.broadcast(truth.select("query").distinct()), F.col("rep") == F.col("query")).select("query", "dim", "curve", F.col("number").alias("_from"))
+    pairs = placed.select("dim", "curve", "rep", "number").join(truth, "rep").join(asked, ["query", "dim", "curve"])
+    apart = pairs.groupBy("query", "rep").agg(F.sort_array(F.collect_list(F.struct("curve", F.abs(F.col("number") - F.col("_from")).alias("n")))).alias("x"))
+    found = [[y.n for y in r.x] for r in apart.collect()]
+    return np.array(found, np.int64).reshape(len(found), CURVES)
 
 
-def least_reach(apart: list[tuple[int, int]], share: float) -> int:
-    """The least reach at which a share of the pairs that needed() counts has met."""
-    left = share * sum(n for _, n in apart)
-    for reach, n in apart:
-        left -= n
-        if left <= 1e-9:
-            return reach
-    return 0
+class Windows(NamedTuple):
+    curves: int
+    cell: int  # rows
+    reach: int  # cells on either side of a query's own
+
+    @property
+    def rows(self) -> int:
+        return (2 * self.reach + 1) * self.cell * self.curves
+
+
+def chosen_windows(apart: np.ndarray, n: int, n_queries: int, hold: float = HOLD) -> Windows:
+    """Of the windows that hold a share of the pairs, those for which the fewest rows are sent and, at half the weight, compared."""
+    choices = []
+    for curves in TRIED:
+        nearest = np.sort(apart[:, :curves].min(axis=1))
+        half = max(1, int(nearest[min(len(nearest) - 1, math.ceil(hold * len(nearest)) - 1)])) if len(nearest) else 1
+        cell = min(MOST_CELL, max(LEAST_CELL, -(-half // 2)))
+        made = Windows(curves, cell, -(-half // cell))
+        choices.append((curves * (n + n_queries * (2 * made.reach + 1)) + made.rows * n_queries / 2, made))
+    return min(choices)[1]
 
 
 def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
@@ -174,13 +198,11 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     first = good.withColumn("_n", F.row_number().over(W.partitionBy(*same).orderBy("vec_id"))).where(F.col("_n") <= top + 1)
     asked = good.groupBy(*same).agg(F.max("asks").alias("asks"))
     members = first.groupBy(*same).agg(F.sort_array(F.collect_list("vec_id")).alias("members"), F.first("embedding").alias("embedding"))
-    classes, _ = stored(members.join(asked, same).withColumn("rep", F.col("members")[0]), "curve-classes")
+    # rep numbers the classes: an id may stand for several vectors.
+    classes, _ = stored(members.join(asked, same).withColumns({"rep": F.monotonically_increasing_id(), "low": F.col("members")[0]}), "curve-classes")
 
-    n = classes.count()
-    window = 2 * max(LEAST, int(REACH * n**0.75))
-    cell = max(1, min(CELL, -(-window // 3)))
-    reach = max(1, round((window / cell - 1) / 2))
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))
+    n, n_asked = classes.agg(F.count("*"), F.count_if("asks")).first()
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "k1"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))
     sample: dict[int, list[np.ndarray]] = {}
     for r in classes.where(draw).select("embedding").limit(2 * SAMPLE).toLocalIterator():
         sample.setdefault(len(r.embedding), []).append(np.array(r.embedding, np.float64))
@@ -197,28 +219,30 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
                     x = np.asarray(rows.column("embedding").flatten(), np.float64).reshape(len(rows), -1)
                     fitted = grids_sent.value.get(int(dim)) or fitted_grids({int(dim): np.eye(int(dim))})[int(dim)]
                     for c in range(CURVES):
-                        yield pa.RecordBatch.from_arrays([pa.array([f"{dim}/{c}"] * len(rows)), pa.array(places(x, fitted, c)), rows.column("rep"), rows.column("asks")], names=["curve", "place", "rep", "asks"])
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{dim}/{c}"] * len(rows)), rows.column("dim"), pa.array([c] * len(rows), pa.int32()), pa.array(places(x, fitted, c)), rows.column("rep"), rows.column("asks")], names=["line", "dim", "curve", "place", "rep", "asks"])
 
-    placed = classes.select("rep", "dim", "asks", "embedding").mapInArrow(orders, "curve string, place long, rep long, asks boolean")
-    cells = numbered(placed, "curve", "place", "rep").select("curve", "rep", "asks", F.expr(f"number div {cell}").alias("cell"))
-    asked_for = classes.where("asks")
-    chance = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.lit(1 << 30)) < int(min(1.0, PROBES / max(1, asked_for.count())) * (1 << 30))
+    lines = classes.select("rep", "dim", "asks", "embedding").mapInArrow(orders, "line string, dim int, curve int, place long, rep long, asks boolean")
+    placed = numbered(lines, "line", "place", "rep")
+    chance = F.pmod(F.xxhash64(F.lit(SEED + 1), "k1"), F.lit(1 << 30)) < int(min(1.0, PROBES / max(1, n_asked)) * (1 << 30))
     drawn: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for r in asked_for.where(chance).select("rep", "embedding").limit(2 * PROBES).toLocalIterator():
+    for r in classes.where("asks").where(chance).select("rep", "embedding").limit(2 * PROBES).toLocalIterator():
         drawn.setdefault(len(r.embedding), []).append((r.rep, np.array(r.embedding, np.float64)))
-    if drawn:
-        probes = {dim: (np.array([v for v, _ in x]), np.stack([y for _, y in x])) for dim, x in drawn.items()}
-        reach = max(reach, least_reach(needed(cells, scanned(classes, probes, top)), HOLD))
-    asking = cells.where("asks").select("curve", "rep", F.explode(F.sequence(F.col("cell") - reach, F.col("cell") + reach)).alias("cell"), F.lit(True).alias("is_query"))
-    meetings = cells.select("curve", "rep", "cell", F.lit(False).alias("is_query")).unionByName(asking).join(classes.select("rep", "embedding"), "rep")
-    found = by_groups(meetings, ["curve", "cell"], lambda table, cuts: met(table, cuts, top + 1), "query long, rep long, score double")
-
-    merged = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    by_score = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    best = merged.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("_n") <= top + 1)
+    probes = {dim: (np.array([v for v, _ in x]), np.stack([y for _, y in x])) for dim, x in drawn.items()}
+    apart = distances(placed, scanned(classes, probes, top)) if probes else np.empty((0, CURVES), np.int64)
+    windows = chosen_windows(apart, n, n_asked)
+
+    cells = placed.where(F.col("curve") < windows.curves).select("dim", "curve", "rep", "asks", F.expr(f"number div {windows.cell}").alias("cell"))
+    asking = cells.where("asks").select("dim", "curve", "rep", F.explode(F.sequence(F.col("cell") - windows.reach, F.col("cell") + windows.reach)).alias("cell"), F.lit(True).alias("is_query"))
+    meetings = cells.select("dim", "curve", "rep", "cell", F.lit(False).alias("is_query")).unionByName(asking).join(classes.select("rep", "low", "embedding"), "rep")
+    found = by_groups(meetings, ["dim", "curve", "cell"], lambda table, cuts: met(table, cuts, top + 1), "query long, rep long, low long, score double")
+
+    merged = found.groupBy("query", "rep").agg(F.max("score").alias("score"), F.first("low").alias("low"))
+    best = merged.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "low"))).where(F.col("_n") <= top + 1).drop("_n")
+    by_score = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "rep")
     listed = best.join(classes.select("rep", F.explode("members").alias("vec_id")), "rep").withColumn("_n", F.row_number().over(by_score)).where(F.col("_n") <= top + 1)
-    lists = listed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("best"))
+    lists = listed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score", "rep"))).alias("best"))
     by_class = lists.join(classes.select(F.col("rep").alias("query"), *same), "query")
     answers = good.where("asks").select(F.col("vec_id").alias("query_id"), *same).join(by_class, same)
-    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
+    own = F.array_position(F.transform("best", lambda x: (x["rep"] == F.col("query")) & (x["vec_id"] == F.col("query_id"))), True)
+    others = F.slice(F.filter("best", lambda x, i: i + 1 != own), 1, top)
     return answers.select("query_id", F.posexplode(others).alias("_at", "x")).select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
