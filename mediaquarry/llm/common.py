@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or, on one machine where that is unset, one of our own."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="mediaquarry-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -51,6 +53,39 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Runs:
+    """Many short runs of ids in one array, known by number."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.lengths, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Runs of the given lengths whose ids follow one another; the number of the first."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)])
+        if self.count + len(lengths) > len(self.starts):
+            room = np.empty(self.count + 2 * len(lengths), np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts[: self.count], room]), np.concatenate([self.lengths[: self.count], room])
+        first, upto = self.count, self.count + len(lengths)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[first:upto] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first:upto] = lengths
+        self.used, self.count = self.used + len(ids), upto
+        return first
+
+    def forget(self, first: int) -> None:
+        """Runs from first on, the last that were added."""
+        if first < self.count:
+            self.used, self.count = int(self.starts[first]), first
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs one after another, and how many each has."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[numbers] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
 def by_size(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts in a column have at most so many bytes together, or one row."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))

@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import by_size
+from .common import Runs, by_size
 
 BLOCK = 1 << 16
 LEVEL = 3
 MAGIC = b"MQTB"
-#: Entries of the cache of pieces; a full one is emptied.
+#: Pieces in the cache; a full one is emptied.
 CACHED = 1_000_000
 
 MARKS = ".,;:!?%*$#&|)"
@@ -52,7 +52,7 @@ BLOCKS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first_
 
 
 class PieceEncoder:
-    """Ids of the texts of Arrow columns. A known piece is an entry: where its ids, those of the piece with the space before it, lie in one array."""
+    """Ids of the texts of Arrow columns. A known piece is a run of ids, those of the piece with the space before it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,34 +70,13 @@ class PieceEncoder:
         self.known: dict[str, int] = {}
         self.tails: dict[str, int] = {}
         self.lines: dict[str, int] = {}
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths, self.entries = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.runs = Runs()
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
-        """Entries of the given lengths whose ids follow one another; the number of the first."""
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.uint32)])
-        if self.entries + len(lengths) > len(self.starts):
-            room = np.empty(self.entries + 2 * len(lengths), np.int64)
-            self.starts, self.lengths = np.concatenate([self.starts[: self.entries], room]), np.concatenate([self.lengths[: self.entries], room])
-        first, upto = self.entries, self.entries + len(lengths)
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[first:upto] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first:upto] = lengths
-        self.used, self.entries = self.used + len(ids), upto
-        return first
-
-    def gathered(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of entries one after another, and how many each has."""
-        lengths = self.lengths[entries]
-        ends = np.cumsum(lengths)
-        return self.ids[np.repeat(self.starts[entries] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
-
     def learn(self, pieces: list[str]) -> None:
-        """Make entries of pieces that have no white space at their edges; those of several lines are learnt line by line."""
+        """Make runs of pieces that have no white space at their edges; those of several lines are learnt line by line."""
         fine = lambda parts: all(y and not y[0].isspace() and not y[-1].isspace() for y in parts)
         lines = {x: parts for x in pieces if "\n" in x and fine(parts := x.split("\n"))}
         first = {parts[0] for parts in lines.values()}.difference(self.known)
@@ -115,15 +94,15 @@ class PieceEncoder:
         if marked:
             tails = list({x[len(y) :] for x, y in marked}.difference(self.tails))
             for tail, ids in zip(tails, self.library(tails)):
-                self.tails[tail] = self.add(ids, np.array([len(ids)]))
+                self.tails[tail] = self.runs.add(ids, np.array([len(ids)]))
             self.compose([x for x, _ in marked], [[self.known[y], self.tails[x[len(y) :]]] for x, y in marked])
 
     def compose(self, pieces: list[str], parts: list[list[int]]) -> None:
-        """Entries of pieces from those of their parts."""
-        ids, lengths = self.gathered(np.array([e for x in parts for e in x]))
+        """Runs of pieces from those of their parts."""
+        ids, lengths = self.runs.joined(np.array([e for x in parts for e in x]))
         starts = np.cumsum([0, *map(len, parts[:-1])])
-        first = self.add(ids, np.add.reduceat(lengths, starts))
-        self.known.update(zip(pieces, range(first, self.entries)))
+        first = self.runs.add(ids, np.add.reduceat(lengths, starts))
+        self.known.update(zip(pieces, range(first, self.runs.count)))
 
     def learn_together(self, pieces: list[str], before: str, into: dict[str, int]) -> None:
         at = 0
@@ -135,8 +114,8 @@ class PieceEncoder:
             some = pieces[at:upto]
             ids = self.library([before + before.join(some)])[0]
             cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([1 + len(x.encode()) for x in some])) + 1
-            first = self.add(ids, np.diff(cuts, prepend=0))
-            into.update(zip(some, range(first, self.entries)))
+            first = self.runs.add(ids, np.diff(cuts, prepend=0))
+            into.update(zip(some, range(first, self.runs.count)))
             at = upto
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +127,7 @@ class PieceEncoder:
             gc.enable()
 
     def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.entries > CACHED or self.used > 16 * CACHED:
+        if self.runs.count > CACHED or self.runs.used > 16 * CACHED:
             self.clear()
         n = len(texts)
         lists = pc.split_pattern(texts, " ")
@@ -179,9 +158,8 @@ class PieceEncoder:
         if new:
             self.learn([seen[i] for i in new])
             entry[new] = [self.known[seen[i]] for i in new]
-        used, entries = self.used, self.entries
         first = self.library(heads)
-        head = self.add(np.concatenate([*first, np.array([end_id], np.uint32)]), np.array([*map(len, first), 1]))
+        head = self.runs.add(np.concatenate([*first, np.array([end_id], np.uint32)]), np.array([*map(len, first), 1]))
         upto = np.cumsum(np.bincount(doc, minlength=n) + 2)
         order = np.empty(int(upto[-1]) if n else 0, np.int64)
         between = np.ones(len(order), bool)
@@ -189,8 +167,8 @@ class PieceEncoder:
         between[starts] = between[upto - 1] = False
         order[starts], order[upto - 1] = head + np.arange(n), head + n
         order[between] = entry[codes]
-        ids, lengths = self.gathered(order)
-        self.used, self.entries = used, entries  # heads aren't kept
+        ids, lengths = self.runs.joined(order)
+        self.runs.forget(head)  # heads aren't kept
         return ids, np.add.reduceat(lengths, starts) if n else lengths
 
 

@@ -98,17 +98,22 @@ def test_joined_crc(a, b):
     assert tokenbin.crc_of_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-def plain_score(model, scores, text):
-    """The best sum of scores by trying all pieces at all places."""
+def plain_path(model, scores, text):
+    """The ids of the best path over the whole text by trying all pieces at all places; of equal sums the one whose last piece is the longest."""
     marked = "▁" + text.replace(" ", "▁")
-    best = [0.0] + [-np.inf] * len(marked)
+    best, last = [0.0] + [-np.inf] * len(marked), [None] * (len(marked) + 1)
     for end in range(1, len(marked) + 1):
         for start in range(max(0, end - 20), end):
-            if marked[start:end] in scores:
-                best[end] = max(best[end], best[start] + scores[marked[start:end]])
-        if marked[end - 1] not in scores:
-            best[end] = max(best[end], best[end - 1] + model.unknown)
-    return best[-1]
+            piece = scores.get(marked[start:end])
+            if piece and best[start] + piece[1] > best[end]:
+                best[end], last[end] = best[start] + piece[1], (start, [piece[0]])
+        if marked[end - 1] not in scores and best[end - 1] + model.unknown > best[end]:
+            best[end], last[end] = best[end - 1] + model.unknown, (end - 1, [model.byte_ids[b] for b in marked[end - 1].encode()])
+    path, at = [], len(marked)
+    while at:
+        at, piece = last[at]
+        path.append(piece)
+    return [i for piece in reversed(path) for i in piece]
 
 
 @pytest.fixture(scope="module")
@@ -119,24 +124,21 @@ def model():
 @pytest.fixture(scope="module")
 def scores():
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    return {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    return {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
 
 
-def path_score(model, ids):
-    total, at = 0.0, 0
-    byte_runs = model.is_byte[ids]
-    total = float(model.scores[ids[~byte_runs]].sum())
-    raw = bytes(b for i in ids[byte_runs].tolist() for b in model.spelled[i])
-    return total + model.unknown * len(raw.decode("utf-8", "replace")) if at == 0 else total
-
-
-def test_best_paths(model, scores, documents):
+def test_best_paths_of_whole_texts(model, scores, documents):
     assert max(map(len, scores)) <= 20
-    texts = [r.text for r in documents.select("text").collect()][:60] + ["", " ", "  a  b ", "naïve 🙂🙂 x", "line\nbreak\ttab", "a" * 500]
+    texts = [r.text for r in documents.select("text").collect() if r.text] + [" ", "  a  b ", "naïve 🙂🙂 x", "line\nbreak\ttab", "a" * 5000, "x². y²z ▁▁a ▁", "on.\nHa (a)_b, 12 \n\n c"]
     for text in texts:
-        text = text[:3000]
-        if text:
-            assert path_score(model, model.encode(text)) == pytest.approx(plain_score(model, scores, text), rel=1e-5)
+        assert model.encode(text).tolist() == plain_path(model, scores, text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, max_size=4))
+def test_texts_together_are_those_alone(model, scores, texts):
+    ids, lengths = model.encode_all(pa.array(texts, pa.string()))
+    assert ids.tolist() == [i for x in texts for i in (plain_path(model, scores, x) if x else [])] and lengths.sum() == len(ids)
 
 
 @settings(max_examples=200, deadline=None)
