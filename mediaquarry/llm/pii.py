@@ -3,14 +3,19 @@
 Every personal datum that the patterns find is a protected entity. The words within CONTEXT characters of it are its
 context. Over the whole corpus, with probabilities as shares of rows, a term t discloses an entity e by its pointwise
 mutual information PMI(e; t) = log2(P(e, t) / (P(e) P(t))), whose most is the entity's own information IC(e) = -log2 P(e).
-Terms that stand with an entity in at least SUPPORT rows are removed (kind `removed`) where PMI reaches REMOVE of
-IC, and generalised (kind `general`) where it reaches GENERALISE of it; rows without an entity stay as they are.
+A term that stands with an entity in at least SUPPORT rows is judged: it is removed (kind `removed`) where PMI reaches
+REMOVE of IC, and generalised (kind `general`) where it reaches GENERALISE of it. It is generalised to the commonest
+term of the same entity's contexts that discloses it less than that; where there is none, it is removed. The strongest
+verdict on a term holds wherever the term stands, in any row, with or without the entity: it would disclose it there too.
 
 All work is DataFrame functions. Positions come from splitting a text at the matches: a match starts after all pieces and
 matches before it. Each pattern may begin only where a longer match can't have begun, so that the search is linear.
 
 Defined cases: a null text counts as empty and has no spans; rows alike in doc_id and text get the same spans, each in a
-row of its own; null doc_ids are kept; an empty table gives an empty result; other columns play no part.
+row of its own; null doc_ids are kept; a term that is judged for several entities is removed if one of them asks for it, else
+it takes the general term of the entity that it stands with most often (ties: the first by alphabet, as among general
+terms); terms within base spans are not judged or touched; terms under MIN_TERM characters, and those seen with an entity
+in fewer than SUPPORT rows, are not judged; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,16 +36,19 @@ MORE_KINDS = ("removed", "general")
 WORD = r"[\p{L}\p{N}]+"
 
 CONTEXT = 80
-MIN_TERM = 3
+MIN_TERM = 2
 SUPPORT = 2
+#: Pairs of one term that go to one task together.
+HEAVY = 100_000
 REMOVE, GENERALISE = 0.98, 0.85
 
 SPAN = "struct<start:int,end:int,text:string>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, text) of the matches, left to right, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     both = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
 
     def step(state: Column, x: Column) -> Column:
@@ -85,48 +93,72 @@ def joined(kinds: dict[str, Column]) -> Column:
 
 
 def context_terms(text: Column, span: Column, taken: Column) -> Column:
-    """Words within CONTEXT characters of a span that the window doesn't cut and no span in taken covers: (term, start, end)."""
+    """Words (lower-case) within CONTEXT characters of a span that the window doesn't cut and no span in taken covers."""
     left = F.greatest(span["start"] - CONTEXT, F.lit(0))
     before = F.transform(matches(F.substring(text, left + 1, span["start"] - left), WORD), lambda w: F.struct(F.lower(w["text"]).alias("term"), (w["start"] + left).alias("start"), (w["end"] + left).alias("end")))
     after = F.transform(matches(F.substring(text, span["end"] + 1, F.lit(CONTEXT)), WORD), lambda w: F.struct(F.lower(w["text"]).alias("term"), (w["start"] + span["end"]).alias("start"), (w["end"] + span["end"]).alias("end")))
     whole = lambda w: ((w["start"] > left) | (left == 0)) & ((w["end"] < span["end"] + CONTEXT) | (w["end"] == F.length(text)))
     free = lambda w: ~F.exists(taken, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return F.filter(F.concat(before, after), lambda w: (F.length(w["term"]) >= MIN_TERM) & whole(w) & free(w))
+    return F.transform(F.filter(F.concat(before, after), lambda w: (F.length(w["term"]) >= MIN_TERM) & whole(w) & free(w)), lambda w: w["term"])
+
+
+def measured(pairs: DataFrame, by_term: DataFrame, by_entity: DataFrame, n_rows: int) -> DataFrame:
+    """pairs (entity, term, n_both) with kind, null where little is disclosed. A term of many entities is dealt to several tasks."""
+    # At most a row for each HEAVY pairs.
+    heavy = F.broadcast(pairs.groupBy("term").agg(F.count("*").alias("_m")).where(F.col("_m") > HEAVY).select("term", F.ceil(F.col("_m") / HEAVY).cast("int").alias("_chunks")))
+    chunks = F.coalesce("_chunks", F.lit(1))
+    dealt = pairs.join(heavy, "term", "left").withColumn("_chunk", F.pmod(F.xxhash64("entity"), chunks).cast("int")).drop("_chunks")
+    copied = by_term.join(heavy, "term", "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("_chunks")
+    total = float(max(n_rows, 1))
+    ic = F.log2(F.lit(total) / F.col("n_entity"))
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
+    both = dealt.join(copied, ["term", "_chunk"]).join(by_entity, "entity")
+    return both.select("entity", "term", "n_both", F.when(pmi >= REMOVE * ic, "removed").when(pmi >= GENERALISE * ic, "general").alias("kind"))
+
+
+def verdicts(pairs: DataFrame) -> DataFrame:
+    """(term, kind, general) from measured pairs."""
+    less = pairs.where(F.col("kind").isNull()).groupBy("entity").agg(F.min(F.struct((-F.col("n_both")).alias("n"), F.col("term").alias("word"))).alias("g")).select("entity", F.col("g.word").alias("general"))
+    judged = pairs.where(F.col("kind").isNotNull()).join(less, "entity", "left").withColumn("kind", F.when(F.col("general").isNull(), "removed").otherwise(F.col("kind")))
+    strongest = judged.groupBy("term").agg(F.max("kind").alias("kind"), F.min(F.when(F.col("kind") == "general", F.struct((-F.col("n_both")).alias("n"), F.col("general").alias("word")))).alias("g"))  # removed is the later word
+    return strongest.select("term", "kind", F.when(F.col("kind") == "general", F.col("g.word")).alias("general"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs (doc_id, text): counts, digest of the base spans, all spans; base and more hold the spans as arrays."""
+    """A row for each row of docs (doc_id, text): counts, digest of the base spans, all spans as text and, with what takes their place, as array (all_spans)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
     spans = rows.withColumns(base_spans(F.col("text"))).withColumn("taken", F.concat(*PATTERNS))
     entity = lambda kind: F.transform(F.col(kind), lambda x: F.struct(F.xxhash64(F.lit(kind), F.lower(x["text"]) if kind == "email" else digits(x["text"]) if kind != "ip" else x["text"]).alias("entity"), x["start"].alias("start"), x["end"].alias("end")))
     entities = spans.withColumn("entities", F.concat(*map(entity, PATTERNS)))
-    near = F.flatten(F.transform("entities", lambda x: F.transform(context_terms(F.col("text"), x, F.col("taken")), lambda w: F.struct(x["entity"].alias("entity"), F.xxhash64(w["term"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
-    found = entities.withColumn("near", F.when(F.size("taken") > 0, near)).select("doc_id", "same", *PATTERNS, F.transform("entities", lambda x: x["entity"]).alias("entities"), "near")
-    # One pass over the texts finds all that the rest needs of them; matched strings aren't kept.
+    near = F.flatten(F.transform("entities", lambda x: F.transform(context_terms(F.col("text"), x, F.col("taken")), lambda term: F.struct(x["entity"].alias("entity"), term.alias("term")))))
+    found = entities.withColumn("near", F.when(F.size("taken") > 0, F.array_distinct(near))).select("doc_id", "same", *PATTERNS, F.array_distinct(F.transform("entities", lambda x: x["entity"])).alias("entities"), "near")
+    # One pass over the texts finds what is counted; matched strings aren't kept.
     bare = found.withColumns({k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in PATTERNS})
     base, _ = stored(bare, "pii-base")
 
-    some = base.where(F.size("entities") > 0)
     n_rows = base.count()
-    by_entity = some.select(F.explode(F.array_distinct("entities")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    by_entity = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = base.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     # Rows that hold a term, for all terms of the corpus.
-    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")).where(F.length("word") >= MIN_TERM)
-    by_term = terms.select(F.xxhash64("word").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-
-    ic = F.log2(F.lit(float(max(n_rows, 1))) / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * float(max(n_rows, 1)) / (F.col("n_term") * F.col("n_entity")))
-    judged = pairs.join(by_term, "term").join(by_entity, "entity").select("entity", "term", F.when(pmi >= REMOVE * ic, "removed").when(pmi >= GENERALISE * ic, "general").alias("kind")).where(F.col("kind").isNotNull())
-    spots = some.select("doc_id", "same", F.explode("near").alias("w")).select("doc_id", "same", "w.*").join(judged, ["entity", "term"])
-    # A word may stand near several entities: the stronger verdict (removed, the later word) holds.
-    by_word = spots.groupBy("doc_id", "same", "start", "end").agg(F.max("kind").alias("kind"))
-    more = by_word.groupBy(F.col("doc_id").alias("d"), F.col("same").alias("s")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("more"))
-
-    out = base.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s")), "left")
+    by_term = rows.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).where(F.length("term") >= MIN_TERM).groupBy("term").agg(F.count("*").alias("n_term"))
+    judged, _ = stored(verdicts(measured(pairs, by_term, by_entity, n_rows)), "pii-verdicts")
+
+    # Of all rows, those that hold judged terms, in the forms that stand there; only their texts are searched again.
+    key = ["_d", "_null", "same"]
+    keyed = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
+    forms = keyed.select(*key, F.explode(F.array_distinct(words)).alias("form")).withColumn("term", F.lower("form"))
+    hits = forms.join(judged, "term").groupBy(*key).agg(F.collect_set(F.struct("form", "kind", "general")).alias("hits"))
+    place = lambda h: F.transform(matches(F.col("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), h["form"], F.lit(r"(?![\p{L}\p{N}])"))), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), h["kind"].alias("kind"), h["general"].alias("general")))
+    more = keyed.join(hits, key).dropDuplicates(key).select(*key, F.array_sort(F.flatten(F.transform("hits", place))).alias("more"))
+
+    out = base.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()}).join(more, key, "left")
     kinds = {k: F.col(k) for k in PATTERNS}
-    of_kind = lambda kind: F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda x: x["kind"] == kind)
-    others = {k: of_kind(k) for k in MORE_KINDS}
-    named = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    free = lambda w: ~F.exists(F.concat(*PATTERNS), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    all_more = F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:string,general:string>>"))
+    others = {k: F.filter(all_more, lambda x: (x["kind"] == k) & free(x)) for k in MORE_KINDS}
+    mark = lambda kind: F.lit(f"[{kind.upper()}]")
+    named = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), (s["general"] if kind == "general" else mark(kind)).alias("put")))
     return out.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS), F.sha2(joined(kinds), 256).alias("base_sha256"), joined(kinds | others).alias("spans"),
         *(F.size(x).cast("long").alias(f"n_{k}") for k, x in others.items()), "same",
@@ -135,11 +167,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with [KIND] in place of every datum and disclosing term (a span that overlaps an earlier one joins it); n_chars follows; other columns stay."""
+    """docs with [KIND] in place of every datum, [REMOVED] of every removed term and the general term of every generalised one (a span that overlaps an earlier one joins it); n_chars follows; other columns stay."""
     found = find_pii(docs).where(F.size("all_spans") > 0).select(F.col("doc_id").alias("_d"), F.col("same").alias("_s"), F.array_sort("all_spans").alias("_spans")).dropDuplicates(["_d", "_s"])
 
     def step(state: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= state["at"], F.concat(F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).otherwise("")
+        gap = F.when(x["start"] >= state["at"], F.concat(F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"]), x["put"])).otherwise("")
         return F.struct(F.concat(state["out"], gap).alias("out"), F.greatest(state["at"], x["end"]).alias("at"))
 
     whole = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
