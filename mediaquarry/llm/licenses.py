@@ -6,14 +6,19 @@ longer are anchors (place in the text, place in a template); for each template t
 gaps of at most MAX_GAP words, chain into a span, and a span that covers at least MIN_COVER of the template's words
 gives the template's label. The score is the best cover over all templates, whether it is enough or not.
 
-Defined cases: a null text counts as empty and has no words, labels "" and score 0; repeated rows each give a row; other
-columns of the input play no part. Texts are scanned whole; memory is that of one text's anchors.
+Templates are whole licences (the text files in the folder licences, labelled by their names) and short notices.
+
+Defined cases: a null text counts as empty and has no words, labels "" and score 0; templates that share a passage each
+count it, so a text may have several labels; of chains that cover as much of a template the one that ends first stays;
+repeated rows each give a row; an empty table gives an empty result; other columns of the input play no part. Texts are
+scanned whole; memory is that of one text's anchors.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from importlib import resources
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,7 +31,7 @@ WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 # Public notices, by label.
-TEMPLATES = (
+NOTICES = (
     ("mit-notice", "Released under the MIT License"),
     ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0"),
     ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3"),
@@ -34,13 +39,19 @@ TEMPLATES = (
     ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0-notice", "Licensed under CC BY-SA 4.0"),
     ("cc-by-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("apache-2.0-text", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("gpl-3.0-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("mpl-2.0-text", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
+
+
+@lru_cache(maxsize=1)
+def templates() -> tuple[tuple[str, str], ...]:
+    folder = resources.files(__package__) / "licences"
+    return NOTICES + tuple((x.name.removesuffix(".txt"), x.read_text("utf-8")) for x in sorted(folder.iterdir(), key=lambda x: x.name) if x.name.endswith(".txt"))
+
+
 MIN_RUN = 4
 MAX_GAP = 12
 MIN_COVER = 0.75
@@ -160,7 +171,7 @@ class LicenceAutomaton:
 
 @lru_cache(maxsize=1)
 def automaton() -> LicenceAutomaton:
-    return LicenceAutomaton(TEMPLATES)
+    return LicenceAutomaton(templates())
 
 
 @lru_cache(maxsize=1)
