@@ -2,12 +2,13 @@
 
 A byte-pair vocabulary learnt on ordinary text spends few tokens on ordinary words and many on random strings, so
 characters per token fall to about two or less on keys and passwords. Every run of at least MIN_CHARS key characters with
-a letter and a digit is a candidate; known digests (hexadecimal of a digest's length) and identifiers (UUIDs) are
-excluded; what is left with at most MAX_RATIO characters per token is a span of kind `opaque`, unless a span of the
+a letter, wherever it stands (after = as well), is a candidate; known digests (hexadecimal of a digest's length) and
+identifiers (UUIDs) are excluded; what is left with at most MAX_RATIO characters per token, or LETTERS_RATIO where it
+has no digit (long words in few letters' languages come near two), is a span of kind `opaque`, unless a span of the
 fixed patterns covers it already.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows each give a row; other columns of the
-input play no part. Texts are scanned whole.
+Defined cases: a null text counts as empty and has no spans; spans that begin together go by kind; repeated rows each give
+a row; an empty table gives an empty result; other columns of the input play no part. Texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 MIN_CHARS = 16
-MAX_RATIO = 2.2
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}={{0,2}}")
+MAX_RATIO, LETTERS_RATIO = 2.2, 1.7
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}={{0,2}}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -68,9 +70,9 @@ def opaque_spans(text: str, vocabulary: str) -> list[tuple[int, int, float]]:
     found = []
     for m in CANDIDATE.finditer(text):
         string = m[0]
-        if any(c.isdigit() for c in string) and any(c.isalpha() for c in string) and not known(string):
+        if LETTER.search(string) and not known(string):
             ratio = len(string) / len(encoding(vocabulary).encode_ordinary(string))
-            if ratio <= MAX_RATIO:
+            if ratio <= (MAX_RATIO if DIGIT.search(string) else LETTERS_RATIO):
                 found.append((m.start(), m.end(), ratio))
     return found
 
