@@ -7,8 +7,10 @@ number of rows wanted from each language, so a language with most of the rows do
 sample is kept from the fit and sets the temperature of the softmax. Prediction is one narrow pass over whole texts.
 
 Defined cases: rows with a null lang or null text teach nothing; a null text or one without a letter is predicted `und`
-with score 0, and so is every text if nothing could be learnt (an empty table); repeated rows each give a row; other
-columns play no part. Texts of any length are read whole, CHUNK characters at a time.
+with score 0, and so is every text if nothing could be learnt (an empty table); of languages that are as likely the first
+by name is predicted; repeated rows each give a row (rows alike in doc_id and text are drawn for the sample together, of
+which no more than twice SAMPLE rows are taken, in the order of their draws); other columns play no part. Texts of any
+length are read whole, CHUNK characters at a time.
 """
 
 from __future__ import annotations
@@ -53,25 +55,24 @@ def letter_table() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """Features of a text and their counts; None without a letter."""
-    total = None
+    """Features of a text and their counts; None without a letter. Long texts are read by chunks, each with the last two letters or spaces before it: the counts are those of the whole."""
+    total, letters = np.zeros(BUCKETS, np.int64), False
+    before = np.array([32], np.uint32)
     for at in range(0, len(text), CHUNK):
-        part = text[max(0, at - 2) : at + CHUNK]
-        cps = letter_table()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")]
-        cps = np.concatenate(([32], cps, [32])).astype(np.uint32) if len(text) <= CHUNK else cps
+        cps = letter_table()[np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), "<u4")]
+        cps = np.concatenate((before, cps, [32] if at + CHUNK >= len(text) else [])).astype(np.uint32)
         cps = cps[np.concatenate(([True], (cps[1:] != 32) | (cps[:-1] != 32)))]
+        before = cps[-2:]
         if len(cps) < 3:
             continue
         a, b, c = cps[:-2], cps[1:-1], cps[2:]
         h = b * np.uint32(2654435761)
         hashes = [h, (a * np.uint32(2246822519)) ^ (h + np.uint32(374761393)), (a * np.uint32(3266489917)) ^ (h + np.uint32(668265263)) ^ (c * np.uint32(1274126177))]
         keep = b != 32
-        counts = np.zeros(BUCKETS, np.int64)
         for h in (hashes[0][keep], hashes[1], hashes[2][keep]):
-            counts += np.bincount(((h ^ (h >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(17), minlength=BUCKETS)
-        if keep.any():
-            total = counts if total is None else total + counts
-    if total is None:
+            total += np.bincount(((h ^ (h >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(17), minlength=BUCKETS)
+        letters |= bool(keep.any())
+    if not letters:
         return None
     features = np.flatnonzero(total)
     return features, total[features]
@@ -159,7 +160,8 @@ def train(docs: DataFrame) -> Model | None:
 
     wanted = max(1, SAMPLE // len(languages))
     share = F.create_map(*(F.lit(x) for lang, n in by_language.items() for x in (lang, min(1.0, wanted / n))))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    drawn = F.xxhash64(F.lit("sample"), "doc_id", "text")  # rows without doc_id differ by their texts
+    draw = F.pmod(drawn, F.lit(1 << 20)) / float(1 << 20)
     place = {lang: i for i, lang in enumerate(languages)}
 
     def fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +183,11 @@ def train(docs: DataFrame) -> Model | None:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE).to_pydict()
-                found = [(i, lang, x) for i, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]) if (x := grams(text))]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in found], pa.int64()), "lang": pa.array([x[1] for x in found], pa.string()), "features": pa.array([x[2][0].astype("<i4").tobytes() for x in found], pa.binary()), "counts": pa.array([x[2][1].astype("<i4").tobytes() for x in found], pa.binary())})
+                found = [(i, lang, x) for i, text, lang in zip(batch["drawn"], batch["text"], batch["lang"]) if (x := grams(text))]
+                yield pa.RecordBatch.from_pydict({"drawn": pa.array([x[0] for x in found], pa.int64()), "lang": pa.array([x[1] for x in found], pa.string()), "features": pa.array([x[2][0].astype("<i4").tobytes() for x in found], pa.binary()), "counts": pa.array([x[2][1].astype("<i4").tobytes() for x in found], pa.binary())})
 
-    sample = known.where(draw < share[F.col("lang")]).mapInArrow(extract, "doc_id long, lang string, features binary, counts binary")
-    learnt = sample.repartition(1).sortWithinPartitions("doc_id", "features").mapInArrow(fit_sample, "weights binary, temperature double").first()
+    sample = known.where(draw < share[F.col("lang")]).select(drawn.alias("drawn"), "text", "lang").mapInArrow(extract, "drawn long, lang string, features binary, counts binary")
+    learnt = sample.orderBy("drawn", "lang", "features").limit(2 * SAMPLE).mapInArrow(fit_sample, "weights binary, temperature double").first()
     if learnt is None:
         return None
     weights = np.frombuffer(learnt.weights, "<f4").reshape(len(languages), BUCKETS + 1)

@@ -101,11 +101,27 @@ def test_languages_of_odd_rows(documents, odd_documents, no_documents):
     assert langid.train(odd_documents).languages
 
 
-def test_long_texts_give_the_features_of_the_whole(monkeypatch):
-    text = "Große Straße, été 12 und ein Fluß " * 40
-    whole = langid.grams(" " + text + " ")
-    monkeypatch.setattr(langid, "CHUNK", 101)
-    parts = langid.grams(" " + text + " ")
-    both = np.zeros((2, langid.BUCKETS))
-    both[0, whole[0]], both[1, parts[0]] = whole[1], parts[1]
-    assert np.abs(both[0] - both[1]).sum() <= 0.05 * both[0].sum()
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 101])
+@pytest.mark.parametrize("text", ["Große Straße, été 12 und ein Fluß " * 4, "  12 ab cd ef", "ab cd ef", "x", "x ", " x", "12  34", "a  b", "1a", "a1"])
+def test_long_texts_give_the_features_of_the_whole(monkeypatch, chunk, text):
+    monkeypatch.setattr(langid, "CHUNK", 1 << 18)
+    whole = langid.grams(text)
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    parts = langid.grams(text)
+    assert (whole is None) == (parts is None)
+    assert whole is None or (np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1]))
+
+
+def test_features_are_those_of_runs_of_letters():
+    for text in ("ab cd ef", "x", "Ab1é"):
+        runs = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+        grams = [runs[i] for i in range(len(runs)) if runs[i] != " "] + [runs[i : i + 2] for i in range(len(runs) - 2)] + [runs[i : i + 3] for i in range(len(runs) - 2) if runs[i + 1] != " "]
+        assert langid.grams(text)[1].sum() == len(grams)
+
+
+def test_rows_without_ids_do_not_share_a_draw(spark):
+    rows = [(None, f"der Fluss Nummer {i} und das Meer", "de") for i in range(300)] + [(None, f"the river number {i} and the sea", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    found = langid.identify(docs, model).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * 600
