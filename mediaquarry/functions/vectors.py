@@ -17,8 +17,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_unit(a: Column, b: Column) -> Column:
-    """Euclidean distance of unit vectors, by their inner product."""
-    return F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot(a, b)))
+    """Euclidean distance of unit vectors, by their inner product; null where there is no vector."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot(a, b))))
 
 
 def norm(a: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import parent_of
 from ..functions.vectors import SAME_PERSON, doubles, l2_unit, unit
 from . import tables
 
@@ -25,10 +26,30 @@ def nearest_by_file(characters: DataFrame, query: Column) -> DataFrame:
     return rows.groupBy("fileKey").agg(best.alias("b")).select("fileKey", "b.*")
 
 
-def person_search(characters: DataFrame, query: Column, threshold: float = SAME_PERSON, closed: bool = True) -> DataFrame:
-    """All characters near the query, those with most members first."""
+def person_search(characters: DataFrame, query: Column, threshold: float = SAME_PERSON, closed: bool = True, by: str = "count") -> DataFrame:
+    """All characters near the query with place: those with most members first, then the nearest (by count), or the other way round (by distance); ties by key."""
     rows = characters.withColumn("distance", l2_unit(F.col("bestFaceEmbedding"), query))
-    return rows.where(below(F.col("distance"), threshold, closed)).orderBy(F.desc("memberCount"), "distance", "key")
+    return rows.where(below(F.col("distance"), threshold, closed)).orderBy(*face_order(by))
+
+
+def face_order(by: str) -> list[Column]:
+    keys = [F.desc("memberCount"), F.asc("distance")]
+    return [*(keys if by == "count" else keys[::-1]), F.asc("key")]
+
+
+def ranked_in_file(characters: DataFrame, query: Column) -> DataFrame:
+    """Each file's characters by distance, with place from 0; those without a vector are infinitely far and come last, by characterIdx."""
+    distance = F.coalesce(l2_unit(F.col("bestFaceEmbedding"), query), F.lit(float("inf")))
+    return characters.withColumn("distance", distance).withColumn("place", F.row_number().over(W.partitionBy("fileKey").orderBy("distance", "characterIdx")) - 1)
+
+
+def by_series(matches: DataFrame, series: DataFrame) -> DataFrame:
+    """Matches (fileKey, memberCount), of which two and more in the folder of a series (folder) become one: kind, key, matches, appearances."""
+    folder = parent_of(F.col("fileKey"))
+    inside = matches.withColumn("folder", folder).join(series.select("folder", F.lit(True).alias("_s")), "folder", "left").withColumn("folder", F.when(F.col("_s"), F.col("folder")))
+    counts = inside.where(F.col("folder").isNotNull()).groupBy("folder").agg(F.count("*").alias("matches"), F.sum("memberCount").cast("long").alias("appearances")).where(F.col("matches") >= 2)
+    alone = inside.join(counts.select("folder"), "folder", "left_anti")
+    return counts.select(F.lit("series").alias("kind"), F.col("folder").alias("key"), "matches", "appearances").unionByName(alone.select(F.lit("video").alias("kind"), F.col("fileKey").alias("key"), F.lit(1).cast("long").alias("matches"), F.col("memberCount").cast("long").alias("appearances")))
 
 
 def unpacked(frames: DataFrame, dim: int) -> DataFrame:
@@ -98,7 +119,12 @@ def without_blacklisted(characters: DataFrame, blacklist: DataFrame, threshold:
 def blacklisted(characters: DataFrame, frames: DataFrame, blacklist: DataFrame, key: str, at: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables after a character goes to the blacklist: its vector is copied, its rows are deleted."""
     copied = characters.where(F.col("key") == key).select("key", F.col("bestFaceEmbedding").alias("embedding"), "fileKey", F.lit(at).cast("long").alias("blacklistedAt"))
-    return characters.where(F.col("key") != key), frames.where(F.col("key") != key), blacklist.unionByName(copied)
+    return characters.where(F.col("key") != key), frames.where(F.col("key") != key), blacklist.where(F.col("key") != key).unionByName(copied)
+
+
+def pardoned(blacklist: DataFrame, key: str) -> DataFrame:
+    """The blacklist without one face; its rows come back with the next scan."""
+    return blacklist.where(F.col("key") != key)
 
 
 def centroids(rows: DataFrame, by: str, embedding: str = "embedding") -> DataFrame:
@@ -121,7 +147,42 @@ def against_best(characters: DataFrame) -> DataFrame:
     return rows.select("fileKey", "key", "bestKey", "distance", (F.row_number().over(w) - 1).alias("place"))
 
 
-def poster(candidates: DataFrame, least_px: int = 128, after: float = 0.3) -> DataFrame:
-    """For each file the largest face (w, h) late enough (share of the runtime) and large enough; ties by time."""
-    fine = candidates.where((F.col("t") >= after * F.col("duration")) & (F.least("w", "h") >= least_px))
+def poster(candidates: DataFrame, siblings: DataFrame | None = None, picked: DataFrame | None = None, least_px: int = 128, after: float = 0.3, series_from: int = 5) -> DataFrame:
+    """For each file the face (fileKey, cluster, t, w, h, duration) that stands for it: the largest of its first character, or of its second in folders of series_from videos (siblings: fileKey, siblings), wide enough and late enough (a share of the runtime, or of the character's last time where that is unknown); ties by time. Files whose picture a user picked get none."""
+    rows = candidates if siblings is None else candidates.join(siblings.select("fileKey", "siblings"), "fileKey", "left")
+    if picked is not None:
+        rows = rows.join(picked.select("fileKey"), "fileKey", "left_anti")
+    second = F.lit(False) if siblings is None else F.coalesce(F.col("siblings") >= series_from, F.lit(False))
+    best = W.partitionBy("fileKey")
+    wanted = F.when(second & (F.max("cluster").over(best) >= 1), 1).otherwise(0)
+    mine = rows.withColumn("_wanted", wanted).where(F.col("cluster") == F.col("_wanted"))
+    end = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.max("t").over(best))
+    fine = mine.withColumn("_end", end).where((F.col("t") >= after * F.col("_end")) & (F.col("w") >= least_px))
     return fine.groupBy("fileKey").agg(F.max_by(F.struct("t", "w", "h"), F.struct(F.col("w") * F.col("h"), -F.col("t"))).alias("b")).select("fileKey", "b.*")
+
+
+def merged_groups(merged: DataFrame, characters: DataFrame, frames: DataFrame) -> DataFrame:
+    """People of each file from merged characters (fileKey, characterIdx, groupId, representative): charKeys, repCharKey, memberCount, times in order (frames: key, frameTimes)."""
+    rows = merged.join(characters.select("fileKey", "characterIdx", "key", "memberCount"), ["fileKey", "characterIdx"]).join(frames.select("key", "frameTimes"), "key", "left")
+    rep = F.max(F.when(F.col("characterIdx") == F.col("representative"), F.col("key")))
+    return rows.groupBy("fileKey", "groupId").agg(F.array_sort(F.collect_list("key")).alias("charKeys"), rep.alias("repCharKey"), F.sum("memberCount").alias("memberCount"), F.array_sort(F.flatten(F.collect_list(F.coalesce("frameTimes", F.array().cast(frames.schema["frameTimes"].dataType))))).alias("times"))
+
+
+def same_series(sources: DataFrame, foldered: DataFrame, series: DataFrame) -> DataFrame:
+    """sources (fileKey, …) with target: the file itself and all others directly in its folder, if that is a series (folder)."""
+    inside = foldered.select(F.col("key").alias("target"), parent_of(F.col("key")).alias("folder")).join(series.select("folder"), "folder", "left_semi")  # a series has a bounded number of files
+    others = sources.withColumn("folder", parent_of(F.col("fileKey"))).join(inside, "folder").where(F.col("target") != F.col("fileKey")).drop("folder")
+    return sources.withColumn("target", F.col("fileKey")).unionByName(others.select(*sources.columns, "target"))
+
+
+def people_groups(sources: DataFrame, groups: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
+    """The group (fileKey, groupId, repEmbedding) of a target file that each source (charKey, target, embedding) is: the nearest at most that far; ties by groupId: fileKey, charKey, groupId, distance."""
+    met = sources.select("charKey", F.col("target").alias("fileKey"), "embedding").join(groups, "fileKey").withColumn("distance", l2_unit(F.col("embedding"), F.col("repEmbedding")))
+    best = met.groupBy("fileKey", "charKey").agg(F.min_by(F.struct("groupId", "distance"), F.struct("distance", "groupId")).alias("b"))
+    return best.select("fileKey", "charKey", "b.*").where(F.col("distance") <= threshold)
+
+
+def scenes_of(scenes: DataFrame, people: DataFrame) -> DataFrame:
+    """scenes (file, groups) with one of the people's groups (fileKey, groupId)."""
+    wanted = people.groupBy(F.col("fileKey").alias("file")).agg(F.collect_set("groupId").alias("_wanted"))
+    return scenes.join(wanted, "file").where(F.arrays_overlap("groups", "_wanted")).drop("_wanted")

@@ -104,3 +104,20 @@ def rolling_rate(reads: DataFrame, by: str, window_ms: int) -> DataFrame:
     first = F.min("t").over(W.partitionBy(by))
     spent = F.least(F.lit(float(window_ms)), F.greatest(F.lit(1.0), (F.col("t") - first).cast("double")))
     return reads.withColumn("rate", F.sum("amount").over(w) * 1000.0 / spent).withColumn("slowest", F.max("amount").over(w))
+
+
+def first_of_each(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of rows alike in by the first by order."""
+    others = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("_first")).select(*by, "_first.*")
+
+
+def extents(boxes: DataFrame, by: str) -> DataFrame:
+    """How far right and down the boxes (x, y, w, h) of each group go."""
+    return boxes.groupBy(by).agg(F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
+
+
+def first_containing(points: DataFrame, spans: DataFrame, by: str, key: list[str], bucket_ms: int, closed: bool = True) -> DataFrame:
+    """For each point (by, t, key) the first of the spans that hold it, by start, then end."""
+    held = containing(points, spans, by, bucket_ms, closed=closed)
+    return held.groupBy(*key).agg(F.min(F.struct("start", "end")).alias("_s")).select(*key, "_s.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import collated
+from ..functions.text import collated, owner_of, slug
 
 
 def sizes(members: DataFrame) -> DataFrame:
@@ -81,3 +81,34 @@ def without_item(lists: DataFrame, members: DataFrame, list_key: str, item: obje
     empty = (F.col("key") == list_key) & ~F.col("_held")
     held = rest.where(F.col("listKey") == list_key).select(F.col("listKey").alias("key"), F.lit(True).alias("_held")).distinct()
     return lists.join(held, "key", "left").withColumn("_held", F.coalesce("_held", F.lit(False))).where(~empty).drop("_held"), rest
+
+
+def picker_order(lists: DataFrame, members: DataFrame, recent_key: str = "recent-videos") -> DataFrame:
+    """Lists by when something was added to them, else when they were made, latest first; ties by name; not the built-in one."""
+    rows = lists.where(F.col("key") != recent_key).join(sizes(members).select(F.col("listKey").alias("key"), "lastAdded"), "key", "left")
+    return rows.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.coalesce("lastAdded", "createdAt")), collated(F.col("name")), "key")))  # a row for each list
+
+
+def created(lists: DataFrame, name: str, now: int) -> DataFrame:
+    """lists with one more of that name, unless one has it already (case apart). Its key is the name's slug, or list-<now> where nothing is left of it; -2, -3 … where that is taken; it comes last in order."""
+    trimmed = name.strip()
+    if not trimmed:
+        raise ValueError("a list needs a name")
+    base = lists.sparkSession.range(1).select(F.coalesce(F.nullif(slug(F.lit(trimmed)), F.lit("")), F.lit(f"list-{now}")).alias("base"))
+    taken = lists.crossJoin(base).select(F.when(F.col("key") == F.col("base"), 1).otherwise(F.expr("try_cast(if(startswith(key, base || '-'), substring(key, length(base) + 2), null) AS int)")).alias("k")).where(F.col("k") >= 1).distinct()
+    free = taken.withColumn("island", F.col("k") - F.row_number().over(W.orderBy("k"))).agg(F.coalesce(F.max(F.when(F.col("island") == 0, F.col("k"))), F.lit(0)).alias("last"))
+    facts = lists.agg(F.coalesce(F.max("order"), F.lit(0.0)).alias("top"), F.coalesce(F.bool_or(F.lower("name") == trimmed.lower()), F.lit(False)).alias("there"))
+    key = F.when(F.col("last") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), (F.col("last") + 1).cast("string")))
+    new = base.crossJoin(free).crossJoin(facts).where(~F.col("there")).select(key.alias("key"), F.lit(trimmed).alias("name"), F.lit(now).cast("long").alias("createdAt"), (F.greatest("top", F.lit(0.0)) + 1).alias("order"), F.lit(False).alias("pinned"))
+    return lists.unionByName(new.select(*lists.columns))
+
+
+def toggled(selection: Column, item: Column) -> Column:
+    """A selection (array) without the item, or with it as its last if it isn't there."""
+    return F.when(F.array_contains(selection, item), F.array_remove(selection, item)).otherwise(F.array_append(F.array_distinct(selection), item))
+
+
+def sizes_by_prefix(members: DataFrame, list_key: str) -> DataFrame:
+    """How many items a list has, from keys listKey#item alone: the list is what stands before the last #."""
+    rows = members.select(owner_of(F.col("key")).alias("listKey")).where(F.col("listKey") == list_key)
+    return rows.groupBy("listKey").agg(F.count("*").alias("items"))

@@ -11,8 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.vectors import SAME_PERSON
+from . import faces
 
 SMALLEST, MOST_CLUSTERS = 3, 30
 
@@ -64,8 +66,8 @@ def by_file(df: DataFrame, file: str, work: Callable[[pd.DataFrame], pd.DataFram
     return df.groupBy(file).applyInPandas(work, schema)
 
 
-def clustered(faces: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
-    """faces (file, t, idx, embedding), in order of t and idx, with cluster (null: pruned), numbered by size, largest first."""
+def clustered(found: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
+    """Faces (file, t, idx, embedding), in order of t and idx, with cluster (null: pruned), numbered by size, largest first."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "idx"], kind="stable").reset_index(drop=True)
@@ -75,19 +77,24 @@ def clustered(faces: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
             pdf.loc[g, "cluster"] = n
         return pdf[["file", "t", "idx", "cluster"]]
 
-    return by_file(faces.select("file", "t", "idx", "embedding"), "file", work, "file string, t long, idx long, cluster long")
+    return by_file(found.select("file", "t", "idx", "embedding"), "file", work, "file string, t long, idx long, cluster long")
 
 
-def extracted(faces: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
-    """Characters of clustered faces (…, area): clusters of at least SMALLEST faces, at most MOST_CLUSTERS of a file, each shown by its largest face."""
-    rows = faces.join(clustered(faces, threshold), ["file", "t", "idx"]).where(F.col("cluster").isNotNull())
-    shown = F.max_by(F.struct("t", "idx"), F.struct("area", -F.col("t"), -F.col("idx")))
-    out = rows.groupBy("file", "cluster").agg(F.count("*").alias("memberCount"), shown.alias("s"), F.sort_array(F.collect_list("t")).alias("times"))
-    return out.where((F.col("memberCount") >= SMALLEST) & (F.col("cluster") < MOST_CLUSTERS)).select("file", F.col("cluster").alias("characterIdx"), "memberCount", F.col("s.t").alias("bestT"), F.col("s.idx").alias("bestIdx"), "times")
+def extracted(found: DataFrame, threshold: float = SAME_PERSON, blacklist: DataFrame | None = None) -> DataFrame:
+    """Characters of clustered faces (…, area): clusters of at least SMALLEST faces that no blacklisted face (key, embedding) is near, each shown by its largest face; the MOST_CLUSTERS largest of a file, numbered by size."""
+    rows = found.join(clustered(found, threshold), ["file", "t", "idx"]).where(F.col("cluster").isNotNull())
+    shown = F.max_by(F.struct("t", "idx", "embedding"), F.struct("area", -F.col("t"), -F.col("idx")))
+    out = rows.groupBy("file", "cluster").agg(F.count("*").alias("memberCount"), shown.alias("s"), F.sort_array(F.collect_list("t")).alias("times")).where(F.col("memberCount") >= SMALLEST)
+    out = out.withColumn("key", F.concat_ws("#", "file", F.col("cluster").cast("string")))
+    if blacklist is not None:
+        near = faces.theta_nearest(out.select("key", F.col("s.embedding").alias("embedding")), blacklist, threshold)
+        out = out.join(near.select("key"), "key", "left_anti")
+    ranked = out.withColumn("characterIdx", (F.row_number().over(W.partitionBy("file").orderBy(F.desc("memberCount"), "cluster")) - 1).cast("long")).where(F.col("characterIdx") < MOST_CLUSTERS)
+    return ranked.select("file", "characterIdx", "memberCount", F.col("s.t").alias("bestT"), F.col("s.idx").alias("bestIdx"), "times")
 
 
-def merged_faces(characters: DataFrame, threshold: float = SAME_PERSON, least_faces: int = 1) -> DataFrame:
-    """Characters of a file that are one person: best first, each joins the nearest group by its first face, or starts one; no chains. fileKey, characterIdx, groupId, representative."""
+def merged_faces(characters: DataFrame, threshold: float = SAME_PERSON, least_faces: int = 1, blacklist: DataFrame | None = None) -> DataFrame:
+    """Characters of a file, without those that a blacklisted face is near, that are one person: best first, each joins the nearest group by its first face, or starts one; no chains. fileKey, characterIdx, groupId, representative."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bestFaceScore", "memberCount", "characterIdx"], ascending=[False, False, True], kind="stable")
@@ -106,6 +113,8 @@ def merged_faces(characters: DataFrame, threshold: float = SAME_PERSON, least_fa
         number = {g: n for n, g in enumerate(lowest.sort_values().index)}
         return pd.DataFrame({"fileKey": pdf.fileKey.to_numpy(), "characterIdx": idx, "groupId": [number[g] for g in owner], "representative": [idx[firsts[g]] for g in owner]})
 
+    if blacklist is not None:
+        characters = faces.without_blacklisted(characters, blacklist, threshold)
     rows = characters.where(F.col("bestFaceEmbedding").isNotNull() & (F.col("memberCount") >= least_faces)).select("fileKey", "characterIdx", "memberCount", "bestFaceScore", "bestFaceEmbedding")
     return by_file(rows, "fileKey", work, "fileKey string, characterIdx int, groupId int, representative int")
 
@@ -142,13 +151,13 @@ def scenes(detections: DataFrame, gap_ms: int, duration: str | None = None) -> D
 
 
 def packed(segments: DataFrame) -> DataFrame:
-    """A row for each group of a file's timeline: groups (file, grp, start, end, points) by appearances, each in the first row where nothing touches it."""
+    """A row for each group of a file's timeline: groups (file, grp, start, end, points; members, if there) by appearances, then members, then grp, each in the first row where nothing touches it."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = sorted(((-int(x.points.sum()), name, x[["start", "end"]].to_numpy()) for name, x in pdf.groupby("grp")), key=lambda x: x[:2])
+        groups = sorted(((-int(x.points.sum()), -int(x.members.max()), name, x[["start", "end"]].to_numpy()) for name, x in pdf.groupby("grp")), key=lambda x: x[:3])
         rows: list[np.ndarray] = []
         out = []
-        for minus, name, spans in groups:
+        for minus, _, name, spans in groups:
             fits = next((i for i, r in enumerate(rows) if not ((r[:, None, 0] <= spans[None, :, 1]) & (spans[None, :, 0] <= r[:, None, 1])).any()), len(rows))
             if fits == len(rows):
                 rows.append(spans)
@@ -157,10 +166,16 @@ def packed(segments: DataFrame) -> DataFrame:
             out.append((pdf.file.iloc[0], name, fits, -minus))
         return pd.DataFrame(out, columns=["file", "grp", "row", "appearances"])
 
-    rows = segments.select("file", "grp", "start", "end", "points")
+    members = F.col("members") if "members" in segments.columns else F.lit(0)
+    rows = segments.select("file", "grp", "start", "end", "points", members.alias("members"))
     return by_file(rows, "file", work, f"file {rows.schema['file'].dataType.simpleString()}, grp string, row int, appearances long")
 
 
+def top_rows(packed_rows: DataFrame, rows: int) -> DataFrame:
+    """The first rows of a timeline."""
+    return packed_rows.where(F.col("row") < rows)
+
+
 def thinned(frames: DataFrame, by: str, least_ms: int = 3000) -> DataFrame:
     """Frames (t) at least least_ms after the last one kept: a fold over each group's sorted times."""
     times = frames.groupBy(by).agg(F.array_sort(F.collect_set("t")).alias("t"))

@@ -59,3 +59,11 @@ def expanded(selected: DataFrame, foldered: DataFrame, least: int = SERIES_MIN,
     """Keys of selected (key) and of all videos in their series."""
     wanted = foldered.join(selected.select("key"), "key", "left_semi").join(series_of(foldered, least, most), "folder", "left_semi").select("folder").distinct()
     return foldered.join(wanted, "folder", "left_semi").select("key").union(selected.select("key")).distinct()
+
+
+def display_thumbs(foldered: DataFrame, least: int = SERIES_MIN, most: int = SERIES_MAX) -> DataFrame:
+    """For each series the video whose picture it shows: the first whose picture a user picked (userThumb), else the one played last, else the first."""
+    rows = members(foldered, least, most)
+    picked = F.min_by(F.when(F.col("userThumb"), F.col("key")), F.when(F.col("userThumb"), F.col("episode")))
+    played = F.max_by(F.when(F.col("positionUpdatedAt") > 0, F.col("key")), F.when(F.col("positionUpdatedAt") > 0, F.struct("positionUpdatedAt", -F.col("episode"))))
+    return rows.groupBy("folder").agg(F.coalesce(picked, played, F.min_by("key", "episode")).alias("key"))

@@ -77,9 +77,9 @@ def face_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.against_best(adapters.characters(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT user_id AS "fileKey", epoch_us(ts) // 1000 AS t, CAST(50 + event_id % 200 AS BIGINT) AS w, CAST(60 + event_id % 170 AS BIGINT) AS h, 1706000000000 AS "after" FROM events) SELECT "fileKey", t, w, h FROM c WHERE t >= 0.3 * 5686666666666.0 AND least(w, h) >= 128 QUALIFY row_number() OVER (PARTITION BY "fileKey" ORDER BY w * h DESC, t) = 1""")
+@query("""WITH c AS (SELECT user_id AS "fileKey", epoch_us(ts) // 1000 AS t, CAST(50 + event_id % 200 AS BIGINT) AS w, CAST(60 + event_id % 170 AS BIGINT) AS h, 1706000000000 AS "after" FROM events) SELECT "fileKey", t, w, h FROM c WHERE t >= 0.3 * 5686666666666.0 AND w >= 128 QUALIFY row_number() OVER (PARTITION BY "fileKey" ORDER BY w * h DESC, t) = 1""")
 def face_poster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.detections(spark, sf_dir).select(F.col("file").alias("fileKey"), "t", (50 + F.col("event_id") % 200).alias("w"), (60 + F.col("event_id") % 170).alias("h"), F.lit(5686666666666.0).alias("duration"))
+    rows = adapters.detections(spark, sf_dir).select(F.col("file").alias("fileKey"), "t", (50 + F.col("event_id") % 200).alias("w"), (60 + F.col("event_id") % 170).alias("h"), F.lit(5686666666666.0).alias("duration"), F.lit(0).alias("cluster"))
     return faces.poster(rows)
 
 
@@ -168,12 +168,12 @@ def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def face_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.extracted(_faces(spark, sf_dir), NEAR)
+    return sequential.extracted(_faces(spark, sf_dir), NEAR, _blacklist(spark, sf_dir))
 
 
 @query()
 def face_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.merged_faces(adapters.characters(spark, sf_dir), NEAR, 2)
+    return sequential.merged_faces(adapters.characters(spark, sf_dir), NEAR, 2, _blacklist(spark, sf_dir))
 
 
 @query()
@@ -192,7 +192,7 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.packed(_spans(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DETECTIONS}, o AS (SELECT file, t, row_number() OVER (PARTITION BY file ORDER BY t) AS r FROM (SELECT DISTINCT file, t FROM det)), s AS (SELECT file, r, t, t AS last, true AS kept FROM o WHERE r = 1 UNION ALL SELECT o.file, o.r, o.t, CASE WHEN o.t - s.last >= 36000000 THEN o.t ELSE s.last END, o.t - s.last >= 36000000 FROM s JOIN o ON o.file = s.file AND o.r = s.r + 1) SELECT file, t FROM s WHERE kept""")
 def thinned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.thinned(adapters.detections(spark, sf_dir), "file", 10 * HOUR)
 
@@ -202,7 +202,9 @@ def smoothed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.smoothed(adapters.detections(spark, sf_dir).withColumnRenamed("value", "x"), "file")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT CAST(user_id AS VARCHAR) AS file, epoch_us(ts) // 1000 // 864000000 AS frame, event_id AS idx, {'x1': CAST(event_id % 90 AS DOUBLE), 'y1': CAST(event_id % 70 AS DOUBLE), 'x2': CAST(event_id % 90 + 40 + event_id % 11 AS DOUBLE), 'y2': CAST(event_id % 70 + 40 + event_id % 7 AS DOUBLE)} AS b, value FROM events),
+ o AS (SELECT *, row_number() OVER (PARTITION BY file, frame ORDER BY value DESC, idx) AS r FROM b),
+ s AS (SELECT file, frame, r, idx, [b] AS kept, true AS stays FROM o WHERE r = 1 UNION ALL SELECT file, frame, r, idx, CASE WHEN free THEN list_append(kept, b) ELSE kept END, free FROM (SELECT o.file, o.frame, o.r, o.idx, o.b, s.kept, len(list_filter(s.kept, lambda k: greatest(0.0, least(o.b.x2, k.x2) - greatest(o.b.x1, k.x1)) * greatest(0.0, least(o.b.y2, k.y2) - greatest(o.b.y1, k.y1)) / ((o.b.x2 - o.b.x1) * (o.b.y2 - o.b.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - greatest(0.0, least(o.b.x2, k.x2) - greatest(o.b.x1, k.x1)) * greatest(0.0, least(o.b.y2, k.y2) - greatest(o.b.y1, k.y1))) > 0.4)) = 0 AS free FROM s JOIN o ON o.file = s.file AND o.frame = s.frame AND o.r = s.r + 1)) SELECT file, frame, idx FROM s WHERE stays""")
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     boxes = adapters.detections(spark, sf_dir).select(F.col("file").cast("string").alias("file"), F.floor(F.col("t") / (240 * HOUR)).alias("frame"), n.alias("idx"), (n % 90).cast("double").alias("x1"), (n % 70).cast("double").alias("y1"), (n % 90 + 40 + n % 11).cast("double").alias("x2"), (n % 70 + 40 + n % 7).cast("double").alias("y2"), F.col("value").alias("score"))

@@ -120,9 +120,11 @@ def series_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.expanded(files.where(F.col("n") % 97 == 0), series.with_folder(files), least=2)
 
 
-@query()
+@query(r"""WITH RECURSIVE pg AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || '/' || page_id AS key FROM pages), f AS (SELECT key, regexp_extract(key, '^(.*)/[^/]*$', 1) AS folder FROM pg),
+ lv AS (SELECT key, folder, (SELECT max(len(string_split(folder, '/'))) FROM f) AS d FROM f UNION ALL SELECT key, CASE WHEN n = 1 AND len(string_split(folder, '/')) = d THEN regexp_extract(folder, '^(.*)/[^/]*$', 1) ELSE folder END, d - 1 FROM (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM lv WHERE d > 1))
+ SELECT folder, count(*) AS videos, regexp_extract(folder, '[^/]*$') AS "folderName" FROM lv WHERE d = 1 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100""")
 def series_deep_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lone pages move up their tree level by level: compared with a plain model in the tests."""
+    """Lone pages move up their tree level by level."""
     pages = adapters.pages_tree(spark, sf_dir).select(F.concat("path", F.lit("/"), F.col("n").cast("string")).alias("key")).withColumn("relativePath", F.col("key")).withColumn("name", text.base_of(F.col("key")))
     return series.series_of(series.with_folder(pages), 2)
 

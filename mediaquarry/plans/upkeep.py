@@ -238,7 +238,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("word") != "").select(F.col("conv_id").alias("key"), start.alias("start"), (start + 0.3).alias("end"), "word")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT conv_id AS key, turn * 100.0::DOUBLE + i * 0.4::DOUBLE + (i // 9) * 1.0::DOUBLE AS start, word FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS i FROM conversations) WHERE word <> ''), o AS (SELECT key, start, start + 0.3::DOUBLE AS "end", word, row_number() OVER (PARTITION BY key ORDER BY start, start + 0.3::DOUBLE, word) AS r FROM w),
+ s AS (SELECT key, r, start AS first, "end" AS last, length(word) + 1 AS n, 1 AS id FROM o WHERE r = 1 UNION ALL SELECT key, r, CASE WHEN cut THEN start ELSE first END, "end", CASE WHEN cut THEN 0 ELSE n END + length(word) + 1, id + CASE WHEN cut THEN 1 ELSE 0 END FROM (SELECT o.*, s.first, s.n, s.id, o.start - s.last > 0.8::DOUBLE OR o."end" - s.first > 6.0::DOUBLE OR s.n + length(o.word) > 84 AS cut FROM s JOIN o ON o.key = s.key AND o.r = s.r + 1))
+ SELECT s.key, min(o.start) AS start, max(o."end") AS "end", string_agg(o.word, ' ' ORDER BY o.r) AS cue FROM s JOIN o ON o.key = s.key AND o.r = s.r GROUP BY s.key, s.id""")
 def word_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.cues(words(spark, sf_dir))
 

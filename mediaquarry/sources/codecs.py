@@ -116,3 +116,40 @@ def probe_summary(raw: Column, ok: Column | None = None, error: Column | None =
         fine.alias("ok"), (F.size(real) > 0).alias("hasVideo"), doc["format"]["format_name"].alias("container"), F.get(real, 0).alias("primaryVideo"),
         video.alias("video"), codecs_of("audio").alias("audio"), F.when(~fine, tail).alias("ffError"),
     )
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def floats_of(data: pd.Series) -> pd.Series:
+    """The little-endian 32-bit floats of bytes; null where their number isn't whole."""
+    return data.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
+STRIP = T.StructType([T.StructField("count", T.LongType()), T.StructField("intervalSec", T.DoubleType()), T.StructField("times", T.ArrayType(T.DoubleType())), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("complete", T.BooleanType())])
+
+
+@F.pandas_udf(T.BinaryType())
+def strip_bytes(interval: pd.Series, times: pd.Series, pictures: pd.Series) -> pd.Series:
+    """Pictures of a video in one value: count (32 bits), interval and times (doubles, seconds), where each begins among the data and the last ends (32 bits), then the data; little-endian."""
+
+    def one(every, at, data) -> bytes | None:
+        if data is None:
+            return None
+        ends = np.cumsum([0, *map(len, data)])
+        return b"".join([struct.pack("<Id", len(data), every), np.asarray(at, "<f8").tobytes(), ends.astype("<u4").tobytes(), *map(bytes, data)])
+
+    return pd.Series([one(*x) for x in zip(interval, times, pictures)], dtype=object)
+
+
+@F.pandas_udf(STRIP)
+def strip_parts(strips: pd.Series) -> pd.DataFrame:
+    """count, intervalSec, times, offsets (from the value's first byte; one more than pictures) of such values, and whether all bytes are there; null for what is too short or holds none."""
+
+    def one(data: bytes | None):
+        n = struct.unpack_from("<I", data)[0] if data is not None and len(data) >= 12 else 0
+        start = 12 + 8 * n + 4 * (n + 1)
+        if not n or len(data) < start:
+            return (None,) * 5
+        offsets = start + np.frombuffer(data, "<u4", n + 1, 12 + 8 * n).astype(np.int64)
+        return n, struct.unpack_from("<d", data, 4)[0], np.frombuffer(data, "<f8", n, 12), offsets, bool(len(data) >= offsets[-1])
+
+    return pd.DataFrame([one(x) for x in strips], columns=[f.name for f in STRIP]).astype({"count": "Int64", "intervalSec": "float64", "complete": "boolean"})
