@@ -15,7 +15,8 @@ of the first runs only, and isn't compared by pairs of chunks. Exact copies are
 
 Defined cases: a text under SHINGLE words is one token, all its words; one without words (null, empty, blank) links with
 nothing; rows alike in doc_id and text are copies of one another; a row without doc_id counts as one more copy of an equal
-text that has one (n_links are that text's) and else links with nothing; an empty table gives an empty result; other columns play no part.
+text that has one (n_links are that text's) and else links with nothing; rows that share a doc_id with different texts are
+sets of their own, of which one (by hash) stands first in a group where several have the smallest doc_id; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -288,12 +289,15 @@ def linked_roughly(classes: DataFrame, leaf: DataFrame, pairs: bool) -> DataFram
 
 
 def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, n_links (rows it links to), class_id (smallest doc_id that links reach), and the hashes k1, k2 of its text."""
+    """A row for each row of docs (doc_id, text): doc_id, n_links (rows it links to), class_id (smallest doc_id that links reach), whether its text stands first in its group, and the hashes k1, k2 of its text."""
     spark = docs.sparkSession
     runs = runs_needed(recall)
     rows = keyed(docs)
     full, at_full = stored(rows.mapInArrow(lambda batches: scanned(batches, runs), SCANNED), "chosen-paths")
-    classes, at = stored(full.where((F.col("size") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in ARRAYS)), "text-classes")
+    grouped = full.where((F.col("size") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in ARRAYS))
+    # rep numbers the classes in the order of their smallest ids: an id may stand for several texts.
+    ordered = grouped.repartitionByRange("low", "k1").sortWithinPartitions("low", "k1")
+    classes, at = stored(ordered.withColumn("rep", F.monotonically_increasing_id()), "text-classes")
     scan, _ = stored(full.select("doc_id", "size", "k1", "k2"), "text-keys")
     discard(spark, at_full)
 
@@ -306,26 +310,27 @@ def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     member = member.unionByName(member.select(F.col("piece").alias("rep"), "piece").distinct())
     sizes = member.groupBy("piece").agg(F.count("*").alias("group_size"))
     # The wanted texts: one row of each class that stands in a piece.
-    wanted = member.join(sizes, "piece").join(classes.select("rep", "n", "k1", "k2"), "rep").select(F.col("rep").alias("doc_id"), "k1", "k2", "piece", "group_size", "n")
-    found = rows.join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).withColumnRenamed("doc_id", "rep")
+    wanted = member.join(sizes, "piece").join(classes.select("rep", "low", "n", "k1", "k2"), "rep").select(F.col("low").alias("doc_id"), "k1", "k2", "rep", "piece", "group_size", "n")
+    found = rows.join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
     cut = found.withColumn("chunks", F.ceil(F.col("group_size") / GROUP).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("piece", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "rep", "n", "text")
     counted, _ = stored(by_groups(spread, ["piece", "c1", "c2"], exactly, "rep long, links long, parent long"), "text-links")
     components = stars(counted.select(F.col("rep").alias("u"), F.col("parent").alias("v")))
 
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = classes.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
+    lows = components.join(classes.select(F.col("rep").alias("component"), F.col("low").alias("component_low")), "component").select(F.col("node").alias("rep"), "component_low")
+    by_class = classes.select("k1", "k2", "rep", "n", "low").join(links, "rep", "left").join(lows, "rep", "left")
+    by_class = by_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("class_id"), F.col("component_low").isNull().alias("first"))
     done, _ = stored(by_class, "text-results")
     discard(spark, at)
     return scan.select("doc_id", F.col("size").alias("n_shingles"), "k1", "k2").join(done, ["k1", "k2"], "left").select(
-        "doc_id", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_shingles", "k1", "k2"
+        "doc_id", F.coalesce("first", F.lit(True)).alias("first"), F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_shingles", "k1", "k2"
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id names their class, one of each; columns stay. Texts without words all stay."""
-    kept = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("k1").alias("_1"), F.col("k2").alias("_2")).distinct()
+    kept = similar_texts(docs).where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("k1").alias("_1"), F.col("k2").alias("_2")).distinct()
     keyed_docs = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(SEED), "text")})
     same = keyed_docs.doc_id.eqNullSafe(kept["_d"]) & (F.col("_k1") == F.col("_1")) & (F.col("_k2") == F.col("_2"))
     return keyed_docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).select(*docs.columns)

@@ -39,7 +39,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.similar_texts(table(spark, sf_dir, "documents")).drop("k1", "k2")
+    return chosen_path.similar_texts(table(spark, sf_dir, "documents")).drop("k1", "k2", "first")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,35 @@ def test_similar_texts_of_odd_rows(odd_documents, no_documents):
     assert chosen_path.similar_texts(no_documents).count() == 0 and chosen_path.one_of_each(no_documents).count() == 0
 
 
+def test_an_id_with_different_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, base), (5, base + " more"), (5, "quite another text of seven words"), (3, "a third text that is like no other here"), (9, base + " x"), (9, "nine alone here with words of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similar(df) == text_rows(rows)
+    kept = sorted((r.doc_id, r.text) for r in chosen_path.one_of_each(df).collect())
+    assert len(kept) == 4 and sum(t.startswith("w0") for _, t in kept) == 1 and (9, rows[5][1]) in kept and (5, rows[2][1]) in kept
+
+
+def test_hubs_are_dealt_to_several_tasks(spark, monkeypatch):
+    from mediaquarry.llm import components
+
+    monkeypatch.setattr(components, "HUB", 10)
+    edges = [(0, i) for i in range(1, 60)] + [(i, 100 + i) for i in range(1, 60)] + [(200, i) for i in range(201, 290)] + [(289, 300)]
+    got = {r.node: r.component for r in stars(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: c for i, c in enumerate(lowest(301, edges)) if i != c}
+
+
+@pytest.mark.parametrize("words", [5, 6, 9, 14, 30])
+def test_recall_of_short_texts(spark, words):
+    rng = random.Random(words)
+    rows = []
+    for i in range(300):  # pairs whose similarity is just over the threshold, or as near as texts so short can be
+        a = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        extra = max(0, (words - 4) // 5)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join([*a, *(f"x{rng.randrange(10**6)}" for _ in range(extra))]))]
+    assert similar(spark.createDataFrame(rows, "doc_id long, text string")) == text_rows(rows)
+
+
 def test_one_of_each(documents):
     want = {d for d, _, c in text_rows([(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]) if d == c}
     assert sorted(r.doc_id for r in chosen_path.one_of_each(documents).collect()) == sorted(want)
