@@ -85,12 +85,13 @@ def mix(docs: DataFrame, targets: Mapping[str | None, float] | None = None, bloc
     table = spark.createDataFrame([(*x, weights[x[0]]) for x in plan], schema)
     ones = table.select(F.col("_source").alias("_s"), F.col("_w").alias("_weight")).distinct()
 
-    ordered = numbered(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), "source", "_h", "doc_id")
+    packed = rows.select("doc_id", "source", F.struct(*rows.columns).alias("_row"))  # whatever the columns' names
+    ordered = numbered(packed.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), "source", "_h", "doc_id")
     blocks = ordered.join(F.broadcast(ones), F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.expr(f"number div {block}"))
     turn = F.expr("block div _weight") * period
     placed = blocks.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") % F.col("_weight") == F.col("_j")))
     return placed.select(
-        *rows.columns, "block", (turn + F.col("_release")).alias("release"), (turn + F.col("_deadline")).alias("deadline"),
+        "_row.*", "block", (turn + F.col("_release")).alias("release"), (turn + F.col("_deadline")).alias("deadline"),
         (turn + F.col("_slot")).alias("slot"), (F.col("number") % block).alias("place"), (turn + F.col("_slot") < horizon).alias("in_horizon"),
     )
 
@@ -98,4 +99,5 @@ def mix(docs: DataFrame, targets: Mapping[str | None, float] | None = None, bloc
 def in_mixed_order(docs: DataFrame, targets: Mapping[str | None, float] | None = None) -> DataFrame:
     """The rows and columns of docs, range-partitioned and sorted in the order of the mix: written files keep it, part by part."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mix(docs, targets).repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    packed = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_all"))
+    return mix(packed, targets).repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place").select("_all.*")

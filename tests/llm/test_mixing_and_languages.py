@@ -59,6 +59,37 @@ def test_weights_add_up():
         mixing.integer_weights({str(i): 1.0 for i in range(mixing.MAX_PERIOD + 1)})
 
 
+def plain_mix(rows, weights, block):
+    """(source, doc_id, slot, place) by serving, slot by slot, the released block whose deadline comes first."""
+    period = sum(weights.values())
+    names, done, slots = list(weights), dict.fromkeys(weights, 0), {}
+    blocks = {k: -(-sum(r.source == k for r in rows) // block) for k in weights}
+    slot = 0
+    while any(done[k] < blocks[k] for k in names):
+        ready = [(-(-(done[k] + 1) * period // weights[k]), i) for i, k in enumerate(names) if done[k] * period // weights[k] <= slot]
+        k = names[min(ready)[1]]
+        slots[k, done[k]] = slot
+        done[k] += 1
+        slot += 1
+    out = []
+    for k in names:
+        mine = sorted((r.h, r.doc_id) for r in rows if r.source == k)
+        out += [(k, d, slots[k, i // block], i % block) for i, (_, d) in enumerate(mine)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("targets,block", [(None, 4), ({"src1": 5.0, "src2": 1.0, "src3": 0.1}, 3)])
+def test_mix_is_that_of_a_plain_schedule(documents, targets, block):
+    from pyspark.sql import functions as F
+
+    rows = documents.select("doc_id", "source", F.xxhash64(F.lit(0), "doc_id").alias("h")).collect()
+    counts = Counter(r.source for r in rows)
+    wanted = {k: v for k, v in targets.items() if k in counts} if targets else {k: n**mixing.TEMPER for k, n in counts.items()}
+    wanted |= {k: min(wanted.values(), default=1.0) for k in counts if wanted.get(k, 0) <= 0}
+    got = mixing.mix(documents, targets, block).collect()
+    assert sorted(((r.source, r.doc_id, r.slot, r.place) for r in got), key=repr) == plain_mix(rows, mixing.integer_weights(wanted), block)
+
+
 def test_mix_of_odd_rows(odd_documents, no_documents):
     check_mix(odd_documents, None, 2)
     check_mix(odd_documents, {"a": 3.0, "not there": 2.0}, 16)
