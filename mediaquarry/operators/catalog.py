@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import base_of
 from ..sources.adapters import VERSION
 
 DAY = 86_400_000
@@ -65,6 +66,17 @@ def in_work_order(path: str = "key") -> list[Column]:
     return [F.desc_nulls_last("scanPriority"), F.size(F.split(path, "/")), F.col(path)]
 
 
+def in_name_order(path: str = "key") -> list[Column]:
+    """By the name without its folders, whatever its case and accents, then by path."""
+    return [F.collate(base_of(F.col(path)), "UNICODE_CI_AI"), F.col(path)]
+
+
+def skipped(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """files with some taken out of all later scans."""
+    rows = files.join(keys.select("key", F.lit(True).alias("_skip")).distinct(), "key", "left")
+    return rows.withColumn("scanBlacklisted", F.coalesce("_skip", "scanBlacklisted")).drop("_skip")
+
+
 def metadata_work(files: DataFrame, mode: str = "auto") -> DataFrame:
     """auto: another version than now; missing: no thumbnail; force: all. Blacklisted files never."""
     stale = ~F.col("metadataVersion").eqNullSafe(F.lit(VERSION))
@@ -120,6 +132,19 @@ def phase_counts(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("total"), F.greatest(F.lit(0), F.count("*") - done("metadataVersion")).alias("metadataLeft"), F.greatest(F.lit(0), F.count("*") - done("keyframesVersion")).alias("keyframesLeft"), F.count_if(F.coalesce("extractionError", F.lit("")) != "").alias("failed"), F.sum("size").alias("bytes"))
 
 
+def phase_totals(files: DataFrame) -> DataFrame:
+    """A row for each phase: files still to do (not blacklisted; for the later phases none that failed), those done without a picture (metadata only), and the time spent."""
+    listed, failed = ~F.coalesce("scanBlacklisted", F.lit(False)), F.coalesce("extractionError", F.lit("")) != ""
+    todo = lambda c: ~F.coalesce(F.col(c) == VERSION, F.lit(False))
+    bare = (F.col("metadataVersion") == VERSION) & ~F.coalesce(F.col("thumbW") > 0, F.lit(False))
+    one = files.agg(
+        F.count_if(listed & todo("metadataVersion")).alias("l0"), F.count_if(listed & ~failed & todo("keyframesVersion")).alias("l1"), F.count_if(listed & ~failed & todo("facesVersion")).alias("l2"),
+        F.count_if(bare).alias("e0"), *(F.coalesce(F.sum(f"{p}Ms"), F.lit(0)).alias(f"m{i}") for i, p in enumerate(("metadata", "keyframes", "faces"))),
+    )
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("phase"), F.col(f"l{i}").alias("left"), (F.col("e0") if i == 0 else F.lit(None).cast("long")).alias("errored"), F.col(f"m{i}").cast("double").alias("ms")) for i, p in enumerate(("metadata", "keyframes", "faces"))))).alias("x")
+    return one.select(each).select("x.*")
+
+
 def media_eta(files: DataFrame, seconds_per_media_second: float) -> DataFrame:
     """One row: seconds of work left, unknown durations taken as the mean of the known ones, or an hour if none is known."""
     left = ~F.col("metadataVersion").eqNullSafe(F.lit(VERSION))

@@ -14,12 +14,12 @@ def ancestors(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(F.explode(prefixes_of(F.col(path))).alias("folder")).groupBy("folder").agg(F.count("*").alias("videos"))
 
 
-def tree(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
-    """Each folder with what is in it and below: files, bytes, folders below. Folders without files of their own are there too."""
-    rows = files.select(size, F.explode(prefixes_of(F.col(path))).alias("folder"))
-    totals = rows.groupBy("folder").agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))
+def tree(files: DataFrame, path: str = "path", size: str = "size", measures: tuple[str, ...] = ()) -> DataFrame:
+    """Each folder with what is in it and below: files, bytes, folders below, and sums of more measures. Folders without files of their own are there too."""
+    rows = files.select(size, *measures, F.explode(prefixes_of(F.col(path))).alias("folder"))
+    totals = rows.groupBy("folder").agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), *(F.sum(m).alias(m) for m in measures))
     below = totals.select(F.explode(prefixes_of(F.col("folder"))).alias("folder")).groupBy("folder").agg(F.count("*").alias("folders"))
-    return totals.join(below, "folder", "left").select("folder", "files", "bytes", F.coalesce("folders", F.lit(0)).alias("folders"))
+    return totals.join(below, "folder", "left").select("folder", "files", "bytes", F.coalesce("folders", F.lit(0)).alias("folders"), *measures)
 
 
 def shares(folders: DataFrame, metric: str = "bytes") -> DataFrame:

@@ -27,6 +27,12 @@ def in_order(members: DataFrame, activity: Column) -> DataFrame:
     return members.withColumn("place", F.row_number().over(order))
 
 
+def with_activity(members: DataFrame, videos: DataFrame, series: DataFrame) -> DataFrame:
+    """members (itemKey, itemType) with activity: when they were added, or last played (videos, series: key, played), whichever is later."""
+    played = videos.select(F.lit("video").alias("itemType"), F.col("key").alias("itemKey"), "played").unionByName(series.select(F.lit("series").alias("itemType"), F.col("key").alias("itemKey"), "played"))
+    return members.join(played, ["itemType", "itemKey"], "left").withColumn("activity", F.greatest("addedAt", F.coalesce("played", F.lit(0)))).drop("played")
+
+
 def item_lists(members: DataFrame, ordered_lists: DataFrame, item: object) -> DataFrame:
     """Lists that hold an item, in display order."""
     mine = members.where(F.col("itemKey") == F.lit(item)).select(F.col("listKey").alias("key"))

@@ -61,6 +61,17 @@ def expanded(selected: DataFrame, foldered: DataFrame, least: int = SERIES_MIN,
     return foldered.join(wanted, "folder", "left_semi").select("key").union(selected.select("key")).distinct()
 
 
+def alphabetical(found: DataFrame) -> DataFrame:
+    """Series in reading order of their whole paths, with place."""
+    return tables.numbered(found, [collated(F.col("folder")), F.col("folder")], "place")
+
+
+def last_plays(foldered: DataFrame, least: int = SERIES_MIN, most: int = SERIES_MAX) -> DataFrame:
+    """When something of each series was last played: key (its folder), played."""
+    inside = foldered.join(series_of(foldered, least, most).select("folder"), "folder", "left_semi")
+    return inside.groupBy(F.col("folder").alias("key")).agg(F.max("positionUpdatedAt").alias("played"))
+
+
 def display_thumbs(foldered: DataFrame, least: int = SERIES_MIN, most: int = SERIES_MAX) -> DataFrame:
     """For each series the video whose picture it shows: the first whose picture a user picked (userThumb), else the one played last, else the first."""
     rows = members(foldered, least, most)

@@ -60,11 +60,32 @@ def selected(rows: DataFrame, what: str) -> DataFrame:
     return rows.where((F.col("category") == what) | F.contains(F.lower("relativePath"), text) | F.contains(F.lower("extractionError"), text))
 
 
+def like(rows: DataFrame, shape: Column) -> DataFrame:
+    """Groups of rows alike in shape: how many, and the first by path."""
+    return rows.withColumn("shape", shape).groupBy("shape").agg(F.count("*").alias("records"), F.min("relativePath").alias("example"))
+
+
 def probe_shapes(rows: DataFrame) -> DataFrame:
-    """Groups of the same container, codec and state."""
+    """Groups by what a probe (container, video, audio, ffError) found: container and codecs, or why it couldn't be read."""
     p = F.col("probe")
-    shape = F.when(p.isNull(), "unprobed").when(~p["ok"], "unreadable").otherwise(F.concat_ws("/", p["container"], F.coalesce(p["primaryVideo"], F.lit("-"))))
-    return rows.withColumn("shape", shape).groupBy("shape").agg(F.count("*").alias("records"), F.min("relativePath").alias("example"))
+    listed = lambda codecs: F.coalesce(F.nullif(F.array_join(codecs, ","), F.lit("")), F.lit("none"))
+    found = F.concat(F.coalesce(p["container"], F.lit("?")), F.lit(" | v="), listed(p["video"]), F.lit(" a="), listed(p["audio"]))
+    return like(rows, F.when(p.isNull(), "(unprobed)").when(~p["ok"], F.concat(F.lit("UNREADABLE: "), F.coalesce(p["ffError"], F.lit("?")))).otherwise(found))
+
+
+def decode_shapes(rows: DataFrame) -> DataFrame:
+    """Groups of files that are there by how a trial decoding (ok, timedOut, stderr) ended: OK, TIMEOUT, or the last line of its complaints."""
+    last = F.left(F.element_at(F.split(F.coalesce("stderr", F.lit("FAIL")), "\n"), -1), F.lit(120))
+    return like(rows.where("exists"), F.when(F.col("ok"), "OK").when(F.col("timedOut"), "TIMEOUT").otherwise(last))
+
+
+def assembled(errors: DataFrame, paths: DataFrame, **columns: DataFrame) -> DataFrame:
+    """Error records from columns that are kept apart (key, value each): every key that has an error (not empty) and a path, what else is known of it, and ext, what follows the path's last dot (lower-case)."""
+    rows = errors.where(F.coalesce("value", F.lit("")) != "").select("key", F.col("value").alias("extractionError"))
+    rows = rows.join(paths.where(F.col("value").isNotNull()).select("key", F.col("value").alias("relativePath")), "key")
+    for name, column in columns.items():
+        rows = rows.join(column.select("key", F.col("value").alias(name)), "key", "left")
+    return rows.withColumn("ext", F.lower(F.regexp_extract("relativePath", r"\.([^.]*)$", 1)))
 
 
 def probed(records: DataFrame, cache: DataFrame, read: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
-from ..operators import catalog, folders, lists, scans, tracks, triage
+from ..operators import catalog, folders, lists, scans, series, tables, tracks, triage
 from ..sources import adapters
 from .registry import DETECTIONS, FILES, query
 
@@ -301,3 +301,66 @@ def ass_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = adapters.table(spark, sf_dir, "part")
     event = F.when(F.col("p_partkey") % 2 == 0, r"0,0,Default,,0,0,0,,{\i1}One, two\Nthree").otherwise(F.col("p_name"))
     return part.select(F.col("p_partkey").alias("n"), text.ass_text(event).alias("ass"))
+
+
+SUMS = """sum(CASE WHEN n % 3 <> 0 THEN n END)"""
+
+
+@query(f"""WITH {FILES} SELECT 'metadata' AS phase, count(*) FILTER (NOT "scanBlacklisted" AND "metadataVersion" <> 7) AS "left", count(*) FILTER ("metadataVersion" = 7 AND n % 4 = 0) AS errored, CAST(sum(n) AS DOUBLE) AS ms FROM bare
+ UNION ALL SELECT 'keyframes', count(*) FILTER (NOT "scanBlacklisted" AND coalesce("extractionError", '') = '' AND "keyframesVersion" IS DISTINCT FROM 7), NULL, CAST({SUMS} AS DOUBLE) FROM bare UNION ALL SELECT 'faces', count(*) FILTER (NOT "scanBlacklisted" AND coalesce("extractionError", '') = '' AND "facesVersion" <> 7), NULL, 0.0 FROM bare""")
+def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _bare(spark, sf_dir).withColumns({"thumbW": F.when(_n() % 4 != 0, 640), "metadataMs": _n(), "keyframesMs": F.when(_n() % 3 != 0, _n()), "facesMs": F.lit(None).cast("long")})
+    return catalog.phase_totals(rows)
+
+
+@query(f"""WITH {FILES}, r AS (SELECT key, n, CASE WHEN n % 3 = 0 THEN 'OK' WHEN n % 3 = 1 AND n % 2 = 0 THEN 'TIMEOUT' WHEN n % 5 = 0 THEN 'FAIL' ELSE 'moov '||n % 4 END AS shape FROM bare WHERE n % 7 <> 0) SELECT shape, count(*) AS records, min(key) AS example FROM r GROUP BY 1""")
+def triage_decode_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _n()
+    rows = _bare(spark, sf_dir).withColumns({"exists": n % 7 != 0, "ok": n % 3 == 0, "timedOut": n % 2 == 0, "stderr": F.when(n % 5 != 0, F.concat(F.lit("first\nmoov "), (n % 4).cast("string")))})
+    return triage.decode_shapes(rows.withColumn("timedOut", F.col("timedOut") & (n % 3 == 1)))
+
+
+@query(f"""WITH {FILES} SELECT key, key AS "relativePath", "extractionError", CASE WHEN n % 2 = 0 THEN size END AS size, CASE WHEN n % 3 = 0 THEN 'hevc' END AS "videoCodec", 'mkv' AS ext FROM bare WHERE coalesce("extractionError", '') <> '' AND n % 13 <> 0""")
+def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _bare(spark, sf_dir)
+    column = lambda c, where: files.where(where).select("key", c.alias("value"))
+    rows = triage.assembled(column(F.col("extractionError"), F.lit(True)), column(F.col("relativePath"), _n() % 13 != 0), size=column(F.col("size"), _n() % 2 == 0), videoCodec=column(F.lit("hevc"), _n() % 3 == 0))
+    return rows.select("key", "relativePath", "extractionError", "size", "videoCodec", "ext")
+
+
+@query(f"""WITH {FILES} SELECT key, CAST(row_number() OVER (ORDER BY lower(name), key) - 1 AS INT) AS place FROM bare WHERE NOT "scanBlacklisted" AND "metadataVersion" <> 7""")
+def work_metadata_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.metadata_work(_bare(spark, sf_dir))
+    return tables.numbered(rows, catalog.in_name_order(), "place").select("key", "place")
+
+
+@query(f"""WITH {FILES} SELECT 'missing' AS mode, count(*) FILTER (n % 4 = 0) AS files FROM bare WHERE NOT "scanBlacklisted" UNION ALL SELECT 'force', count(*) FROM bare WHERE NOT "scanBlacklisted" UNION ALL SELECT 'skipped', count(*) FROM bare WHERE NOT "scanBlacklisted" AND n % 5 <> 1""")
+def work_metadata_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _bare(spark, sf_dir).withColumn("thumbW", F.when(_n() % 4 != 0, 640))
+    count = lambda rows, mode: rows.agg(F.count("*").alias("files")).select(F.lit(mode).alias("mode"), "files")
+    skipped = catalog.skipped(files, files.where(_n() % 5 == 1))
+    return count(catalog.metadata_work(files, "missing"), "missing").unionByName(count(catalog.metadata_work(files, "force"), "force")).unionByName(count(catalog.metadata_work(skipped, "force"), "skipped"))
+
+
+@query(f"""WITH {FILES}, s AS (SELECT folder FROM foldered GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT folder, CAST(row_number() OVER (ORDER BY folder) - 1 AS INT) AS place FROM s WHERE folder LIKE '%/%'""")
+def series_alphabetical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = series.series_of(series.with_folder(_bare(spark, sf_dir)), 2).where(F.contains("folder", F.lit("/")))
+    return series.alphabetical(found).select("folder", "place")
+
+
+@query(f"""WITH {FILES}, s AS (SELECT folder, max("positionUpdatedAt") AS p FROM foldered GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100), m AS (SELECT key AS "itemKey", n AS "addedAt", coalesce("positionUpdatedAt", 0) AS p, CASE WHEN n % 9 = 0 THEN n END AS rank FROM files WHERE n % 3 = 0 UNION ALL SELECT folder, 5, coalesce(p, 0), NULL FROM s)
+ SELECT "itemKey", CAST(row_number() OVER (ORDER BY rank NULLS LAST, CASE WHEN rank IS NULL THEN -greatest("addedAt", p) END, "itemKey") AS INT) AS place FROM m""")
+def list_mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = adapters.files(spark, sf_dir)
+    foldered = series.with_folder(files)
+    plays = series.last_plays(foldered, 2)
+    videos = files.where(_n() % 3 == 0).select(F.lit("video").alias("itemType"), F.col("key").alias("itemKey"), _n().alias("addedAt"), F.when(_n() % 9 == 0, _n()).alias("rank"))
+    whole = plays.select(F.lit("series").alias("itemType"), F.col("key").alias("itemKey"), F.lit(5).cast("long").alias("addedAt"), F.lit(None).cast("long").alias("rank"))
+    members = lists.with_activity(videos.unionByName(whole).withColumn("listKey", F.lit("l")), files.select("key", F.col("positionUpdatedAt").alias("played")), plays)
+    return lists.in_order(members, F.col("activity")).select("itemKey", "place")
+
+
+@query("""WITH pg AS (SELECT page_id AS n, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), pre AS (SELECT n, array_to_string(string_split(path, '/')[1:i], '/') AS folder FROM pg, unnest(range(1, len(string_split(path, '/')))) AS t(i)) SELECT folder, sum(n % 7)::DOUBLE AS "timeMs", CAST(sum(CASE WHEN n % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS videos FROM pre GROUP BY 1""")
+def folder_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.pages_tree(spark, sf_dir).withColumns({"timeMs": (_n() % 7).cast("double"), "videos": F.when(_n() % 4 == 0, 1).otherwise(0)})
+    return folders.tree(rows, measures=("timeMs", "videos")).select("folder", "timeMs", "videos")

@@ -144,7 +144,7 @@ RECORDS = f"""{FILES}, rec AS (SELECT key AS "relativePath", n, size, n % 29 <>
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     codec = F.array(*map(F.lit, ("h264", "hevc", "mpeg4", "vc1", "av1", "mpeg2video", "mpeg1video")))[(n % 7).cast("int")]
-    probe = F.when(n % 2 == 0, F.struct((n % 12 != 2).alias("ok"), (n % 16 != 4).alias("hasVideo"), F.lit("matroska").alias("container"), codec.alias("primaryVideo")))
+    probe = F.when(n % 2 == 0, F.struct((n % 12 != 2).alias("ok"), (n % 16 != 4).alias("hasVideo"), F.lit("matroska").alias("container"), codec.alias("primaryVideo"), F.array(codec, F.lit("png")).alias("video"), F.when(n % 3 == 0, F.array(F.lit("aac"))).otherwise(F.array().cast("array<string>")).alias("audio"), F.when(n % 8 == 6, "bad header").alias("ffError")))
     error = F.when(n % 7 == 0, "Extraction timed out").when(n % 7 == 1, F.concat(F.lit("Decoding error: frame "), n.cast("string"))).otherwise(F.coalesce("extractionError", F.lit("odd")))
     rows = adapters.bare_files(spark, sf_dir).select("relativePath", "n", "size", (n % 29 != 0).alias("exists"), F.when(n % 6 == 0, "avi").otherwise("mkv").alias("ext"), error.alias("extractionError"), probe.alias("probe"))
     return triage.categorized(rows)
@@ -165,7 +165,7 @@ def triage_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.signatures(_records(spark, sf_dir))
 
 
-@query(f"""WITH {RECORDS}, s AS (SELECT *, CASE WHEN NOT probed THEN 'unprobed' WHEN NOT ok THEN 'unreadable' ELSE 'matroska/'||codec END AS shape FROM sup) SELECT shape, count(*) AS records, min("relativePath") AS example FROM s GROUP BY 1""")
+@query(f"""WITH {RECORDS}, s AS (SELECT *, CASE WHEN NOT probed THEN '(unprobed)' WHEN NOT ok THEN 'UNREADABLE: '||CASE WHEN n % 8 = 6 THEN 'bad header' ELSE '?' END ELSE 'matroska | v='||codec||',png a='||CASE WHEN n % 3 = 0 THEN 'aac' ELSE 'none' END END AS shape FROM sup) SELECT shape, count(*) AS records, min("relativePath") AS example FROM s GROUP BY 1""")
 def triage_probe_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.probe_shapes(_records(spark, sf_dir))
 
@@ -251,7 +251,7 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sessions(rows, "10 hours").select("key", "events")
 
 
-@query("""SELECT event_type AS source, max_by(event_id, ts) AS status FROM events GROUP BY 1""")
+@query("""SELECT event_type AS source, max_by(event_id, ts) AS status, max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 30 SECOND AS stale FROM events GROUP BY 1""")
 def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("source"), F.col("event_id").alias("status"))
-    return sessions.latest(rows).select("source", "status")
+    rows = adapters.table(spark, sf_dir, "events").select(F.timestamp_micros(text.epoch_ms(F.col("ts")) * 1000).alias("ts"), F.col("event_type").alias("source"), F.col("event_id").alias("status"))
+    return sessions.latest(rows, F.timestamp_seconds(F.lit(1_706_616_000))).select("source", "status", "stale")

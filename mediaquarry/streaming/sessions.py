@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -25,9 +25,10 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return rows.groupBy(F.session_window("ts", gap), "key").agg(F.count("*").alias("events")).select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
-def latest(statuses: DataFrame) -> DataFrame:
-    """The last status of each source: statuses (ts, source, status)."""
-    return statuses.groupBy("source").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+def latest(statuses: DataFrame, now: Column | None = None, stale_s: int = 30) -> DataFrame:
+    """The last status of each source: statuses (ts, source, status); given now, with stale, whether it is too old to count."""
+    rows = statuses.groupBy("source").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    return rows if now is None else rows.withColumn("stale", F.unix_micros(now) - F.unix_micros("ts") > stale_s * 1_000_000)
 
 
 def split_words(words: list[tuple[float, float, str]], held: list[tuple[float, float, str]]) -> tuple[list[list[tuple[float, float, str]]], list[tuple[float, float, str]]]:
