@@ -34,13 +34,32 @@ class Search:
     lists: Sequence[str] = field(default=())  # lists that the query matches, in display order
 
 
+def lists_named(lists: DataFrame, query: str) -> DataFrame:
+    """Lists (key, name, place in display order) whose name the query matches."""
+    return lists.where(match_filter(query, F.col("name")))
+
+
+def members_of(members: DataFrame, matched: DataFrame) -> DataFrame:
+    """members (listKey, itemKey) of matched lists with grp, the list's place: what hits and tiles take as members."""
+    return members.join(matched.select(F.col("key").alias("listKey"), F.col("place").cast("int").alias("grp")), "listKey").select("itemKey", "grp")
+
+
+def tags(search: Search, members: DataFrame | None) -> DataFrame | None:
+    """(key, grp): the first of the search's lists that holds an item; None where no lists are searched."""
+    if members is None or not (search.lists or "grp" in members.columns):
+        return None
+    if "grp" not in members.columns:
+        place = F.array_position(F.array(*map(F.lit, search.lists)), F.col("listKey")) - 1
+        members = members.where(F.col("listKey").isin(*search.lists)).withColumn("grp", place)
+    return members.groupBy(F.col("itemKey").alias("key")).agg(F.min("grp").cast("int").alias("grp"))
+
+
 def hits(files: DataFrame, search: Search, members: DataFrame | None = None) -> DataFrame:
-    """Rows that pass all filters, with grp: the first matched list that holds them. members: listKey, itemKey."""
+    """Rows that pass all filters, with grp: the first matched list that holds them. members: listKey, itemKey (lists as the search names them), or itemKey, grp (members_of)."""
     rows = files.where(F.col("name").isNotNull() & F.col("relativePath").isNotNull())
     text = match_filter(search.query, F.col("relativePath"))
-    if search.lists and members is not None:
-        place = F.array_position(F.array(*map(F.lit, search.lists)), F.col("listKey")) - 1
-        tagged = members.where(F.col("listKey").isin(*search.lists)).groupBy(F.col("itemKey").alias("key")).agg(F.min(place).cast("int").alias("grp"))
+    tagged = tags(search, members)
+    if tagged is not None:
         rows = rows.join(tagged, "key", "left").withColumn("grp", F.coalesce("grp", F.lit(UNGROUPED))).where(text | (F.col("grp") < UNGROUPED))
     else:
         rows = rows.where(text).withColumn("grp", F.lit(UNGROUPED))
@@ -71,10 +90,9 @@ def tiles(files: DataFrame, search: Search, members: DataFrame | None = None) ->
     single = rows.where(~F.col("inSeries")).select("key", F.lit(False).alias("isSeries"), F.lit(1).cast("long").alias("files"), "name", *values)
     grouped = rows.where("inSeries").select("folder", *values).groupBy("folder").agg(F.count("*").alias("files"), F.max("modified").alias("modified"), F.max("duration").alias("duration"), F.max("watched").alias("watched"), F.min("grp").alias("grp"))
     whole = grouped.select(F.col("folder").alias("key"), F.lit(True).alias("isSeries"), "files", base_of(F.col("folder")).alias("name"), "modified", "duration", "watched", "grp")
-    if members is not None and search.lists and search.mode != "movies":  # a list may hold the series itself
-        place = F.array_position(F.array(*map(F.lit, search.lists)), F.col("listKey")) - 1
-        own = members.where(F.col("listKey").isin(*search.lists)).groupBy(F.col("itemKey").alias("key")).agg(F.min(place).cast("int").alias("own"))
-        whole = whole.join(own, "key", "left").withColumn("grp", F.least("grp", F.coalesce("own", F.lit(UNGROUPED)))).drop("own")
+    tagged = tags(search, members)
+    if tagged is not None and search.mode != "movies":  # a list may hold the series itself
+        whole = whole.join(tagged.withColumnRenamed("grp", "own"), "key", "left").withColumn("grp", F.least("grp", F.coalesce("own", F.lit(UNGROUPED)))).drop("own")
     return {"movies": single, "series": whole}.get(search.mode, single.unionByName(whole))
 
 

@@ -11,10 +11,12 @@ from pyspark.sql import Window as W
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a table in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    """A path for a table in spark.checkpoint.dir, or, on one machine where that is unset, in a folder of our own."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="mediaquarry-")
         sc.setCheckpointDir(where)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

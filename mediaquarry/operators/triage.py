@@ -88,11 +88,17 @@ def assembled(errors: DataFrame, paths: DataFrame, **columns: DataFrame) -> Data
     return rows.withColumn("ext", F.lower(F.regexp_extract("relativePath", r"\.([^.]*)$", 1)))
 
 
-def probed(records: DataFrame, cache: DataFrame, read: Column) -> DataFrame:
-    """records (key, size) with probe: the cache's (key, size, probe) where its size is right, else read anew, a column that gives a struct like PROBE."""
+def probed(records: DataFrame, cache: DataFrame, read: Column, force: bool = False) -> DataFrame:
+    """records (key, size; exists, if there) with probe: the cache's (key, size, probe) where its size is right and it isn't to be read anyway, else read anew, a column that gives such a struct; files that don't exist can't be opened, whatever the cache holds."""
     held = cache.select("key", F.col("size").alias("_size"), F.col("probe").alias("_held"))
     rows = records.join(held, "key", "left")
-    return rows.withColumn("probe", F.when(F.col("_size") == F.col("size"), F.col("_held")).otherwise(read)).drop("_size", "_held")
+    right = F.lit(not force) & F.col("_held").isNotNull() & F.col("_size").eqNullSafe(F.col("size"))
+    probe = F.when(right, F.col("_held")).otherwise(read)
+    if "exists" in records.columns:
+        known = {"ok": F.lit(False), "hasVideo": F.lit(False), "ffError": F.lit("file missing on disk"), "video": F.array().cast("array<string>"), "audio": F.array().cast("array<string>")}
+        missing = F.struct(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cache.schema["probe"].dataType.fields))
+        probe = F.when(F.col("exists"), probe).otherwise(missing)
+    return rows.withColumn("probe", probe).drop("_size", "_held")
 
 
 def haystack(rows: DataFrame, text: str) -> DataFrame:

@@ -210,3 +210,14 @@ def list_rank_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(W.partitionBy("listKey").orderBy("itemKey"))
     rows = adapters.memberships(spark, sf_dir).withColumn("n", n).withColumn("rank", F.when(F.col("itemKey") % 5 != 0, F.col("n").cast("long")))
     return lists.with_rank(rows, "2-HIGH", 40, 4).where(F.col("listKey") == "2-HIGH").select("itemKey", "rank")
+
+
+@query(f"""WITH {FILES}, t AS (SELECT key, n, name, CASE WHEN n % 13 = 0 THEN 1 WHEN n % 7 = 0 THEN 3 ELSE 2147483647 END AS grp, {BARE} LIKE '%widget%' AS hit FROM bare) SELECT key, grp, CAST(row_number() OVER (ORDER BY grp, name, key) - 1 AS INT) AS position FROM t WHERE hit OR grp < 2147483647""")
+def list_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = adapters.files(spark, sf_dir)
+    n = F.col("n")
+    members = files.select(F.explode(F.array(F.when(n % 13 == 0, "a"), F.when(n % 5 == 0, "b"), F.when(n % 7 == 0, "c"))).alias("listKey"), F.col("key").alias("itemKey")).where(F.col("listKey").isNotNull())
+    named = spark.createDataFrame([("a", "Widget fans", 1), ("b", "others", 2), ("c", "my-widgets", 3)], "key string, name string, place int")
+    s = search.Search(query="widget", mode="flat", order="name")
+    found = search.tiles(files, s, search.members_of(members, search.lists_named(named, s.query)))
+    return search.in_order(found, s).select("key", "grp", "position")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, text
 from ..operators import catalog, folders, lists, scans, series, tables, tracks, triage
 from ..sources import adapters
+from ..streaming import sessions
 from .registry import DETECTIONS, FILES, query
 
 NOW = 1_706_000_000_000
@@ -227,12 +228,12 @@ def phase_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "m boolean, k boolean, f boolean, changed string, metadata boolean, keyframes boolean, faces boolean")
 
 
-@query(f"""WITH {FILES} SELECT key, CASE WHEN n % 4 = 0 THEN 'held' ELSE 'read' END AS container FROM bare""")
+@query(f"""WITH {FILES} SELECT key, n % 9 <> 0 AS ok, CASE WHEN n % 9 = 0 THEN NULL WHEN n % 4 = 0 THEN 'held' ELSE 'read' END AS container, CASE WHEN n % 9 = 0 THEN 'file missing on disk' END AS "ffError" FROM bare""")
 def probe_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _bare(spark, sf_dir)
-    probe = lambda container: F.struct(F.lit(True).alias("ok"), F.lit(True).alias("hasVideo"), F.lit(container).alias("container"), F.lit("hevc").alias("primaryVideo"))
+    probe = lambda container: F.struct(F.lit(True).alias("ok"), F.lit(True).alias("hasVideo"), F.lit(container).alias("container"), F.lit("hevc").alias("primaryVideo"), F.lit(None).cast("string").alias("ffError"))
     held = files.where(_n() % 2 == 0).select("key", F.when(_n() % 4 == 0, F.col("size")).otherwise(F.col("size") + 1).alias("size"), probe("held").alias("probe"))
-    return triage.probed(files.select("key", "size"), held, probe("read")).select("key", "probe.container")
+    return triage.probed(files.select("key", "size", (_n() % 9 != 0).alias("exists")), held, probe("read")).select("key", "probe.ok", "probe.container", "probe.ffError")
 
 
 LISTED = """l AS (SELECT o_orderpriority AS key, lower(o_orderpriority) AS name, max(epoch_us(o_orderdate) // 1000) AS last, min(o_orderkey) AS first FROM orders GROUP BY 1)"""
@@ -364,3 +365,9 @@ def list_mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folder_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.pages_tree(spark, sf_dir).withColumns({"timeMs": (_n() % 7).cast("double"), "videos": F.when(_n() % 4 == 0, 1).otherwise(0)})
     return folders.tree(rows, measures=("timeMs", "videos")).select("folder", "timeMs", "videos")
+
+
+@query("""WITH w AS (SELECT event_type AS source, value, (epoch_us(ts) // 10000000 + 1 + i) * 10000000 AS e FROM events, unnest(range(6)) AS t(i)) SELECT source, e // 1000000 AS "end", sum(value) / 60 AS rate, count(*) AS reads FROM w GROUP BY 1, 2""")
+def read_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = adapters.table(spark, sf_dir, "events").select(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ts"), F.col("event_type").alias("source"), F.col("value").alias("amount"))
+    return sessions.rates(reads).select("source", F.unix_seconds("end").alias("end"), "rate", "reads")
