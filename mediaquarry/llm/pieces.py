@@ -35,7 +35,7 @@ from .common import ROWS_AT_ONCE, Runs, by_size
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words in the cache (a full one is emptied), and bytes of texts that are split at the same time.
-CACHED, BYTES_AT_ONCE = 600_000, 4 << 20
+CACHED, BYTES_AT_ONCE = 200_000, 2 << 20
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 COLUMNS = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, score double, round_trip boolean"

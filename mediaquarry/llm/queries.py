@@ -62,4 +62,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_cap_filters, op3_token_planes, op4_licenses, op5_sentencepiece, op6_chosen_path, op7_language_id, op8_mixing, op9_hilbert_neighbours, op10_secrets)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: White space that parts words, as a class of DuckDB's regular expressions.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+#: All pairs, compared one by one, and what they reach.
+REACHED = """, reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, e.y FROM reach r JOIN e ON e.x = r.b), least AS (SELECT a AS id, min(b) AS least FROM reach GROUP BY 1), links AS (SELECT x AS id, count(*) AS n FROM e GROUP BY 1)"""
+
+# The others rest on models, tokenizers or draws by hash, or have columns that a method makes.
+ORACLE_SQL: dict[str, str] = {
+    "op2_cap_filters": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), nodes AS (SELECT id FROM v), u AS (SELECT id, label, x, sqrt(list_inner_product(x, x)) AS norm FROM v WHERE label IS NOT NULL AND len(list_filter(x, lambda i: i IS NULL OR NOT isfinite(i))) = 0 AND list_inner_product(x, x) > 0),
+ e AS (SELECT p.id AS x, q.id AS y FROM u p JOIN u q ON p.label = q.label AND p.id <> q.id AND len(p.x) = len(q.x) WHERE list_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.93){REACHED}
+ SELECT least.id AS vec_id, coalesce(links.n, 0) AS n_links, least AS component_id, least = least.id AS kept FROM least LEFT JOIN links ON links.id = least.id""",
+    "op6_chosen_path": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id AS id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END) AS g FROM w), sizes AS (SELECT id, count(*) AS n FROM s GROUP BY 1), nodes AS (SELECT doc_id AS id FROM documents),
+ shared AS (SELECT p.id AS x, q.id AS y, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.id <> q.id GROUP BY 1, 2), e AS (SELECT x, y FROM shared JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE 5 * c >= 4 * (p.n + q.n - c)){REACHED}
+ SELECT least.id AS doc_id, coalesce(links.n, 0) AS n_links, least AS class_id, CAST(coalesce(sizes.n, 0) AS INT) AS n_shingles FROM least LEFT JOIN links ON links.id = least.id LEFT JOIN sizes ON sizes.id = least.id""",
+}
