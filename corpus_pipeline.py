@@ -28,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of languages that are as likely the first by name counts; rows with a null lang teach nothing, but are judged like
     all; repeated rows are judged alike; where nothing can be learnt all rows go.
     """
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # columns named like the result's stay
-    found = langid.identify(rows, langid.train(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}  # columns named like the result's stay
+    found = langid.identify(docs.withColumnsRenamed(own), langid.train(docs))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
