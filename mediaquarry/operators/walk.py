@@ -16,12 +16,12 @@ JUNK = ("node_modules", ".git", ".svn", ".hg")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root) and size of all files there, without reading them."""
+    """path (below root) and size of all files there, without reading them; the reader leaves out files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
     return files.select(F.regexp_replace("path", "^.*?" + root.rstrip("/").split(":")[-1].lstrip("/") + "/", "").alias("path"), "size")
 
 
-def walked(files: DataFrame, ignored: DataFrame | None = None, budget: int = FILE_BUDGET, bonus: int = VIDEO_BONUS, depth: int = MAX_DEPTH, most_folders: int = MAX_FOLDERS) -> DataFrame:
+def walked(files: DataFrame, ignored: DataFrame | None = None, budget: int = FILE_BUDGET, bonus: int = VIDEO_BONUS, depth: int = MAX_DEPTH, most_folders: int = MAX_FOLDERS, block: int = 100_000) -> DataFrame:
     """The files (path) that a walk in breadth sees, with their folder and whether they are videos.
 
     Folders go by depth, then by their parts' names, files by name. Each folder directly below the root has a budget of
@@ -38,7 +38,7 @@ def walked(files: DataFrame, ignored: DataFrame | None = None, budget: int = FIL
     if entered.limit(most_folders + 1).count() > most_folders:
         allowed = tables.numbered(entered, [F.col("depth"), F.col("parts")], "_rank").where(F.col("_rank") < most_folders)
         rows = rows.join(allowed.select("folder"), "folder", "left_semi")
-    ordered = tables.numbered(rows, [F.col("top"), F.col("depth"), F.col("parts"), F.col("name")]).withColumn("_block", F.expr("position div 100000"))
+    ordered = tables.numbered(rows, [F.col("top"), F.col("depth"), F.col("parts"), F.col("name")]).withColumn("_block", F.expr(f"position div {block}"))
     change = F.when(F.col("video"), bonus - 1).otherwise(-1)
     inside = W.partitionBy("top", "_block").orderBy("position")
     summed = ordered.withColumn("_sum", F.sum(change).over(inside.rowsBetween(W.unboundedPreceding, -1))).withColumn("_sum", F.coalesce("_sum", F.lit(0)))

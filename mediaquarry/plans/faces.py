@@ -187,7 +187,9 @@ def scenes_with_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.arrays_overlap("groups", F.array(F.lit("purchase"), F.lit("signup"))))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS}, g AS (SELECT file, grp, CAST(sum(points) AS BIGINT) AS appearances, list({{'s': start, 'e': "end"}}) AS segs FROM spans GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY appearances DESC, grp) AS r FROM g),
+ s AS (SELECT file, grp, appearances, r, CAST(1 AS BIGINT) AS spot, [segs] AS held FROM o WHERE r = 1 UNION ALL SELECT file, grp, appearances, r, spot, CASE WHEN spot > len(held) THEN list_append(held, segs) ELSE list_concat(held[:spot - 1], [list_concat(held[spot], segs)], held[spot + 1:]) END FROM (SELECT o.*, s.held, coalesce(nullif(list_position(list_transform(s.held, lambda x: len(list_filter(x, lambda a: len(list_filter(o.segs, lambda b: a.s <= b.e AND b.s <= a.e)) > 0)) = 0), true), 0), len(s.held) + 1) AS spot FROM s JOIN o ON o.file = s.file AND o.r = s.r + 1))
+ SELECT file, grp, CAST(spot - 1 AS INT) AS "row", appearances FROM s""")
 def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.packed(_spans(spark, sf_dir))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import faces, ingest, intervals, sequential, series, walk
+from ..operators import faces, ingest, intervals, sequential, series, tables, walk
 from ..sources import adapters, codecs
 from .faces import BLACK, NEAR, QUERY_SQL, SPANS, _blacklist, _query, _spans
 from .registry import CHARACTERS, DETECTIONS, FILES, L2, query
@@ -14,12 +14,10 @@ from .registry import CHARACTERS, DETECTIONS, FILES, L2, query
 NOW = 1_706_000_000_000
 
 
-@query(f"""WITH {CHARACTERS}, {QUERY_SQL}, d AS (SELECT key, "memberCount", {L2.format(a='e', b='v')} AS distance FROM characters, q) SELECT key, CAST(row_number() OVER (ORDER BY distance, "memberCount" DESC, key) AS INT) AS place FROM d WHERE distance < 1.3 QUALIFY row_number() OVER (ORDER BY distance, "memberCount" DESC, key) <= 50""")
+@query(f"""WITH {CHARACTERS}, {QUERY_SQL}, d AS (SELECT key, "memberCount", {L2.format(a='e', b='v')} AS distance FROM characters, q) SELECT key, CAST(row_number() OVER (ORDER BY distance, "memberCount" DESC, key) AS INT) AS place FROM d WHERE distance < 1.3""")
 def face_search_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    top = faces.person_search(adapters.characters(spark, sf_dir), _query(), 1.3, closed=False, by="distance").limit(50)
-    return top.select("key", F.row_number().over(W.orderBy(*faces.face_order("distance"))).alias("place"))
+    found = faces.person_search(adapters.characters(spark, sf_dir), _query(), 1.3, closed=False, by="distance")
+    return tables.numbered(found, faces.face_order("distance"), "place").select("key", (F.col("place") + 1).alias("place"))
 
 
 @query(f"""WITH {CHARACTERS}, {QUERY_SQL}, d AS (SELECT "fileKey", "characterIdx", CASE WHEN vec_id % 7 <> 0 THEN {L2.format(a='e', b='v')} ELSE CAST('infinity' AS DOUBLE) END AS distance FROM characters, q) SELECT "fileKey", "characterIdx", CAST(row_number() OVER (PARTITION BY "fileKey" ORDER BY distance, "characterIdx") - 1 AS INT) AS place FROM d""")
@@ -78,8 +76,6 @@ SAME = f"""{FILES}, ser AS (SELECT folder FROM foldered GROUP BY 1 HAVING count(
 
 
 def _numbered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import tables
-
     return tables.numbered(adapters.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), [F.col("vec_id")], "v").select(F.col("v").cast("long").alias("v"), "embedding")
 
 
