@@ -41,7 +41,7 @@ BLOCK = 1 << 16
 LEVEL = 3
 MAGIC = b"MQTB"
 #: Pieces in the cache; a full one is emptied.
-CACHED = 1_000_000
+CACHED = 500_000
 
 MARKS = ".,;:!?%*$#&|)"
 #: Characters of one text of pieces that are encoded together, and bytes of texts that are split at the same time.
