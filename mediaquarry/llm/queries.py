@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chosen_path, hilbert, langid, licenses, mixing, pieces, pii, secrets, tokenbin
+from . import cap_filters, chosen_path, hilbert, langid, licenses, mixing, phrases, pieces, pii, secrets, tokenbin
 from .common import shared_dir, table
 
 #: The id that ends each document in op3's files.
@@ -60,7 +60,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_cap_filters, op3_token_planes, op4_licenses, op5_sentencepiece, op6_chosen_path, op7_language_id, op8_mixing, op9_hilbert_neighbours, op10_secrets)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_cap_filters, op3_token_planes, op4_licenses, op5_sentencepiece, op6_chosen_path, op7_language_id, op8_mixing, op9_hilbert_neighbours, op10_secrets, op11_phrases)}
 
 #: White space that parts words, as a class of DuckDB's regular expressions.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -77,4 +81,13 @@ ORACLE_SQL: dict[str, str] = {
  s AS (SELECT doc_id AS id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END) AS g FROM w), sizes AS (SELECT id, count(*) AS n FROM s GROUP BY 1), nodes AS (SELECT doc_id AS id FROM documents),
  shared AS (SELECT p.id AS x, q.id AS y, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.id <> q.id GROUP BY 1, 2), e AS (SELECT x, y FROM shared JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE 5 * c >= 4 * (p.n + q.n - c)){REACHED}
  SELECT least.id AS doc_id, coalesce(links.n, 0) AS n_links, least AS class_id, CAST(coalesce(sizes.n, 0) AS INT) AS n_shingles FROM least LEFT JOIN links ON links.id = least.id LEFT JOIN sizes ON sizes.id = least.id""",
+    "op11_phrases": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+ g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM w UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+ c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3), totals AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY 1), cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM c WHERE k > 1 AND f >= 10),
+ cuts AS (SELECT lang, phrase, a, i, array_to_string(s[1:i], ' ') AS lw, array_to_string(s[i + 1:], ' ') AS rw FROM (SELECT *, unnest(range(1, k)) AS i FROM cand)),
+ scored AS (SELECT cuts.lang, cuts.phrase, a, i, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS score FROM cuts JOIN c x ON x.lang = cuts.lang AND x.phrase = lw JOIN c y ON y.lang = cuts.lang AND y.phrase = rw),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+ inner_parts AS (SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS phrase FROM cand WHERE k = 3), kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts q WHERE q.lang = b.lang AND q.phrase = b.phrase AND 100 * q.a >= 50 * b.a)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) SELECT ranked.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000""",
 }
