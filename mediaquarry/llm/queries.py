@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chosen_path, hilbert, langid, licenses, mixing, phrases, pieces, pii, secrets, tokenbin
+from . import cap_filters, chosen_path, dialogues, hilbert, langid, licenses, mixing, phrases, pieces, pii, secrets, tokenbin
 from .common import shared_dir, table
 
 #: The id that ends each document in op3's files.
@@ -64,7 +64,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.best_phrases(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_cap_filters, op3_token_planes, op4_licenses, op5_sentencepiece, op6_chosen_path, op7_language_id, op8_mixing, op9_hilbert_neighbours, op10_secrets, op11_phrases)}
+def op12_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_cap_filters, op3_token_planes, op4_licenses, op5_sentencepiece, op6_chosen_path, op7_language_id, op8_mixing, op9_hilbert_neighbours, op10_secrets, op11_phrases, op12_dialogues)}
 
 #: White space that parts words, as a class of DuckDB's regular expressions.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
