@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chosen_path, dialogues, hilbert, langid, licenses, mixing, phrases, pieces, pii, secrets, tokenbin
+from . import cap_filters, chosen_path, dialogues, hilbert, langid, licenses, lzparse, mixing, phrases, pieces, pii, secrets, tokenbin
 from .common import shared_dir, table
 
 #: The id that ends each document in op3's files.
@@ -68,7 +68,11 @@ def op12_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_cap_filters, op3_token_planes, op4_licenses, op5_sentencepiece, op6_chosen_path, op7_language_id, op8_mixing, op9_hilbert_neighbours, op10_secrets, op11_phrases, op12_dialogues)}
+def op13_lzparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzparse.without_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_cap_filters, op3_token_planes, op4_licenses, op5_sentencepiece, op6_chosen_path, op7_language_id, op8_mixing, op9_hilbert_neighbours, op10_secrets, op11_phrases, op12_dialogues, op13_lzparse)}
 
 #: White space that parts words, as a class of DuckDB's regular expressions.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -94,4 +98,8 @@ ORACLE_SQL: dict[str, str] = {
  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
  inner_parts AS (SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS phrase FROM cand WHERE k = 3), kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts q WHERE q.lang = b.lang AND q.phrase = b.phrase AND 100 * q.a >= 50 * b.a)),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) SELECT ranked.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000""",
+    "op13_lzparse": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)), firsts AS (SELECT x, min(doc_id) AS first FROM win GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM win JOIN firsts USING (x) WHERE first < doc_id), lists AS (SELECT doc_id, count(*) AS n, list(p) AS p FROM gone GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(p, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256 FROM w LEFT JOIN lists USING (doc_id)""",
 }
