@@ -42,16 +42,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """lang and the words of each piece that has some."""
+    """lang and each piece that has words, its words parted by one space."""
     cut = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), r"[.,;:!?\n-\r]")).alias("piece"))
     cut = cut.select("lang", F.trim("piece", F.lit(" \t")).alias("piece")).where(F.col("piece") != "")
     # lower() also changes letters beyond A to Z, which only texts of one byte a character surely don't have.
     low = F.when(F.octet_length("piece") == F.length("piece"), F.lower("piece")).otherwise(F.translate("piece", UPPER, LOWER))
-    return cut.select("lang", F.split(low, "[ \t]+").alias("words"))
+    return cut.select("lang", F.array_join(F.split(low, "[ \t]+"), " ").alias("piece"))
 
 
 def grams(cut: DataFrame, k: int) -> DataFrame:
     """lang and w1 to wk for each k words that follow one another in a piece."""
+    cut = cut.select("lang", F.split("piece", " ").alias("words"))
     shifted = [F.col("words"), *(F.expr(f"slice(words, {i + 1}, size(words))") for i in range(1, k))]
     rows = cut.where(F.size("words") >= k).select("lang", F.inline(F.arrays_zip(*(x.alias(f"w{i + 1}") for i, x in enumerate(shifted)))).alias(*(f"w{i + 1}" for i in range(k))))
     return rows.where(F.col(f"w{k}").isNotNull())
@@ -95,7 +96,8 @@ def may_be_frequent(rows: DataFrame, table: DataFrame, blocks: int, phrase: Colu
 
 def level_tables(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[list[DataFrame], DataFrame, list[str]]:
     """For each length the frequent phrases (lang, phrase, f and their words), the number of words of each lang, and the paths of what is stored."""
-    cut, paths = pieces(docs), []
+    cut, path = stored(pieces(docs), "phrase-pieces")  # every level reads them
+    paths = [path]
     counted = grams(cut, 1).groupBy("lang", "w1").agg(F.count("*").alias("f"))
     # Rare words are one row of their lang: they only count for the number of words.
     words, path = stored(counted.groupBy("lang", F.when(F.col("f") >= least, F.col("w1")).alias("w1")).agg(F.sum("f").alias("f")), "phrase-words")
