@@ -10,9 +10,11 @@ begins. Segments overlap where anchors change; what their factors cover adds up
 
 What doesn't repeat isn't shuffled as text: a first pass counts anchors, and only those of two documents or more are
 blocks. They reach the tasks as a bit table of at most FILTER_BITS, which lets a few more through and drops none. Anchors
-of more than HOT segments (common passages) would be large blocks: their windows go one by one, and Spark groups them by
-their words (with map-side sums) and joins the first document of each back, an equi-join whose hot keys the adaptive skew
-join splits. Words are compared as they are; hashes only choose blocks.
+of more than HOT segments (common passages) would be large blocks: their windows go one by one. Spark groups them by their
+words, with map-side sums; windows with more than a COMMON-th of all occurrences, of which there can be no more than COMMON,
+are one more block, broadcast as digests of fixed size, against which every task parses the documents that it reads; the
+others, none of which is hot, are joined by their words. Words are compared as they are, but for that digest (SHA-256);
+other hashes only choose blocks.
 
 Defined cases: a null text has no words; a null doc_id is no smaller than any, so such rows are no reference and lose nothing;
 rows alike in doc_id (whether or not their texts are) are no references for each other; repeats within a document stay; very
@@ -36,6 +38,7 @@ WINDOW = 13
 ANCHOR = 5
 #: Segments of an anchor beyond which its windows go one by one.
 HOT = 2000
+COMMON = 100_000
 #: At most 64 MB; so many bits for each anchor as long as that allows it.
 FILTER_BITS, ROOM = 1 << 29, 16
 BITMAP_BITS = 32768
@@ -191,27 +194,66 @@ class Bits:
         return found
 
 
-def shared_segments(shared, hot, want_hot: bool):
-    """For mapInArrow: segments of blocks, or, of hot ones, single windows. shared, hot: broadcast Bits (hot may be None)."""
+def kept_segments(batch: pa.RecordBatch, shared: Bits, hot: Bits | None, want_hot: bool) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the batch, and first and last window and anchor of segments of blocks, or, of hot ones, of single windows."""
+    words = Words(batch.column("text"))
+    begins, lasts, anchors, _ = words.segments()
+    keep = shared.has(anchors)
+    if hot is not None:
+        keep &= hot.has(anchors) == want_hot
+    begins, lasts, anchors = begins[keep], lasts[keep], anchors[keep]
+    if want_hot:
+        sizes = lasts - begins + 1
+        begins = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        lasts, anchors = begins, np.repeat(anchors, sizes)
+    return words, begins, lasts, anchors
+
+
+def shared_segments(shared, hot, want_hot: bool, common=None):
+    """For mapInArrow: segments of blocks, or, of hot ones, single windows but the common ones. The arguments are broadcast (hot and common may be None)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_size(whole, "text", BATCH_BYTES):
+                words, begins, lasts, anchors = kept_segments(batch, shared.value, hot and hot.value, want_hot)
+                ids, same = np.asarray(batch.column("doc_id")), np.asarray(batch.column("same"))
+                for at in range(0, len(begins), 20000):
+                    few, last, anchor = begins[at : at + 20000], lasts[at : at + 20000], anchors[at : at + 20000]
+                    strings = words.joined(few, last + WINDOW)
+                    if common:
+                        rest = np.array([digest(x) not in common.value for x in strings.to_pylist()], bool)
+                        few, anchor, strings = few[rest], anchor[rest], strings.filter(pa.array(rest))
+                    rows = words.rows[few]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(ids[rows]), pa.array(same[rows]), pa.array((few - words.first[rows]).astype(np.int32)), strings], schema=PARTS)
+
+    return run
+
+
+def digest(words: str) -> bytes:
+    return hashlib.sha256(words.encode()).digest()
+
+
+def parsed_by_common(shared, hot, common):
+    """For mapInArrow: spans of words that the windows in common (digest: first document) repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text", BATCH_BYTES):
-                words = Words(batch.column("text"))
-                begins, lasts, anchors, _ = words.segments()
-                keep = shared.value.has(anchors)
-                if hot is not None:
-                    keep &= hot.value.has(anchors) == want_hot
-                begins, lasts, anchors = begins[keep], lasts[keep], anchors[keep]
-                if want_hot:
-                    sizes = lasts - begins + 1
-                    begins = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                    lasts, anchors = begins, np.repeat(anchors, sizes)
-                rows = words.rows[begins]
+                words, begins, _, _ = kept_segments(batch, shared.value, hot.value, True)
                 ids, same = np.asarray(batch.column("doc_id")), np.asarray(batch.column("same"))
+                met = []
                 for at in range(0, len(begins), 20000):
-                    few = slice(at, at + 20000)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(anchors[few])), pa.array(ids[rows[few]]), pa.array(same[rows[few]]), pa.array((begins[few] - words.first[rows[few]]).astype(np.int32)), words.joined(begins[few], lasts[few] + WINDOW)], schema=PARTS)
+                    few = begins[at : at + 20000]
+                    firsts = [common.value.get(digest(x)) for x in words.joined(few, few + WINDOW).to_pylist()]
+                    met.append(few[np.array([f is not None and f < doc for f, doc in zip(firsts, ids[words.rows[few]].tolist(), strict=True)], bool)])
+                found = np.sort(np.concatenate(met)) if met else begins
+                if len(found):
+                    rows = words.rows[found]
+                    new = np.ones(len(found), bool)
+                    new[1:] = (found[1:] > found[:-1] + WINDOW) | (rows[1:] != rows[:-1])  # factors that follow one another are one span
+                    first, last = found[new], found[np.append(np.flatnonzero(new)[1:] - 1, len(found) - 1)]
+                    rows = words.rows[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(same[rows]), pa.array((first - words.first[rows]).astype(np.int32)), pa.array((last + WINDOW - words.first[rows]).astype(np.int32))], schema=SPANS)
 
     return run
 
@@ -291,6 +333,7 @@ def repeated_spans(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     known = rows.where("doc_id IS NOT NULL AND text <> ''")
     anchors = known.select("doc_id", "text").mapInArrow(counted, "anchor long, doc_id long, n long").groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("n").alias("n"))
     shared, path = stored(anchors.where("first < last").select("anchor", "n"), "anchors")
+    paths = [path]
     n, n_hot = shared.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
     bits = sc.broadcast(Bits(shared, n))
     hot_bits = sc.broadcast(Bits(shared.where(F.col("n") > HOT), n_hot)) if n_hot else None
@@ -299,11 +342,15 @@ def repeated_spans(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     parts = known.mapInArrow(shared_segments(bits, hot_bits, False), schema)
     spans = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(parsed, "doc_id long, same long, from int, to int")
     if hot_bits:
-        windows = known.mapInArrow(shared_segments(bits, hot_bits, True), schema).drop("anchor")
-        firsts = windows.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        met = windows.join(firsts, "words").where("doc_id > first")
-        spans = spans.unionByName(met.select("doc_id", "same", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to")))
-    return spans.groupBy("doc_id", "same").agg(F.collect_list(F.struct("from", "to")).alias("spans")), [path]
+        windows = lambda common: known.mapInArrow(shared_segments(bits, hot_bits, True, common), schema).drop("anchor")
+        firsts, firsts_path = stored(windows(None).groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"), "windows")
+        paths.append(firsts_path)
+        total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        is_common = F.col("n") * COMMON > total
+        common = sc.broadcast({bytes(r.d): r.first for r in firsts.where(is_common).select(F.unhex(F.sha2("words", 256)).alias("d"), "first").toLocalIterator()})  # COMMON at most
+        met = windows(common).join(firsts.where(~is_common).select("words", "first"), "words").where("doc_id > first")
+        spans = spans.unionByName(met.select("doc_id", "same", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to"))).unionByName(known.mapInArrow(parsed_by_common(bits, hot_bits, common), "doc_id long, same long, from int, to int"))
+    return spans.groupBy("doc_id", "same").agg(F.collect_list(F.struct("from", "to")).alias("spans")), paths
 
 
 def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:

@@ -46,9 +46,10 @@ def texts(seed, n=60):
         yield "".join(draw.choice([*passages, draw.choice(few), "x" + str(draw.random())]) + draw.choice([" ", "\n", " \t ", "\v\f\r"]) for _ in range(draw.randrange(12)))
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_random_passages(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "common"), [(2000, 100_000), (3, 100_000), (3, 20), (3, 0)])
+def test_random_passages(spark, hot, common, monkeypatch):
     monkeypatch.setattr(lzparse, "HOT", hot)
+    monkeypatch.setattr(lzparse, "COMMON", common)
     rows = [(i * 7 % 61, t) for i, t in enumerate(texts(1))] + [(None, t) for t in texts(1, 4)] + [(3, t) for t in texts(2, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain(rows)
