@@ -20,6 +20,9 @@ in fewer than SUPPORT rows, are not judged; an empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,12 @@ PATTERNS = {
 MORE_KINDS = ("removed", "general")
 WORD = r"[\p{L}\p{N}]+"
 
+#: Stands for a letter or figure of a datum; no text is meant to hold it.
+MARK = "\ufdd0"
+
 CONTEXT = 80
+#: Characters of a piece in which contexts are looked up; more than any context.
+CHUNK = 1000
 MIN_TERM = 2
 SUPPORT = 2
 #: Pairs of one term that go to one task together.
@@ -45,19 +53,34 @@ REMOVE, GENERALISE = 0.98, 0.85
 SPAN = "struct<start:int,end:int,text:string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once though the lambdas in body use it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it. Blocks of about the cube root of their count keep that far from a square."""
+
+    def in_blocks(x: Column, n: Column) -> Column:
+        total = lambda first, count: F.aggregate(F.slice(x, first + 1, count), F.lit(0), lambda a, e: a + e)
+        sums = lambda blocks: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / n).cast("int")), lambda b: F.aggregate(F.slice(blocks, 1, b), F.lit(0), lambda a, e: a + e))
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / n).cast("int") - 1), lambda b: total(b * n, n))
+        return let(let(blocks, sums), lambda s: F.transform(x, lambda _, i: F.get(s, F.floor(i / n).cast("int")) + total(i - i % n, i % n)))
+
+    return let(numbers, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(let(F.ceil(F.cbrt(2 * F.size(x))).cast("int"), lambda n: in_blocks(x, n))))
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, text) of the matches, left to right, in code points."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    both = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("spans"))
+    def placed(found: Column, gaps: Column) -> Column:
+        both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.length(m) + gap)
+        starts = F.zip_with(sums_before(both), F.slice(gaps, 1, F.size(found)), lambda at, gap: at + gap)
+        return F.zip_with(found, starts, lambda m, at: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("text")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), zero, step, lambda s: s["spans"])
+    found = lambda f: F.when(F.size(f) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(let(F.transform(F.split(text, pattern, -1), F.length), lambda g: placed(f, g)))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), found)
 
 
 def digits(text: Column) -> Column:
@@ -73,17 +96,45 @@ def at_most_255(text: Column) -> Column:
     return F.forall(F.split(text, r"\."), lambda p: F.regexp_replace(p, "^0+", "").rlike("^(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
+def tested(kind: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Whether a text can have spans of a kind (a cheap test), and whether a match is one."""
+    n = lambda m: F.length(digits(m))
+    return {
+        "email": (lambda text: F.contains(text, F.lit("@")), lambda m: F.lit(True)),
+        "ip": (lambda text: text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), at_most_255),
+        "card": (lambda text: text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), lambda m: n(m).between(16, 19) & passes_luhn(digits(m))),
+        "phone": (lambda text: text.rlike(r"\+[0-9]"), lambda m: n(m).between(8, 15)),
+    }[kind]
+
+
 def base_spans(text: Column) -> dict[str, Column]:
-    """By kind, the spans of a text that isn't null; what can't match is seen by a cheaper test first."""
+    """By kind, the spans of a text that isn't null."""
     none = F.array().cast(f"array<{SPAN}>")
-    n = lambda x: F.length(digits(x["text"]))
-    number = lambda x: digits(x["text"])
-    return {
-        "email": F.when(F.contains(text, F.lit("@")), matches(text, PATTERNS["email"])).otherwise(none),
-        "ip": F.when(text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), F.filter(matches(text, PATTERNS["ip"]), lambda x: at_most_255(x["text"]))).otherwise(none),
-        "card": F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), F.filter(matches(text, PATTERNS["card"]), lambda x: n(x).between(16, 19) & passes_luhn(number(x)))).otherwise(none),
-        "phone": F.when(text.rlike(r"\+[0-9]"), F.filter(matches(text, PATTERNS["phone"]), lambda x: n(x).between(8, 15))).otherwise(none),
-    }
+    spans = lambda may, is_one, pattern: F.when(may(text), F.filter(matches(text, pattern), lambda x: is_one(x["text"]))).otherwise(none)
+    return {kind: spans(*tested(kind), pattern) for kind, pattern in PATTERNS.items()}
+
+
+def overlaid(a: Column, b: Column) -> Column:
+    """Of two texts of one length, a with the marks of b."""
+    some = lambda x: F.regexp_extract_all(x, F.lit("(?s).{1,512}"), F.lit(0))
+    each = lambda x, y: F.array_join(F.zip_with(F.split(x, ""), F.split(y, ""), lambda c, d: F.when(d == MARK, d).otherwise(c)), "")
+    return F.array_join(F.zip_with(some(a), some(b), each), "")
+
+
+def free_text(text: Column) -> Column:
+    """The text with a mark for each letter or figure of its data, and everything else where it stands."""
+
+    def marked(t: Column, kind: str) -> Column:
+        put = lambda m: F.when(tested(kind)[1](m), F.regexp_replace(m, r"[\p{L}\p{N}]", MARK)).otherwise(m)
+        joined = lambda m: F.array_join(F.zip_with(F.split(t, F.lit(PATTERNS[kind]), -1), m, lambda gap, x: F.concat(gap, F.coalesce(put(x), F.lit("")))), "")
+        return let(F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)), joined)
+
+    def all_marked(t: Column) -> Column:
+        with_kind = lambda o, kind: F.when(tested(kind)[0](t), let(marked(t, kind), lambda m: F.when(m == t, o).when(o == t, m).otherwise(overlaid(o, m)))).otherwise(o)
+        step = lambda out, kind: let(out, lambda o: with_kind(o, kind))
+        return reduce(step, PATTERNS, t)
+
+    return let(F.translate(text, MARK, " "), all_marked)
 
 
 def joined(kinds: dict[str, Column]) -> Column:
@@ -92,14 +143,23 @@ def joined(kinds: dict[str, Column]) -> Column:
     return F.array_join(F.concat(*(named(*x) for x in kinds.items())), ",")
 
 
-def context_terms(text: Column, span: Column, taken: Column) -> Column:
-    """Words (lower-case) within CONTEXT characters of a span that the window doesn't cut and no span in taken covers."""
-    left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.transform(matches(F.substring(text, left + 1, span["start"] - left), WORD), lambda w: F.struct(F.lower(w["text"]).alias("term"), (w["start"] + left).alias("start"), (w["end"] + left).alias("end")))
-    after = F.transform(matches(F.substring(text, span["end"] + 1, F.lit(CONTEXT)), WORD), lambda w: F.struct(F.lower(w["text"]).alias("term"), (w["start"] + span["end"]).alias("start"), (w["end"] + span["end"]).alias("end")))
-    whole = lambda w: ((w["start"] > left) | (left == 0)) & ((w["end"] < span["end"] + CONTEXT) | (w["end"] == F.length(text)))
-    free = lambda w: ~F.exists(taken, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return F.transform(F.filter(F.concat(before, after), lambda w: (F.length(w["term"]) >= MIN_TERM) & whole(w) & free(w)), lambda w: w["term"])
+def free_words(text: Column) -> Column:
+    """Spans of the words of a marked text that hold no mark."""
+    return F.filter(matches(text, f"[{MARK}" + WORD[1:]), lambda w: ~F.contains(w["text"], F.lit(MARK)))
+
+
+def context_terms(chunks: Column, length: Column, span: Column, context: int) -> Column:
+    """Words (lower-case) within so many characters of a span that neither the window cuts nor a datum has a part of. chunks: the marked text in pieces of CHUNK."""
+
+    def between(first: Column, past: Column) -> Column:
+        at = F.floor(first / CHUNK).cast("int")
+        return F.substring(F.concat(F.get(chunks, at), F.coalesce(F.get(chunks, at + 1), F.lit(""))), first - at * CHUNK + 1, past - first)
+
+    # A character of the span is seen with either side: there a word that runs into the span shows its mark.
+    left, right = F.greatest(span["start"] - context, F.lit(0)), F.least(span["end"] + context, length)
+    before = F.filter(free_words(between(left, span["start"] + 1)), lambda w: (w["start"] > 0) | (left == 0))
+    after = F.filter(free_words(between(span["end"] - 1, right)), lambda w: (w["end"] < right - span["end"] + 1) | (right == length))
+    return F.filter(F.transform(F.concat(before, after), lambda w: F.lower(w["text"])), lambda t: F.length(t) >= MIN_TERM)
 
 
 def measured(pairs: DataFrame, by_term: DataFrame, by_entity: DataFrame, n_rows: int) -> DataFrame:
@@ -124,13 +184,15 @@ def verdicts(pairs: DataFrame) -> DataFrame:
     return strongest.select("term", "kind", F.when(F.col("kind") == "general", F.col("g.word")).alias("general"))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     """A row for each row of docs (doc_id, text): counts, digest of the base spans, all spans as text and, with what takes their place, as array (all_spans)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
     spans = rows.withColumns(base_spans(F.col("text"))).withColumn("taken", F.concat(*PATTERNS))
     entity = lambda kind: F.transform(F.col(kind), lambda x: F.struct(F.xxhash64(F.lit(kind), F.lower(x["text"]) if kind == "email" else digits(x["text"]) if kind != "ip" else x["text"]).alias("entity"), x["start"].alias("start"), x["end"].alias("end")))
     entities = spans.withColumn("entities", F.concat(*map(entity, PATTERNS)))
-    near = F.flatten(F.transform("entities", lambda x: F.transform(context_terms(F.col("text"), x, F.col("taken")), lambda term: F.struct(x["entity"].alias("entity"), term.alias("term")))))
+    pieces = F.regexp_extract_all(free_text(F.col("text")), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    near = let(F.length("text"), lambda n: let(pieces, lambda c: F.flatten(F.transform("entities", lambda x: F.transform(F.array_distinct(context_terms(c, n, x, context)), lambda term: F.concat_ws(":", x["entity"], term))))))
+    # Pairs are strings while they are made distinct: of those Spark keeps a hash set, of structs a list.
     found = entities.withColumn("near", F.when(F.size("taken") > 0, F.array_distinct(near))).select("doc_id", "same", *PATTERNS, F.array_distinct(F.transform("entities", lambda x: x["entity"])).alias("entities"), "near")
     # One pass over the texts finds what is counted; matched strings aren't kept.
     bare = found.withColumns({k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in PATTERNS})
@@ -138,7 +200,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     n_rows = base.count()
     by_entity = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = base.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    near = base.select(F.explode("near").alias("p")).select(F.substring_index("p", ":", 1).cast("long").alias("entity"), F.expr("substring(p, instr(p, ':') + 1)").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     # Rows that hold a term, for all terms of the corpus.
     by_term = rows.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term")).where(F.length("term") >= MIN_TERM).groupBy("term").agg(F.count("*").alias("n_term"))
@@ -149,14 +212,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
     keyed = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
     forms = keyed.select(*key, F.explode(F.array_distinct(words)).alias("form")).withColumn("term", F.lower("form"))
     hits = forms.join(judged, "term").groupBy(*key).agg(F.collect_set(F.struct("form", "kind", "general")).alias("hits"))
-    place = lambda h: F.transform(matches(F.col("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), h["form"], F.lit(r"(?![\p{L}\p{N}])"))), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), h["kind"].alias("kind"), h["general"].alias("general")))
-    more = keyed.join(hits, key).dropDuplicates(key).select(*key, F.array_sort(F.flatten(F.transform("hits", place))).alias("more"))
+    edge = rf"[{MARK}\p{{L}}\p{{N}}]"
+    place = lambda h: F.transform(matches(F.col("free"), F.concat(F.lit(f"(?<!{edge})"), h["form"], F.lit(f"(?!{edge})"))), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), h["kind"].alias("kind"), h["general"].alias("general")))
+    more = keyed.join(hits, key).dropDuplicates(key).withColumn("free", free_text(F.col("text"))).select(*key, F.array_sort(F.flatten(F.transform("hits", place))).alias("more"))
 
     out = base.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()}).join(more, key, "left")
     kinds = {k: F.col(k) for k in PATTERNS}
-    free = lambda w: ~F.exists(F.concat(*PATTERNS), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
     all_more = F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:string,general:string>>"))
-    others = {k: F.filter(all_more, lambda x: (x["kind"] == k) & free(x)) for k in MORE_KINDS}
+    of_kind = lambda k: F.filter(all_more, lambda x: x["kind"] == k)
+    others = {k: of_kind(k) for k in MORE_KINDS}
     mark = lambda kind: F.lit(f"[{kind.upper()}]")
     named = lambda kind, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), (s["general"] if kind == "general" else mark(kind)).alias("put")))
     return out.select(

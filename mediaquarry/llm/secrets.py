@@ -16,7 +16,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import public_tokenizers
@@ -81,7 +83,9 @@ def scan_text(text: str | None, vocabulary: str) -> tuple[list[tuple[int, int, i
     """Base spans, all spans, and the lowest ratio among the opaque ones."""
     text = text or ""
     base = base_spans(text)
-    more = [x for x in opaque_spans(text, vocabulary) if not any(start <= x[0] and x[1] <= end for start, _, end in base)]
+    starts, furthest = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
+    covered = lambda start, end: (i := bisect_right(starts, start)) > 0 and furthest[i - 1] >= end
+    more = [x for x in opaque_spans(text, vocabulary) if not covered(x[0], x[1])]
     return base, sorted([*base, *((start, 3, end) for start, end, _ in more)]), min((x[2] for x in more), default=None)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import regex
@@ -135,3 +136,13 @@ def test_odd_rows(odd_documents, no_documents):
     assert found(odd_documents) == expected([r.doc_id for r in rows], [r.text for r in rows])
     assert found(no_documents) == [] and pii.sanitise(no_documents).count() == 0
     assert pii.sanitise(odd_documents).count() == odd_documents.count()
+
+
+def test_a_text_of_many_data_takes_time_in_proportion(spark):
+    text = " ".join(f"write to bob{i}@x.org now" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (row,) = pii.find_pii(docs).select("n_email", "spans").collect()
+    assert row.n_email == 40_000 and time.perf_counter() - began < 60
+    last = text.rindex("bob")
+    assert row.spans.split(",")[39_999] == f"email:{last}:{text.rindex(' ')}"
