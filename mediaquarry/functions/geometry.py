@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def similarity(source: Column, target: Column) -> Column:
     """The similarity (scale and turn a, b and shift tx, ty: x' = a x - b y + tx, y' = b x + a y + ty) that takes source points (array of x, y structs) nearest to target's, by least squares; in the plane that is a quotient of sums. Null where the source points are one."""
     n = F.size(source)
-    mean = lambda points, c: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[c]) / n
-    sx, sy, tx, ty = mean(source, "x"), mean(source, "y"), mean(target, "x"), mean(target, "y")
-    pairs = F.zip_with(source, target, lambda p, q: F.struct((p["x"] - sx).alias("x"), (p["y"] - sy).alias("y"), (q["x"] - tx).alias("u"), (q["y"] - ty).alias("v")))
+    pairs = F.zip_with(source, target, lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("u"), q["y"].alias("v")))
     total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p))
-    size = total(lambda p: p["x"] * p["x"] + p["y"] * p["y"])
-    a, b = total(lambda p: p["x"] * p["u"] + p["y"] * p["v"]) / size, total(lambda p: p["x"] * p["v"] - p["y"] * p["u"]) / size
-    return F.when(size > 0, F.struct(a.alias("a"), b.alias("b"), (tx - a * sx + b * sy).alias("tx"), (ty - b * sx - a * sy).alias("ty")))
+    x, y, u, v = (total(lambda p, c=c: p[c]) for c in "xyuv")
+    # n times the sums about the means: whole points give whole sums, and one division ends each number.
+    size = n * total(lambda p: p["x"] * p["x"] + p["y"] * p["y"]) - x * x - y * y
+    a = n * total(lambda p: p["x"] * p["u"] + p["y"] * p["v"]) - x * u - y * v
+    b = n * total(lambda p: p["x"] * p["v"] - p["y"] * p["u"]) - x * v + y * u
+    return F.when(size > 0, F.struct((a / size).alias("a"), (b / size).alias("b"), ((size * u - a * x + b * y) / (n * size)).alias("tx"), ((size * v - b * x - a * y) / (n * size)).alias("ty")))
 
 
 def moved(fit: Column, x: Column, y: Column) -> Column:

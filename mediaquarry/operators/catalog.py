@@ -116,14 +116,13 @@ def forced(files: DataFrame, keys: DataFrame, priority: int) -> DataFrame:
     return rows.withColumns(cleared | {"scanPriority": F.when(again, F.lit(priority).cast("long")).otherwise(F.col("scanPriority")), "scanBlacklisted": F.when(again, False).otherwise(F.col("scanBlacklisted"))}).drop("_again")
 
 
-def phases(metadata: bool, keyframes: bool, faces: bool, changed: str) -> tuple[bool, bool, bool]:
-    """Settings after one of them changed: a phase that is off takes the later ones off, one that is on takes the earlier ones on."""
-    on = {"metadata": metadata, "keyframes": keyframes, "faces": faces}
-    names = list(on)
-    i = names.index(changed)
-    for name in names[:i] if on[changed] else names[i + 1 :]:
-        on[name] = on[changed]
-    return on["metadata"], on["keyframes"], on["faces"]
+PHASES = ("metadata", "keyframes", "faces")
+
+
+def phases(changed: Column) -> list[Column]:
+    """Settings (columns of the names in PHASES) after the one that changed names: a phase that is off takes the later ones off, one that is on takes the earlier ones on."""
+    place, on = F.array_position(F.array(*map(F.lit, PHASES)), changed) - 1, F.element_at(F.map_from_arrays(F.array(*map(F.lit, PHASES)), F.array(*map(F.col, PHASES))), changed)
+    return [F.when(on & (i < place), True).when(~on & (i > place), False).otherwise(F.col(p)).alias(p) for i, p in enumerate(PHASES)]
 
 
 def phase_counts(files: DataFrame) -> DataFrame:
@@ -145,14 +144,6 @@ def phase_totals(files: DataFrame) -> DataFrame:
     return one.select(each).select("x.*")
 
 
-def media_eta(files: DataFrame, seconds_per_media_second: float) -> DataFrame:
-    """One row: seconds of work left, unknown durations taken as the mean of the known ones, or an hour if none is known."""
-    left = ~F.col("metadataVersion").eqNullSafe(F.lit(VERSION))
-    d = F.when(F.col("durationSec") > 0, F.col("durationSec"))
-    agg = files.agg(F.avg(d).alias("mean"), F.sum(F.when(left, d)).alias("known"), F.count_if(left & d.isNull()).alias("unknown"), F.count_if(left).alias("left"))
-    return agg.select("left", ((F.coalesce("known", F.lit(0.0)) + F.col("unknown") * F.coalesce("mean", F.lit(3600.0))) * seconds_per_media_second).alias("eta"))
-
-
 def table_stats(table: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row for each column: rows that have it and its bytes as text; and for the whole, the share of rows that repeat a key."""
     wide = table.agg(F.count("*").alias("rows"), (1 - F.count_distinct(key) / F.count("*")).alias("duplicates"), *(x for c in columns for x in (F.count(c).alias(f"n_{c}"), F.sum(F.octet_length(F.col(c).cast("string"))).alias(f"b_{c}"))))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import padded
 from ..sources.adapters import VERSION
 from ..sources.codecs import floats_of, strip_bytes
 
-CHARACTER = "struct<characterIdx:int,memberCount:int,bestFaceTimeMs:double,bestFaceEmbedding_b64:string,embeddings_b64:string,frameTimes_b64:string>"
+CHARACTER = "struct<characterIdx:int,memberCount:int,bestFaceTimeMs:double,bestFaceEmbedding_b64:string,embeddings_b64:string,frameTimes_b64:string,avatarJpeg_b64:string>"
 RESULT = f"""fileKey string, characters array<{CHARACTER}>, thumbnail struct<thumbW:int,thumbH:int,source:string>,
  keyframes struct<intervalSec:double,frames:array<struct<timeSec:double,jpeg_b64:string>>>, keyframesError string,
  stats struct<faceCount:long,characterCount:long,facesExtractionMs:long>, error string, blacklist boolean"""
@@ -23,6 +23,15 @@ class Results(NamedTuple):
     frames: DataFrame
     thumbnails: DataFrame
     keyframes: DataFrame
+    rejected: DataFrame  # fileKey and the reason
+
+
+def wrong_vectors(dim: int) -> Column:
+    """Why the vectors of a result can't be right, by their lengths; null where they can."""
+    floats = lambda c: F.coalesce(F.octet_length(F.try_to_binary(c, F.lit("base64"))) / 4, F.lit(-1))
+    bad = lambda test: F.coalesce(F.exists("characters", test), F.lit(False))
+    frames = lambda c: (floats(c["embeddings_b64"]) != c["memberCount"] * dim) | (floats(c["frameTimes_b64"]) != c["memberCount"]) | c["memberCount"].isNull()
+    return F.when(bad(lambda c: floats(c["bestFaceEmbedding_b64"]) != dim), "characters of the wrong length").when(bad(frames), "frames of the wrong length")
 
 
 def work_list(work: DataFrame, version: int = VERSION) -> DataFrame:
@@ -40,14 +49,16 @@ def ingested(found: DataFrame, thumbnails: DataFrame, keyframes: DataFrame, dim:
     """What the results change: new rows of characters and frames, and rows of thumbnails and keyframes that may be written.
 
     A failed result only stamps its file. A thumbnail that a user picked (thumbSource), and keyframes of a newer version, stay. A
-    vector of another length than dim fails the job, as does one of frames whose length isn't its count times dim.
+    result with a vector of another length than dim, or of frames whose length isn't its count times dim, changes nothing
+    and is rejected; all others go on.
     """
+    judged = found.withColumn("reason", F.when(F.coalesce("error", F.lit("")) == "", wrong_vectors(dim)))
+    rejected, found = judged.where(F.col("reason").isNotNull()).select("fileKey", "reason"), judged.where(F.col("reason").isNull()).drop("reason")
     failed = F.coalesce("error", F.lit("")) != ""
     good = found.where(~failed)
     people = good.select("fileKey", F.explode("characters").alias("c")).select("fileKey", "c.*").withColumn("key", F.concat_ws("#", "fileKey", padded(F.col("characterIdx"))))
-    exact = lambda column, n: F.when(F.size(column) == n, column).otherwise(F.raise_error(F.lit("a vector of the wrong length")).cast("array<float>"))
-    characters = people.select("key", "fileKey", "characterIdx", "memberCount", "bestFaceTimeMs", floats_of(F.unbase64("bestFaceEmbedding_b64")).alias("v")).withColumn("bestFaceEmbedding", exact(F.col("v"), F.lit(dim))).drop("v")
-    frames = people.select("key", "memberCount", floats_of(F.unbase64("embeddings_b64")).alias("e"), floats_of(F.unbase64("frameTimes_b64")).alias("t")).select("key", exact(F.col("e"), F.col("memberCount") * dim).alias("embeddings"), F.col("memberCount").alias("embeddingCount"), exact(F.col("t"), F.col("memberCount")).alias("frameTimes"))
+    characters = people.select("key", "fileKey", "characterIdx", "memberCount", "bestFaceTimeMs", floats_of(F.unbase64("bestFaceEmbedding_b64")).alias("bestFaceEmbedding"), F.unbase64("avatarJpeg_b64").alias("avatarJpeg"))
+    frames = people.select("key", floats_of(F.unbase64("embeddings_b64")).alias("embeddings"), F.col("memberCount").alias("embeddingCount"), floats_of(F.unbase64("frameTimes_b64")).alias("frameTimes"))
 
     counts = good.select("fileKey", F.coalesce(F.aggregate("characters", F.lit(0).cast("long"), lambda n, c: n + c["memberCount"]), F.lit(0)).alias("faces"), F.coalesce(F.size("characters"), F.lit(0)).alias("people"), "stats")
     patched = counts.select(
@@ -68,4 +79,4 @@ def ingested(found: DataFrame, thumbnails: DataFrame, keyframes: DataFrame, dim:
         F.col("fileKey").alias("key"), F.when(strips, strip_bytes(F.col("keyframes.intervalSec"), F.transform("keyframes.frames", lambda f: f["timeSec"]), F.transform("keyframes.frames", lambda f: F.unbase64(f["jpeg_b64"])))).alias("keyframes2"),
         F.lit(version).alias("keyframesVersion"), F.lit(now).cast("long").alias("keyframesExtractedAt"), F.when(strips, "").otherwise(F.col("keyframesError")).alias("keyframesError"),
     )
-    return Results(patched.unionByName(stamped), characters, frames, thumbs, packed)
+    return Results(patched.unionByName(stamped), characters, frames, thumbs, packed, rejected)

@@ -50,4 +50,4 @@ def numbered(df: DataFrame, keys: list[Column], name: str = "position") -> DataF
     kept = stored(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
     n = kept.groupBy("_part").agg(F.count("*").alias("_n"))
     first = n.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_first"))  # a row for each part
-    return kept.join(F.broadcast(first), "_part").withColumn(name, (F.col("_first") + F.col("_at")).cast("int")).drop("_part", "_at", "_first")
+    return kept.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")

@@ -65,8 +65,15 @@ def offline(files: DataFrame, ignored: DataFrame, removed: DataFrame, batch: int
 
 
 def file_ranges(rows: DataFrame, file: str = "file", key: str = "key", at: str = "at") -> DataFrame:
-    """Where each file's rows lie: first and last time, and the share of all keys that its smallest and largest are at."""
+    """Where each file's rows lie: first and last time, and on scales from 0 to 1 where its times and its keys begin (Left) and how far they reach (Width).
+
+    The scale of keys goes from the smallest of all keys to the largest, by rank. Where there is one key or one time only, files lie on the whole scale.
+    """
     keys = tables.numbered(rows.select(key).distinct(), [F.col(key)], "rank")
-    n = keys.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
-    ranked = rows.join(keys, key).crossJoin(F.broadcast(n))
-    return ranked.groupBy(file).agg(F.min(at).alias("first"), F.max(at).alias("last"), (F.min("rank") / F.first("_n")).alias("from"), (F.max("rank") / F.first("_n")).alias("to"), F.count("*").alias("rows"))
+    whole = rows.agg(F.min(at).alias("_t0"), (F.max(at) - F.min(at)).alias("_span")).crossJoin(keys.agg(F.max("rank").alias("_top")))
+    each = rows.join(keys, key).groupBy(file).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("rank").alias("_lo"), F.max("rank").alias("_hi"), F.count("*").alias("rows"))
+    share = lambda n, of, otherwise: F.when(F.col(of) > 0, n / F.col(of)).otherwise(F.lit(otherwise))
+    return each.crossJoin(F.broadcast(whole)).select(
+        file, "first", "last", share(F.col("first") - F.col("_t0"), "_span", 0.0).alias("timeLeft"), share(F.col("last") - F.col("first"), "_span", 1.0).alias("timeWidth"),
+        share(F.col("_lo"), "_top", 0.0).alias("keyLeft"), share(F.col("_hi") - F.col("_lo"), "_top", 1.0).alias("keyWidth"), "rows",
+    )

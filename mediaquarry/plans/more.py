@@ -220,12 +220,13 @@ def live_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "events").select(n.alias("n"), scans.count_eta(n % 10, F.lit(20), (n % 13).cast("double")).alias("countEta"), eta["etaMs"].alias("etaMs"), eta["perItemMs"].alias("perItemMs"), scans.aborted(ms, fraction, F.lit(1.0), left).alias("aborted"))
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES (true), (false)) a(m), (VALUES (true), (false)) b(k), (VALUES (true), (false)) d(f), (VALUES ('metadata'), ('keyframes'), ('faces')) e(changed))
- SELECT m, k, f, changed, CASE changed WHEN 'metadata' THEN m WHEN 'keyframes' THEN m OR k ELSE m OR f END AS metadata, CASE changed WHEN 'metadata' THEN m AND k WHEN 'keyframes' THEN k ELSE k OR f END AS keyframes, CASE changed WHEN 'metadata' THEN m AND f WHEN 'keyframes' THEN k AND f ELSE f END AS faces FROM c""")
+@query("""WITH s AS (SELECT event_id AS n, value > 50 AS m, event_id % 3 > 0 AS k, event_id % 5 > 1 AS f, CASE event_type WHEN 'error' THEN 'metadata' WHEN 'click' THEN 'keyframes' ELSE 'faces' END AS c FROM events)
+ SELECT n, c AS changed, CASE c WHEN 'metadata' THEN m WHEN 'keyframes' THEN m OR k ELSE m OR f END AS metadata, CASE c WHEN 'metadata' THEN m AND k WHEN 'keyframes' THEN k ELSE k OR f END AS keyframes, CASE c WHEN 'metadata' THEN m AND f WHEN 'keyframes' THEN k AND f ELSE f END AS faces FROM s""")
 def phase_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = (True, False)
-    rows = [(m, k, f, changed, *catalog.phases(m, k, f, changed)) for m in sides for k in sides for f in sides for changed in ("metadata", "keyframes", "faces")]
-    return spark.createDataFrame(rows, "m boolean, k boolean, f boolean, changed string, metadata boolean, keyframes boolean, faces boolean")
+    n = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "metadata").when(F.col("event_type") == "click", "keyframes").otherwise("faces")
+    settings = adapters.table(spark, sf_dir, "events").select(n.alias("n"), kind.alias("changed"), (F.col("value") > 50).alias("metadata"), (n % 3 > 0).alias("keyframes"), (n % 5 > 1).alias("faces"))
+    return settings.select("n", "changed", *catalog.phases(F.col("changed")))
 
 
 @query(f"""WITH {FILES} SELECT key, n % 9 <> 0 AS ok, CASE WHEN n % 9 = 0 THEN NULL WHEN n % 4 = 0 THEN 'held' ELSE 'read' END AS container, CASE WHEN n % 9 = 0 THEN 'file missing on disk' END AS "ffError" FROM bare""")

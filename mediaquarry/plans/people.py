@@ -152,7 +152,8 @@ def offline_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.offline(paths, ignored, paths.where(F.col("n") % 16 == 0).select(F.col("path").alias("key")), 5).select("key", F.col("batch").cast("int").alias("batch"))
 
 
-@query("""WITH k AS (SELECT event_id, (dense_rank() OVER (ORDER BY event_id) - 1) / CAST(count(*) OVER () AS DOUBLE) AS r FROM events) SELECT e.event_id % 8 AS file, min(epoch_us(ts) // 1000) AS first, max(epoch_us(ts) // 1000) AS last, min(r) AS "from", max(r) AS "to", count(*) AS rows FROM events e JOIN k ON k.event_id = e.event_id GROUP BY 1""")
+@query("""WITH k AS (SELECT event_id, event_id % 8 AS file, epoch_us(ts) // 1000 AS t, dense_rank() OVER (ORDER BY event_id) - 1 AS r FROM events), w AS (SELECT max(r) AS top, min(t) AS t0, max(t) - min(t) AS span FROM k), f AS (SELECT file, min(t) AS first, max(t) AS last, min(r) AS lo, max(r) AS hi, count(*) AS rows FROM k GROUP BY 1)
+ SELECT file, first, last, rows, CASE WHEN span > 0 THEN (first - t0) / CAST(span AS DOUBLE) ELSE 0.0 END AS "timeLeft", CASE WHEN span > 0 THEN (last - first) / CAST(span AS DOUBLE) ELSE 1.0 END AS "timeWidth", CASE WHEN top > 0 THEN lo / CAST(top AS DOUBLE) ELSE 0.0 END AS "keyLeft", CASE WHEN top > 0 THEN (hi - lo) / CAST(top AS DOUBLE) ELSE 1.0 END AS "keyWidth" FROM f, w""")
 def file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.detections(spark, sf_dir).select((F.col("event_id") % 8).alias("file"), F.col("event_id").alias("key"), F.col("t").alias("at"))
     return walk.file_ranges(rows)
@@ -190,6 +191,17 @@ def ingest_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.characters.join(out.frames.select("key", F.col("frameTimes")[0].alias("time")), "key").select("key", "bestFaceTimeMs", "bestFaceEmbedding", "time")
 
 
+@query("""SELECT 'f'||vec_id AS "fileKey", CASE WHEN vec_id % 2 = 0 THEN 'characters of the wrong length' ELSE 'frames of the wrong length' END AS reason FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 3 <> 0 AND vec_id % 4 IN (1, 2)""")
+def ingest_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of which some lost the end of a vector, or a member, on their way."""
+    n = F.col("vec_id")
+    whole = ingest.results(_lines(spark, sf_dir))
+    number = F.expr("CAST(substring(fileKey, 2) AS LONG)")
+    torn = F.transform("characters", lambda c: F.when(number % 4 == 2, c.withField("bestFaceEmbedding_b64", F.substring(c["bestFaceEmbedding_b64"], 1, 40))).when(number % 4 == 1, c.withField("memberCount", c["memberCount"] + 1)).otherwise(c))
+    none = adapters.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("f"), n.cast("string")).alias("key"), F.lit("auto").alias("thumbSource"), F.lit(1).alias("keyframesVersion"))
+    return ingest.ingested(whole.withColumn("characters", torn), none, none, 64, NOW).rejected
+
+
 @query("""SELECT 'f'||vec_id AS key, 'face' AS source FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 6 <> 1""")
 def ingest_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir).thumbnails.select("key", F.col("thumbSource").alias("source"))
@@ -212,12 +224,13 @@ def _points(n: Column, k: int) -> Column:
     return F.array(*(F.struct(((n * (i + 3) + k * i * i) % 97).cast("double").alias("x"), ((n * (i + 5) + k * 31) % 89).cast("double").alias("y")) for i in range(5)))
 
 
-POINTS = "list_transform(range(5), lambda i: {{'x': CAST((n * (i + 3) + {k} * i * i) % 97 AS DOUBLE), 'y': CAST((n * (i + 5) + {k} * 31) % 89 AS DOUBLE)}})"
+# Whole numbers, so that sums are the same in any order.
+POINTS = "list_transform(range(5), lambda i: {{'x': (n * (i + 3) + {k} * i * i) % 97, 'y': (n * (i + 5) + {k} * 31) % 89}})"
 
 
 @query(f"""WITH e AS (SELECT event_id AS n, {POINTS.format(k=1).replace('n *', 'event_id *')} AS s, {POINTS.format(k=2).replace('n *', 'event_id *')} AS d FROM events), u AS (SELECT n, s[CAST(i AS INT)] AS s, d[CAST(i AS INT)] AS d FROM e, unnest(range(1, 6)) AS t(i)),
- m AS (SELECT n, avg(s.x) AS mx, avg(s.y) AS my, avg(d.x) AS mu, avg(d.y) AS mv FROM u GROUP BY 1), q AS (SELECT n, sum((s.x-mx)*(s.x-mx)+(s.y-my)*(s.y-my)) AS z, sum((s.x-mx)*(d.x-mu)+(s.y-my)*(d.y-mv)) AS a, sum((s.x-mx)*(d.y-mv)-(s.y-my)*(d.x-mu)) AS b FROM u JOIN m USING (n) GROUP BY 1)
- SELECT n, CASE WHEN z > 0 THEN a / z * (0 - mx) - b / z * (0 - my) + mu END AS x, CASE WHEN z > 0 THEN b / z * (0 - mx) + a / z * (0 - my) + mv END AS y FROM q JOIN m USING (n)""")
+ m AS (SELECT n, CAST(sum(s.x) AS BIGINT) AS x, CAST(sum(s.y) AS BIGINT) AS y, CAST(sum(d.x) AS BIGINT) AS u, CAST(sum(d.y) AS BIGINT) AS v, 5 * CAST(sum(s.x * s.x + s.y * s.y) AS BIGINT) AS zz, 5 * CAST(sum(s.x * d.x + s.y * d.y) AS BIGINT) AS aa, 5 * CAST(sum(s.x * d.y - s.y * d.x) AS BIGINT) AS bb FROM u GROUP BY 1), q AS (SELECT n, x, y, u, v, zz - x * x - y * y AS z, aa - x * u - y * v AS a, bb - x * v + y * u AS b FROM m)
+ SELECT n, CASE WHEN z > 0 THEN (z * u - a * x + b * y) / CAST(5 * z AS DOUBLE) END AS x, CASE WHEN z > 0 THEN (z * v - b * x - a * y) / CAST(5 * z AS DOUBLE) END AS y FROM q""")
 def face_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     fitted = adapters.table(spark, sf_dir, "events").select(n.alias("n"), geometry.similarity(_points(n, 1), _points(n, 2)).alias("f"))

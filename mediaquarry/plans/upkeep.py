@@ -122,12 +122,6 @@ def phase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.phase_counts(adapters.bare_files(spark, sf_dir))
 
 
-@query(f"""WITH {FILES}, d AS (SELECT CASE WHEN n % 4 <> 0 THEN "durationSec" END AS d, "metadataVersion" <> 7 AS l FROM bare) SELECT count(*) FILTER (l) AS left, (coalesce(sum(d) FILTER (l), 0.0) + count(*) FILTER (l AND d IS NULL) * coalesce(avg(d), 3600.0)) * 0.25 AS eta FROM d""".replace("AS left", 'AS "left"'))
-def media_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = adapters.bare_files(spark, sf_dir).withColumn("durationSec", F.when(F.col("n") % 4 != 0, F.col("durationSec")))
-    return catalog.media_eta(files, 0.25)
-
-
 @query(f"""WITH {FILES}, t AS (SELECT count(*) AS rows, 1 - count(DISTINCT key) / CAST(count(*) AS DOUBLE) AS duplicates, count(key) AS a, CAST(sum(octet_length(encode(key))) AS BIGINT) AS b, count("extractionError") AS c, CAST(sum(octet_length(encode("extractionError"))) AS BIGINT) AS d FROM bare)
  SELECT 'key' AS "column", a AS filled, b AS bytes, rows, duplicates FROM t UNION ALL SELECT 'extractionError', c, d, rows, duplicates FROM t""")
 def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
