@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from mediaquarry.plans import faces, library, more, people, upkeep  # noqa: F401
+from mediaquarry.plans import containers, faces, library, more, people, upkeep  # noqa: F401
 from mediaquarry.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
