@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,23 +38,54 @@ def nearest_in_time(left: DataFrame, right: DataFrame, by: str, t: str, out: str
     return both.withColumn(out, pick).drop("_before", "_after")
 
 
+def _level(length: Column, bucket_ms: int) -> Column:
+    """The least level whose buckets, twice as wide at each level, are as wide as a span, so that it lies in two of them at most."""
+    return F.greatest(F.ceil(F.log2(F.greatest(length, F.lit(1)) / bucket_ms)), F.lit(0)).cast("int")
+
+
+def _levels(*spans: DataFrame) -> list[int]:
+    """Levels that some spans have: as many as their lengths have powers of two, some dozens."""
+    both = spans[0].select("_l")
+    for s in spans[1:]:
+        both = both.unionByName(s.select("_l"))
+    return sorted(r._l for r in both.distinct().collect())
+
+
+def _width(level: str, bucket_ms: int) -> Column:
+    return F.pow(F.lit(2.0), F.col(level)) * bucket_ms
+
+
 def containing(points: DataFrame, spans: DataFrame, by: str, bucket_ms: int, early_ms: int = 0, closed: bool = True) -> DataFrame:
-    """Pairs of points (by, t) and spans (by, start, end) that hold them, by equal buckets of time; a point counts early_ms before a span's start, its end counts if closed."""
-    cut = spans.withColumn("_b", F.explode(F.sequence(F.floor((F.col("start") - early_ms) / bucket_ms), F.floor(F.col("end") / bucket_ms))))
-    at = points.withColumn("_b", F.floor(F.col("t") / bucket_ms))
-    inside = (F.col("t") >= F.col("start") - early_ms) & ((F.col("t") <= F.col("end")) if closed else (F.col("t") < F.col("end")))
-    return at.join(cut, [by, "_b"]).where(inside).drop("_b")
+    """Pairs of points (by, t) and spans (by, start, end) that hold them; a point counts early_ms before a span's start, its end counts if closed.
+
+    Spans go to buckets of time that are as wide as they are long, so that one of a year has no more copies than one of a
+    second; points are looked up in the buckets of every width that there is.
+    """
+    first = F.col("start") - early_ms
+    level = spans.where(F.col("end") >= first).withColumn("_l", _level(F.col("end") - first, bucket_ms))
+    cut = level.withColumn("_b", F.explode(F.sequence(F.floor(first / _width("_l", bucket_ms)), F.floor(F.col("end") / _width("_l", bucket_ms)))))
+    at = points.withColumn("_l", F.explode(F.array(*map(F.lit, _levels(level))).cast("array<int>"))).withColumn("_b", F.floor(F.col("t") / _width("_l", bucket_ms)))
+    inside = (F.col("t") >= first) & ((F.col("t") <= F.col("end")) if closed else (F.col("t") < F.col("end")))
+    return at.join(cut, [by, "_l", "_b"]).where(inside).drop("_l", "_b")
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: str, bucket_ms: int) -> DataFrame:
-    """Pairs of spans that touch, ends included; a's columns with suffix 1, b's with 2. A pair counts in the first bucket that both have."""
+    """Pairs of spans that touch, ends included; a's columns with suffix 1, b's with 2.
+
+    A span is in two buckets at most of its own width (see containing) and of each greater one that there is; a pair counts
+    at the wider one's width, in the first bucket that both have.
+    """
+    leveled = [x.where("end >= start").withColumn("_l", _level(F.col("end") - F.col("start"), bucket_ms)) for x in (a, b)]
+    levels = F.array(*map(F.lit, _levels(*leveled))).cast("array<int>")
+
     def cut(spans: DataFrame, n: int) -> DataFrame:
-        named = spans.select(by, *(F.col(c).alias(f"{c}{n}") for c in spans.columns if c != by))
-        return named.withColumn(f"_first{n}", F.floor(F.col(f"start{n}") / bucket_ms)).withColumn("_b", F.explode(F.sequence(F.col(f"_first{n}"), F.floor(F.col(f"end{n}") / bucket_ms))))
+        named = spans.select(by, F.col("_l").alias(f"_l{n}"), *(F.col(c).alias(f"{c}{n}") for c in spans.columns if c not in (by, "_l")))
+        wide = named.withColumn("_l", F.explode(F.filter(levels, lambda l: l >= F.col(f"_l{n}")))).withColumn(f"_first{n}", F.floor(F.col(f"start{n}") / _width("_l", bucket_ms)))
+        return wide.withColumn("_b", F.explode(F.sequence(F.col(f"_first{n}"), F.floor(F.col(f"end{n}") / _width("_l", bucket_ms)))))
 
-    both = cut(a, 1).join(cut(b, 2), [by, "_b"])
-    meets = (F.col("start1") <= F.col("end2")) & (F.col("start2") <= F.col("end1")) & (F.col("_b") == F.greatest("_first1", "_first2"))
-    return both.where(meets).drop("_b", "_first1", "_first2")
+    both = cut(leveled[0], 1).join(cut(leveled[1], 2), [by, "_l", "_b"])
+    meets = (F.col("start1") <= F.col("end2")) & (F.col("start2") <= F.col("end1")) & (F.col("_l") == F.greatest("_l1", "_l2")) & (F.col("_b") == F.greatest("_first1", "_first2"))
+    return both.where(meets).drop("_b", "_l", "_l1", "_l2", "_first1", "_first2")
 
 
 def bridged(points: DataFrame, by: list[str], fill_ms: int) -> DataFrame:

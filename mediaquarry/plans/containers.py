@@ -1,4 +1,4 @@
-"""Queries on container files. The files are made from the tables, by tasks, in the folder that executors share, and read back."""
+"""Queries on files: containers, pictures and what tables take. The files are made from the tables, by tasks, in the folder that executors share, and read back."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import tables
+from ..functions import frames
+from ..operators import storage, tables
 from ..sources import adapters, matroska, mp4, ranges, vobsub
 from .registry import query
 
@@ -165,3 +166,42 @@ def vobsub_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vobsub_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _packets(spark, sf_dir).withColumn("b", vobsub.bitmap("data", "palette"))
     return found.select("n", "b.width", "b.height", F.sha2("b.rgba", 256).alias("rgba"))
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture for each part, 64 or 32 pixels wide and high: bars of up to 15 lines at the top, 7 at the bottom (for some of nearly all lines); bars have a stray pixel or are not quite black."""
+    n = F.col("p_partkey")
+    side = F.when(n % 11 == 0, 32).otherwise(64)
+    top, bottom = F.when(n % 13 == 0, side - 8).otherwise(n % 16), n % 8
+    line = lambda *pixels: F.concat(*(F.repeat(F.lit(p), k.cast("int")) for p, k in pixels))
+    bar = F.when(n % 3 == 0, line(("050505FF", side - 1), ("FFFFFFFF", F.lit(1)))).otherwise(line(("141414FF", side)))
+    whole = F.concat(F.repeat(bar, top.cast("int")), F.repeat(line(("000000FF", side / 2), ("80FF10FF", side / 2)), (side - top - bottom).cast("int")), F.repeat(bar, bottom.cast("int")))
+    return adapters.table(spark, sf_dir, "part").select(n.alias("n"), side.alias("side"), F.unhex(whole).alias("data"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 11 = 0 THEN 32 ELSE 64 END AS side FROM part), b AS (SELECT n, side, CASE WHEN n % 13 = 0 THEN side - 8 ELSE n % 16 END AS top, n % 8 AS bottom FROM p), k AS (SELECT *, side - top - bottom AS rest FROM b)
+ SELECT n, CAST(CASE WHEN side = 64 AND rest * 2 >= side THEN top ELSE 0 END AS INT) AS y, CAST(CASE WHEN side = 64 AND rest * 2 >= side THEN rest ELSE side END AS INT) AS height,
+  CAST(CASE WHEN n % 3 <> 0 AND rest >= side * 6 // 10 THEN top ELSE 0 END AS INT) AS "workerY", CAST(CASE WHEN n % 3 <> 0 AND rest >= side * 6 // 10 THEN rest ELSE side END AS INT) AS "workerHeight" FROM k""")
+def letterboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.col("side")
+    found = _pictures(spark, sf_dir).select("n", frames.letterbox(F.col("data"), side, side).alias("a"), frames.letterbox(F.col("data"), side, side, worker=True).alias("b"))
+    return found.select("n", F.col("a.y").alias("y"), F.col("a.height").alias("height"), F.col("b.y").alias("workerY"), F.col("b.height").alias("workerHeight"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without their priority for every seventh, as files of their own."""
+    rows = adapters.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("priority"), F.array("o_totalprice", "o_totalprice").alias("prices"))
+    return tables.stored(rows, "orders")
+
+
+@query("""WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0) AS gone FROM orders) SELECT c AS "column", n AS rows, CASE WHEN c = 'priority' THEN gone ELSE 0 END AS nulls, true AS stored FROM o, (VALUES ('o_orderkey'), ('o_custkey'), ('priority'), ('prices')) AS t(c)""")
+def storage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = storage.column_sizes(storage.footers(storage.files_of(_orders(spark, sf_dir))))
+    return sizes.select("column", "rows", "nulls", ((F.col("bytes") > 0) & (F.col("plain_bytes") > 0)).alias("stored"))
+
+
+@query("""SELECT count(*) AS rows, CAST(4 AS BIGINT) AS columns, 1 - count(DISTINCT o_custkey) / CAST(count(*) AS DOUBLE) AS duplicates, 1.0 AS "looseShare" FROM orders""")
+def storage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    found = storage.totals(storage.footers(storage.files_of(orders)), orders, "o_custkey", F.col("file_bytes") < 64 << 20)
+    return found.select("rows", "columns", "duplicates", "looseShare")

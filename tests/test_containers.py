@@ -260,3 +260,65 @@ def test_numbers_of_variable_length():
     for bad in (b"", b"\x00", b"\x40"):
         with pytest.raises(ValueError):
             matroska.variable(bad, 0, False)
+
+
+# --- pictures and files ----------------------------------------------------------------------------------------------
+def picture(*lines):
+    """Lines of 100 pixels: (number, grey, stray white pixels)."""
+    return b"".join((bytes([g, g, g, 255]) * (100 - k) + b"\xff" * 4 * k) * n for n, g, k in lines), 100, sum(n for n, _, _ in lines)
+
+
+@pytest.mark.parametrize(
+    ("lines", "want", "worker"),
+    [
+        ([(10, 0, 0), (80, 90, 0), (10, 20, 1)], (10, 80), (10, 90)), ([(10, 0, 2), (90, 90, 0)], (0, 100), (0, 100)), ([(10, 21, 0), (90, 90, 0)], (0, 100), (10, 90)),
+        ([(100, 0, 0)], (0, 100), (0, 100)), ([(51, 0, 0), (49, 90, 0)], (0, 100), (0, 100)), ([(50, 0, 0), (50, 90, 0)], (50, 50), (0, 100)), ([(40, 0, 0), (60, 90, 0)], (40, 60), (40, 60)),
+        ([(10, 0, 0), (50, 90, 0)], (0, 60), (10, 50)), ([(20, 0, 0), (30, 90, 0), (10, 0, 0), (40, 90, 0)], (20, 80), (20, 80)), ([(64, 90, 0)], (0, 64), (0, 64)),
+    ],
+)
+def test_letterbox(lines, want, worker):
+    from mediaquarry.functions import frames
+
+    data, width, height = picture(*lines)
+    for by_worker, (y, n) in ((False, want), (True, worker)):
+        assert frames.crop(data, width, height, 4, by_worker) == {"x": 0, "y": y, "width": width, "height": n}
+
+
+def test_letterbox_of_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from mediaquarry.functions import frames
+
+    rows = [(1, None, 10, 10), (2, b"abc", 10, 10), (3, b"", 0, 0), (4, b"\0" * 400, 10, 10), (5, b"\0" * 400, None, 10)]
+    table = spark.createDataFrame(rows, "n int, data binary, w int, h int")
+    got = {r.n: r.c for r in table.select("n", frames.letterbox(F.col("data"), F.col("w"), F.col("h")).alias("c")).collect()}
+    assert [got[i] is None for i in range(1, 6)] == [True, True, True, False, True] and tuple(got[4]) == (0, 0, 10, 10)
+
+
+def test_footers(spark, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from mediaquarry.operators import storage
+
+    path = str(tmp_path / "t")
+    spark.range(50_000).selectExpr("id", "CAST(id % 7 AS STRING) AS s", "array(id, id + 1) AS a", "IF(id % 5 = 0, NULL, id) AS x").repartition(3).write.parquet(path)
+    files = [f"{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet")]
+    want = {}
+    for f in files:
+        about = pq.ParquetFile(f).metadata
+        for i in range(about.num_row_groups):
+            for j in range(about.num_columns):
+                c = about.row_group(i).column(j)
+                want[c.path_in_schema.split(".")[0]] = want.get(c.path_in_schema.split(".")[0], 0) + c.total_compressed_size
+    table = spark.read.parquet(path)
+    found = storage.footers(storage.files_of(table)).cache()
+    sizes = storage.column_sizes(found).collect()
+    assert {r.column: r.bytes for r in sizes} == want and [r.bytes for r in sizes] == sorted(want.values(), reverse=True)
+    assert {r.column: (r.rows, r.nulls) for r in sizes}["x"] == (50_000, 10_000)
+    from pyspark.sql import functions as F
+
+    row = storage.totals(found, table, "s", F.col("path").endswith(os.path.basename(files[0]))).first()
+    sizes_on_disk = [os.path.getsize(f) for f in files]
+    assert (row.rows, row["columns"], row.files, row.bytes, row.looseBytes) == (50_000, 4, 3, sum(sizes_on_disk), sizes_on_disk[0]) and abs(row.duplicates - (1 - 7 / 50_000)) < 1e-12
