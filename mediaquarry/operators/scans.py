@@ -73,14 +73,6 @@ def with_durations(files: DataFrame, played: DataFrame) -> DataFrame:
     return rows.withColumn("durationSec", F.when(write, F.col("_d")).otherwise(F.col("durationSec"))).drop("_d")
 
 
-def saved_positions(reports: DataFrame, moved_sec: float = 5.0) -> DataFrame:
-    """Of a player's reports (key, at, sec, forced) those that are written: forced, or that far from the last one written. A fold over a key's reports in order."""
-    ordered = reports.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "sec", "forced"))).alias("r"))
-    zero = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<struct<at:bigint,sec:double>>").alias("kept"))
-    keep = lambda s, x: F.when(x["forced"] | (F.abs(x["sec"] - s["last"]) >= moved_sec), F.struct(x["sec"].alias("last"), F.concat(s["kept"], F.array(F.struct(x["at"].alias("at"), x["sec"].alias("sec")))).alias("kept"))).otherwise(s)
-    return ordered.select("key", F.explode(F.aggregate("r", zero, keep, lambda s: s["kept"])).alias("x")).select("key", "x.at", "x.sec")
-
-
 def ignored_with_stats(ignored: DataFrame, folders: DataFrame, path: str, now: int) -> DataFrame:
     """ignored (key, …) with one more folder and what is known of it now (folders: folder, files, bytes, folders)."""
     row = folders.where(F.col("folder") == path).select(F.col("folder").alias("key"), F.lit(now).cast("long").alias("ignoredAt"), F.col("files").alias("totalFiles"), F.col("folders").alias("folderCount"))

@@ -176,21 +176,6 @@ def top_rows(packed_rows: DataFrame, rows: int) -> DataFrame:
     return packed_rows.where(F.col("row") < rows)
 
 
-def thinned(frames: DataFrame, by: str, least_ms: int = 3000) -> DataFrame:
-    """Frames (t) at least least_ms after the last one kept: a fold over each group's sorted times."""
-    times = frames.groupBy(by).agg(F.array_sort(F.collect_set("t")).alias("t"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    keep = lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= least_ms), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s)
-    return times.select(by, F.explode(F.aggregate("t", zero, keep, lambda s: s["kept"])).alias("t"))
-
-
-def smoothed(samples: DataFrame, by: str, weight: float = 0.3) -> DataFrame:
-    """The moving average e = (1 - weight) e + weight x of each group along t, seeded by the first x."""
-    ordered = samples.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "x"))).alias("s"))
-    fold = lambda e, p: F.when(e.isNull(), p["x"]).otherwise((1 - weight) * e + weight * p["x"])
-    return ordered.select(by, F.aggregate("s", F.lit(None).cast("double"), fold).alias("rate"))
-
-
 def suppressed(boxes: DataFrame, overlap: float = 0.4) -> DataFrame:
     """Boxes (file, frame, idx, x1, y1, x2, y2, score) of a frame that no better one kept covers by more than the share."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import faces, intervals, sequential
+from ..operators import faces, folds, intervals, sequential
 from ..sources import adapters
 from .registry import CHARACTERS, DETECTIONS, L2, query
 
@@ -196,12 +196,12 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {DETECTIONS}, o AS (SELECT file, t, row_number() OVER (PARTITION BY file ORDER BY t) AS r FROM (SELECT DISTINCT file, t FROM det)), s AS (SELECT file, r, t, t AS last, true AS kept FROM o WHERE r = 1 UNION ALL SELECT o.file, o.r, o.t, CASE WHEN o.t - s.last >= 36000000 THEN o.t ELSE s.last END, o.t - s.last >= 36000000 FROM s JOIN o ON o.file = s.file AND o.r = s.r + 1) SELECT file, t FROM s WHERE kept""")
 def thinned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.thinned(adapters.detections(spark, sf_dir), "file", 10 * HOUR)
+    return folds.thinned(adapters.detections(spark, sf_dir), "file", 10 * HOUR)
 
 
 @query(f"""WITH RECURSIVE {DETECTIONS}, o AS (SELECT file, value, row_number() OVER (PARTITION BY file ORDER BY t, event_id) AS r FROM det), e AS (SELECT file, r, value AS rate FROM o WHERE r = 1 UNION ALL SELECT o.file, o.r, 0.7 * e.rate + 0.3 * o.value FROM e JOIN o ON o.file = e.file AND o.r = e.r + 1) SELECT file, rate FROM e QUALIFY row_number() OVER (PARTITION BY file ORDER BY r DESC) = 1""")
 def smoothed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequential.smoothed(adapters.detections(spark, sf_dir).withColumnRenamed("value", "x"), "file")
+    return folds.smoothed(adapters.detections(spark, sf_dir).withColumnRenamed("value", "x"), "file")
 
 
 @query("""WITH RECURSIVE b AS (SELECT CAST(user_id AS VARCHAR) AS file, epoch_us(ts) // 1000 // 864000000 AS frame, event_id AS idx, {'x1': CAST(event_id % 90 AS DOUBLE), 'y1': CAST(event_id % 70 AS DOUBLE), 'x2': CAST(event_id % 90 + 40 + event_id % 11 AS DOUBLE), 'y2': CAST(event_id % 70 + 40 + event_id % 7 AS DOUBLE)} AS b, value FROM events),

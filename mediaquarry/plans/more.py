@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
-from ..operators import catalog, folders, lists, scans, series, tables, tracks, triage
+from ..operators import catalog, folders, folds, lists, scans, series, tables, tracks, triage
 from ..sources import adapters
 from ..streaming import sessions
 from .registry import DETECTIONS, FILES, query
@@ -180,7 +180,7 @@ def duration_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {DETECTIONS}, o AS (SELECT file, t, value, event_id % 11 = 0 AS forced, row_number() OVER (PARTITION BY file ORDER BY t, value) AS r FROM det), s AS (SELECT file, r, forced OR abs(value) >= 50 AS kept, CASE WHEN forced OR abs(value) >= 50 THEN value ELSE 0.0 END AS last, t, value FROM o WHERE r = 1 UNION ALL SELECT o.file, o.r, o.forced OR abs(o.value - s.last) >= 50, CASE WHEN o.forced OR abs(o.value - s.last) >= 50 THEN o.value ELSE s.last END, o.t, o.value FROM s JOIN o ON o.file = s.file AND o.r = s.r + 1) SELECT file AS key, t AS "at", value AS sec FROM s WHERE kept""")
 def position_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = adapters.detections(spark, sf_dir).select(F.col("file").alias("key"), F.col("t").alias("at"), F.col("value").alias("sec"), (F.col("event_id") % 11 == 0).alias("forced"))
-    return scans.saved_positions(reports, 50.0)
+    return folds.saved_positions(reports, 50.0)
 
 
 @query("""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), h AS (SELECT min(split_part(path, '/', 1)) AS host FROM t WHERE contains(path, '/')), f AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/') AS folder FROM t, unnest(range(1, len(string_split(path, '/')))) AS u(i))

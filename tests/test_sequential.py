@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediaquarry.operators import sequential, series
+from mediaquarry.operators import folds, sequential, series
 
 
 def test_planted_clusters(spark):
@@ -71,7 +71,46 @@ def test_thinning(spark):
         if not kept or t - kept[-1] >= 3000:
             kept.append(t)
     df = spark.createDataFrame([("f", t) for t in times], "file string, t long")
-    assert sorted(r.t for r in sequential.thinned(df, "file").collect()) == kept
+    assert sorted(r.t for r in folds.thinned(df, "file").collect()) == kept
+
+
+@pytest.mark.parametrize("spans", [1, 2, 7, 1000])
+def test_thinning_over_blocks(spark, spans):
+    """One group has most times; blocks of any width give what one fold gives."""
+    draw = random.Random(spans)
+    data = {"hot": [draw.randrange(-5000, 40_000) for _ in range(3000)], "thin": [draw.randrange(10**6) for _ in range(40)], "one": [7], "close": [1, 1, 2, 3]}
+    df = spark.createDataFrame([(f, t) for f, ts in data.items() for t in ts] + [("none", None)], "file string, t long")
+    want = set()
+    for f, ts in data.items():
+        last = None
+        for t in sorted(ts):
+            if last is None or t - last >= 50:
+                want.add((f, t))
+                last = t
+    assert {(r.file, r.t) for r in folds.thinned(df, "file", 50, spans).collect()} == want
+
+
+@pytest.mark.parametrize(("weight", "block"), [(0.3, 7), (0.9, 100), (1.0, 10), (0.05, 10_000)])
+def test_averages_over_blocks(spark, weight, block):
+    draw = random.Random(4)
+    rows = [("hot" if draw.random() < 0.7 else draw.choice("abc"), draw.randrange(50), i, draw.random() * 100) for i in range(900)] + [("one", 0, 900, 5.0)]
+    got = {r.k: r.rate for r in folds.smoothed(spark.createDataFrame(rows, "k string, t long, event_id long, x double"), "k", weight, block).collect()}
+    want = {}
+    for k, _, _, x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        want[k] = x if k not in want else (1 - weight) * want[k] + weight * x
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_saved_positions(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice(["hot", "hot", "hot", "b", None]), i, draw.choice([None, draw.random() * 30, float(i % 60)]), draw.random() < 0.02) for i in range(2000)]
+    got = sorted(((r.key, r.at) for r in folds.saved_positions(spark.createDataFrame(rows, "key string, at long, sec double, forced boolean")).collect()), key=repr)
+    last, want = {}, []
+    for k, at, sec, forced in rows:
+        if forced or (sec is not None and abs(sec - last.get(k, 0.0)) >= 5):
+            last[k] = last.get(k, 0.0) if sec is None else sec
+            want.append((k, at))
+    assert got == sorted(want, key=repr)
 
 
 def test_suppression(spark):
