@@ -138,10 +138,20 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.pages_tree(spark, sf_dir).select("n", F.concat("path", F.lit("/f"), n.cast("string"), F.when(n % 4 == 0, ".MKV").otherwise(".txt")).alias("path"))
 
 
-@query(f"""WITH {PATHS}, x AS (SELECT *, string_split(path, '/') AS p FROM w), o AS (SELECT path, p[1] AS top, path LIKE '%.MKV' AS v, array_to_string(p[:len(p)-1], '/') AS folder, len(p) - 1 AS d, p[:len(p)-1] AS q FROM x), s AS (SELECT *, coalesce(sum(CASE WHEN v THEN 2 ELSE -1 END) OVER w, 0) AS c FROM o WINDOW w AS (PARTITION BY top ORDER BY d, q, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- k AS (SELECT *, 3 + min(c) OVER (PARTITION BY top ORDER BY d, q, path ROWS UNBOUNDED PRECEDING) AS l FROM s) SELECT folder, count(*) AS files, count(*) FILTER (v) AS videos FROM k WHERE l > 0 GROUP BY 1""")
+SEEN = f"""{PATHS}, x AS (SELECT path, string_split(path, '/') AS p, path LIKE '%.MKV' AS v FROM w), fs AS (SELECT path, p[:len(p)-1] AS q, v FROM x),
+ tree AS (SELECT DISTINCT q[:CAST(i AS INT)] AS q FROM fs, unnest(range(len(q) + 1)) AS t(i)), o AS (SELECT NULL AS path, q, false AS v FROM tree UNION ALL SELECT path, q, v FROM fs),
+ s AS (SELECT *, coalesce(q[1], '') AS top, path IS NOT NULL AS f, coalesce(sum(CASE WHEN path IS NULL THEN 0 WHEN v THEN 2 ELSE -1 END) OVER (PARTITION BY coalesce(q[1], '') ORDER BY len(q), q, path IS NOT NULL, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM o),
+ k AS (SELECT *, 3 + min(c) OVER (PARTITION BY top ORDER BY len(q), q, f, path ROWS UNBOUNDED PRECEDING) AS l FROM s), seen AS (SELECT * FROM k WHERE l > 0 OR top = '')"""
+
+
+@query(f"""WITH {SEEN} SELECT array_to_string(q, '/') AS folder, count(*) FILTER (f) AS files, count(*) FILTER (v) AS videos FROM seen GROUP BY 1""")
 def folder_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.folder_stats(walk.walked(_paths(spark, sf_dir), budget=3, bonus=3))
+    return walk.walk(_paths(spark, sf_dir), budget=3, bonus=3).folders
+
+
+@query(f"""WITH {SEEN} SELECT count(*) FILTER (NOT f) AS folders, count(*) FILTER (f) AS files, count(*) FILTER (v) AS videos, bool_or(top <> '' AND f AND 3 + c + CASE WHEN v THEN 2 ELSE -1 END <= 0) AS truncated FROM seen""")
+def walk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.walk(_paths(spark, sf_dir), budget=3, bonus=3).summary
 
 
 @query(f"""WITH {PATHS}, h AS (SELECT min(split_part(path, '/', 1)) AS host FROM w), k AS (SELECT path AS key, row_number() OVER (ORDER BY path) - 1 AS r FROM w, h WHERE path LIKE '%.MKV' AND NOT starts_with(path, host || '/') AND n % 16 <> 0 AND NOT regexp_matches('/' || path, '/[.]')) SELECT key, CAST(r // 5 AS INT) AS batch FROM k""")
