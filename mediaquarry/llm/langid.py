@@ -29,6 +29,8 @@ from .common import ROWS_AT_ONCE
 BUCKETS = 1 << 15
 #: Bound of the rows that the classifier is fitted on.
 SAMPLE = 4000
+#: More languages than this aren't labels of a language column: training says so instead of fitting them. The model has BUCKETS numbers for each.
+MAX_LANGUAGES = 200
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.002
 CHUNK = 1 << 18
@@ -146,9 +148,11 @@ def train(docs: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_pydict({"feature": pa.array(at, pa.int32()), "lang": pa.nulls(len(at), pa.string()), "n": pa.array(seen[at])})
         yield pa.RecordBatch.from_pydict({"feature": pa.array([-1] * len(rows), pa.int32()), "lang": pa.array(list(rows), pa.string()), "n": pa.array(list(rows.values()), pa.int64())})
 
-    # At most BUCKETS rows and one for each language come to the driver.
-    counted = known.select("text", "lang").mapInArrow(frequencies, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).collect()
+    # At most a row for each bucket, one for their sum and one for each language come to the driver.
+    counted = known.select("text", "lang").mapInArrow(frequencies, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).limit(BUCKETS + MAX_LANGUAGES + 2).collect()
     by_language = {r.lang: r.n for r in counted if r.lang is not None}
+    if len(by_language) > MAX_LANGUAGES or len(counted) > BUCKETS + MAX_LANGUAGES + 1:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values: these can't all be languages")
     languages = sorted(by_language)
     if not languages:
         return None

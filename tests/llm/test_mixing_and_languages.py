@@ -1,5 +1,6 @@
 """Mixing: deadlines and deviations. Language ID: accuracy on rows that weren't learnt from."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -156,3 +157,55 @@ def test_rows_without_ids_do_not_share_a_draw(spark):
     model = langid.train(docs)
     found = langid.identify(docs, model).collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * 600
+
+
+def test_fit_is_plain_follow_the_regularised_leader(monkeypatch):
+    """Against a dense loop over one number at a time, with a handful of features."""
+    monkeypatch.setattr(langid, "BUCKETS", 6)
+    monkeypatch.setattr(langid, "L1", 0.3)
+    draw = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        features = np.sort(draw.choice(6, draw.integers(1, 5), replace=False))
+        rows.append((features, draw.random(len(features))))
+    labels = [int(f[0] % 3) for f, _ in rows]
+    z, n = [[0.0] * 7 for _ in range(3)], [[0.0] * 7 for _ in range(3)]
+
+    def weight(k, j):
+        if abs(z[k][j]) <= langid.L1:
+            return 0.0
+        return -(z[k][j] - math.copysign(langid.L1, z[k][j])) / ((langid.BETA + math.sqrt(n[k][j])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(rows)):
+            x = [0.0] * 6 + [1.0]
+            for j, v in zip(*rows[i]):
+                x[j] = v
+            w = [[weight(k, j) for j in range(7)] for k in range(3)]
+            e = [math.exp(sum(a * b for a, b in zip(w[k], x))) for k in range(3)]
+            for k in range(3):
+                for j in range(7):
+                    if x[j]:
+                        g = (e[k] / sum(e) - (k == labels[i])) * x[j]
+                        sigma = (math.sqrt(n[k][j] + g * g) - math.sqrt(n[k][j])) / langid.ALPHA
+                        z[k][j] += g - sigma * w[k][j]
+                        n[k][j] += g * g
+    want = np.array([[weight(k, j) for j in range(7)] for k in range(3)])
+    got = langid.fit(rows, labels, 3)
+    assert np.allclose(got, want, atol=1e-9) and (want == 0).any() and (want != 0).sum() > 5
+
+
+def test_temperature_is_the_best_of_a_scan():
+    draw = np.random.default_rng(5)
+    logits, labels = draw.normal(size=(200, 4)) * 6, draw.integers(0, 4, 200)
+    labels[:120] = logits[:120].argmax(axis=1)
+    loss = lambda t: -np.mean([math.log(math.exp(r[y] / t) / sum(math.exp(v / t) for v in r)) for r, y in zip(logits, labels)])
+    got = langid.fitted_temperature(logits, labels)
+    assert all(loss(got) <= loss(t) + 1e-12 for t in np.geomspace(0.05, 20, 121)) and 1 < got < 20
+
+
+def test_a_column_that_holds_no_languages_is_refused(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "'some text' AS text", "concat('label', id % 3000) AS lang")
+    with pytest.raises(ValueError, match="can't all be languages"):
+        langid.train(docs)
