@@ -162,7 +162,7 @@ def test_rows_without_ids_do_not_share_a_draw(spark):
 def test_fit_is_plain_follow_the_regularised_leader(monkeypatch):
     """Against a dense loop over one number at a time, with a handful of features."""
     monkeypatch.setattr(langid, "BUCKETS", 6)
-    monkeypatch.setattr(langid, "L1", 0.3)
+    monkeypatch.setattr(langid, "L1", 1.0)
     draw = np.random.default_rng(3)
     rows = []
     for _ in range(40):
