@@ -5,16 +5,20 @@ Spark deals files to tasks; a file is bounded by what one video holds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import SAME_PERSON
-from . import faces
+from . import faces, tables
 
 SMALLEST, MOST_CLUSTERS = 3, 30
 
@@ -119,35 +123,82 @@ def merged_faces(characters: DataFrame, threshold: float = SAME_PERSON, least_fa
     return by_file(rows, "fileKey", work, "fileKey string, characterIdx int, groupId int, representative int")
 
 
+def _section_scenes(rows: Iterator[tuple[int, str, int | None]], gap: int, after: int | None, end: int) -> Iterator[tuple]:
+    """Scenes (first, last, start, end, groups) of a section's rows (t, grp, the nearest time before) in order. Held are the rows that wait, all within a gap of the scene's last."""
+    first = last = start = None
+    groups: set[str] = set()
+    waiting: list[tuple[int, str, int | None]] = []
+
+    def closed(following: int | None) -> tuple:
+        later = next((t for t, _, _ in waiting if t > last), following)
+        return first, last, start or 0, max(end, last) if later is None else later, sorted(groups)
+
+    todo: deque[tuple[int, str, int | None]] = deque()
+    while True:
+        if not todo:
+            if (row := next(rows, None)) is not None:
+                todo.append(row)
+            elif first is None:
+                return
+            else:  # those that waited come again
+                yield closed(after)
+                todo, waiting, first, groups = deque(waiting), [], None, set()
+                continue
+        t, grp, before = todo.popleft()
+        if first is not None and t - last > gap:
+            yield closed(t)
+            todo.appendleft((t, grp, before))
+            todo.extendleft(reversed(waiting))
+            waiting, first, groups = [], None, set()
+        elif first is None:
+            first, last, start, groups = t, t, before, {grp}
+        elif grp in groups:
+            groups.update(g for _, g, _ in waiting)
+            waiting, last = [], t
+        else:
+            waiting.append((t, grp, before))
+
+
 def scenes(detections: DataFrame, gap_ms: int, duration: str | None = None) -> DataFrame:
     """Scenes of a file from faces (file, grp, t): firstFace, lastFace, start, end, groups.
 
     A scene goes on while one of its faces returns within the gap; other faces wait, and join it when that happens; if it doesn't,
     the next scene starts at the first that waits. Scenes reach out to the detections around them, or to 0 and the file's end.
+    A gap that no face bridges ends all scenes, so files are cut there into sections, which tasks read row by row.
     """
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "grp"], kind="stable")
-        t, g = pdf.t.to_numpy(), pdf.grp.to_numpy()
-        end = int(pdf.duration.iloc[0]) if duration else 0
-        out, at = [], 0
-        while at < len(t):
-            inside, last, waiting, first_waiting, k = {g[at]}, t[at], set(), -1, at + 1
-            while k < len(t) and t[k] - last <= gap_ms:
-                if g[k] in inside:
-                    inside |= waiting
-                    waiting, first_waiting, last = set(), -1, t[k]
-                else:
-                    first_waiting = k if first_waiting < 0 else first_waiting
-                    waiting.add(g[k])
-                k += 1
-            before, after = np.searchsorted(t, t[at], "left"), np.searchsorted(t, last, "right")
-            out.append((pdf.file.iloc[0], t[at], last, t[before - 1] if before else 0, t[after] if after < len(t) else max(end, last), sorted(inside)))
-            at = first_waiting if first_waiting >= 0 else k
-        return pd.DataFrame(out, columns=["file", "firstFace", "lastFace", "start", "end", "groups"])
-
-    rows = detections.select("file", "grp", "t", *([F.col(duration).alias("duration")] if duration else []))
-    return by_file(rows, "file", work, f"file {rows.schema['file'].dataType.simpleString()}, firstFace long, lastFace long, start long, end long, groups array<string>")
+    length = F.col(duration).cast("long") if duration else F.lit(0).cast("long")
+    rows = tables.sectioned(detections.select("file", F.col("grp").cast("string").alias("grp"), F.col("t").cast("long").alias("t"), length.alias("duration")), "file", "t", gap_ms, ["grp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file", names["file"]), ("firstFace", pa.int64()), ("lastFace", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("groups", pa.list_(pa.string()))])
+
+        def flat() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("section", "file", "t", "grp", "before", "after", "duration")), strict=True)
+
+        def timed(own: Iterator[tuple], nearest: int | None) -> Iterator[tuple[int, str, int | None]]:
+            now = None
+            for _, _, t, grp, _, _, _ in own:
+                if now is not None and t > now:
+                    nearest = now
+                now = t
+                yield t, grp, nearest
+
+        found: list[tuple] = []
+        for _, own in groupby(flat(), key=lambda r: r[0]):
+            head = next(own)
+            for scene in _section_scenes(timed(chain([head], own), head[4]), gap_ms, head[5], head[6] or 0):
+                found.append((head[1], *scene))
+                if len(found) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                    found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    kind = rows.schema["file"].dataType
+    names = {"file": to_arrow_type(kind)}
+    ordered = rows.repartition("section").sortWithinPartitions("section", "t", "grp")
+    return ordered.mapInArrow(run, f"file {kind.simpleString()}, firstFace long, lastFace long, start long, end long, groups array<string>")
 
 
 def packed(segments: DataFrame) -> DataFrame:

@@ -52,6 +52,23 @@ def test_scenes(spark, seed):
         assert mine == sorted(scene_model(p, 9))
 
 
+def test_scenes_of_a_file_with_most_rows(spark):
+    """One file has nearly all rows, in many sections and ranges; ties, lengths of files, nulls and files of one row."""
+    rng = random.Random(9)
+    t, hot = 0, []
+    for _ in range(3000):
+        t += rng.choice([0, 1, 2, 3, 9, 10, 11, 60])
+        hot.append((t, rng.choice("abcdef")))
+    data = {"hot": hot, "one": [(5, "a")], "ties": [(7, "a"), (7, "b"), (7, "a"), (16, "b"), (16, "c")]}
+    rows = [(f, g, x, {"hot": 10**6, "one": 3, "ties": None}[f]) for f, p in data.items() for x, g in p] + [("none", "a", None, 9)]
+    df = spark.createDataFrame(rows, "file string, grp string, t long, duration long")
+    got = sequential.scenes(df, 9, "duration").collect()
+    for f, p in data.items():
+        mine = sorted((r.firstFace, r.lastFace, r.start, r.end, tuple(r.groups)) for r in got if r.file == f)
+        assert mine == sorted(scene_model(p, 9, {"hot": 10**6, "one": 3, "ties": 0}[f]))
+    assert {r.file for r in got} == set(data)
+
+
 def test_packing_never_overlaps(spark):
     rng = random.Random(1)
     rows = [("f", f"g{i}", (s := rng.randrange(300)), s + rng.randrange(20), rng.randrange(1, 5)) for i in range(40) for _ in range(1)]
