@@ -176,12 +176,20 @@ def face_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.merged_faces(adapters.characters(spark, sf_dir), NEAR, 2, _blacklist(spark, sf_dir))
 
 
-@query()
+SCENES = f"""RECURSIVE {DETECTIONS}, o AS (SELECT file, t, grp, row_number() OVER (PARTITION BY file ORDER BY t, grp) AS r FROM det),
+ s AS (SELECT file, CAST(2 AS BIGINT) AS k, t AS first, t AS last, [grp] AS g, CAST([] AS VARCHAR[]) AS w, CAST(NULL AS BIGINT) AS fw, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS VARCHAR[]) AS c FROM o WHERE r = 1
+ UNION ALL SELECT file, CASE WHEN over THEN coalesce(fw, k) + 1 ELSE k + 1 END, CASE WHEN over THEN pt ELSE first END, CASE WHEN over THEN pt WHEN mine THEN t ELSE last END, CASE WHEN over THEN [pg] WHEN mine THEN list_distinct(list_concat(g, w)) ELSE g END,
+  CASE WHEN over OR mine THEN [] ELSE list_append(w, grp) END, CASE WHEN over OR mine THEN NULL ELSE coalesce(fw, k) END, CASE WHEN over THEN first END, CASE WHEN over THEN last END, CASE WHEN over THEN g END
+  FROM (SELECT s.*, o.t, o.grp, p.t AS pt, p.grp AS pg, o.t IS NULL OR o.t - s.last > {24 * HOUR} AS over, list_contains(s.g, o.grp) AS mine FROM s LEFT JOIN o ON o.file = s.file AND o.r = s.k LEFT JOIN o p ON p.file = s.file AND p.r = coalesce(s.fw, s.k) WHERE s.first IS NOT NULL)),
+ scenes AS (SELECT file, a AS "firstFace", b AS "lastFace", coalesce((SELECT max(t) FROM det WHERE det.file = s.file AND det.t < a), 0) AS start, coalesce((SELECT min(t) FROM det WHERE det.file = s.file AND det.t > b), greatest(0, b)) AS "end", list_sort(c) AS groups FROM s WHERE a IS NOT NULL)"""
+
+
+@query(f"""WITH {SCENES} SELECT * FROM scenes""")
 def scene_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.scenes(adapters.detections(spark, sf_dir), 24 * HOUR)
 
 
-@query()
+@query(f"""WITH {SCENES} SELECT * FROM scenes WHERE list_has_any(groups, ['purchase', 'signup'])""")
 def scenes_with_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sequential.scenes(adapters.detections(spark, sf_dir), 24 * HOUR)
     return found.where(F.arrays_overlap("groups", F.array(F.lit("purchase"), F.lit("signup"))))
