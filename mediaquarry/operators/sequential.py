@@ -201,19 +201,24 @@ def scenes(detections: DataFrame, gap_ms: int, duration: str | None = None) -> D
     return ordered.mapInArrow(run, f"file {kind.simpleString()}, firstFace long, lastFace long, start long, end long, groups array<string>")
 
 
+def touches(starts: np.ndarray, furthest: np.ndarray, spans: np.ndarray) -> bool:
+    """Whether one of some spans meets one of those by start, of which the furthest end so far is known: of those that begin before a span's end, one reaches its start."""
+    n = np.searchsorted(starts, spans[:, 1], "right")
+    return bool(((n > 0) & (furthest[np.maximum(n, 1) - 1] >= spans[:, 0])).any())
+
+
 def packed(segments: DataFrame) -> DataFrame:
     """A row for each group of a file's timeline: groups (file, grp, start, end, points; members, if there) by appearances, then members, then grp, each in the first row where nothing touches it."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         groups = sorted(((-int(x.points.sum()), -int(x.members.max()), name, x[["start", "end"]].to_numpy()) for name, x in pdf.groupby("grp")), key=lambda x: x[:3])
-        rows: list[np.ndarray] = []
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each row the spans by start, and the furthest end up to each, and the spans
         out = []
         for minus, _, name, spans in groups:
-            fits = next((i for i, r in enumerate(rows) if not ((r[:, None, 0] <= spans[None, :, 1]) & (spans[None, :, 0] <= r[:, None, 1])).any()), len(rows))
-            if fits == len(rows):
-                rows.append(spans)
-            else:
-                rows[fits] = np.vstack([rows[fits], spans])
+            fits = next((i for i, (starts, furthest, _) in enumerate(rows) if not touches(starts, furthest, spans)), len(rows))
+            held = np.vstack([rows[fits][2], spans]) if fits < len(rows) else spans
+            held = held[np.argsort(held[:, 0], kind="stable")]
+            rows[fits : fits + 1] = [(held[:, 0], np.maximum.accumulate(held[:, 1]), held)]
             out.append((pdf.file.iloc[0], name, fits, -minus))
         return pd.DataFrame(out, columns=["file", "grp", "row", "appearances"])
 

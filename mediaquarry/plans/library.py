@@ -67,7 +67,7 @@ for order, by, bucket in (
     ("date", "modified DESC, name, key", "CASE WHEN modified = 0 THEN '—' ELSE strftime(make_timestamp(modified*1000), '%b %Y') END"),
     ("name", "name, key", "CASE WHEN regexp_matches(upper(left(trim(name),1)), '^[A-Z]$') THEN upper(left(trim(name),1)) ELSE '#' END"),
 ):
-    query(f"WITH {FILES}, {FLAT.format(where='true')}, o AS (SELECT CAST(row_number() OVER (ORDER BY {by}) - 1 AS INT) AS position, {bucket} AS label FROM tile) SELECT position, label FROM (SELECT *, lag(label) OVER (ORDER BY position) AS b FROM o) WHERE b IS DISTINCT FROM label", f"scroll_labels_{order}")(_labels(order))
+    query(f"WITH {FILES}, {FLAT.format(where='true')}, o AS (SELECT CAST(row_number() OVER (ORDER BY {by}) - 1 AS BIGINT) AS position, {bucket} AS label FROM tile) SELECT position, label FROM (SELECT *, lag(label) OVER (ORDER BY position) AS b FROM o) WHERE b IS DISTINCT FROM label", f"scroll_labels_{order}")(_labels(order))
 
 
 @query(f"""WITH {FILES}, tag AS (SELECT key, min(g) AS grp FROM (SELECT key, CASE WHEN n % 13 = 0 THEN 0 WHEN n % 7 = 0 THEN 1 END AS g FROM files) WHERE g IS NOT NULL GROUP BY 1),
@@ -212,7 +212,7 @@ def list_rank_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.with_rank(rows, "2-HIGH", 40, 4).where(F.col("listKey") == "2-HIGH").select("itemKey", "rank")
 
 
-@query(f"""WITH {FILES}, t AS (SELECT key, n, name, CASE WHEN n % 13 = 0 THEN 1 WHEN n % 7 = 0 THEN 3 ELSE 2147483647 END AS grp, {BARE} LIKE '%widget%' AS hit FROM bare) SELECT key, grp, CAST(row_number() OVER (ORDER BY grp, name, key) - 1 AS INT) AS position FROM t WHERE hit OR grp < 2147483647""")
+@query(f"""WITH {FILES}, t AS (SELECT key, n, name, CASE WHEN n % 13 = 0 THEN 1 WHEN n % 7 = 0 THEN 3 ELSE 2147483647 END AS grp, {BARE} LIKE '%widget%' AS hit FROM bare) SELECT key, grp, CAST(row_number() OVER (ORDER BY grp, name, key) - 1 AS BIGINT) AS position FROM t WHERE hit OR grp < 2147483647""")
 def list_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = adapters.files(spark, sf_dir)
     n = F.col("n")

@@ -344,7 +344,7 @@ def work_metadata_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(catalog.metadata_work(files, "missing"), "missing").unionByName(count(catalog.metadata_work(files, "force"), "force")).unionByName(count(catalog.metadata_work(skipped, "force"), "skipped"))
 
 
-@query(f"""WITH {FILES}, s AS (SELECT folder FROM foldered GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT folder, CAST(row_number() OVER (ORDER BY folder) - 1 AS INT) AS place FROM s WHERE folder LIKE '%/%'""")
+@query(f"""WITH {FILES}, s AS (SELECT folder FROM foldered GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT folder, CAST(row_number() OVER (ORDER BY folder) - 1 AS BIGINT) AS place FROM s WHERE folder LIKE '%/%'""")
 def series_alphabetical(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = series.series_of(series.with_folder(_bare(spark, sf_dir)), 2).where(F.contains("folder", F.lit("/")))
     return series.alphabetical(found).select("folder", "place")

@@ -14,7 +14,7 @@ from .registry import CHARACTERS, DETECTIONS, FILES, L2, query
 NOW = 1_706_000_000_000
 
 
-@query(f"""WITH {CHARACTERS}, {QUERY_SQL}, d AS (SELECT key, "memberCount", {L2.format(a='e', b='v')} AS distance FROM characters, q) SELECT key, CAST(row_number() OVER (ORDER BY distance, "memberCount" DESC, key) AS INT) AS place FROM d WHERE distance < 1.3""")
+@query(f"""WITH {CHARACTERS}, {QUERY_SQL}, d AS (SELECT key, "memberCount", {L2.format(a='e', b='v')} AS distance FROM characters, q) SELECT key, CAST(row_number() OVER (ORDER BY distance, "memberCount" DESC, key) AS BIGINT) AS place FROM d WHERE distance < 1.3""")
 def face_search_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = faces.person_search(adapters.characters(spark, sf_dir), _query(), 1.3, closed=False, by="distance")
     return tables.numbered(found, faces.face_order("distance"), "place").select("key", (F.col("place") + 1).alias("place"))

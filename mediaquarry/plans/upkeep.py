@@ -69,7 +69,7 @@ def bulk_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.removed(files, gone, files.where(text.match_filter("widget", F.col("key"))), NOW)[0].select("key")
 
 
-WORK = 'SELECT key, CAST(row_number() OVER (ORDER BY "scanPriority" DESC NULLS LAST, len(string_split(key, \'/\')), key) AS INT) AS place FROM bare WHERE NOT "scanBlacklisted" AND '
+WORK = 'SELECT key, CAST(row_number() OVER (ORDER BY "scanPriority" DESC NULLS LAST, len(string_split(key, \'/\')), key) AS BIGINT) AS place FROM bare WHERE NOT "scanBlacklisted" AND '
 
 
 def _queue(rows: DataFrame) -> DataFrame:

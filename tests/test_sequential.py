@@ -81,6 +81,24 @@ def test_packing_never_overlaps(spark):
     assert got[first[1]] == 0
 
 
+def test_packing_is_first_fit(spark):
+    rng = random.Random(8)
+    rows = [("f", f"g{rng.randrange(60)}", (s := rng.randrange(2000)), s + rng.choice([0, 1, 5, 30]), rng.randrange(1, 5)) for _ in range(400)]
+    groups = {}
+    for _, g, s, e, n in rows:
+        groups.setdefault(g, [0, []])
+        groups[g][0] += n
+        groups[g][1].append((s, e))
+    lines, want = [], {}
+    for g, (_, spans) in sorted(groups.items(), key=lambda x: (-x[1][0], x[0])):
+        i = next((i for i, r in enumerate(lines) if not any(a <= d and c <= b for a, b in r for c, d in spans)), len(lines))
+        lines += [[]] * (i == len(lines))
+        lines[i] = lines[i] + spans
+        want[g] = i
+    got = sequential.packed(spark.createDataFrame(rows, "file string, grp string, start long, end long, points long")).collect()
+    assert {r.grp: r.row for r in got} == want and max(want.values()) > 3
+
+
 def test_thinning(spark):
     times = sorted(random.Random(2).sample(range(60_000), 60))
     kept = []
