@@ -9,7 +9,8 @@ of runs follows from the wanted recall.
 
 Brute force compares sketches (min-hashes and sizes), far below the threshold, and gives stars. What they connect is
 checked exactly: all sets of a connected piece meet, by chunks of GROUP, and Jaccard similarities are counted from
-products of incidence matrices. Since sets of one piece all meet there, the first FIRST_RUNS runs compare only within chunks, dealt anew at each
+products of incidence matrices. A text goes to one chunk only; pairs of chunks get its difference from the piece's first set, which
+for near copies is a small part of it, and from which similarities follow exactly. Since sets of one piece all meet there, the first FIRST_RUNS runs compare only within chunks, dealt anew at each
 node, and then all runs leave out nodes whose sets are in one piece already: a large group of near copies goes down the trees
 of the first runs only, and isn't compared by pairs of chunks. Exact copies are one class from the start; links are counted, not written as pairs.
 
@@ -57,6 +58,10 @@ CACHED = 200_000
 SCANNED = "doc_id long, k1 long, k2 long, size int, sketch binary, firsts array<smallint>, nodes1 array<long>, nodes2 array<long>, parents2 array<smallint>, nodes3 array<long>, parents3 array<smallint>"
 ARRAYS = ("size", "sketch", "firsts", "nodes1", "nodes2", "parents2", "nodes3", "parents3")
 
+#: What a set of a piece of several chunks goes to the others as.
+ENCODED = ("size", "base", "missing", "apart")
+PIECES = "piece long, chunk int, chunks int, rep long, n long, links long, parent long, size int, base int, missing int, apart binary"
+
 KNOWN: dict[str, int] = {}
 
 
@@ -225,24 +230,59 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def exactly(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of each piece, or pair of its chunks: for each set that links here the rows it links to, and its star."""
-    rep, n, chunk, c1, c2 = (np.asarray(table.column(x)) for x in ("rep", "n", "chunk", "c1", "c2"))
+def links_and_stars(both: np.ndarray, sizes: np.ndarray, n: np.ndarray, across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From sizes of intersections and sets: whether a set links to another, the rows it links to (n each), and the first set that links reach. Given across, chunks, only links from one to another count."""
+    linked = both / np.maximum(sizes[:, None] + sizes - both, 1) >= THRESHOLD
+    np.fill_diagonal(linked, False)
+    if across is not None:
+        linked &= across[:, None] != across
+    return linked.any(axis=1), linked @ n, lowest_reached(linked)
+
+
+def of_chunks(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each chunk of a piece: the links and stars of its sets. Where a piece has more chunks, each set too, as its size and what parts it from the piece's base: tokens that only one of them has, and how many it misses."""
+    piece, rep, n, chunk, chunks, base = (np.asarray(table.column(x)) for x in ("piece", "rep", "n", "chunk", "chunks", "base"))
+    alone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def batch(at: np.ndarray, links: np.ndarray, parents: pa.Array, encoded: list[pa.Array]) -> pa.RecordBatch:
+        columns = [pa.array(piece[at]), pa.array(chunk[at], pa.int32()), pa.array(chunks[at], pa.int32()), pa.array(rep[at]), pa.array(n[at]), pa.array(links, pa.int64()), parents, *encoded]
+        return pa.RecordBatch.from_arrays(columns, names=["piece", "chunk", "chunks", "rep", "n", "links", "parent", *ENCODED])
+
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        mine = a + np.flatnonzero(~base[a:b])
+        order = mine[np.argsort(rep[mine], kind="stable")]
+        if not len(order):  # a chunk that no set fell in
+            continue
+        sets = [shingles(table.column("text")[int(i)].as_py()) for i in order]
+        sizes = np.array([len(x) for x in sets])
+        some, links, low = links_and_stars(intersections(sets), sizes.astype(float), n[order])
+        if chunks[a] == 1:
+            alone.append((order[some], links[some], rep[order][low][some]))
+            continue
+        whole = shingles(table.column("text")[a + int(np.flatnonzero(base[a:b])[0])].as_py())
+        apart = [np.setxor1d(x, whole, assume_unique=True) for x in sets]
+        missing = [(len(x) + len(whole) - len(s)) // 2 for s, x in zip(sets, apart)]
+        encoded = [pa.array(sizes, pa.int32()), pa.array(np.full(len(order), len(whole)), pa.int32()), pa.array(missing, pa.int32()), pa.array([x.tobytes() for x in apart], pa.binary())]
+        yield batch(order, links, pa.array(rep[order][low], pa.int64(), mask=~some), encoded)
+    if alone:
+        at, links, parents = (np.concatenate([x[i] for x in alone]) for i in range(3))
+        yield batch(at, links, pa.array(parents, pa.int64()), [pa.nulls(len(at), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary())])
+
+
+def across_chunks(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each pair of a piece's chunks: for each set that links to the other chunk the rows it links to there, and its star.
+
+    With R the base, |A & B & R| = |R| - |R - A| - |R - B| + |R - A - B|, and the tokens that A and B both miss or both have besides are what their differences from R share.
+    """
+    rep, n, chunk, size, base, missing = (np.asarray(table.column(x)) for x in ("rep", "n", "chunk", "size", "base", "missing"))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        order = np.argsort(rep[a:b], kind="stable")
-        texts = table.column("text").slice(a, b - a).to_pylist()
-        sets = [shingles(texts[i]) for i in order]
-        both = intersections(sets)
-        sizes = np.array([len(x) for x in sets], float)
-        linked = both / np.maximum(sizes[:, None] + sizes - both, 1) >= THRESHOLD
-        np.fill_diagonal(linked, False)
-        if c1[a] != c2[a]:  # within a chunk, the chunk's own group counts
-            mine = chunk[a:b][order]
-            linked &= mine[:, None] != mine
-        some = linked.any(axis=1)
-        ids = rep[a:b][order]
-        out.append((ids[some], (linked @ n[a:b][order])[some], ids[lowest_reached(linked)][some]))
+        order = a + np.argsort(rep[a:b], kind="stable")
+        apart = [np.frombuffer(table.column("apart")[int(i)].as_py(), U64) for i in order]
+        lacks = missing[order].astype(float)
+        both = base[a] - lacks[:, None] - lacks + intersections(apart)
+        some, links, low = links_and_stars(both, size[order].astype(float), n[order], chunk[order])
+        out.append((rep[order][some], links[some], rep[order][low][some]))
     columns = [np.concatenate([o[i] for o in out]) for i in range(3)]
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["rep", "links", "parent"])
 
@@ -261,9 +301,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(SEED), "text")})
 
 
-def leaves(classes: DataFrame, piece: DataFrame | None = None) -> DataFrame:
-    """(node, rep, group_size) of the nodes to be brute-forced: of the first runs, or given piece (rep, piece) of all runs, where a node's sets are in several pieces."""
-    found = None
+def leaves(classes: DataFrame, piece: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(node, rep, group_size) of the nodes to be brute-forced: of the first runs, or given piece (rep, piece) of all runs, where a node's sets are in several pieces; and the paths of tables that hold them."""
+    found, held = None, []
     heavy = None
     for level in range(1, DEPTH + 1):
         node = F.col(f"nodes{level}").alias("node")
@@ -276,11 +316,12 @@ def leaves(classes: DataFrame, piece: DataFrame | None = None) -> DataFrame:
             sets = here.join(heavy, "rep").withColumn("paths", F.filter("paths", lambda x: F.array_contains("heavy", x["parent"])))
         places = sets.select("rep", "piece", F.explode(F.array_distinct(F.transform("paths", lambda x: x["node"]))).alias("node"))
         sizes = places.groupBy("node").agg(F.count("*").alias("group_size"), F.min("piece").alias("low"), F.max("piece").alias("high")).where("low <> high").select("node", "group_size")
-        met, _ = stored(places.join(sizes, "node"), "nodes")
+        met, path = stored(places.join(sizes, "node"), "nodes")
+        held.append(path)
         leaf = met if level == DEPTH else met.where(F.col("group_size") <= LEAF)
         found = leaf if found is None else found.unionByName(leaf)
         heavy = met.where(F.col("group_size") > LEAF).groupBy("rep").agg(F.collect_set("node").alias("heavy"), F.first("piece").alias("piece"))  # a set follows a few nodes
-    return found.select("node", "rep", "group_size")
+    return found.select("node", "rep", "group_size"), held
 
 
 def linked_roughly(classes: DataFrame, leaf: DataFrame, pairs: bool) -> DataFrame:
@@ -301,10 +342,13 @@ def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     scan, _ = stored(full.select("doc_id", "size", "k1", "k2"), "text-keys")
     discard(spark, at_full)
 
-    first = stars(linked_roughly(classes, leaves(classes), pairs=False))
-    pieces = first.select(F.col("node").alias("rep"), F.col("component").alias("piece"))
-    later = linked_roughly(classes, leaves(classes, pieces), pairs=True)
+    leaf, held = leaves(classes)
+    first = stars(linked_roughly(classes, leaf, pairs=False))
+    leaf, more = leaves(classes, first.select(F.col("node").alias("rep"), F.col("component").alias("piece")))
+    later = linked_roughly(classes, leaf, pairs=True)
     pieces = stars(later.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    for path in held + more:
+        discard(spark, path)
 
     member = pieces.select(F.col("node").alias("rep"), F.col("component").alias("piece"))
     member = member.unionByName(member.select(F.col("piece").alias("rep"), "piece").distinct())
@@ -313,8 +357,16 @@ def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     wanted = member.join(sizes, "piece").join(classes.select("rep", "low", "n", "k1", "k2"), "rep").select(F.col("low").alias("doc_id"), "k1", "k2", "rep", "piece", "group_size", "n")
     found = rows.join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
     cut = found.withColumn("chunks", F.ceil(F.col("group_size") / GROUP).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("piece", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "rep", "n", "text")
-    counted, _ = stored(by_groups(spread, ["piece", "c1", "c2"], exactly, "rep long, links long, parent long"), "text-links")
+    # A text goes to its own chunk; that of a piece's first set, its base, to all of the piece's chunks.
+    own = F.array(F.struct("chunk", F.lit(False).alias("base")))
+    copies = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("base")))
+    dealt = cut.withColumn("at", F.explode(F.when((F.col("rep") == F.col("piece")) & (F.col("chunks") > 1), F.concat(own, copies)).otherwise(own)))
+    sets, at_sets = stored(by_groups(dealt.select("piece", "at.chunk", "chunks", "at.base", "rep", "n", "text"), ["piece", "chunk"], of_chunks, PIECES), "piece-sets")
+    spread = sets.where("chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk")
+    pairs = spread.select("piece", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "rep", "n", *ENCODED)
+    across = by_groups(pairs, ["piece", "c1", "c2"], across_chunks, "rep long, links long, parent long")
+    counted, at_links = stored(sets.where(F.col("parent").isNotNull()).select("rep", "links", "parent").unionAll(across), "text-links")
+    discard(spark, at_sets)
     components = stars(counted.select(F.col("rep").alias("u"), F.col("parent").alias("v")))
 
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -323,6 +375,7 @@ def similar_texts(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     by_class = by_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("class_id"), F.col("component_low").isNull().alias("first"))
     done, _ = stored(by_class, "text-results")
     discard(spark, at)
+    discard(spark, at_links)
     return scan.select("doc_id", F.col("size").alias("n_shingles"), "k1", "k2").join(done, ["k1", "k2"], "left").select(
         "doc_id", F.coalesce("first", F.lit(True)).alias("first"), F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_shingles", "k1", "k2"
     )
