@@ -8,7 +8,8 @@ follows so that a random vector exceeds LIST filters on average. The number of c
 threshold need: for random ones of the same dimension, against these very books, the share that one code misses is
 measured, and as many codes are used as leave under 1 - RECALL of them (a pair's chance depends on its angle alone, since
 rotations and directions are drawn without one that is favoured). Rows with the same label meet where they share a
-filter; every pair there is checked by its cosine in double precision, so nothing below the threshold is linked.
+filter: first with vectors rounded to bytes, which rule out nearly all that don't link and none that do; what is left is
+checked by its cosine in double precision, so nothing below the threshold is linked.
 
 Equal vectors of a label are one class from the start. A pair of classes counts in the first filter that both have, so
 links are counted without writing pairs; for reaching, each group of a filter gives only a star for each of its
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_groups, flat, stored
+from .common import by_groups, discard, flat, stored
 from .components import stars
 
 THRESHOLD = 0.93
@@ -47,6 +48,9 @@ GROUP = 512
 SEED = 20
 
 COUNTED = "rep long, links long, parent long"
+LISTED = "rep long, label string, dim int, filters array<long>, short binary, scale double, slack double"
+#: Where a class meets others.
+PLACED = ["label", "dim", "filter", "c1", "c2", "chunk", "rep"]
 
 
 class Shape(NamedTuple):
@@ -170,8 +174,37 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def rounded(units: np.ndarray) -> list[pa.Array]:
+    """Unit vectors with a byte for each number: short, the scale of its numbers, and slack, the length of what rounding took."""
+    scale = np.abs(units).max(axis=1, keepdims=True) / 127
+    short = np.rint(units / scale)
+    slack = np.sqrt(((units - short * scale) ** 2).sum(axis=1))
+    return [pa.array([x.tobytes() for x in short.astype(np.int8)], pa.binary()), pa.array(scale[:, 0]), pa.array(slack)]
+
+
+def possible(table: pa.Table, cuts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of each filter's group, or pair of its chunks: the rows that may link to another there.
+
+    A cosine differs from that of the rounded vectors by less than e + f + 3ef, e and f their slacks (products of lengths; a rounded
+    vector is at most 1 + e long), so no link is lost.
+    """
+    chunk, dim, scale, slack, c1, c2 = (np.asarray(table.column(x)) for x in ("chunk", "dim", "scale", "slack", "c1", "c2"))
+    numbers = np.frombuffer(b"".join(table.column("short").to_pylist()), np.int8)
+    ends = np.concatenate(([0], np.cumsum(dim, dtype=np.int64)))
+    keep = np.zeros(table.num_rows, bool)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        x = numbers[ends[a] : ends[b]].reshape(b - a, -1).astype(np.float64) * scale[a:b, None]
+        e = slack[a:b]
+        may = x @ x.T + (e[:, None] + e + 3 * e[:, None] * e) >= threshold - 1e-9
+        np.fill_diagonal(may, False)
+        if c1[a] != c2[a]:
+            may &= chunk[a:b, None] != chunk[None, a:b]
+        keep[a:b] = may.any(axis=1)
+    yield from table.filter(pa.array(keep)).select(PLACED).combine_chunks().to_batches()
+
+
 def listed(batches: Iterator[pa.RecordBatch], shapes: dict[int, tuple[Shape, int]]) -> Iterator[pa.RecordBatch]:
-    """(rep, label, dim, filters) of classes."""
+    """(rep, label, dim, filters) of classes, and their vectors as rounded."""
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
@@ -180,7 +213,8 @@ def listed(batches: Iterator[pa.RecordBatch], shapes: dict[int, tuple[Shape, int
                 rows = batch.filter(pa.array(dims == dim))
                 ids, ends = filters_of(unit_rows(rows.column("embedding")), *shapes[int(dim)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("label"), rows.column("dim"), lists], names=["rep", "label", "dim", "filters"])
+                shorts = rounded(unit_rows(rows.column("embedding")))
+                yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("label"), rows.column("dim"), lists, *shorts], names=["rep", "label", "dim", "filters", "short", "scale", "slack"])
 
 
 def checked(table: pa.Table, cuts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -227,31 +261,40 @@ def checked(table: pa.Table, cuts: np.ndarray, threshold: float) -> Iterator[pa.
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+    spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
     good = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(SEED), "embedding"), "dim": F.size("embedding")})
     grouped = good.groupBy("label", "k1", "k2", "dim").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     # rep numbers the classes in the order of their smallest ids: an id may stand for several vectors.
     ordered = grouped.repartitionByRange("low", "k1", "label").sortWithinPartitions("low", "k1", "label")
-    classes, _ = stored(ordered.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
+    classes, at_classes = stored(ordered.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     # A row for each length of vectors.
     codes = {r.dim: fitted(r.dim, r.n, threshold) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
 
-    made = classes.select("rep", "label", "dim", "embedding").mapInArrow(lambda batches: listed(batches, codes), "rep long, label string, dim int, filters array<long>")
-    lists, _ = stored(made, "filter-lists")
+    made = classes.select("rep", "label", "dim", "embedding").mapInArrow(lambda batches: listed(batches, codes), LISTED)
+    lists, at_lists = stored(made, "filter-lists")
     places = lists.select("rep", "label", "dim", F.explode("filters").alias("filter"))
     sizes = places.groupBy("label", "dim", "filter").agg(F.count("*").alias("size")).where(F.col("size") > 1).withColumn("chunks", F.ceil(F.col("size") / GROUP).cast("int"))
     met = places.join(sizes, ["label", "dim", "filter"]).select("rep", "label", "dim", "filter", "chunks")
-    full = classes.select("rep", "n", "embedding").join(lists.select("rep", "filters"), "rep")
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     spread = met.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    groups = spread.join(full, "rep").select("label", "dim", "filter", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "rep", "n", "embedding", "filters")
-
-    counted, _ = stored(by_groups(groups, ["label", "dim", "filter", "c1", "c2"], lambda table, cuts: checked(table, cuts, threshold), COUNTED), "filter-links")
+    placed = spread.select("label", "dim", "filter", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "rep")
+    # All filters get rounded vectors; whole ones, and lists, go only where something may link.
+    rough = placed.join(lists.select("rep", "short", "scale", "slack"), "rep")
+    kinds = "label string, dim int, filter long, c1 int, c2 int, chunk int, rep long"
+    keys = ["label", "dim", "filter", "c1", "c2"]
+    left = by_groups(rough, keys, lambda table, cuts: possible(table, cuts, threshold), kinds)
+    full = classes.select("rep", "n", "embedding").join(lists.select("rep", "filters"), "rep")
+    counted, at_links = stored(by_groups(left.join(full, "rep"), keys, lambda table, cuts: checked(table, cuts, threshold), COUNTED), "filter-links")
+    discard(spark, at_lists)
     components = stars(counted.select(F.col("rep").alias("u"), F.col("parent").alias("v")))
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     lows = components.join(classes.select(F.col("rep").alias("component"), F.col("low").alias("component_low")), "component").select(F.col("node").alias("rep"), "component_low")
     found = classes.select("label", "k1", "k2", "dim", "rep", "n", "low").join(links, "rep", "left").join(lows, "rep", "left")
     by_class = found.select("label", "k1", "k2", "dim", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_low", "low").alias("component_id"))
-    member = good.select("vec_id", "label", "k1", "k2", "dim").join(by_class, ["label", "k1", "k2", "dim"]).select("vec_id", "n_links", "component_id")
+    done, _ = stored(by_class, "vector-results")
+    discard(spark, at_classes)
+    discard(spark, at_links)
+    member = good.select("vec_id", "label", "k1", "k2", "dim").join(done, ["label", "k1", "k2", "dim"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -107,6 +107,22 @@ ODD_VECTORS = [
 ]
 
 
+def test_rounded_vectors_lose_no_link():
+    rng = np.random.default_rng(8)
+    for dimension in (1, 3, 64, 300):
+        base = rng.normal(size=dimension)
+        x = base + rng.normal(size=(200, dimension)) * np.abs(base).max() * rng.choice([0.01, 0.2, 3.0], size=(200, 1))
+        x[:20, 0] *= 1000  # one number dwarfs the others
+        units = x / np.linalg.norm(x, axis=1, keepdims=True)
+        columns = dict(zip(("short", "scale", "slack"), cap_filters.rounded(units)))
+        fixed = {"label": ["a"] * 200, "dim": [dimension] * 200, "filter": [0] * 200, "c1": [0] * 200, "c2": [1] * 200, "chunk": [i % 2 for i in range(200)], "rep": list(range(200))}
+        got = {r for b in cap_filters.possible(pa.table({**fixed, **columns}), np.array([0, 200]), 0.93) for r in b.column("rep").to_pylist()}
+        linked = (units @ units.T >= 0.93) & (np.arange(200)[:, None] % 2 != np.arange(200) % 2)
+        assert set(np.flatnonzero(linked.any(axis=1)).tolist()) <= got
+        may = (units @ units.T >= 0.93 - 0.06) & (np.arange(200)[:, None] % 2 != np.arange(200) % 2)
+        assert got <= set(np.flatnonzero(may.any(axis=1)).tolist())
+
+
 @pytest.fixture(scope="module")
 def odd_vectors(spark):
     return spark.createDataFrame([(*r, "x", 0) for r in ODD_VECTORS], "vec_id long, embedding array<double>, label int, rep string, n int")
