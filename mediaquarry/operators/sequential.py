@@ -1,6 +1,6 @@
-"""Operators whose every step depends on the steps before: grouped by file, one file's rows in a task at a time.
+"""Operators whose every step depends on the steps before.
 
-Spark deals files to tasks; a file is bounded by what one video holds.
+Clusters and scenes read rows in order and hold what the next step needs; timelines and boxes are grouped by file or frame.
 """
 
 from __future__ import annotations
@@ -12,19 +12,20 @@ from itertools import chain, groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.vectors import SAME_PERSON
+from ..functions.vectors import SAME_PERSON, l2_unit, unit
 from . import faces, tables
 
 SMALLEST, MOST_CLUSTERS = 3, 30
 
 
 def distances(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (rows.astype(np.float64) @ one.astype(np.float64))))
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (rows.astype(np.float64, copy=False) @ one.astype(np.float64))))
 
 
 def mean_unit(total: np.ndarray, n: int) -> np.ndarray:
@@ -32,38 +33,81 @@ def mean_unit(total: np.ndarray, n: int) -> np.ndarray:
     return (mean / np.float32(np.sqrt((mean.astype(np.float64) ** 2).sum()) + 1e-12)).astype(np.float32)
 
 
-def clusters_of(vectors: np.ndarray, threshold: float = SAME_PERSON) -> list[list[int]]:
-    """Rows of each cluster: rows join the nearest centre so far or start one; members far from the medoid leave; close centres merge, the first close pair each time."""
-    groups: list[list[int]] = []
-    totals: list[np.ndarray] = []
-    centres = np.empty((0, vectors.shape[1]), np.float32)
-    for i, v in enumerate(vectors):
-        d = distances(centres, v)
-        if len(d) and d.min() < threshold:
-            best = int(d.argmin())
-            groups[best].append(i)
-            totals[best] = totals[best] + v
-            centres[best] = mean_unit(totals[best], len(groups[best]))
-        else:
-            groups.append([i])
-            totals.append(v.copy())
-            centres = np.vstack([centres, mean_unit(v, 1)])
-    kept = []
-    for g in groups:
-        rows = vectors[g]
-        medoid = rows[int(distances(rows, mean_unit(rows.sum(axis=0, dtype=np.float32), len(g))).argmin())]
-        kept.append([g[k] for k in np.flatnonzero(distances(rows, medoid) < threshold)])
-    kept = [g for g in kept if g]
-    totals = [vectors[g].sum(axis=0, dtype=np.float32) for g in kept]
-    while True:
-        centres = np.array([mean_unit(t, len(g)) for t, g in zip(totals, kept)])
-        close = ((a, a + 1 + int(b[0])) for a in range(len(kept) - 1) if len(b := np.flatnonzero(distances(centres[a + 1 :], centres[a]) < threshold)))
-        pair = next(close, None)
-        if pair is None:
-            return kept
-        a, b = pair
-        totals[a] = totals[a] + totals.pop(b)
-        kept[a] = kept[a] + kept.pop(b)
+def merged_clusters(totals: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """For each cluster, of a sum and a number of vectors, the first that it ends up in: the first close pair merges into its first, again and again. After a merge only pairs with the moved centre are looked at anew."""
+    totals, counts = totals.copy(), counts.copy()
+    centres = np.array([mean_unit(t, n) for t, n in zip(totals, counts)])
+    owner, alive, a = np.arange(len(counts)), np.ones(len(counts), bool), 0
+    while a < len(counts):
+        close = a + 1 + np.flatnonzero(alive[a + 1 :] & (distances(centres[a + 1 :], centres[a]) < threshold)) if alive[a] else ()
+        if not len(close):
+            a += 1
+            continue
+        b = int(close[0])
+        totals[a], counts[a], owner[b], alive[b] = totals[a] + totals[b], counts[a] + counts[b], a, False
+        centres[a] = mean_unit(totals[a], int(counts[a]))
+        earlier = np.flatnonzero(alive[:a] & (distances(centres[:a], centres[a]) < threshold))
+        a = int(earlier[0]) if len(earlier) else a
+    while (owner[owner] != owner).any():
+        owner = owner[owner]
+    return owner
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float32).reshape(len(column), -1)
+
+
+def joined(rows: DataFrame, order: list[Column], threshold: float, moving: bool) -> DataFrame:
+    """rows (file, embedding and others; neither null) with cluster: file by file in order, a row joins the nearest of its file's centres so far, within the threshold, or starts one with the next number.
+
+    Centres move with what joins them, or stay at their first row. A task reads its rows in order and holds the centres of one
+    file, not its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
+        totals = centres = counts = np.empty(0)
+        for batch in batches:
+            found = np.empty(batch.num_rows, np.int64)
+            for i, (file, v) in enumerate(zip(batch.column("file").to_pylist(), vectors_of(batch.column("embedding")) if batch.num_rows else ())):
+                if file != now:
+                    now, n = file, 0
+                    totals, centres, counts = np.empty((16, len(v)), np.float32), np.empty((16, len(v))), np.zeros(16, np.int64)
+                d = distances(centres[:n], v)
+                k = int(d.argmin()) if n and d.min() < threshold else n
+                if k == n:
+                    if n == len(counts):  # room for as many again
+                        totals, centres, counts = np.concatenate([totals, totals]), np.concatenate([centres, centres]), np.concatenate([counts, counts])
+                    totals[k], counts[k], n = v, 1, n + 1
+                    centres[k] = mean_unit(v, 1) if moving else v
+                elif moving:
+                    totals[k], counts[k] = totals[k] + v, counts[k] + 1
+                    centres[k] = mean_unit(totals[k], int(counts[k]))
+                found[i] = k
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "cluster"])
+
+    return rows.repartition("file").sortWithinPartitions("file", *order).mapInArrow(run, StructType([*rows.schema.fields, StructField("cluster", LongType())]))
+
+
+def totals_of(rows: DataFrame) -> DataFrame:
+    """(file, cluster, n, total): how many vectors each cluster has, and their sum; summed batch by batch before they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                file, cluster = np.array(batch.column("file").to_pylist(), object), np.asarray(batch.column("cluster"))
+                starts = np.flatnonzero(np.concatenate(([True], (file[1:] != file[:-1]) | (cluster[1:] != cluster[:-1]))))
+                sums = np.add.reduceat(vectors_of(batch.column("embedding")).astype(np.float64), starts)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("file").take(pa.array(starts)), pa.array(cluster[starts]), pa.array(np.diff(np.append(starts, batch.num_rows))), pa.array(list(sums), pa.list_(pa.float64())),
+                ], names=["file", "cluster", "n", "total"])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"file": [pdf.file.iloc[0]], "cluster": [pdf.cluster.iloc[0]], "n": [pdf.n.sum()], "total": [np.stack(pdf.total.to_numpy()).sum(axis=0)]})
+
+    schema = f"file {rows.schema['file'].dataType.simpleString()}, cluster long, n long, total array<double>"
+    parts = rows.select("file", "cluster", "embedding").sortWithinPartitions("file", "cluster").mapInArrow(run, schema)
+    return parts.groupBy("file", "cluster").applyInPandas(summed, schema)
 
 
 def by_file(df: DataFrame, file: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -71,17 +115,31 @@ def by_file(df: DataFrame, file: str, work: Callable[[pd.DataFrame], pd.DataFram
 
 
 def clustered(found: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
-    """Faces (file, t, idx, embedding), in order of t and idx, with cluster (null: pruned), numbered by size, largest first."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "idx"], kind="stable").reset_index(drop=True)
-        found = clusters_of(np.stack(pdf.embedding.to_numpy()).astype(np.float32), threshold)
-        pdf["cluster"] = pd.array([None] * len(pdf), dtype="Int64")
-        for n, g in enumerate(sorted(found, key=len, reverse=True)):
-            pdf.loc[g, "cluster"] = n
-        return pdf[["file", "t", "idx", "cluster"]]
+    """Faces (file, t, idx, embedding), in order of t and idx, with cluster (null: pruned, or without a file or an embedding), numbered by size, largest first.
 
-    return by_file(found.select("file", "t", "idx", "embedding"), "file", work, "file string, t long, idx long, cluster long")
+    Faces join moving centres in order; those far from their cluster's medoid, the face nearest to its mean, leave; close clusters
+    merge. Only the first step reads a file in one task, row by row; the next are joins and sums, and merging sees sums of clusters.
+    """
+    rows = found.select("file", "t", "idx", "embedding")
+    whole = F.col("file").isNotNull() & F.col("embedding").isNotNull()
+    placed = tables.stored(joined(rows.where(whole), [F.col("t"), F.col("idx")], threshold, True), "faces-joined")
+    means = totals_of(placed).select("file", "cluster", unit(F.transform("total", lambda x: (x / F.col("n")).cast("float"))).cast("array<float>").alias("centre"))
+    apart = placed.join(means, ["file", "cluster"]).withColumn("d", l2_unit(F.col("embedding"), F.col("centre")))
+    medoids = apart.groupBy("file", "cluster").agg(F.min_by("embedding", F.struct("d", "t", "idx")).alias("medoid"))
+    near = placed.join(medoids, ["file", "cluster"]).withColumn("near", l2_unit(F.col("embedding"), F.col("medoid")) < threshold)
+    kept = tables.stored(near.select("file", "t", "idx", "cluster", "near", F.when(F.col("near"), F.col("embedding")).alias("embedding")), "faces-kept")
+
+    def numbers(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cluster").reset_index(drop=True)
+        owner = merged_clusters(np.stack(pdf.total.to_numpy()).astype(np.float32), pdf.n.to_numpy(), threshold)
+        sizes = pdf.n.groupby(owner).sum()
+        place = {k: n for n, k in enumerate(sorted(sizes.index, key=lambda k: (-sizes[k], k)))}
+        return pd.DataFrame({"file": pdf.file, "cluster": pdf.cluster, "number": [place[k] for k in owner]})
+
+    kind = rows.schema["file"].dataType.simpleString()
+    numbered = by_file(totals_of(kept.where("near")), "file", numbers, f"file {kind}, cluster long, number long")
+    out = kept.join(numbered, ["file", "cluster"], "left").select("file", "t", "idx", F.when(F.col("near"), F.col("number")).alias("cluster"))
+    return out.unionAll(rows.where(~whole).select("file", "t", "idx", F.lit(None).cast("long")))
 
 
 def extracted(found: DataFrame, threshold: float = SAME_PERSON, blacklist: DataFrame | None = None) -> DataFrame:
@@ -99,28 +157,17 @@ def extracted(found: DataFrame, threshold: float = SAME_PERSON, blacklist: DataF
 
 def merged_faces(characters: DataFrame, threshold: float = SAME_PERSON, least_faces: int = 1, blacklist: DataFrame | None = None) -> DataFrame:
     """Characters of a file, without those that a blacklisted face is near, that are one person: best first, each joins the nearest group by its first face, or starts one; no chains. fileKey, characterIdx, groupId, representative."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bestFaceScore", "memberCount", "characterIdx"], ascending=[False, False, True], kind="stable")
-        vectors = np.stack(pdf.bestFaceEmbedding.to_numpy()).astype(np.float64)
-        idx = pdf.characterIdx.to_numpy()
-        firsts: list[int] = []
-        owner = np.empty(len(idx), np.int64)
-        for i in range(len(idx)):
-            d = distances(vectors[firsts], vectors[i]) if firsts else np.empty(0)
-            if len(d) and d.min() < threshold:
-                owner[i] = int(d.argmin())
-            else:
-                owner[i] = len(firsts)
-                firsts.append(i)
-        lowest = pd.Series(idx).groupby(owner).min()
-        number = {g: n for n, g in enumerate(lowest.sort_values().index)}
-        return pd.DataFrame({"fileKey": pdf.fileKey.to_numpy(), "characterIdx": idx, "groupId": [number[g] for g in owner], "representative": [idx[firsts[g]] for g in owner]})
-
     if blacklist is not None:
         characters = faces.without_blacklisted(characters, blacklist, threshold)
-    rows = characters.where(F.col("bestFaceEmbedding").isNotNull() & (F.col("memberCount") >= least_faces)).select("fileKey", "characterIdx", "memberCount", "bestFaceScore", "bestFaceEmbedding")
-    return by_file(rows, "fileKey", work, "fileKey string, characterIdx int, groupId int, representative int")
+    rows = characters.where(F.col("fileKey").isNotNull() & F.col("bestFaceEmbedding").isNotNull() & (F.col("memberCount") >= least_faces))
+    rows = rows.select(F.col("fileKey").alias("file"), "characterIdx", "memberCount", "bestFaceScore", F.col("bestFaceEmbedding").alias("embedding"))
+    best = [F.desc("bestFaceScore"), F.desc("memberCount"), F.asc("characterIdx")]
+    placed = tables.stored(joined(rows, best, threshold, False).drop("embedding"), "characters-joined")
+    # A row for each group of a file; the first of a group started it.
+    first = F.min_by("characterIdx", F.struct(-F.col("bestFaceScore"), -F.col("memberCount"), "characterIdx"))
+    groups = placed.groupBy("file", "cluster").agg(first.alias("representative"), F.min("characterIdx").alias("low"))
+    numbered = groups.withColumn("groupId", (F.row_number().over(W.partitionBy("file").orderBy("low", "cluster")) - 1).cast("int"))
+    return placed.join(numbered, ["file", "cluster"]).select(F.col("file").alias("fileKey"), "characterIdx", "groupId", "representative")
 
 
 def _section_scenes(rows: Iterator[tuple[int, str, int | None]], gap: int, after: int | None, end: int) -> Iterator[tuple]:

@@ -22,6 +22,94 @@ def test_planted_clusters(spark):
     assert sorted(chars.memberCount) == [20] * 4 and set(chars.bestT) == {76, 77, 78, 79}
 
 
+def unit_mean(rows):
+    m = np.mean(np.array(rows, float), axis=0)
+    return m / np.linalg.norm(m)
+
+
+def apart(x, y):
+    return float(np.sqrt(max(0.0, 2 - 2 * float(np.dot(x, y)))))
+
+
+def cluster_model(vectors, threshold):
+    """Number of each vector's cluster, or None, one step after another."""
+    groups = []
+    for i, v in enumerate(vectors):
+        d = [apart(unit_mean(vectors[g]), v) for g in groups]
+        if d and min(d) < threshold:
+            groups[d.index(min(d))].append(i)
+        else:
+            groups.append([i])
+    kept = []
+    for g in groups:
+        centre = unit_mean(vectors[g])
+        medoid = vectors[min(g, key=lambda i: (apart(vectors[i], centre), i))]
+        kept.append([i for i in g if apart(vectors[i], medoid) < threshold])
+    merging = True
+    while merging:
+        merging = False
+        for a in range(len(kept)):
+            for b in range(a + 1, len(kept)):
+                if not merging and apart(unit_mean(vectors[kept[a]]), unit_mean(vectors[kept[b]])) < threshold:
+                    kept[a], merging = kept[a] + kept.pop(b), True
+                    break
+            if merging:
+                break
+    out = [None] * len(vectors)
+    for n, g in enumerate(sorted(kept, key=len, reverse=True)):
+        for i in g:
+            out[i] = n
+    return out
+
+
+def some_units(rng, n, dimension):
+    x = rng.normal(size=(n, dimension)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True).astype(np.float32)
+
+
+def test_clusters_by_a_plain_model(spark):
+    """Vectors without structure, so that faces leave and clusters merge; one file has most rows, over several batches; a file of one row, faces without vectors."""
+    rng = np.random.default_rng(12)
+    data = {"hot": some_units(rng, 260, 6), "b": some_units(rng, 60, 6), "one": some_units(rng, 1, 6)}
+    rows = [(f, i // 2, i % 2, [float(x) for x in v]) for f, vs in data.items() for i, v in enumerate(vs)] + [("b", 99, 0, None), (None, 0, 0, [1.0] * 6)]
+    rng.shuffle(rows := np.array([*rows, None], object)[:-1])
+    df = spark.createDataFrame(rows.tolist(), "file string, t long, idx long, embedding array<float>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        for threshold in (0.7, 1.0):
+            got = {(r.file, r.t, r.idx): r.cluster for r in sequential.clustered(df, threshold).collect()}
+            assert len(got) == len(rows) and got["b", 99, 0] is None and got[None, 0, 0] is None
+            for f, vs in data.items():
+                assert [got[f, i // 2, i % 2] for i in range(len(vs))] == cluster_model(vs, threshold), (f, threshold)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sequential.clustered(df.limit(0)).count() == 0
+
+
+def merge_model(rows, threshold):
+    """(group, representative) by characterIdx of one file's (idx, members, score, vector)."""
+    groups = []
+    for i, _, _, v in sorted(rows, key=lambda r: (-r[2], -r[1], r[0])):
+        d = [apart(g[0][1], v) for g in groups]
+        if d and min(d) < threshold:
+            groups[d.index(min(d))].append((i, v))
+        else:
+            groups.append([(i, v)])
+    groups.sort(key=lambda g: min(i for i, _ in g))
+    return {i: (n, g[0][0]) for n, g in enumerate(groups) for i, _ in g}
+
+
+def test_merged_faces_by_a_plain_model(spark):
+    rng = np.random.default_rng(13)
+    data = {f: [(i, int(rng.integers(1, 4)), float(rng.integers(5)), v) for i, v in enumerate(some_units(rng, n, 5))] for f, n in (("hot", 200), ("b", 9), ("one", 1))}
+    rows = [(f, i, m, s, [float(x) for x in v]) for f, own in data.items() for i, m, s, v in own] + [("b", 50, 3, 1.0, None)]
+    df = spark.createDataFrame(rows, "fileKey string, characterIdx int, memberCount int, bestFaceScore double, bestFaceEmbedding array<float>")
+    got = sequential.merged_faces(df, 0.9, 2).collect()
+    for f, own in data.items():
+        assert {r.characterIdx: (r.groupId, r.representative) for r in got if r.fileKey == f} == merge_model([r for r in own if r[1] >= 2], 0.9)
+
+
 def scene_model(points, gap, end=0):
     points = sorted(points)
     out, at = [], 0
