@@ -9,8 +9,8 @@ will do. A frame: 4 bytes MAGIC, then little-endian 32-bit numbers (bits in a pl
 then the planes.
 
 Encoding: byte-level BPE never joins what stands before a single space to what stands after it (unless white space meets
-white space there), so a text is encoded piece by piece between such spaces; pieces seen before come from a bounded cache,
-the others are encoded together, in one text, by the tokenizers library. A text where white space meets white space, or
+white space there), so a text is encoded piece by piece between such spaces. Pieces are put together from words and the marks
+after them; those seen before come from a bounded cache, the others are encoded together, in one text, by the tokenizers library. A text where white space meets white space, or
 with the name of an added token in it, goes to the library as it is. The ids are those that the library gives for the whole text.
 
 Defined cases: a null text counts as empty and gives the end id alone; null doc_ids come first; rows that share a doc_id
@@ -40,7 +40,7 @@ from .common import Runs, by_size
 BLOCK = 1 << 16
 LEVEL = 3
 MAGIC = b"MQTB"
-#: Pieces in the cache; a full one is emptied.
+#: Runs in the cache; of a full one the half that is used most is kept.
 CACHED = 500_000
 
 MARKS = ".,;:!?%*$#&|)"
@@ -52,7 +52,7 @@ BLOCKS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first_
 
 
 class PieceEncoder:
-    """Ids of the texts of Arrow columns. A known piece is a run of ids, those of the piece with the space before it."""
+    """Ids of the texts of Arrow columns. The cache has runs of ids of words with the space or line break before them, and of marks after words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,60 +64,95 @@ class PieceEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, i in vocabulary.items():
             self.n_bytes[i] = len(piece)  # a character of a byte-level piece stands for a byte
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
-        self.lines: dict[str, int] = {}
         self.runs = Runs()
+        self.uses = np.zeros(0, np.int64)  # by run, the batches that it was met in, halved whenever the cache is thinned
+
+    def thin(self) -> None:
+        """Keep the half of the cache that is used most; of runs used alike those learnt last."""
+        count = self.runs.count
+        kept = np.lexsort((np.arange(count), self.uses[:count]))[::-1][: CACHED // 2]
+        kept = np.sort(kept[np.cumsum(self.runs.lengths[kept]) <= 8 * CACHED])
+        ids, lengths = self.runs.joined(kept)
+        self.runs = Runs()
+        self.runs.add(ids, lengths)
+        self.uses = self.uses[kept] // 2
+        place = np.full(count, -1)
+        place[kept] = np.arange(len(kept))
+        place = place.tolist()
+        self.known = {x: i for x, old in self.known.items() if (i := place[old]) >= 0}
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Make runs of pieces that have no white space at their edges; those of several lines are learnt line by line."""
-        fine = lambda parts: all(y and not y[0].isspace() and not y[-1].isspace() for y in parts)
-        lines = {x: parts for x in pieces if "\n" in x and fine(parts := x.split("\n"))}
-        first = {parts[0] for parts in lines.values()}.difference(self.known)
-        self.learn_words(list(first.union(x for x in pieces if x not in lines)))
-        if lines:
-            self.learn_together(list({y for parts in lines.values() for y in parts[1:]}.difference(self.lines)), "\n", self.lines)
-            self.compose(list(lines), [[self.known[parts[0]], *map(self.lines.__getitem__, parts[1:])] for parts in lines.values()])
-
-    def learn_words(self, pieces: list[str]) -> None:
-        # Marks after a word of letters are a token's start for sure: the word is learnt once for all marks that may follow.
-        marked = [(x, y) for x in pieces if (y := x.rstrip(MARKS)) is not x and y.isalpha()]
-        bare = set(pieces).difference(x for x, _ in marked)
-        bare.update({y for _, y in marked}.difference(self.known))
-        self.learn_together(list(bare), " ", self.known)
-        if marked:
-            tails = list({x[len(y) :] for x, y in marked}.difference(self.tails))
-            for tail, ids in zip(tails, self.library(tails)):
-                self.tails[tail] = self.runs.add(ids, np.array([len(ids)]))
-            self.compose([x for x, _ in marked], [[self.known[y], self.tails[x[len(y) :]]] for x, y in marked])
-
-    def compose(self, pieces: list[str], parts: list[list[int]]) -> None:
-        """Runs of pieces from those of their parts."""
-        ids, lengths = self.runs.joined(np.array([e for x in parts for e in x]))
-        starts = np.cumsum([0, *map(len, parts[:-1])])
-        first = self.runs.add(ids, np.add.reduceat(lengths, starts))
-        self.known.update(zip(pieces, range(first, self.runs.count)))
-
-    def learn_together(self, pieces: list[str], before: str, into: dict[str, int]) -> None:
+    def learn(self, texts: list[str]) -> None:
+        """Make runs of texts that are one space or line break and what has no white space at its edges, or marks alone."""
+        for before in " \n":
+            self.learn_together([x for x in texts if x[0] == before])
+        marks = [x for x in texts if x[0] not in " \n"]
+        for x, ids in zip(marks, self.library(marks)):
+            self.known[x] = self.runs.add(ids, np.array([len(ids)]))
+
+    def learn_together(self, texts: list[str]) -> None:
         at = 0
-        while at < len(pieces):
+        while at < len(texts):
             upto, size = at, 0
-            while upto < len(pieces) and size < TOGETHER:
-                size += len(pieces[upto]) + 1
+            while upto < len(texts) and size < TOGETHER:
+                size += len(texts[upto])
                 upto += 1
-            some = pieces[at:upto]
-            ids = self.library([before + before.join(some)])[0]
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([1 + len(x.encode()) for x in some])) + 1
+            some = texts[at:upto]
+            ids = self.library(["".join(some)])[0]
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in some])) + 1
             first = self.runs.add(ids, np.diff(cuts, prepend=0))
-            into.update(zip(some, range(first, self.runs.count)))
+            self.known.update(zip(some, range(first, self.runs.count)))
             at = upto
 
+    def numbers(self, texts: pa.Array) -> np.ndarray:
+        """The runs of texts; those that aren't known are learnt."""
+        texts = texts.dictionary_encode()
+        names = texts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            self.learn([names[i] for i in new])
+            found[new] = [self.known[names[i]] for i in new]
+            self.uses = np.concatenate([self.uses, np.zeros(self.runs.count - len(self.uses), np.int64)])
+        self.uses[found] += 1
+        return found[np.asarray(texts.indices)]
+
+    def parts(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The runs that pieces without white space at their edges are made of, one piece after another, and how many each has."""
+        lined = np.asarray(pc.match_substring(pieces, "\n"))
+        split = np.flatnonzero(lined)  # into lines, unless some line has white space at its edges
+        lists = pc.split_pattern(pieces.take(pa.array(split)), "\n")
+        lines, cuts = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        piece = np.repeat(split, np.diff(cuts))
+        lined[piece[edgy(lines)]] = False
+        later = lined[piece]
+        first = np.zeros(len(piece), bool)
+        first[cuts[:-1]] = later[cuts[:-1]]
+        later &= ~first
+        words = pa.concat_arrays([pieces.filter(pa.array(~lined)), lines.filter(pa.array(first)), lines.filter(pa.array(later))])
+        piece = np.concatenate([np.flatnonzero(~lined), piece[first], piece[later]])
+        # Marks after a word of letters are a token's start for sure: the word is learnt once for all marks that may follow.
+        bare = pc.utf8_rtrim(words, MARKS)
+        n_marks = np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(bare))
+        marked = np.asarray(pc.utf8_is_alpha(bare)) & (n_marks > 0)
+        marks = [x[-k:] for x, k in zip(words.filter(pa.array(marked)).to_numpy(zero_copy_only=False).tolist(), n_marks[marked].tolist())]
+        bare = pc.if_else(pa.array(marked), bare, words)
+        spaced = len(piece) - int(later.sum())
+        space, line, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", "\n", ""))
+        bare = pa.concat_arrays([pc.binary_join_element_wise(before, x, nothing) for before, x in ((space, bare[:spaced]), (line, bare[spaced:]))])
+        runs, tails = self.numbers(bare), np.zeros(len(piece), np.int64)
+        tails[marked] = self.numbers(pa.array(marks, pa.large_string()))
+        order = np.argsort(piece, kind="stable")
+        marked = marked[order]
+        ends = np.cumsum(1 + marked)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        out[ends - 1 - marked] = runs[order]
+        out[ends[marked] - 1] = tails[order][marked]
+        return out, np.bincount(piece[order], 1 + marked, len(pieces)).astype(np.int64)
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end_id after those of each, and how many each has. Looks for cycles, which none of this makes, would go over the cache again and again."""
         gc.disable()
@@ -128,7 +163,7 @@ class PieceEncoder:
 
     def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         if self.runs.count > CACHED or self.runs.used > 16 * CACHED:
-            self.clear()
+            self.thin()
         n = len(texts)
         lists = pc.split_pattern(texts, " ")
         cuts = np.asarray(lists.offsets) - lists.offsets[0].as_py()
@@ -141,23 +176,17 @@ class PieceEncoder:
         inside = np.ones(len(doc), bool)
         inside[cuts[:-1]] = False
         body, doc = pieces.filter(pa.array(inside)).dictionary_encode(), doc[inside]
-        seen, codes = body.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(body.indices)
-        entry = np.fromiter(map(self.known.get, seen, repeat(-1)), np.int64, len(seen))
-        new = np.flatnonzero(entry < 0).tolist()
-        edgy = [i for i in new if not (x := seen[i]) or x[0].isspace() or x[-1].isspace()]
-        if edgy:  # never in the cache, so they are seen here each time
-            whole[doc[np.isin(codes, edgy)]] = True
+        seen, codes = body.dictionary, np.asarray(body.indices)
+        whole[doc[edgy(seen)[codes]]] = True
         if whole.any():
             inside = ~whole[doc]
-            codes, doc = codes[inside], doc[inside]
-            there = np.zeros(len(seen), bool)
-            there[codes] = True
-            new = [i for i in new if there[i]]
+            there, codes = np.unique(codes[inside], return_inverse=True)
+            seen, doc = seen.take(pa.array(there)), doc[inside]
             for i in np.flatnonzero(whole).tolist():
                 heads[i] = texts[i].as_py()
-        if new:
-            self.learn([seen[i] for i in new])
-            entry[new] = [self.known[seen[i]] for i in new]
+        parts, counts = self.parts(seen)
+        ids, lengths = self.runs.joined(parts)
+        piece = self.runs.add(ids, np.add.reduceat(lengths, np.cumsum(counts) - counts) if len(seen) else lengths)
         first = self.library(heads)
         head = self.runs.add(np.concatenate([*first, np.array([end_id], np.uint32)]), np.array([*map(len, first), 1]))
         upto = np.cumsum(np.bincount(doc, minlength=n) + 2)
@@ -166,12 +195,17 @@ class PieceEncoder:
         starts = np.concatenate(([0], upto[:-1]))[:n]
         between[starts] = between[upto - 1] = False
         order[starts], order[upto - 1] = head + np.arange(n), head + n
-        order[between] = entry[codes]
+        order[between] = piece + codes
         ids, lengths = self.runs.joined(order)
-        self.runs.forget(head)  # heads aren't kept
+        self.runs.forget(piece)  # whole pieces and heads aren't kept
         return ids, np.add.reduceat(lengths, starts) if n else lengths
 
 
+def edgy(pieces: pa.Array) -> np.ndarray:
+    """Which pieces are empty or have white space at an edge."""
+    return np.asarray(pc.or_(pc.equal(pieces, ""), pc.not_equal(pieces, pc.utf8_trim_whitespace(pieces))))
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
@@ -237,7 +271,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, plane_bi
 
         def cut(n: int) -> pa.RecordBatch:
             nonlocal waiting, n_waiting, pieces, number, first
-            ids = np.concatenate(waiting)
+            ids = np.concatenate(waiting) if len(waiting) > 1 else waiting[0]
             mine, left = [], n
             while left:
                 r, doc_id, length = pieces[len(mine)]

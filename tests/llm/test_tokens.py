@@ -87,6 +87,43 @@ def test_cached_pieces_give_the_ids_of_the_whole(texts):
     assert ids.tolist() == [i for x in want for i in x] and lengths.tolist() == list(map(len, want))
 
 
+def asked(t, texts):
+    """Ids of texts by t, against the library, and the texts that t sends to the library meanwhile."""
+    sent, send = [], t.library
+    t.library = lambda some: sent.extend(some) or send(some)
+    ids, lengths = t.encode(pa.array(texts, pa.string()), 2)
+    t.library = send
+    want = [[*x.ids, 2] for x in WHOLE.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and lengths.tolist() == list(map(len, want))
+    return "".join(sent)
+
+
+def test_a_full_cache_keeps_what_is_used_most(monkeypatch):
+    monkeypatch.setattr(tokenbin, "CACHED", 60)
+    t = tokenbin.PieceEncoder(VOCABULARY)
+    common, rare = [f"often{'abcdefghij'[i]}" for i in range(10)], iter(f"rare{i}x" for i in range(10_000))
+    for k in range(40):
+        sent = asked(t, [" ".join(["Head", *common, *(next(rare) for _ in range(15))]), " ".join(["Head", *common])])
+        assert ("often" in sent) == (k == 0)
+        assert t.runs.count <= 60 + 25
+        assert len(t.known) == t.runs.count
+
+
+def test_a_word_is_learnt_once_for_all_marks_and_lines():
+    t = tokenbin.PieceEncoder(VOCABULARY)
+    assert asked(t, ["Head quirlish\nquirlish"]).count("quirlish") == 2
+    for text in ("Head quirlish. quirlish?!\nquirlish, quirlish\nquirlish.", "quir x\nquirlish)) quirlish.\nx"):
+        assert "quirlish" not in asked(t, [text])
+    assert len(t.known) == t.runs.count
+
+
+def test_marks_after_every_letter():
+    letters = [chr(i) for i in range(0x110000) if chr(i).isalpha()]
+    t = tokenbin.PieceEncoder(VOCABULARY)
+    for at in range(0, len(letters), 20_000):
+        asked(t, ["x " + ". ".join(letters[at : at + 20_000]) + ".", "x y\n" + ",\n".join(letters[at : at + 1000])])
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=0, max_size=300), st.sampled_from([1, 8]))
 def test_frames_round_trip(ids, bits):
